@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from newsloom.llm import bpe, chat, decontaminate, line_dedup, sharding, token_counts
+from newsloom.llm import bpe, chat, decontaminate, fingerprints, jaccard_join, line_dedup, quality, sharding, token_counts, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": url_filters.op1_url_filter,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_chat_format": chat.op5_chat_format,
         "op6_sharding": sharding.op6_sharding,
+        "op7_quality_filter": quality.op7_quality_filter,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
