@@ -40,7 +40,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(spark, docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    coded = bpe.encode(spark, docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, keep_text=False)
     return bpe.decode(spark, coded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 

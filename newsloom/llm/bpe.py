@@ -155,7 +155,7 @@ class BPE:
 class PieceCache:
     """What a function gives for pre-tokens, kept for a task; it's emptied at ``limit`` entries."""
 
-    def __init__(self, compute, limit: int = 300_000):
+    def __init__(self, compute, limit: int = 150_000):
         self.compute, self.limit, self.known = compute, limit, {}
 
     def __call__(self, pieces: set[str]) -> dict:
@@ -166,43 +166,48 @@ class PieceCache:
         return self.known
 
 
-def in_slices(columns: list, texts: list[str | None], chars: int = 2_000_000):
-    """Slices of a batch with about so many characters, so that long texts don't add up."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars or i + 1 == len(texts):
+def in_slices(sizes, most: int):
+    """Slices of a batch whose sizes come to about ``most``, so that what is made of long rows doesn't add up."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        total += n or 0
+        if total >= most or i + 1 == len(sizes):
             yield start, i + 1
-            start, size = i + 1, 0
+            start, total = i + 1, 0
 
 
-def encode(spark: SparkSession, df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds ``out``, the array of token ids of ``text``; a column of that name is replaced.
+#: Characters, and token ids, of a slice.
+SLICE_CHARS, SLICE_IDS = 500_000, 200_000
+
+
+def encode(spark: SparkSession, df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", keep_text: bool = True) -> DataFrame:
+    """Adds ``out``, the array of token ids of ``text``; a column of that name is replaced. ``keep_text`` false: without ``text``.
 
     The rank file is read once on the driver and sent to the executors: a vocabulary is bounded (here
     about 1 MB), whatever the rows are.
     """
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     kept = [c for c in df.columns if c.lower() != out.lower()]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    given = [c for c in kept if keep_text or c != text]
+    schema = T.StructType([*(df.schema[c] for c in given), T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         import regex
 
         find = regex.compile(pattern).findall
-        cache = PieceCache(BPE(ranks.value).encode_pieces)
+        encoder = BPE(ranks.value)
+        cache = PieceCache(lambda pieces: [ids.tobytes() for ids in encoder.encode_pieces(pieces)])
         for batch in batches:
-            texts = batch.column(kept.index(text)).to_pylist()
-            for a, b in in_slices(batch.columns, texts):
-                split = [find(t) if t else [] for t in texts[a:b]]
+            texts = batch.column(kept.index(text))
+            for a, b in in_slices(pc.binary_length(texts).to_pylist(), SLICE_CHARS):
+                split = [find(t) if t else [] for t in texts.slice(a, b - a).to_pylist()]
                 known = cache(set().union(*split))
-                flat = [known[p] for s in split for p in s]
-                sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(s) for s in split])])]
-                ids = np.concatenate(flat) if flat else np.empty(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), lists], names=[*kept, out])
+                packs = [b"".join(map(known.__getitem__, s)) for s in split]
+                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packs])])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packs), np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(kept.index(c)).slice(a, b - a) for c in given), lists], names=[*given, out])
 
     return df.select(*kept).mapInArrow(run, schema)
 
@@ -218,11 +223,10 @@ def decode(spark: SparkSession, df: DataFrame, ranks_path: str, ids: str = "ids"
 
         get = tokens.value.__getitem__
         for batch in batches:
-            col = batch.column(kept.index(ids))
-            flat = list(map(get, col.flatten().to_numpy(zero_copy_only=False).tolist()))
-            ends = np.concatenate([[0], np.cumsum([0 if n is None else n for n in col.value_lengths().to_pylist()])]).astype(int)
-            made = [b"".join(flat[a:b]) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], col.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*kept, out])
+            lists = batch.column(kept.index(ids))
+            for a, b in in_slices(lists.value_lengths().to_pylist(), SLICE_IDS):
+                made = [None if x is None else b"".join(map(get, x)) for x in lists.slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(made, pa.binary())], names=[*kept, out])
 
     return df.select(*kept).mapInArrow(run, schema)
 
@@ -233,7 +237,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = encode(spark, docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    coded = encode(spark, docs, path, public_tokenizers.PATTERN, keep_text=False)
     return decode(spark, coded, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from newsloom.llm.bpe import PieceCache, in_slices, load_ranks
+from newsloom.llm.bpe import SLICE_CHARS, PieceCache, in_slices, load_ranks
 
 
 class LongestMatch:
@@ -74,14 +74,15 @@ def count_tokens(spark: SparkSession, df: DataFrame, vocabulary, pattern: str, t
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         import regex
 
         find, count = regex.compile(pattern).findall, LongestMatch(*pieces.value)
         cache = PieceCache(lambda words: [count(w) for w in words])
         for batch in batches:
-            texts = batch.column(kept.index(text)).to_pylist()
-            for a, b in in_slices(batch.columns, texts):
-                split = [find(t) if t else [] for t in texts[a:b]]
+            texts = batch.column(kept.index(text))
+            for a, b in in_slices(pc.binary_length(texts).to_pylist(), SLICE_CHARS):
+                split = [find(t) if t else [] for t in texts.slice(a, b - a).to_pylist()]
                 get = cache(set().union(*split)).__getitem__
                 made = [pa.array([len(s) for s in split], pa.int64()), pa.array([sum(map(get, s)) for s in split], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *made], names=[*kept, "n_words", out])
