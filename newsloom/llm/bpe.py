@@ -155,7 +155,7 @@ class BPE:
 class PieceCache:
     """What a function gives for pre-tokens, kept for a task; it's emptied at ``limit`` entries."""
 
-    def __init__(self, compute, limit: int = 150_000):
+    def __init__(self, compute, limit: int = 300_000):
         self.compute, self.limit, self.known = compute, limit, {}
 
     def __call__(self, pieces: set[str]) -> dict:
@@ -177,7 +177,7 @@ def in_slices(sizes, most: int):
 
 
 #: Characters, and token ids, of a slice.
-SLICE_CHARS, SLICE_IDS = 500_000, 200_000
+SLICE_CHARS, SLICE_IDS = 2_000_000, 200_000
 
 
 def encode(spark: SparkSession, df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", keep_text: bool = True) -> DataFrame:
