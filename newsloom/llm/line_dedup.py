@@ -27,6 +27,8 @@ from newsloom.llm.common import ASCII_SPACE, Scratch, as_bytes, mix
 PAGE_BITS, PROBES = 1 << 22, 3
 #: The documents that a page should get the lines of.
 DOCS_PER_PAGE = 16_384
+#: Bytes of repeated keys that are broadcast; more are joined by a shuffle.
+MOST_BYTES = 32_000_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -156,6 +158,10 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
     rows = scratch.write(rows, "lines")
     # counts by (key, document) first: a key of a third of all documents is spread over all tasks
     many = rows.groupBy("key").agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("keep")).filter(F.col("n") >= min_docs).select("key", "keep")
+    many = scratch.write(many, "many")
+    bytes_ = many.agg(F.sum(F.length("key") + 64)).first()[0] or 0
+    if bytes_ <= MOST_BYTES:
+        many = F.broadcast(many)  # then the rows of a very common key stay where they are
     return rows.join(many, "key").filter(F.col("doc") != F.col("keep")).select("doc", "key").distinct()
 
 
