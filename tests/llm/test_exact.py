@@ -343,3 +343,36 @@ def test_sparse_sites_shrink(spark):
     sites, rate = quality.site_rates(sums)
     got = {(r[0], r[1]): r[2] for r in sites.collect()}
     assert len(got) == 5 and got["b", "p"] < rate < got["c", "p"] < got["a", "p"] < 1 and got[None, "p"] <= rate
+
+
+@pytest.mark.parametrize("hub_rows", [1000, 3])
+def test_components_with_hubs(spark, monkeypatch, hub_rows):
+    from newsloom.llm import components
+
+    monkeypatch.setattr(components, "HUB_ROWS", hub_rows)
+    rng = random.Random(8)
+    edges = [(0, k) for k in range(1, 60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)] + [(k, k + 1) for k in range(200, 230)] + [(7, 7), (300, 300), (0, 1), (None, 5), (5, None)]
+    root = {n: n for e in edges for n in e if n is not None}
+    for _ in root:
+        for a, b in edges:
+            if a is not None and b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    met = {n for a, b in edges if a is not None and b is not None and a != b for n in (a, b)}
+    got = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()
+    assert sorted(map(tuple, got)) == sorted((n, root[n]) for n in met)
+
+
+def test_components_of_no_edges(spark):
+    from newsloom.llm.components import components
+
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).collect() == []
+
+
+@pytest.mark.parametrize("hub_rows", [1000, 3])
+def test_least_of_groups(spark, monkeypatch, hub_rows):
+    from newsloom.llm import components
+
+    monkeypatch.setattr(components, "HUB_ROWS", hub_rows)
+    rows = [("hot", v) for v in range(40, 0, -1)] + [("cold", 5), ("cold", 4), (None, 1), ("hot", 1)]
+    got = components.with_least(spark.createDataFrame(rows, "k string, v long"), "k", "v", len(rows)).select("k", "v", "m", "n").collect()
+    assert Counter(map(tuple, got)) == Counter((k, v, 1, 41) if k == "hot" else (k, v, 4, 2) for k, v in rows if k)
