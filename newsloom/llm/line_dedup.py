@@ -29,6 +29,8 @@ PAGE_BITS, PROBES = 1 << 22, 3
 DOCS_PER_PAGE = 16_384
 #: Bytes of repeated keys that are broadcast; more are joined by a shuffle.
 MOST_BYTES = 32_000_000
+#: Keys that may be broadcast beyond that for being very common, the documents that such a key has at least, and its most bytes.
+MOST_COMMON, COMMON_DOCS, COMMON_BYTES = 1000, 1000, 4096
 
 
 def line_key(line: bytes) -> bytes:
@@ -157,12 +159,23 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
         return rows.limit(0)
     rows = scratch.write(rows, "lines")
     # counts by (key, document) first: a key of a third of all documents is spread over all tasks
-    many = rows.groupBy("key").agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("keep")).filter(F.col("n") >= min_docs).select("key", "keep")
+    many = rows.groupBy("key").agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("keep")).filter(F.col("n") >= min_docs)
     many = scratch.write(many, "many")
-    bytes_ = many.agg(F.sum(F.length("key") + 64)).first()[0] or 0
-    if bytes_ <= MOST_BYTES:
-        many = F.broadcast(many)  # then the rows of a very common key stay where they are
-    return rows.join(many, "key").filter(F.col("doc") != F.col("keep")).select("doc", "key").distinct()
+    return _lost(rows, many, many.agg(F.sum(F.length("key") + 64)).first()[0] or 0)
+
+
+def _lost(rows: DataFrame, many: DataFrame, size: int) -> DataFrame:
+    """``doc``, ``key``: the rows of ``many``'s keys but those of the document that keeps them. A very common key's rows stay where
+    they are: all keys are broadcast if they're small, else those that over a thousandth of the rows have, so a thousand at most.
+    Very long common keys are left to the shuffled join of two written tables, of which AQE splits skewed partitions."""
+    keep = many.select("key", "keep")
+    if size <= MOST_BYTES:
+        met = rows.join(F.broadcast(keep), "key")
+    else:
+        is_common = (F.col("n") > max(COMMON_DOCS, rows.count() // MOST_COMMON)) & (F.length("key") <= COMMON_BYTES)
+        marked = rows.join(F.broadcast(many.filter(is_common).select("key", "keep")), "key", "left")
+        met = marked.filter("keep IS NOT NULL").unionByName(marked.filter("keep IS NULL").drop("keep").join(many.filter(~is_common).select("key", "keep").hint("merge"), "key"))
+    return met.filter(F.col("doc") != F.col("keep")).select("doc", "key").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, most_suspects: int = 2_000_000, stats: bool = False) -> DataFrame:

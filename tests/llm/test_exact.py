@@ -149,8 +149,10 @@ def plain_lines(rows, least_chars=40, least_docs=5):
     return [(i, "\n".join(x for x in (t or "").split("\n") if i is None or drop.get(key(x), i) == i)) for i, t in rows]
 
 
-@pytest.mark.parametrize("most", [2_000_000, 0])
-def test_line_dedup_like_a_plain_version(spark, most):
+@pytest.mark.parametrize("most, small", [(2_000_000, {}), (0, {}), (2_000_000, {"MOST_BYTES": -1}), (0, {"MOST_BYTES": -1, "COMMON_DOCS": 7})])
+def test_line_dedup_like_a_plain_version(spark, monkeypatch, most, small):
+    for name, value in small.items():
+        monkeypatch.setattr(line_dedup, name, value)
     rng = random.Random(3)
     lines = [" ".join(prose(rng, 14)) for _ in range(12)] + ["short", "", "é" * 40, "é" * 39]
     rows = [(i, "\n".join(rng.choice([x, x.upper() + "\t", " " + x]) if x.isascii() else x for x in rng.choices(lines, k=rng.randint(0, 9)))) for i in range(60)]
