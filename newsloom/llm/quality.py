@@ -28,6 +28,8 @@ from newsloom.llm.decontaminate import words_of
 FORM = ("upper", "symbols", "repeated", "commonest", "word_length", "log_words", "bars")
 SYMBOLS = set("!#$%&*|<>{}[]=~^\\")
 MOST_LABELS = 10_000
+#: A weak word's odds, as a share of the odds that the prior holds against toxic.
+WEAK = 0.65
 #: Sites (pairs of host and path) that are broadcast; more are joined by a shuffle.
 MOST_SITES = 200_000
 
@@ -67,9 +69,10 @@ class Evidence:
     """What is known about badness from a text alone, given labelled texts' measures, feature hashes and minimum hashes.
 
     A feature is toxic evidence if at least ``least`` toxic witnesses and 1 in 100 of them have it, at odds of ``ratio`` (log).
+    With fewer witnesses (``weak_least``) or lower odds (``weak_ratio``) it's weak: two such words outweigh the prior, one doesn't.
     """
 
-    def __init__(self, forms: np.ndarray, words: list[np.ndarray], mins: list[tuple], low: np.ndarray, toxic: np.ndarray, least: int = 6, ratio: float = 4.5):
+    def __init__(self, forms: np.ndarray, words: list[np.ndarray], mins: list[tuple], low: np.ndarray, toxic: np.ndarray, least: int = 6, ratio: float = 4.5, weak_least: int = 3, weak_ratio: float = 3.4):
         self.mean, self.scale = (forms.mean(0), forms.std(0) + 1e-6) if len(forms) else (0.0, 1.0)
         self.weights = fit_logistic((forms - self.mean) / self.scale, low) if 0 < low.sum() < len(low) else None
         self.toxic: dict[int, float] = {}
@@ -84,13 +87,15 @@ class Evidence:
         good = [words[i] for i in kept if not toxic[i]]
         if bad and good:
             word, n_bad = np.unique(np.concatenate(bad), return_counts=True)
-            often = n_bad >= max(least, len(bad) / 100)
+            often = n_bad >= max(weak_least, len(bad) / 100)
             word, n_bad = word[often], n_bad[often]
             n_good = np.zeros(len(word), np.int64)
             for w in good:
                 n_good += np.isin(word, w, assume_unique=True)
             odds = np.log((n_bad + 0.5) / (len(bad) + 1)) - np.log((n_good + 0.5) / (len(good) + 1))
-            self.toxic = {int(w): float(o) for w, o in zip(word[odds >= ratio], odds[odds >= ratio], strict=True)}
+            weak = WEAK * max(0.0, -self.toxic_prior)
+            odds = np.where((odds >= ratio) & (n_bad >= least), odds, np.where(odds >= weak_ratio, weak, 0.0))
+            self.toxic = {int(w): float(o) for w, o in zip(word[odds > 0], odds[odds > 0], strict=True)}
 
     def odds(self, word: bytes, hasher: WordHasher) -> float:
         """The strongest evidence among a word's features."""
