@@ -141,9 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_lab
             yield pa.RecordBatch.from_arrays([pa.array([form(t) for t in texts], pa.list_(pa.float64())), pa.array(packs, pa.binary()), pa.array(mins, pa.list_(pa.int64())), batch.column(1), batch.column(2)], names=["form", "words", "mins", "quality", "toxic"])
 
     got = rows.mapInArrow(measure, f"form array<double>, words binary, mins array<bigint>, quality {rows.schema['quality'].dataType.simpleString()}, toxic {rows.schema['toxic'].dataType.simpleString()}")
+    # written by all executors at once; an iterator over the scan itself would run a job for each of its partitions, one by one
+    scratch = Scratch(docs.sparkSession, "quality-labels")
+    got = scratch.write(got, "measured")
     forms, words, mins, low, toxic = [], [], [], [], []
     for r in got.toLocalIterator():
         forms.append(r[0]), words.append(np.frombuffer(bytes(r[1]), np.uint64)), mins.append(tuple(r[2])), low.append(int(r[3] == 0)), toxic.append(int(r[4] == 1))
+    scratch.drop("measured")
     return Evidence(np.array(forms, float).reshape(-1, len(FORM)), words, mins, np.array(low, int), np.array(toxic, int))
 
 
