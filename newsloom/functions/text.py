@@ -152,3 +152,13 @@ def search(haystack: Column, query: str) -> Column:
     for term in query.split():
         out = out & haystack.contains(term)
     return out
+
+
+def json_value(c: Column) -> Column:
+    """A value as JSON text: null gives ``null``."""
+    return F.regexp_replace(F.to_json(F.array(c), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", "$1")
+
+
+def json_tuple(*columns: Column) -> Column:
+    """A JSON array of columns whose types may differ."""
+    return F.concat(F.lit("["), F.concat_ws(",", *(json_value(c) for c in columns)), F.lit("]"))

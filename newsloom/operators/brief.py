@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+import hashlib
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
 from newsloom.functions.urls import article_id, url_key
+from newsloom.operators.integrity import get, put
 from newsloom.operators.rank import first_per
 
 # Articles, candidates read, and hours that a brief, an article and a publication date last.
@@ -78,15 +83,59 @@ def usable_run(df: DataFrame) -> DataFrame:
     return df.filter((F.col("status") == "completed") & F.col("conclusion").isin("success", "failure", "cancelled") & F.col("run.id").isNotNull() & (F.col("run.attempt") >= 1))
 
 
-def assert_deliverable(bundle: dict, now, run: dict) -> None:
-    """The consumer's checks of a bundle that was read back; raises ValueError with the first that fails."""
+RUN = ("repository", "ref", "runId", "attempt", "sha")
+ARTICLE = "id string, title string, url string, source string, score int, published_at timestamp, fetched_at timestamp, summary string, summary_kind string, summary_hash string, summary_recorded_at timestamp, evidence array<string>"
+
+
+def same_run(a: dict, b: dict) -> bool:
+    return all(a.get(k) == b.get(k) for k in RUN)
+
+
+def assert_deliverable(spark: SparkSession, bundle: dict, now: dt.datetime, run: dict) -> None:
+    """The consumer's checks of a bundle that was read back; raises ValueError with the first that fails. Its articles, at most ``TOP``, pass the gates of the selection again."""
+    made, until = (dt.datetime.fromisoformat(bundle[k]) if bundle.get(k) else dt.datetime.max for k in ("generatedAt", "validUntil"))
+    articles = bundle.get("articles", [])
     checks = {
-        "schema": bundle.get("schemaVersion") == 1, "run": bundle.get("run") == run, "status": bundle.get("status") in ("ok", "partial"),
-        "articles": 1 <= len(bundle.get("articles", [])) <= TOP, "expiry": now < bundle.get("validUntil"),
+        "schema": bundle.get("schemaVersion") == 1, "run": same_run(bundle.get("run", {}), run), "status": bundle.get("status") in ("ok", "partial"), "articles": 1 <= len(articles) <= TOP,
+        "clock": made <= now + dt.timedelta(seconds=60), "expiry": max(now, made) < until <= made + dt.timedelta(hours=BRIEF_H) if made < dt.datetime.max else False,
     }
     for what, ok in checks.items():
         if not ok:
             raise ValueError(f"bundle can't be delivered: {what}")
+    at = F.lit(now)
+    ok = grounded_candidate(at) & fresh(F.col("fetched_at"), F.col("published_at"), at) & sane(F.col("url"), F.col("title"), F.col("source")) & (F.col("id") == article_id(F.col("url")))
+    rows = spark.createDataFrame([(json.dumps(a),) for a in articles], "a string").select(F.from_json("a", ARTICLE).alias("a")).select("a.*")
+    if rows.filter(~F.coalesce(ok, F.lit(False))).count():
+        raise ValueError("bundle can't be delivered: an article is stale, ungrounded or invalid")
+
+
+FILES = ("brief.json", "brief.md")
+
+
+def write_files(spark: SparkSession, directory: str, bundle: dict, text: str) -> None:
+    """The brief as JSON and Markdown; last the manifest with their hashes, without which they don't count."""
+    files = dict(zip(FILES, (json.dumps(bundle, ensure_ascii=False, indent=2) + "\n", text), strict=True))
+    for name, body in files.items():
+        put(spark, f"{directory}/{name}", body)
+    put(spark, f"{directory}/manifest.json", json.dumps({"schemaVersion": 1, "run": bundle["run"], "files": {n: hashlib.sha256(t.encode()).hexdigest() for n, t in files.items()}}, indent=2))
+
+
+def verify_files(spark: SparkSession, directory: str, now: dt.datetime, run: dict) -> dict:
+    """The bundle, if its files have the manifest's hashes and it may be delivered."""
+    manifest = json.loads(get(spark, f"{directory}/manifest.json"))
+    bodies = {n: get(spark, f"{directory}/{n}") for n in FILES}
+    if manifest.get("schemaVersion") != 1 or {n: hashlib.sha256(t.encode()).hexdigest() for n, t in bodies.items()} != manifest.get("files"):
+        raise ValueError("bundle can't be delivered: its files differ from the manifest")
+    bundle = json.loads(bodies["brief.json"])
+    assert_deliverable(spark, bundle, now, run)
+    return bundle
+
+
+def preview(snapshot: DataFrame, top: int = TOP) -> DataFrame:
+    """The last collected articles of a snapshot, one for each URL key, for reading only: their summaries were not checked."""
+    rows = snapshot.filter(F.col("url").rlike("^https?://") & (X.js_trim(F.col("title")) != "")).withColumn("url_key", url_key(F.col("url")))
+    newest = [-F.coalesce(F.col("fetched_at").cast("timestamp").cast("double"), F.lit(float("-inf"))), -F.col("score"), F.col("ordinal")]
+    return first_per(rows, ["url_key"], *newest).orderBy(F.desc_nulls_last("fetched_at"), F.desc("score"), "ordinal").limit(top)
 
 
 def markdown(selected: DataFrame) -> DataFrame:

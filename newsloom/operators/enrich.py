@@ -58,6 +58,39 @@ def parse_state(raw: Column, schema: str = "marker string, status string, attemp
     return F.when((got["marker"] == MARKER) & got["attempts"].isNotNull(), got)
 
 
+def page_states(blocks: DataFrame) -> DataFrame:
+    """The state of each page: the first of its blocks (``page_id``, ``n``, ``text``) that parses as one. Pages without any aren't in the result."""
+    parsed = blocks.select("page_id", "n", parse_state(F.col("text")).alias("state")).filter("state IS NOT NULL")
+    return parsed.groupBy("page_id").agg(F.min_by("state", "n").alias("state")).select("page_id", "state.*")
+
+
+# What may be kept of a failed call, and the mark of an excerpt that no check has seen.
+REASONS = ["http_error", "timeout", "network_error", "incomplete_response", "invalid_response"]
+CODE_KINDS = ["number", "numeric_string", "string", "null", "other"]
+UNVERIFIED, EXCERPT = "【フィード抜粋・未検証】", 300
+
+
+def safe_failure(raw: Column) -> Column:
+    """A model call's failure without free text: stage, a known reason, an HTTP status in range, a known kind of code; null for anything else."""
+    got = F.from_json(raw, "stage string, reason string, httpStatus int, codeKind string")
+    kept = F.struct(
+        got["stage"].alias("stage"), got["reason"].alias("reason"),
+        F.when(got["httpStatus"].between(100, 599), got["httpStatus"]).alias("http_status"), F.when(got["codeKind"].isin(CODE_KINDS), got["codeKind"]).alias("code_kind"),
+    )
+    return F.when((got["stage"] == "model") & got["reason"].isin(REASONS), kept)
+
+
+def collected_summary(lang: Column, abstract: Column, summary: Column) -> Column:
+    """What is stored as summary at collection: of Japanese items a marked excerpt of their abstract (empty if there is none), else the summary."""
+    text = F.substring(X.js_trim(abstract), 1, EXCERPT)
+    return F.when(lang.eqNullSafe("ja"), F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(UNVERIFIED), text)).otherwise("")).otherwise(summary)
+
+
+def append_batches(texts: DataFrame, size: int = 2000, per_call: int = 100) -> DataFrame:
+    """``page_id``, ``call``, ``n``, ``chunk``: texts in pieces, as many to a call as the store takes."""
+    return texts.select("page_id", F.posexplode(X.chunks(F.col("text"), size)).alias("n", "chunk")).select("page_id", F.floor(F.col("n") / per_call).alias("call"), "n", "chunk")
+
+
 def transition(attempts: Column, body: Column, raw: Column, http: Column, hint: Column, now: Column, failed: Column, keywords: list[str] | None = None) -> Column:
     """``status``, ``attempts``, ``next_at`` after one try. ``body`` null: none was found; ``http`` 429 isn't charged and waits at least as long as its hint (seconds)."""
     throttled = F.coalesce(http == 429, F.lit(False))

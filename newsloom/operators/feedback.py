@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
+from newsloom.operators.integrity import get, put
 from newsloom.sources import dims
 
 LEDGER_STATES = ["pending", "sending", "sent", "uncertain", "failed"]
@@ -37,15 +41,48 @@ def raise_status(pages: DataFrame, reactions: DataFrame, key: str = "url") -> Da
     return rows.withColumn("status", F.when(up, F.col("action")).otherwise(F.col("status"))).drop("action")
 
 
-def replies(messages: DataFrame) -> DataFrame:
-    """``url`` and ``action`` of the replies to digest parents, from their reactions."""
-    parents = messages.filter((F.col("reply_count") > 0) & F.col("thread_ts").isNull()).select(F.col("ts").alias("parent"))
+def replies(messages: DataFrame, now: Column, prefix: str, days: int = 3) -> DataFrame:
+    """``url`` and ``action`` of the replies to digest parents of the last days, from their reactions. Parents begin with the prefix and have replies; ``ts`` is text of epoch seconds."""
+    since = now.cast("timestamp").cast("double") - days * 86400
+    recent = (F.col("reply_count") > 0) & F.col("text").startswith(prefix) & (F.col("ts").cast("double") >= F.floor(since))
+    parents = messages.filter(recent & F.col("thread_ts").isNull()).select(F.col("ts").alias("parent"))
     own = messages.filter(F.col("thread_ts").isNotNull()).join(parents, F.col("thread_ts") == F.col("parent"))
     return own.select(X.first_link(F.col("text")).alias("url"), action(F.transform("reactions", lambda r: r["name"])).alias("action")).filter("url IS NOT NULL AND action IS NOT NULL")
 
 
 def batch_id(channel: Column, date: Column, urls: Column) -> Column:
-    return F.sha2(F.to_json(F.struct(channel.alias("channel"), date.alias("date"), urls.alias("urls"))), 256)
+    """The digest of the JSON array of channel, date and the list of URLs."""
+    return F.sha2(X.json_tuple(channel, date, urls), 256)
+
+
+def deliver(spark: SparkSession, path: str, send: Callable[[str], str]) -> list[dict]:
+    """Sends the entries (``url``, ``state``, ``ts``; at most 10, in order) of the ledger at ``path``.
+
+    Each intent is stored before its effect and each outcome after it. Sent entries are skipped; one in flight or uncertain
+    blocks the run with a ValueError, as a replay might send it twice. ``send`` returns the message's ``ts``; if it raises
+    ``ConnectionRefusedError``, nothing was sent (``failed``); after any other error that isn't known (``uncertain``).
+    """
+    box = json.loads(get(spark, path))
+    entries = box["deliveries"]
+    if any(e["state"] in ("sending", "uncertain") for e in entries):
+        raise ValueError("an entry's outcome isn't known: look it up first")
+
+    def mark(entry: dict, state: str, ts: str | None = None) -> None:
+        entry |= {"state": state, "ts": ts}
+        put(spark, path, json.dumps(box, ensure_ascii=False))
+
+    for entry in (e for e in entries if e["state"] != "sent"):
+        mark(entry, "sending")
+        try:
+            ts = send(entry["url"])
+        except ConnectionRefusedError:
+            mark(entry, "failed")
+        except Exception:
+            mark(entry, "uncertain")
+            raise
+        else:
+            mark(entry, "sent", ts)
+    return entries
 
 
 def latest_intent(artifacts: DataFrame, prefix: str) -> DataFrame:

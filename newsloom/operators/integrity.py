@@ -29,6 +29,29 @@ def mismatches(spark: SparkSession, path: str, manifest: dict[str, str]) -> Data
     return both.select("name", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its place and then renamed over it: a reader sees the old or the new one."""
+    fs, p = _file(spark, path)
+    part = p.suffix(".part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    jvm = spark._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(p), over)
+
+
+def get(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def write_version(df: DataFrame, path: str) -> str:
     """Writes a new version beside the old ones, then moves the pointer: a reader sees all of one or of the other."""
     name = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"

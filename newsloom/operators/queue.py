@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.urls import url_key
+from newsloom.functions.urls import spellings, url_key
 from newsloom.operators.rank import dedup_by_url
 
 
@@ -39,6 +39,13 @@ def existing(candidates: DataFrame, pages: DataFrame, key: str = "url_key") -> D
     return candidates.join(pages.select(key), key, "left_semi")
 
 
+def lookup(urls: DataFrame, pages: DataFrame) -> DataFrame:
+    """``page_id`` of the first page stored under any spelling of each URL; URLs without one aren't in the result. Nine spellings at most, so the join's left side is bounded by the batch."""
+    spelled = urls.select("url").distinct().select("url", F.explode(F.array_distinct(F.concat(spellings(F.col("url")), F.array("url")))).alias("spelling"))
+    stored = pages.select(F.col("url").alias("spelling"), "page_id", "ordinal")
+    return spelled.join(stored, "spelling").groupBy("url").agg(F.min_by("page_id", "ordinal").alias("page_id"))
+
+
 def within_budget(df: DataFrame, cost: str, budget: float, partition: list[str], *order: Column) -> DataFrame:
     """Rows of each partition, in order, until their summed cost passes the budget."""
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
@@ -10,6 +10,7 @@ from newsloom.operators.rank import per_group_top
 
 # Rows a page, rows a facet, days searched, results shown.
 PAGE, FACET, SEARCH_DAYS, RESULTS = 50, 200, 90, 200
+INDEX = ["title", "url", "source", "categories", "score", "lang", "kind", "status"]
 
 
 def display_date(published: Column, fetched: Column) -> Column:
@@ -117,3 +118,24 @@ def write_pages(pages: DataFrame, path: str, facet: str) -> None:
 def write_months(df: DataFrame, path: str) -> None:
     """Dynamic overwrite: only months in ``df`` are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def write_index(index: DataFrame, path: str) -> list[str]:
+    """The search index as positional JSON arrays, one a line; returns the names of the fields."""
+    index.select(X.json_tuple(*(F.col(c) for c in INDEX)).alias("value")).write.mode("overwrite").text(path)
+    return INDEX
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index read back, with the haystack made anew."""
+    got = F.from_json("value", "array<string>")
+    rows = spark.read.text(path).select(got.alias("v")).select(*(F.get("v", F.lit(k)).alias(n) for k, n in enumerate(INDEX)))
+    haystack = F.lower(F.concat_ws(" ", "title", "source", F.replace("categories", F.lit(","), F.lit(" "))))
+    return rows.withColumn("score", F.col("score").cast("int")).withColumn("haystack", haystack)
+
+
+def write_snapshot(df: DataFrame, path: str) -> None:
+    """The export as JSON, newest first over its ordered files; an empty one is refused, so that a failed scan never replaces a full export."""
+    if df.isEmpty():
+        raise ValueError("an empty export isn't written")
+    df.orderBy(*by_newest()).write.mode("overwrite").json(path)
