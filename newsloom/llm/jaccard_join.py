@@ -14,7 +14,8 @@ How it finds every link without making all pairs:
 4. What may be linked falls into coarse classes. Sets go to their coarse class once, and links are decided exactly there.
    An index of the leaders of the classes found so far counts a node's overlap with each; as Jaccard distance is a metric,
    other members are compared only if their distance from the leader differs from the node's by no more than the link's.
-   Classes too large for one task first lose, in distributed rounds of the same test, the nodes that this bound settles.
+   Classes too large for one task first lose, in distributed rounds of the same test, the nodes that this bound settles;
+   of what stays too large, all pairs of parts are resolved.
 
 Shingles, words and sets are known by 64-bit hashes: two that differ are taken for equal with chance 2^-64 a pair.
 
@@ -356,21 +357,33 @@ def resolve_classes(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def settle_large(sets: DataFrame, scratch: Scratch, num: int, den: int, class_nodes: int, class_shingles: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Rounds over the coarse classes that are too large for a task: every node is compared with some leaders of its class. Those
-    linked with one stay only if their distances could still link them with a node that isn't. Gives edges, and rest classes small enough."""
+    """Rounds over the coarse classes that are too large for a task: every node is compared with some leaders of its class. Nodes
+    linked with one get a home; homes that share a node are one. A node goes only if a leader of its home is so near that none
+    outside that home, settled or open, can be linked with it. Classes that rounds hardly lessen are resolved by pairs of parts.
+    Gives edges, and rest classes small enough."""
     spark, reach = sets.sparkSession, 1 - num / den + 1e-9
-    now, edges, small, k = sets.withColumn("settled", F.lit(False)), [], [], 0
+    now, edges, small, last, k = sets.withColumn("home", F.lit(None).cast("bigint")), [], [], None, 0
     while True:
-        sizes = now.groupBy("comp").agg(F.count("*").alias("nodes"), F.sum(F.length("shingles") / 8).alias("total"), F.count_if(~F.col("settled")).alias("open"))
-        sizes = scratch.write(sizes.filter("open > 0"), f"sizes{k}")
+        sizes = now.groupBy("comp").agg(F.count("*").alias("nodes"), F.sum(F.length("shingles") / 8).alias("total"), F.count_if(F.col("home").isNull()).alias("open"))
+        sizes = scratch.write(sizes, f"sizes{k}")
         fits = (F.col("nodes") <= class_nodes) & (F.col("total") <= class_shingles)
         if not sizes.filter(fits).isEmpty():
             small.append(scratch.write(now.join(sizes.filter(fits), "comp").select("comp", "node", "shingles"), f"small{k}", "snappy"))
         large = sizes.filter(~fits)
+        # without open nodes there are no new leaders; and each round should settle or drop a tenth at least
+        stuck = F.col("open") == 0
+        if last is not None:
+            large = large.join(last.select("comp", F.col("nodes").alias("nodes0"), F.col("open").alias("open0")), "comp")
+            stuck |= (F.col("nodes") > 0.9 * F.col("nodes0")) & (F.col("open") > 0.9 * F.col("open0"))
+        large = scratch.write(large.withColumn("stuck", stuck), f"large{k}")
+        if not large.filter("stuck").isEmpty():
+            parted = now.join(large.filter("stuck").select("comp", "nodes", "total"), "comp")
+            small.append(_pairs_of_parts(scratch.write(parted.drop("home"), f"parted{k}", "snappy"), class_nodes, class_shingles))
+        large, last = large.filter("NOT stuck").select("comp", "open"), sizes
         if large.isEmpty():
             return edges, small
         # some open nodes of each large class, by a hash of their own in each round: at most about LEADERS, one at least
-        open_ = now.filter(~F.col("settled")).join(large, "comp").withColumn("luck", F.xxhash64("node", F.lit(k)))
+        open_ = now.filter("home IS NULL").join(large, "comp").withColumn("luck", F.xxhash64("node", F.lit(k)))
         first = open_.groupBy("comp").agg(F.min_by("node", "luck").alias("first"))
         share = F.pmod(F.col("luck"), F.lit(1 << 30)) < (LEADERS - 1) * (1 << 30) / F.col("open")
         leaders = open_.join(first, "comp").filter(share | (F.col("node") == F.col("first"))).select("comp", "node", "shingles")
@@ -383,17 +396,37 @@ def settle_large(sets: DataFrame, scratch: Scratch, num: int, den: int, class_no
         every = scratch.write(every, f"distances{k}", "snappy")
         to = every.select("node", F.explode("near").alias("leader")).filter("node <> leader")
         edges.append(scratch.write(to.select(F.col("node").alias("a"), F.col("leader").alias("b")), f"edges{k}"))
-        every = every.withColumn("settled", F.col("settled") | (F.size("near") > 0))
-        # for each leader the least distance of an open node: who is nearer than that by more than a link is done with
-        rest = every.filter(~F.col("settled")).select("comp", F.posexplode("distances").alias("place", "d")).groupBy("comp", "place").agg(F.min("d").alias("d"))
-        rest = rest.groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("place", "d"))).alias("closest"))
-        reached = F.forall(F.zip_with("distances", "closest", lambda d, c: d >= c["d"] - reach), lambda x: x)
-        now = every.join(rest, "comp").filter(~F.col("settled") | reached).select("comp", "node", "shingles", "settled")
+        every = every.withColumn("met", F.array_compact(F.concat("near", F.array("home")))).withColumn("first", F.array_min("met"))
+        shared = every.filter("size(met) > 1").select(F.col("first").alias("a"), F.explode("met").alias("b")).distinct()
+        homes = scratch.write(components(shared, scratch, f"homes{k}-"), f"homes{k}")
+
+        def with_home(rows, of, name):
+            found = homes.select(F.col("node").alias(of), F.col("root").alias("__root__"))
+            return rows.join(F.broadcast(found), of, "left").withColumn(name, F.coalesce("__root__", of)).drop("__root__")
+
+        every = with_home(every, "first", "home")
+        # for each leader the least distance of a node that isn't of its home: nodes of that home nearer than that by more than a link are done with
+        far = every.select("comp", "home", F.posexplode(F.arrays_zip("leaders", "distances")).alias("place", "x"))
+        far = with_home(far.select("comp", "home", "place", F.col("x.leaders").alias("leader"), F.col("x.distances").alias("d")), "leader", "own")
+        outside = F.when(F.col("home").isNull() | (F.col("home") != F.col("own")), F.col("d"))
+        far = far.groupBy("comp", "place").agg(F.first("own").alias("own"), F.coalesce(F.min(outside), F.lit(2.0)).alias("d"))
+        far = scratch.write(far.groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("place", "own", "d"))).alias("closest")), f"closest{k}")
+        done = F.exists(F.zip_with("distances", "closest", lambda d, c: (c["own"] == F.col("home")) & (d < c["d"] - reach)), lambda x: x)
+        now = every.join(F.broadcast(far), "comp").filter(F.col("home").isNull() | ~done).select("comp", "node", "shingles", "home")
         if k:
             scratch.drop(f"distances{k - 1}")
         k += 1
 
 
+def _pairs_of_parts(rows: DataFrame, class_nodes: int, class_shingles: int) -> DataFrame:
+    """Classes of ``nodes`` and ``total`` shingles in parts, of which a task holds about two: each part with each other one of its
+    class is a class of its own, so that all pairs of nodes meet."""
+    parts = (1 + F.floor(2 * F.greatest(F.col("nodes") / class_nodes, F.col("total") / class_shingles))).cast("bigint")
+    rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).filter("other <> own")
+    return rows.select(F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")).alias("comp"), "node", "shingles")
+
+
 def _blocks(leaders: DataFrame):
     """Leaders by class, streamed to the driver; blocks of whole classes of about ``LEADER_BYTES``."""
     block, size, last = {}, 0, None
@@ -408,7 +441,8 @@ def _blocks(leaders: DataFrame):
 
 
 def _distances(now: DataFrame, block, num: int, den: int) -> DataFrame:
-    schema = "comp bigint, node bigint, shingles binary, settled boolean, near array<bigint>, distances array<double>"
+    """The rows with the ``leaders`` of their class, those that are ``near`` enough for a link, and the ``distances`` of all."""
+    schema = "comp bigint, node bigint, shingles binary, home bigint, leaders array<bigint>, near array<bigint>, distances array<double>"
 
     def run(batches):
         import pyarrow as pa
@@ -417,14 +451,15 @@ def _distances(now: DataFrame, block, num: int, den: int) -> DataFrame:
         for batch in batches:
             pick = [i for i, c in enumerate(batch.column(0).to_pylist()) if c in own]
             batch = batch.take(pa.array(pick, pa.int64()))
-            near, distances = [], []
+            leaders, near, distances = [], [], []
             for c, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 s = np.frombuffer(s, np.uint64)
                 test = [(n, *linked(s, x, num, den)) for n, x in own[c]]
-                near.append([n for n, yes, _ in test if yes]), distances.append([d for *_, d in test])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.float64()))], names=["comp", "node", "shingles", "settled", "near", "distances"])
+                leaders.append([n for n, *_ in test]), near.append([n for n, yes, _ in test if yes]), distances.append([d for *_, d in test])
+            lists = [pa.array(leaders, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["comp", "node", "shingles", "home", "leaders", "near", "distances"])
 
-    return now.select("comp", "node", "shingles", "settled").mapInArrow(run, schema)
+    return now.select("comp", "node", "shingles", "home").mapInArrow(run, schema)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

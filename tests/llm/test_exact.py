@@ -304,6 +304,19 @@ def test_join_like_all_pairs(spark, small):
     assert {r.doc: (r.n_shingles, r.component) for r in got.collect()} == plain_groups(rows)
 
 
+@pytest.mark.parametrize("leaders, class_nodes", [(1, 1), (4, 5)])
+def test_join_of_settled_nodes(spark, monkeypatch, leaders, class_nodes):
+    monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
+    rows = []
+    for chain in range(16):  # neighbours are linked only through those between them
+        starts = [0, 36, 78, 114] if leaders == 1 else [40 * k for k in range(14)]
+        rows += [(100 * chain + k, " ".join(f"c{chain}w{i}" for i in range(at, at + 304))) for k, at in enumerate(starts)]
+    got = jaccard_join.similar_groups(docs(spark, [t for _, t in rows], [i for i, _ in rows]), class_nodes=class_nodes)
+    want = plain_groups(rows)
+    assert len({c for _, c in want.values()}) == 16
+    assert {r.doc: (r.n_shingles, r.component) for r in got.collect()} == want
+
+
 def test_join_edges(spark):
     got = jaccard_join.similar_groups(docs(spark, ["a b", "c d", "a b", "c d", "z"], [1, 1, 2, 3, None])).collect()
     assert {(r.doc, r.component) for r in got} == {(1, 1), (2, 1), (3, 1), (None, None)} and len(got) == 5
