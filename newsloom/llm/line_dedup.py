@@ -3,7 +3,8 @@ r"""Line dedup with two Bloom filters, for hashes seen once and seen twice.
 1. Each task sends the 64-bit hashes of its documents' line keys (each key once a document, and at most twice
    a batch) to pages by their high bits. Only these 8 bytes move, packed.
 2. A page's owner streams its hashes through two Bloom filters of fixed size: a hash that the once-seen
-   filter holds already goes into the twice-seen filter. What the second holds are the suspects.
+   filter holds already is a suspect, and goes into the twice-seen filter. What the second doesn't hold yet is
+   reported; what it holds is looked up among those reported, so a false positive of either filter loses none.
 3. Only lines whose hash is suspected shuffle, with their text, for exact counts of documents and the choice of
    the kept occurrence. Suspects are looked up in a broadcast filter if they fit ``most_suspects``; beyond, by a
    join on the hash.
@@ -25,8 +26,8 @@ from newsloom.llm.common import ASCII_SPACE, Scratch, as_bytes, mix
 
 #: A page's filters: bits of each, and positions set for a hash. About a million hashes fill half of one.
 PAGE_BITS, PROBES = 1 << 22, 3
-#: The documents that a page should get the lines of.
-DOCS_PER_PAGE = 16_384
+#: The long lines that a page should get at most: they fill a sixth of its filters.
+LINES_PER_PAGE = 1 << 18
 #: Bytes of repeated keys that are broadcast; more are joined by a shuffle.
 MOST_BYTES = 32_000_000
 #: Keys that may be broadcast beyond that for being very common, the documents that such a key has at least, and its most bytes.
@@ -55,6 +56,7 @@ class TwiceSeen:
     def __init__(self, bits: int = PAGE_BITS, probes: int = PROBES):
         self.bits, self.probes = bits, probes
         self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        self.reported = np.empty(0, np.uint64)
 
     def _bits(self, h: np.ndarray):
         a, b = mix(h), mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
@@ -77,8 +79,11 @@ class TwiceSeen:
         h, n = np.unique(h, return_counts=True)
         again = h[(n > 1) | self.has(self.once, h)]
         self.put(self.once, h)
-        fresh = again[~self.has(self.twice, again)]
+        held = self.has(self.twice, again)
+        held[held] = np.isin(again[held], self.reported)
+        fresh = again[~held]
         self.put(self.twice, fresh)
+        self.reported = np.insert(self.reported, np.searchsorted(self.reported, fresh), fresh)
         return fresh
 
 
@@ -89,6 +94,14 @@ def _keys_of(text: bytes | None, least: int) -> list[bytes]:
     return [k for k in dict.fromkeys(map(line_key, text.split(b"\n"))) if long_enough(k, least)]
 
 
+def n_pages(docs: DataFrame, text_col: str, least: int) -> int:
+    """Pages for the long lines: of a text there are no more than its lines, nor than ``least`` characters and a line feed each allow."""
+    text = F.col(text_col)
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    most = docs.agg(F.sum(F.least(lines, F.floor((F.length(text) + 1) / (max(0, least) + 1))))).first()[0] or 0
+    return 1 << max(0, -(-most // LINES_PER_PAGE) - 1).bit_length()
+
+
 def suspects(docs: DataFrame, id_col: str, text_col: str, least: int, pages: int) -> DataFrame:
     """``hash``: every hash that two documents' keys share, and few others."""
     shift = np.uint64(64 - (pages - 1).bit_length()) if pages > 1 else None
@@ -124,9 +137,7 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, least: int, pages: int
 def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_chars: int, min_docs: int, most_suspects: int) -> DataFrame:
     """``key``, ``doc``: each long key in the documents that must lose it (in ``min_docs`` or more; kept in the largest id)."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    n_docs = docs.select(id_col).count()
-    pages = 1 << max(0, (n_docs // DOCS_PER_PAGE - 1)).bit_length()
-    found = scratch.write(suspects(docs, id_col, text_col, min_chars, pages), "suspects")
+    found = scratch.write(suspects(docs, id_col, text_col, min_chars, n_pages(docs, text_col, min_chars)), "suspects")
     n = found.count()
     known = None
     if n <= most_suspects:

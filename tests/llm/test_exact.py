@@ -171,6 +171,22 @@ def test_twice_seen_misses_none():
     assert set(h[:500].tolist()) <= set(first.tolist()) | set(again.tolist()) and len(first) < 50
 
 
+def test_twice_seen_misses_none_when_full():
+    h = np.random.default_rng(1).integers(0, 2**63, 3000, dtype=np.uint64)
+    seen = line_dedup.TwiceSeen(bits=1024)
+    told = [seen.add(x) for x in (*np.split(h, 30), *np.split(h, 30))]
+    assert set(np.concatenate(told).tolist()) >= set(h.tolist())
+    assert len(np.concatenate(told)) == len(np.unique(np.concatenate(told)))
+
+
+def test_pages_follow_the_long_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LINES_PER_PAGE", 8)
+    long = [" ".join(f"{k}word{i}" for i in range(10)) for k in range(40)]
+    assert line_dedup.n_pages(docs(spark, ["\n".join(long), None]), "text", 40) == 8
+    assert line_dedup.n_pages(docs(spark, ["x\n" * 200, "y", ""]), "text", 40) == 2
+    assert line_dedup.n_pages(docs(spark, ["x"]).limit(0), "text", 40) == 1
+
+
 # chat
 
 
