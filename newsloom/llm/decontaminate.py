@@ -1,14 +1,15 @@
 """Benchmark decontamination over a positional inverted index.
 
-The index is a table of segments. A segment holds the documents of about ``SEGMENT_WORDS`` words and, for each
-of their terms, the sorted positions at which it stands; it's built once and serves any test set. A search reads
-each segment once: for every phrase it takes the postings of the term that is rarest in that segment as candidate
-starts (adjusted by the term's offset in the phrase), then intersects with the next rarest, until none is left.
-Segments are cut by documents, so a term of all rows is spread over all segments and nothing shuffles.
-
-Words are maximal runs of ``[0-9a-z]`` and code points from U+0080, after lower-casing A-Z. Null text has no words.
-Rows are documents of their own, also when they repeat an id; a null id stays null. Items without words or without
-an id are no queries; items that repeat are each named.
+The index is a table of segments. A segment holds the documents of about ``SEGMENT_WORDS`` words (or one document) and, for
+each of their terms, the sorted positions at which it stands; it's built once and serves any test set. A search reads each
+segment once: for every phrase it takes the postings of the term that is rarest in that segment as candidate starts
+(adjusted by the term's offset in the phrase), then intersects with the next rarest, until none is left. Segments are cut
+by documents, so a term of all rows is spread over all segments and nothing shuffles.
+
+Words are maximal runs of ``[0-9a-z]`` and code points from U+0080, after lower-casing A-Z. Null text has no words. Rows
+are documents of their own, also when they repeat an id; a null id stays null. Items without words or without an id are no
+queries; items that repeat are each named, once an id. An empty table of documents gives an empty result, an empty test
+set finds nothing. Only the id and text columns are read: other columns, of whatever name, don't matter.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Scratch, as_bytes
+from newsloom.llm.common import Scratch, as_bytes, sliced, tidy
 
-SEGMENT_WORDS = 1 << 20
+SEGMENT_WORDS = 1 << 17
 #: Words of test items that are sent to the executors at once; larger test sets go in blocks of so many.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 200_000
 #: Every byte to itself in lower case if it's part of a word, else to a space.
 WORD_BYTES = bytes(b if b >= 0x80 or bytes([b]).isalnum() else 32 for b in bytes(range(256)).lower())
 
@@ -38,7 +39,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches):
         import pyarrow as pa
 
-        def segment():
+        def segment(own_type):
             starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             terms = sorted(ids_of)
             rank = np.empty(len(terms), np.int32)
@@ -47,12 +48,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             order = np.argsort(seq, kind="stable").astype(np.int64)
             ends = np.cumsum(np.bincount(seq, minlength=len(terms))).astype(np.int64)
             deltas = np.diff(order, prepend=0).astype(np.int32)
-            cols = [pa.array([x], t) for x, t in ((owners, pa.list_(batch.column(0).type)), (starts.tobytes(), pa.binary()), (b" ".join(terms), pa.binary()), (ends.tobytes(), pa.binary()), (deltas.tobytes(), pa.binary()))]
+            cols = [pa.array([x], t) for x, t in ((owners, pa.list_(own_type)), (starts.tobytes(), pa.binary()), (b" ".join(terms), pa.binary()), (ends.tobytes(), pa.binary()), (deltas.tobytes(), pa.binary()))]
             return pa.RecordBatch.from_arrays(cols, names=["docs", "starts", "terms", "ends", "deltas"])
 
-        owners, sizes, seqs, ids_of = [], [], [], {}
-        batch = None
-        for batch in batches:
+        owners, sizes, seqs, ids_of, total = [], [], [], {}, 0
+        for batch in sliced(batches, 1):
+            own_type = batch.column(0).type
             for owner, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 words = words_of(text)
                 for w in words:
@@ -61,13 +62,14 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 owners.append(owner), sizes.append(len(words))
                 if words:
                     seqs.append(np.fromiter(map(ids_of.__getitem__, words), np.int32, len(words)))
-                if sum(sizes) >= SEGMENT_WORDS if len(sizes) % 64 == 0 or len(words) > 4096 else False:
-                    yield segment()
-                    owners, sizes, seqs, ids_of = [], [], [], {}
+                total += len(words) + 1
+                if total >= SEGMENT_WORDS:
+                    yield segment(own_type)
+                    owners, sizes, seqs, ids_of, total = [], [], [], {}, 0
         if owners:
-            yield segment()
+            yield segment(own_type)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"docs array<{kind}>, starts binary, terms binary, ends binary, deltas binary")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"docs array<{kind}>, starts binary, terms binary, ends binary, deltas binary")
 
 
 class Segment:
@@ -75,7 +77,7 @@ class Segment:
 
     def __init__(self, docs, starts, terms, ends, deltas):
         self.docs, self.starts = docs, np.frombuffer(starts, np.int64)
-        self.terms = {t: i for i, t in enumerate(terms.split(b" "))} if terms else {}
+        self.terms = {t: i for i, t in enumerate(bytes(terms).split(b" "))} if len(terms) else {}
         self.ends = np.concatenate([[0], np.frombuffer(ends, np.int64)])
         self.positions = np.cumsum(np.frombuffer(deltas, np.int32), dtype=np.int64)
         self.span = int(self.starts[-1]) + 1
@@ -94,6 +96,10 @@ class Segment:
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return (self.keys[at] == want) & (positions >= 0)
 
+    def place(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """Where in ``positions`` the first posting of each term at or past each position is, or the end of the term's."""
+        return np.searchsorted(self.keys, terms * self.span + np.clip(positions, 0, self.span - 1))
+
     def next_after(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
         """The first posting of each term past each position, or -1."""
         at = np.searchsorted(self.keys, terms * self.span + positions, "right")
@@ -105,24 +111,32 @@ class Segment:
 
 
 class Phrases:
-    """Distinct phrases of a block of items: term matrix, lengths, and the items of each."""
+    """Distinct phrases of a block of items: a matrix of term numbers, lengths, and pairs of a phrase and an item's number."""
 
     def __init__(self, items: list[tuple], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        rows: dict[tuple, int] = {}
-        of: list[set] = []
+        rows: dict[bytes, int] = {}
+        self.names = list(dict.fromkeys(item for item, _ in items))
+        number = {item: k for k, item in enumerate(self.names)}
+        of = []
         for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int32)
             for i in range(max(1, len(ids) - width + 1)):
-                k = rows.setdefault(tuple(ids[i : i + width]), len(rows))
-                if k == len(of):
-                    of.append(set())
-                of[k].add(item)
-        self.items = [sorted(x) for x in of]
-        self.length = np.array([len(r) for r in rows], np.int64)
-        self.terms = np.full((len(rows), width), -1, np.int64)
+                of.append((rows.setdefault(ids[i : i + width].tobytes(), len(rows)), number[item]))
+        pairs = np.unique(np.array(of, np.int64).reshape(-1, 2), axis=0)
+        self.item = pairs[:, 1].astype(np.int32)
+        #: Where each phrase's items begin, and the end.
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1))
+        self.length = np.array([len(r) // 4 for r in rows], np.int64)
+        self.terms = np.full((len(rows), width), -1, np.int32)
         for k, r in enumerate(rows):
-            self.terms[k, : len(r)] = r
+            self.terms[k, : len(r) // 4] = np.frombuffer(r, np.int32)
+
+    def items_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items' numbers of each of the phrases, one after another, and the index in ``rows`` that each belongs to."""
+        n = self.first[rows + 1] - self.first[rows]
+        of = np.repeat(np.arange(len(rows)), n)
+        return self.item[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[rows], n)], of
 
     def local(self, segment: Segment) -> tuple[np.ndarray, np.ndarray]:
         """The phrases all of whose terms the segment has, and their terms there."""
@@ -138,7 +152,7 @@ def exact_hits(segment: Segment, phrases: Phrases) -> tuple[np.ndarray, np.ndarr
     if not len(rows) or not len(segment.keys):
         return rows[:0], rows[:0]
     size = np.diff(segment.ends)
-    rarity = np.where(terms >= 0, size[terms], np.iinfo(np.int64).max)
+    rarity = np.where(terms >= 0, size[np.maximum(terms, 0)], np.iinfo(np.int64).max)
     order = np.argsort(rarity, axis=1, kind="stable")
     starts, of = segment.lists(terms[np.arange(len(rows)), order[:, 0]])
     starts = starts - order[of, 0]
@@ -158,14 +172,17 @@ def near_hits(segment: Segment, phrases: Phrases, slop: int) -> tuple[np.ndarray
     rows, terms = phrases.local(segment)
     if not len(rows) or not len(segment.keys):
         return rows[:0], rows[:0], rows[:0]
-    starts, of = segment.lists(terms[:, 0])
-    size = np.diff(segment.ends)
-    rare = np.where(terms >= 0, size[terms], np.iinfo(np.int64).max).argmin(axis=1)
-    length = phrases.length[rows]
-    # the rarest term must stand within reach of the start
-    far = segment.next_after(terms[of, rare[of]], starts + rare[of] - 1)
-    keep = (far >= 0) & (far - starts <= rare[of] + slop)
-    starts, of = starts[keep], of[keep]
+    size, length = np.diff(segment.ends), phrases.length[rows]
+    rare = np.where(terms >= 0, size[np.maximum(terms, 0)], np.iinfo(np.int64).max).argmin(axis=1)
+    # from the postings of the rarest term back to those of the first term within reach
+    there, of = segment.lists(terms[np.arange(len(rows)), rare])
+    first = terms[of, 0]
+    low, high = (segment.place(first, there - rare[of] - more) for more in (slop, -1))
+    n = np.maximum(0, high - low)
+    of = np.repeat(of, n)
+    starts = segment.positions[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+    both = np.unique(of * segment.span + starts)  # from several of the rarest term's postings
+    of, starts = both // segment.span, both % segment.span
     at = starts.copy()
     for k in range(1, terms.shape[1]):
         term = terms[of, k]
@@ -194,8 +211,8 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, width: int, bloc
 
 def _segments(batches):
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield Segment(*row)
+        for i in range(batch.num_rows):  # one by one, without a copy of all
+            yield Segment(batch.column(0)[i].as_py(), *(c[i].as_buffer() for c in batch.columns[1:]))
 
 
 def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -223,18 +240,20 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
                 fresh[1:] = (start[1:] > end[:-1]) | (doc[1:] != doc[:-1])
                 first = np.flatnonzero(fresh)
                 last = np.concatenate([first[1:], [len(start)]]) - 1 if len(first) else first
-                spans, named = [[] for _ in s.docs], [set() for _ in s.docs]
+                spans, named = [[] for _ in s.docs], [[] for _ in s.docs]
                 for d, a, b in zip(doc[first].tolist(), start[first].tolist(), end[last].tolist(), strict=True):
                     spans[d].append({"start": a - int(s.starts[d]), "end": b - int(s.starts[d])})
-                pair = np.unique(doc * len(phrases.value.items) + row) if len(row) else row
-                for d, r in zip((pair // max(1, len(phrases.value.items))).tolist(), (pair % max(1, len(phrases.value.items))).tolist(), strict=True):
-                    named[d].update(phrases.value.items[r])
+                names = phrases.value.names
+                number, of = phrases.value.items_of(row)
+                pair = np.unique(doc[of] * len(names) + number) if len(row) else row
+                for d, k in zip((pair // max(1, len(names))).tolist(), (pair % max(1, len(names))).tolist(), strict=True):
+                    named[d].append(names[k])
                 name = hashlib.sha256(s.positions.tobytes() + repr(s.docs[:1] + s.docs[-1:]).encode()).hexdigest()
                 n = len(s.docs)
                 cols = [pa.array([name] * n), pa.array(range(n), pa.int32()), pa.array(s.docs, doc_type), pa.array(np.diff(s.starts), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in named], pa.list_(item_type))]
                 yield pa.RecordBatch.from_arrays(cols, names=["segment", "doc_no", "doc", "n_words", "spans", "items"])
 
-        return index.mapInArrow(run, schema)
+        return index.mapInArrow(tidy(run), schema)
 
     found = [scan(spark.sparkContext.broadcast(p)) for p in item_blocks(items, item_col, text_col, width, block_words)] or [scan(spark.sparkContext.broadcast(Phrases([], width)))]
     if len(found) == 1:
@@ -269,10 +288,12 @@ def proximity(index: DataFrame, items: DataFrame, slop: int, item_col: str = "it
             for s in _segments(batches):
                 row, start, end = near_hits(s, phrases.value, slop)
                 doc = s.owner(start)
-                out = [(s.docs[d], i, a, b) for d, r, a, b in zip(doc.tolist(), row.tolist(), (start - s.starts[doc]).tolist(), (end - s.starts[doc]).tolist(), strict=True) for i in phrases.value.items[r]]
+                number, of = phrases.value.items_of(row)
+                places = zip(doc[of].tolist(), number.tolist(), (start - s.starts[doc])[of].tolist(), (end - s.starts[doc])[of].tolist(), strict=True)
+                out = [(s.docs[d], phrases.value.names[k], a, b) for d, k, a, b in places]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["doc", "item", "start", "end"])
 
-        return index.mapInArrow(run, schema)
+        return index.mapInArrow(tidy(run), schema)
 
     found = [scan(spark.sparkContext.broadcast(p)) for p in item_blocks(items, item_col, text_col, width, block_words)] or [scan(spark.sparkContext.broadcast(Phrases([], width)))]
     every = found[0]
