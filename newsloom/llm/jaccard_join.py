@@ -28,20 +28,21 @@ from __future__ import annotations
 
 import heapq
 import math
-from array import array
 from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Scratch, WordHasher, as_bytes, mix, shingle_set
+from newsloom.llm.common import Scratch, WordHasher, as_bytes, mix, shingle_set, sliced, tidy
 from newsloom.llm.components import components, with_least
 
-#: Postings that a page should hold.
-PAGE_POSTINGS = 1 << 20
+#: Postings that a page should hold, and a task's pack; pairs of postings that a task makes at once.
+PAGE_POSTINGS, PACK_POSTINGS, SLICE_PAIRS = 1 << 19, 1 << 19, 1 << 18
 #: Nodes and shingles of a coarse class that one task resolves.
 CLASS_NODES, CLASS_SHINGLES = 32_768, 4_000_000
+#: How much a probe of a long list costs, as against a merged posting, and the roots of which one node each is tried first.
+PROBE, TRIES = 8, 8
 #: Leaders of a large class in a round.
 LEADERS = 16
 #: Bytes of leaders' sets that are sent to the executors at once.
@@ -89,6 +90,11 @@ def heap_merge(lists: list[list[int]]):
         yield now, n
 
 
+def n_long(n_lists: int, least: int, longest: int) -> int:
+    """How many of the longest lists DivideSkip sets aside: fewer than ``least``, and the fewer the more a probe costs."""
+    return min(n_lists, least - 1, int(least / (0.0085 * math.log2(max(2, longest)) + 1)))
+
+
 def divide_skip(lists: list[np.ndarray], least: int) -> list[int]:
     """The values that stand in at least ``least`` (1 or more) of the sorted lists.
 
@@ -97,9 +103,9 @@ def divide_skip(lists: list[np.ndarray], least: int) -> list[int]:
     lists = sorted(lists, key=len)
     if len(lists) < least:
         return []
-    n_long = min(least - 1, int(least / (0.0085 * math.log2(max(2, len(lists[-1]))) + 1)))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    found = [(v, n) for v, n in heap_merge([x.tolist() for x in short]) if n >= least - n_long]
+    aside = n_long(len(lists), least, len(lists[-1]))
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    found = [(v, n) for v, n in heap_merge([x.tolist() for x in short]) if n >= least - aside]
     if not found or not long:
         return [v for v, n in found if n >= least]
     values, times = np.array([v for v, _ in found], np.int64), np.array([n for _, n in found])
@@ -116,12 +122,12 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
         import pyarrow as pa
 
         hasher = WordHasher()
-        for batch in batches:
+        for batch in sliced(batches, 1):
             sets = ((len(s), node_of(s) if len(s) else None) for s in (shingle_set(t, hasher, width) for t in as_bytes(batch.column(1))))
             n, node = zip(*sets, strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc", "n", "node"])
 
-    return docs.mapInArrow(run, f"doc {kind}, n bigint, node bigint")
+    return docs.mapInArrow(tidy(run), f"doc {kind}, n bigint, node bigint")
 
 
 def postings(docs: DataFrame, width: int, pages: int, longest: int, num: int, den: int) -> DataFrame:
@@ -132,12 +138,7 @@ def postings(docs: DataFrame, width: int, pages: int, longest: int, num: int, de
     def run(batches):
         import pyarrow as pa
 
-        hasher = WordHasher()
-        for batch in batches:
-            nodes: dict[int, np.ndarray] = {}
-            for ok, t in zip(batch.column(0).is_valid().to_pylist(), as_bytes(batch.column(1)), strict=True):
-                if ok and len(s := shingle_set(t, hasher, width)):
-                    nodes.setdefault(node_of(s), (len(s), s[: listed(len(s), num, den)].copy()))
+        def packed(nodes):
             ids = np.array(list(nodes), np.int64)
             sizes = np.array([n for n, _ in nodes.values()], np.int32)
             heads = [h for _, h in nodes.values()]
@@ -158,9 +159,20 @@ def postings(docs: DataFrame, width: int, pages: int, longest: int, num: int, de
                 own, at = np.unique(of[a:b], return_inverse=True)
                 out.append((int(page[a]), h[a:b].tobytes(), at.astype(np.int32).tobytes(), ids[own].tobytes(), sizes[own].tobytes()))
             kinds = [pa.int64(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["page", "hashes", "at", "nodes", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["page", "hashes", "at", "nodes", "sizes"])
 
-    return docs.mapInArrow(run, "page bigint, hashes binary, at binary, nodes binary, sizes binary")
+        hasher, nodes, total = WordHasher(), {}, 0
+        for batch in sliced(batches, 1):
+            for ok, t in zip(batch.column(0).is_valid().to_pylist(), as_bytes(batch.column(1)), strict=True):
+                if ok and len(s := shingle_set(t, hasher, width)) and (n := node_of(s)) not in nodes:
+                    nodes[n] = (len(s), s[: listed(len(s), num, den)].copy())
+                    total += len(nodes[n][1])
+                    if total >= PACK_POSTINGS:
+                        yield packed(nodes)
+                        nodes, total = {}, 0
+        yield packed(nodes)
+
+    return docs.mapInArrow(tidy(run), "page bigint, hashes binary, at binary, nodes binary, sizes binary")
 
 
 LISTS = "node bigint, size int, lens array<int>, partners array<bigint>, hot array<bigint>"
@@ -171,8 +183,6 @@ def inverted_lists(packs: DataFrame, longest: int, num: int, den: int) -> DataFr
     large, and the hashes of lists over ``longest``."""
 
     def page_out(parts: list[tuple], common: bool):
-        import pyarrow as pa
-
         h = np.concatenate([p[0] for p in parts])
         node = np.concatenate([p[1] for p in parts])
         size = np.concatenate([p[2] for p in parts])
@@ -190,41 +200,55 @@ def inverted_lists(packs: DataFrame, longest: int, num: int, den: int) -> DataFr
         length = np.diff(np.append(first, len(h)))
         hot = np.repeat(length > longest, length) if not common else np.ones(len(h), bool)
         end = np.repeat(first + length, length)
+        # some nodes at a time: their pairs are many more than their postings
         count = np.where(hot, 0, end - np.arange(len(h)) - 1)
-        src = np.repeat(np.arange(len(h)), count)
-        dst = np.arange(len(src)) - np.repeat(np.cumsum(count) - count, count) + src + 1
-        fits = size[dst].astype(np.int64) * num <= size[src].astype(np.int64) * den
-        src, dst = src[fits], dst[fits]
-        count = np.bincount(src, minlength=len(h))
-        # one row a node: its entries together
         by = np.argsort(node, kind="stable")
         by = by[(count[by] > 0) | hot[by]]
+        start = np.flatnonzero(np.concatenate([[True], node[by][1:] != node[by][:-1]])) if len(by) else np.empty(0, np.int64)
+        start = np.append(start, len(by))
+        pairs = np.concatenate([[0], np.cumsum(count[by])])[start]
+        a = 0
+        while a + 1 < len(start):
+            b = max(a + 1, int(np.searchsorted(pairs, pairs[a] + SLICE_PAIRS, "right")) - 1)
+            yield lists_out(h, node, size, hot, count, by[start[a] : start[b]])
+            a = b
+
+    def lists_out(h, node, size, hot, count, by):
+        import pyarrow as pa
+
+        n = count[by]
+        of = np.repeat(np.arange(len(by)), n)
+        dst = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + by[of] + 1
+        fits = size[dst].astype(np.int64) * num <= size[by[of]].astype(np.int64) * den
+        of, dst = of[fits], dst[fits]
+        lens = np.bincount(of, minlength=len(by)).astype(np.int32)
+        # one row a node: its entries together
+        some = (lens > 0) | hot[by]
+        by, lens = by[some], lens[some]
         rows = np.flatnonzero(np.concatenate([[True], node[by][1:] != node[by][:-1]])) if len(by) else np.empty(0, np.int64)
-        begin = np.cumsum(count) - count
-        lens = count[by].astype(np.int32)
-        flat = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(begin[by], lens)
         cold, is_hot = lens > 0, hot[by]
 
         def ragged(per_entry, values, kind):
             ends = np.concatenate([[0], np.cumsum(per_entry)])
             return pa.ListArray.from_arrays(pa.array(np.append(ends[rows], ends[-1]), pa.int32()), pa.array(values, kind))
 
-        columns = [pa.array(node[by[rows]], pa.int64()), pa.array(size[by[rows]], pa.int32()), ragged(cold, lens[cold], pa.int32()), ragged(lens, node[dst[flat]], pa.int64()), ragged(is_hot, h[by[is_hot]].view(np.int64), pa.int64())]
+        columns = [pa.array(node[by[rows]], pa.int64()), pa.array(size[by[rows]], pa.int32()), ragged(cold, lens[cold], pa.int32()), ragged(lens, node[dst], pa.int64()), ragged(is_hot, h[by[is_hot]].view(np.int64), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["node", "size", "lens", "partners", "hot"])
 
     def run(batches):
         now, parts = None, []
         for batch in batches:
-            for page, h, at, nodes, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, page in enumerate(batch.column(0).to_pylist()):
                 if parts and (page != now or page < 0):
-                    yield page_out(parts, now < 0)
+                    yield from page_out(parts, now < 0)
                     parts = []
-                now, at = page, np.frombuffer(at, np.int32)
-                parts.append((np.frombuffer(h, np.uint64), np.frombuffer(nodes, np.int64)[at], np.frombuffer(sizes, np.int32)[at]))
+                h, at, nodes, sizes = (np.frombuffer(c[i].as_buffer(), k) for c, k in zip(batch.columns[1:], (np.uint64, np.int32, np.int64, np.int32), strict=True))
+                now = page
+                parts.append((h.copy(), nodes[at], sizes[at]))
         if parts:
-            yield page_out(parts, now < 0)
+            yield from page_out(parts, now < 0)
 
-    return packs.repartition("page").sortWithinPartitions("page").mapInArrow(run, LISTS)
+    return packs.repartition("page").sortWithinPartitions("page").mapInArrow(tidy(run), LISTS)
 
 
 def search(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -252,6 +276,9 @@ def search(lists: DataFrame, num: int, den: int) -> DataFrame:
                     if now is not None:
                         out += one(now, size, mine, hot)
                     now, size, mine, hot = node, n, [], set()
+                    if len(out) >= 50_000:
+                        yield table(out)
+                        out = []
                 flat = partners.values.to_numpy(zero_copy_only=False)
                 ends = np.cumsum(lens.values.to_numpy(zero_copy_only=False))
                 mine += [np.sort(x) for x in np.split(flat, ends[:-1])] if len(ends) else []
@@ -265,7 +292,7 @@ def search(lists: DataFrame, num: int, den: int) -> DataFrame:
 
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["a", "b", "hot"])
 
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint, hot bigint")
+    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(tidy(run), "a bigint, b bigint, hot bigint")
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> tuple[bool, float]:
@@ -275,60 +302,108 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> tuple[bool, floa
     return den * both >= num * union, 1 - both / union
 
 
+class Lists:
+    """Inverted lists over the sets of a coarse class: every shingle that two of them have, the rarest first; the nodes in ascending size.
+
+    A node's lists are so in ascending length. Entries are kept as sorted numbers ``shingle * nodes + node``, so that cuts of many
+    lists, and probes of them, are one binary search over arrays.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        n = np.array([len(s) for s in sets], np.int64)
+        self.order = np.argsort(n, kind="stable")
+        self.size, self.n = n[self.order], len(sets)
+        hashes = np.concatenate([sets[i] for i in self.order])
+        at = np.argsort(hashes, kind="stable").astype(np.int32)
+        hashes = hashes[at]
+        own = np.repeat(np.arange(self.n, dtype=np.int32), self.size)[at]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        times = np.diff(np.append(first, len(hashes)))
+        del hashes, at
+        rarity = np.empty(len(first), np.int64)
+        rarity[np.argsort(times, kind="stable")] = np.arange(len(first))
+        shared = np.repeat(times > 1, times)
+        self.keys = np.repeat(rarity * self.n, times)[shared] + own[shared]
+        del own, shared
+        self.keys.sort()
+        own = (self.keys % self.n).astype(np.int32)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=self.n))])
+        self.shingles = (self.keys // self.n)[np.argsort(own, kind="stable")]
+
+    def entries(self, lists: np.ndarray, low: int, high: int) -> np.ndarray:
+        """How often each node from ``low`` to ``high`` stands in the lists: they're merged."""
+        a, b = np.searchsorted(self.keys, lists * self.n + low), np.searchsorted(self.keys, lists * self.n + high)
+        n = b - a
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+        return np.bincount(self.keys[at] - np.repeat(lists * self.n + low, n), minlength=high - low)
+
+    def probed(self, lists: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """In how many of the lists each node stands, by binary search."""
+        want = (lists[None, :] * self.n + nodes[:, None]).ravel()
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return (self.keys[at] == want).reshape(len(nodes), len(lists)).sum(1)
+
+
 def resolve(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """The root (least node) of each node's class, exactly, for the nodes of one coarse class."""
-    reach = 1 - num / den + 1e-9
-    parent = list(range(len(nodes)))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    # shingles that two sets share, by number; for each the balls whose leader has it
-    every, times = np.unique(np.concatenate(sets), return_counts=True)
-    every = every[times > 1]
-    index: list[array | None] = [None] * len(every)
-    # a leader's size, the nodes first linked with it, their distances, and the largest of these
-    leader, size, members, away, widest = [], [], [], [], []
-    for i, own in enumerate(sets):
-        at = np.minimum(np.searchsorted(every, own), max(0, len(every) - 1))
-        ids = at[every[at] == own].tolist() if len(every) else []
-        met = [np.frombuffer(x, np.int32) for k in ids if (x := index[k])]
-        home = None
-        if met:
-            both = np.bincount(np.concatenate(met), minlength=len(leader))
-            del met  # the arrays below grow
-            union = np.array(size) + len(own) - both
-            d = 1 - both / union
-            close = np.flatnonzero(d <= reach + np.array(widest))
-            near = close[den * both[close] >= num * union[close]].tolist()
-            for k in near:
-                parent[find(i)] = find(leader[k])
-            if near:
-                home = near[0]
-            for k in set(close.tolist()).difference(near):
-                for j, e in zip(members[k], away[k], strict=True):
-                    if find(i) == find(j):
-                        break  # and so with all of this ball
-                    if abs(e - d[k]) <= reach and linked(own, sets[j], num, den)[0]:
-                        parent[find(i)] = find(j)
-        if home is None:
-            home = len(leader)
-            leader.append(i), size.append(len(own)), members.append([]), away.append([]), widest.append(0.0)
-            for k in ids:
-                if index[k] is None:
-                    index[k] = array("i")
-                index[k].append(home)
-            members[home].append(i), away[home].append(0.0)
-        else:
-            members[home].append(i), away[home].append(float(d[home]))
-            widest[home] = max(widest[home], float(d[home]))
-    least: dict[int, int] = {}
-    for i, n in enumerate(nodes):
-        least[find(i)] = min(n, least.get(find(i), n))
-    return [least[find(i)] for i in range(len(nodes))]
+    """The root (least node) of each node's class, exactly, for the nodes of one coarse class.
+
+    T-occurrence search once more, over the class's own lists and by bands of sizes, each with the overlap that it needs: DivideSkip
+    sets the longest lists aside, and only nodes that stand in enough of the others are counted in these. So what all nodes share
+    (a template) makes no candidates. Of a node's candidates those that are in its class already need no count.
+    """
+    lists = Lists(sets)
+    root, size = np.arange(lists.n), lists.size
+
+    def link(i: int, others: np.ndarray) -> None:
+        for r in np.unique(root[others]).tolist():
+            if r != root[i]:
+                root[root == r] = root[i]
+
+    for i in range(lists.n if len(lists.keys) else 0):
+        own, n = lists.shingles[lists.first[i] : lists.first[i + 1]], int(size[i])
+        least = needed(n, num, den)
+        if len(own) < least:
+            continue
+        edges = [least, least + (n - least) // 3, least + 2 * (n - least) // 3, n + 1]
+        for low, high in zip(np.searchsorted(size, edges[:-1]).tolist(), np.searchsorted(size, edges[1:]).tolist(), strict=True):
+            high = min(high, i)
+            if low >= high:
+                continue
+            # the overlap that the band's smallest node needs
+            least = -(-num * (n + int(size[low])) // (num + den))
+            if len(own) < least:
+                continue
+            aside = n_long(len(own), least, high - low)
+            # lists of shingles that no other node has would be the shortest: they're empty
+            short, long = own[: len(own) - aside], own[len(own) - aside :]
+            times = lists.entries(short, low, high)
+            found = np.flatnonzero(times >= least - aside)
+            found = found[root[low + found] != root[i]]
+            for last in (False, True):
+                if not len(found):
+                    break
+                test = found
+                if not last:
+                    # a promising node of each root first: one link is enough to be done with all of it
+                    by = np.lexsort((-times[found], root[low + found]))
+                    heads = by[np.flatnonzero(np.diff(root[low + found[by]], prepend=-1))]
+                    if len(heads) > TRIES:
+                        continue
+                    test = found[heads]
+                if len(test) * PROBE > high - low:
+                    both = times[test] + lists.entries(long, low, high)[test]
+                else:
+                    both = times[test] + lists.probed(long, low + test)
+                close = (num + den) * both >= num * (n + size[low + test])
+                link(i, low + test[close])
+                found = np.setdiff1d(found, test, assume_unique=True)
+                found = found[root[low + found] != root[i]]
+    names = np.array(nodes, np.int64)[lists.order]
+    least_of = np.full(lists.n, np.iinfo(np.int64).max)
+    np.minimum.at(least_of, root, names)
+    out = np.empty(lists.n, np.int64)
+    out[lists.order] = least_of[root]
+    return out.tolist()
 
 
 def resolve_classes(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -343,17 +418,17 @@ def resolve_classes(sets: DataFrame, num: int, den: int) -> DataFrame:
 
         now, nodes, own = None, [], []
         for batch in batches:
-            for c, n, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for i, (c, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if c != now and nodes:
                     yield out()
                     nodes, own = [], []
                 now = c
                 if not nodes or nodes[-1] != n:
-                    nodes.append(n), own.append(np.frombuffer(s, np.uint64))
+                    nodes.append(n), own.append(np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64).copy())
         if nodes:
             yield out()
 
-    return sets.select("comp", "node", "shingles").repartition("comp").sortWithinPartitions("comp", "node").mapInArrow(run, "a bigint, b bigint")
+    return sets.select("comp", "node", "shingles").repartition("comp").sortWithinPartitions("comp", "node").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def settle_large(sets: DataFrame, scratch: Scratch, num: int, den: int, class_nodes: int, class_shingles: int) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -459,7 +534,7 @@ def _distances(now: DataFrame, block, num: int, den: int) -> DataFrame:
             lists = [pa.array(leaders, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["comp", "node", "shingles", "home", "leaders", "near", "distances"])
 
-    return now.select("comp", "node", "shingles", "home").mapInArrow(run, schema)
+    return now.select("comp", "node", "shingles", "home").mapInArrow(tidy(run), schema)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -470,13 +545,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         import pyarrow as pa
 
         hasher = WordHasher()
-        for batch in batches:
+        for batch in sliced(batches, 2):
             made = [shingle_set(t, hasher, width) for t in as_bytes(batch.column(2))]
             keep = [i for i, (s, n) in enumerate(zip(made, batch.column(1).to_pylist(), strict=True)) if len(s) and node_of(s) == n]
             own = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([made[i].tobytes() for i in keep], pa.binary())], names=["comp", "node", "shingles"])
 
-    return rows.mapInArrow(run, "comp bigint, node bigint, shingles binary")
+    return rows.mapInArrow(tidy(run), "comp bigint, node bigint, shingles binary")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: Fraction = Fraction(3, 4), longest: int = 64, page_postings: int = PAGE_POSTINGS, class_nodes: int = CLASS_NODES, class_shingles: int = CLASS_SHINGLES) -> DataFrame:
