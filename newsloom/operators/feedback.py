@@ -12,7 +12,9 @@ from newsloom.functions import text as X
 from newsloom.operators.integrity import get, put
 from newsloom.sources import dims
 
+# States of an entry, and the most articles of a ledger.
 LEDGER_STATES = ["pending", "sending", "sent", "uncertain", "failed"]
+MOST_ARTICLES = 10
 
 
 def action(names: Column) -> Column:
@@ -42,10 +44,11 @@ def raise_status(pages: DataFrame, reactions: DataFrame, key: str = "url") -> Da
 
 
 def replies(messages: DataFrame, now: Column, prefix: str, days: int = 3) -> DataFrame:
-    """``url`` and ``action`` of the replies to digest parents of the last days, from their reactions. Parents begin with the prefix and have replies; ``ts`` is text of epoch seconds."""
+    """``url`` and ``action`` of the messages in the threads of digest parents of the last days, from their reactions. Parents begin with the
+    prefix and have replies, and aren't themselves in another's thread; ``ts`` is text of epoch seconds."""
     since = now.cast("timestamp").cast("double") - days * 86400
     recent = (F.col("reply_count") > 0) & F.col("text").startswith(prefix) & (F.col("ts").cast("double") >= F.floor(since))
-    parents = messages.filter(recent & F.col("thread_ts").isNull()).select(F.col("ts").alias("parent"))
+    parents = messages.filter(recent & F.coalesce(F.col("thread_ts") == F.col("ts"), F.lit(True))).select(F.col("ts").alias("parent"))
     own = messages.filter(F.col("thread_ts").isNotNull()).join(parents, F.col("thread_ts") == F.col("parent"))
     return own.select(X.first_link(F.col("text")).alias("url"), action(F.transform("reactions", lambda r: r["name"])).alias("action")).filter("url IS NOT NULL AND action IS NOT NULL")
 
@@ -55,53 +58,85 @@ def batch_id(channel: Column, date: Column, urls: Column) -> Column:
     return F.sha2(X.json_tuple(channel, date, urls), 256)
 
 
-def deliver(spark: SparkSession, path: str, send: Callable[[str], str]) -> list[dict]:
-    """Sends the entries (``url``, ``state``, ``ts``; at most 10, in order) of the ledger at ``path``.
+def deliver(spark: SparkSession, path: str, send: Callable[[dict], str], pause: Callable[[], None] = lambda: None) -> dict:
+    """Sends the ledger at ``path``: its parent, then a reply for each of its articles, at most ``MOST_ARTICLES``, in order.
 
     Each intent is stored before its effect and each outcome after it. Sent entries are skipped; one in flight or uncertain
-    blocks the run with a ValueError, as a replay might send it twice. ``send`` returns the message's ``ts``; if it raises
-    ``ConnectionRefusedError``, nothing was sent (``failed``); after any other error that isn't known (``uncertain``).
+    blocks the run with a ValueError, as a replay might send it twice, and so does an invalid ledger. ``send`` is given the
+    channel, the article (null for the parent) and the parent's ``ts``, and returns the message's; if it raises
+    ``ConnectionRefusedError``, nothing was sent (``failed``); after any other error, or without a ``ts``, that isn't known
+    (``uncertain``). The first entry that isn't sent ends the run. ``pause`` is called after each one sent.
     """
     box = json.loads(get(spark, path))
-    entries = box["deliveries"]
-    if any(e["state"] in ("sending", "uncertain") for e in entries):
+    if why := invalid_ledger(box):
+        raise ValueError(f"the ledger can't be sent: {why}")
+    entries = [(box["parent"], None), *zip(box["replies"], box["articles"], strict=True)]
+    if any(e["state"] in ("sending", "uncertain") for e, _ in entries):
         raise ValueError("an entry's outcome isn't known: look it up first")
 
     def mark(entry: dict, state: str, ts: str | None = None) -> None:
         entry |= {"state": state, "ts": ts}
         put(spark, path, json.dumps(box, ensure_ascii=False))
 
-    for entry in (e for e in entries if e["state"] != "sent"):
+    for entry, article in entries:
+        if entry["state"] == "sent":
+            continue
         mark(entry, "sending")
         try:
-            ts = send(entry["url"])
+            ts = send({"channel": box["channel"], "article": article, "thread_ts": box["parent"].get("ts") if article is not None else None})
+            mark(entry, *(("sent", ts) if isinstance(ts, str) and ts else ("uncertain",)))
         except ConnectionRefusedError:
             mark(entry, "failed")
         except Exception:
             mark(entry, "uncertain")
             raise
-        else:
-            mark(entry, "sent", ts)
-    return entries
+        if entry["state"] != "sent":
+            raise RuntimeError(f"delivery {entry['state']}; the ledger is kept")
+        pause()
+    return box
 
 
-def latest_intent(artifacts: DataFrame, prefix: str) -> DataFrame:
-    """The newest live artifact of a prefix."""
-    return artifacts.filter(F.col("name").startswith(prefix) & ~F.coalesce("expired", F.lit(False))).agg(F.max("id").alias("id"), F.max_by("name", "id").alias("name"), F.max_by("run_id", "id").alias("run_id"))
+def invalid_ledger(box: dict) -> str | None:
+    """What is wrong with a ledger, or null."""
+    articles, replies = box.get("articles"), box.get("replies")
+    if box.get("version") != 1 or not box.get("channel") or not isinstance(articles, list) or len(articles) > MOST_ARTICLES:
+        return "version, channel or articles"
+    if not isinstance(replies, list) or len(replies) != len(articles):
+        return "replies"
+    for e in (box.get("parent"), *replies):
+        if not isinstance(e, dict) or e.get("state") not in LEDGER_STATES or e["state"] == "sent" and not (isinstance(e.get("ts"), str) and e["ts"]):
+            return "an entry"
+    return None
 
 
-def may_replay(artifacts: DataFrame, intent: str, result: str) -> DataFrame:
-    """``ok``: the newest intent has a result of the same run, newer and live."""
-    i, r = latest_intent(artifacts, intent), latest_intent(artifacts, result).select(F.col("id").alias("r_id"), F.col("run_id").alias("r_run"))
-    return i.join(F.broadcast(r)).select("id", F.coalesce((F.col("r_run") == F.col("run_id")) & (F.col("r_id") > F.col("id")), F.lit(False)).alias("ok"))  # one row each
+def prepare(articles: DataFrame, channel: str, date: str) -> DataFrame:
+    """One row, the ledger of a batch: the last article of each URL at its first place, at most ``MOST_ARTICLES``; all pending."""
+    from newsloom.operators.rank import last_wins
 
+    entry = F.struct(F.lit("pending").alias("state"), F.lit(None).cast("string").alias("ts"))
+    top = last_wins(articles, "url", MOST_ARTICLES).agg(F.array_sort(F.collect_list(F.struct("ordinal", "url"))).alias("a"))
+    urls = F.transform("a", lambda x: x["url"])
+    return top.filter("size(a) > 0").select(F.lit(1).alias("version"), batch_id(F.lit(channel), F.lit(date), urls).alias("id"), F.lit(channel).alias("channel"), F.lit(date).alias("date"), urls.alias("articles"), entry.alias("parent"), F.transform("a", lambda _: entry).alias("replies"))
 
-def valid_outbox(df: DataFrame) -> Column:
-    states = F.transform("deliveries", lambda d: d["state"])
-    return (
-        (F.col("version") == 1) & (F.col("channel") != "") & F.size("articles").between(0, 10) & (F.size("articles") == F.size("deliveries"))
-        & F.forall(states, lambda s: s.isin(LEDGER_STATES)) & F.forall("deliveries", lambda d: (d["state"] != "sent") | d["ts"].isNotNull())
-    )
+
+def may_replay(artifacts: DataFrame, sources: DataFrame) -> DataFrame:
+    """``batch``, ``ok`` of each source (``batch``, ``run_id``, ``name``, ``reviewed``): whether its batch may be sent from it.
+
+    Artifacts have ``batch``, ``kind`` (intent or result), ``id``, ``name``, ``run_id``, ``expired``. The newest intent of the batch
+    counts, expired or not; the source must be a live result of the intent's run that is newer. Without an intent, a reviewed source may.
+    """
+    intent = artifacts.filter("kind = 'intent'").groupBy("batch").agg(F.max("id").alias("i_id"), F.max_by("run_id", "id").alias("i_run"))
+    result = artifacts.filter("kind = 'result' AND NOT coalesce(expired, false)").groupBy("batch", "name", "run_id").agg(F.max("id").alias("r_id"))
+    rows = sources.join(intent, "batch", "left").join(result, ["batch", "name", "run_id"], "left")
+    newer = (F.col("run_id") == F.col("i_run")) & (F.col("r_id") > F.col("i_id"))
+    return rows.select("batch", F.coalesce(F.when(F.col("i_id").isNull(), F.col("reviewed")).otherwise(newer), F.lit(False)).alias("ok"))
+
+
+def valid_outbox(version: Column, channel: Column, articles: Column, parent: Column, replies: Column) -> Column:
+    """Whether a ledger's row may be sent; false for anything missing."""
+    good = lambda d: d["state"].isin(LEDGER_STATES) & ((d["state"] != "sent") | (F.coalesce(d["ts"], F.lit("")) != ""))
+    ok = (version == 1) & (channel != "") & F.size(articles).between(0, MOST_ARTICLES) & (F.size(articles) == F.size(replies)) & good(parent) & F.forall(replies, good)
+    return F.coalesce(ok, F.lit(False))
 
 
 def next_delivery(state: Column) -> Column:

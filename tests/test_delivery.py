@@ -40,25 +40,66 @@ def test_bundles_that_cannot_be_delivered(spark, bad):
         brief.assert_deliverable(spark, bundle(**bad), NOW, RUN)
 
 
+def ledger(*states, **over):
+    return {"version": 1, "channel": "c", "articles": [{"url": k} for k in range(len(states) - 1)], "parent": states[0], "replies": list(states[1:])} | over
+
+
+def entry(state, ts=None):
+    return {"state": state, "ts": ts or ("9.9" if state == "sent" else None)}
+
+
 def test_ledger(spark, tmp_path):
     path, sent = f"{tmp_path}/box.json", []
-    entries = [{"url": u, "state": s, "ts": None} for u, s in (("a", "sent"), ("b", "pending"), ("c", "pending"), ("d", "failed"))]
-    integrity.put(spark, path, json.dumps({"deliveries": entries}))
-
-    def send(url):
-        assert [e["state"] for e in json.loads(integrity.get(spark, path))["deliveries"] if e["url"] == url] == ["sending"]
-        sent.append(url)
-        if url == "b":
-            raise ConnectionRefusedError
-        if url == "d":
-            raise TimeoutError
+
+    def states():
+        box = json.loads(integrity.get(spark, path))
+        return [e["state"] for e in (box["parent"], *box["replies"])]
+
+    def send(message):
+        assert states()[len(sent)] == "sending" and message["channel"] == "c"
+        sent.append((message["article"], message["thread_ts"]))
+        return f"{len(sent)}.5"
+
+    integrity.put(spark, path, json.dumps(ledger(entry("pending"), entry("failed"), entry("pending"))))
+    feedback.deliver(spark, path, send)
+    assert states() == ["sent"] * 3 and sent == [(None, None), ({"url": 0}, "1.5"), ({"url": 1}, "1.5")]
+    feedback.deliver(spark, path, send)  # all are sent: nothing happens
+    assert len(sent) == 3
+
+
+@pytest.mark.parametrize("error, kept", [(ConnectionRefusedError(), "failed"), (TimeoutError(), "uncertain"), (None, "uncertain"), ("", "uncertain")])
+def test_ledger_stops_at_a_failure(spark, tmp_path, error, kept):
+    path = f"{tmp_path}/box.json"
+
+    def send(message):
+        if message["article"] == {"url": 1}:
+            if isinstance(error, Exception):
+                raise error
+            return error
         return "1.5"
 
-    with pytest.raises(TimeoutError):
-        feedback.deliver(spark, path, send)
-    assert [e["state"] for e in json.loads(integrity.get(spark, path))["deliveries"]] == ["sent", "failed", "sent", "uncertain"] and sent == ["b", "c", "d"]
-    with pytest.raises(ValueError):
+    integrity.put(spark, path, json.dumps(ledger(entry("sent"), entry("pending"), entry("pending"), entry("pending"))))
+    with pytest.raises((RuntimeError, TimeoutError)):
         feedback.deliver(spark, path, send)
+    assert [e["state"] for e in json.loads(integrity.get(spark, path))["replies"]] == ["sent", kept, "pending"]
+    if kept == "uncertain":
+        with pytest.raises(ValueError, match="outcome"):
+            feedback.deliver(spark, path, send)
+
+
+@pytest.mark.parametrize("box", [ledger(entry("pending"), version=2), ledger(entry("pending"), channel=""), ledger(entry("pending"), replies=[entry("pending")]), ledger(entry("lost")), ledger({"state": "sent", "ts": ""}), ledger(*[entry("pending")] * 12)])
+def test_invalid_ledgers(spark, tmp_path, box):
+    path = f"{tmp_path}/box.json"
+    integrity.put(spark, path, json.dumps(box))
+    with pytest.raises(ValueError, match="can't be sent"):
+        feedback.deliver(spark, path, lambda m: "1.5")
+
+
+def test_replay_needs_the_newest_intents_own_result(spark):
+    a = [("b", "intent", 1, "i", 7, False), ("b", "result", 2, "r", 7, False), ("e", "intent", 1, "i", 7, False), ("e", "result", 2, "r", 7, False), ("e", "intent", 3, "i", 8, True), ("o", "intent", 5, "i", 7, False), ("o", "result", 4, "r", 7, False), ("x", "intent", 1, "i", 7, False), ("x", "result", 2, "r", 7, True)]
+    artifacts = spark.createDataFrame(a, "batch string, kind string, id long, name string, run_id long, expired boolean")
+    sources = spark.createDataFrame([("b", 7, "r", False), ("e", 7, "r", False), ("o", 7, "r", False), ("x", 7, "r", False), ("new", 7, "r", True), ("none", 7, "r", False)], "batch string, run_id long, name string, reviewed boolean")
+    assert {r.batch: r.ok for r in feedback.may_replay(artifacts, sources).collect()} == {"b": True, "e": False, "o": False, "x": False, "new": True, "none": False}
 
 
 def test_batch_id_and_json(spark):
