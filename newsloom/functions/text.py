@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space that JavaScript's ``trim`` and ``\s`` know.
 SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# Zones of RFC 822 and their offsets.
+ZONES = {"EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 TERM = r"([A-Za-z][A-Za-z0-9]*(?:[-.][A-Za-z0-9]+)*|\d+(?:\.\d+)?)"
 
 
@@ -61,8 +63,8 @@ def categorise(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
 
 
 def crowd_bonus(raw: Column, scale: Column, weight: int = 18, most: int = 60) -> Column:
-    """Votes on a log scale, capped; nothing for missing votes or none."""
-    return F.when(raw > 0, F.least(F.lit(most), F.round(weight * F.log10(raw * scale + 1)).cast("int"))).otherwise(0)
+    """Votes on a log scale, capped; nothing for missing votes, none, or what is no number."""
+    return F.when((raw > 0) & ~F.isnan(raw), F.least(F.lit(float(most)), F.round(weight * F.log10(raw * scale + 1))).cast("int")).otherwise(0)
 
 
 def terms(c: Column) -> Column:
@@ -111,7 +113,7 @@ def star_count(c: Column) -> Column:
 
 
 def crowd_number(c: Column) -> Column:
-    out = js_trim(c).try_cast("double")
+    out = F.when(js_trim(c).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), js_trim(c).try_cast("double"))  # no 1d, which Java takes
     return F.when(~F.isnan(out) & (F.abs(out) < float("inf")), out)
 
 
@@ -123,8 +125,10 @@ def retry_after(c: Column, now: Column, most: int = 7 * 86400) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """ISO dates first, then RFC 822 ones with or without weekday; null if neither."""
+    """ISO dates first, then RFC 822 ones with or without weekday, with offsets or the zones that it names; null if neither."""
     rfc = F.regexp_replace(F.regexp_replace(c, r"^\s*\w{3},\s*", ""), r"\b(GMT|UTC|UT|Z)$", "+0000")
+    for name, offset in ZONES.items():
+        rfc = F.regexp_replace(rfc, rf"\b{name}$", offset)
     return F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm Z")))
 
 
@@ -162,3 +166,8 @@ def json_value(c: Column) -> Column:
 def json_tuple(*columns: Column) -> Column:
     """A JSON array of columns whose types may differ."""
     return F.concat(F.lit("["), F.concat_ws(",", *(json_value(c) for c in columns)), F.lit("]"))
+
+
+def rich_text(parts: Column) -> Column:
+    """The plain text of rich text parts, joined."""
+    return F.array_join(F.transform(F.coalesce(parts, F.expr("array()")), lambda p: F.coalesce(p["plain_text"], F.lit(""))), "")

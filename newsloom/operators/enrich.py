@@ -20,7 +20,7 @@ SUMMARY = "relevant boolean, summary string, evidence array<string>"
 
 def gate(body: Column, keywords: list[str] | None = None) -> Column:
     """``insufficient_evidence`` under 120 characters, ``non_ai`` without a keyword in the body, else null."""
-    return F.when(F.length(body) < 120, "insufficient_evidence").when(~X.matches_keyword(body, keywords or dims.KEYWORDS + dims.KEYWORDS_JA), "non_ai")
+    return F.when(F.length(X.js_trim(body)) < 120, "insufficient_evidence").when(~X.matches_keyword(body, keywords or dims.KEYWORDS + dims.KEYWORDS_JA), "non_ai")
 
 
 def supported(summary: Column, body: Column) -> Column:
@@ -107,9 +107,31 @@ def transition(attempts: Column, body: Column, raw: Column, http: Column, hint:
     return F.struct(status.alias("status"), F.when(status == "rate_limited", attempts).otherwise(attempts + 1).alias("attempts"), F.when(status != "ready", later).alias("next_at"))
 
 
-def cooldown(events: DataFrame, until: str, cause: str) -> DataFrame:
-    """The circuit's state: the latest deadline and its cause."""
-    return events.agg(F.max(until).alias("until"), F.max_by(cause, F.struct(until, cause)).alias("cause"))
+def cooldown(events: DataFrame, until: str, cause: str, ordinal: Column) -> DataFrame:
+    """The circuit's state: the latest deadline and its cause; of equal deadlines the first keeps its cause."""
+    return events.agg(F.max(until).alias("until"), F.max_by(cause, F.struct(F.col(until), -ordinal)).alias("cause"))
+
+
+def backlog_steps(backlog: DataFrame, states: DataFrame, now: Column, limit: int = 10, blocked_until: Column | None = None) -> DataFrame:
+    """The backlog (``ordinal``, ``page_id``) with its states and the ``step`` of a run: ``drop`` pages without a state or finished, ``work``
+    on the first eligible ones, at most ``limit``, leave others that could be worked on for ``later``, and ``wait`` with the rest.
+    While the circuit is open (``blocked_until``) nothing is worked on or dropped."""
+    rows = backlog.select("ordinal", "page_id").join(states.select("page_id", "status", "attempts", "next_at"), "page_id", "left")
+    may = F.coalesce(eligible(F.col("status"), F.col("attempts"), F.col("next_at"), now) & ~finished(F.col("status"), F.col("attempts")), F.lit(False))
+    first = rows.filter(may).orderBy("ordinal").limit(limit).select(F.col("ordinal").alias("__first"))
+    rows = rows.join(F.broadcast(first), F.col("ordinal") == F.col("__first"), "left")
+    gone = F.col("status").isNull() | finished(F.col("status"), F.col("attempts"))
+    step = F.when(gone, "drop").when(F.col("__first").isNotNull(), "work").when(may, "later").otherwise("wait")
+    step = F.when(blocked_until > now, "wait").otherwise(step) if blocked_until is not None else step
+    return rows.select("ordinal", "page_id", "status", "attempts", "next_at", step.alias("step"))
+
+
+def merge_results(pages: DataFrame, results: DataFrame, *columns: str) -> DataFrame:
+    """Pages with the results' cells in place of their own where a page has a result. Repeating it changes nothing, so a summary and then
+    the state are saved by two such steps, and a run that breaks between them is repeated whole."""
+    new = results.select(F.col("page_id").alias("__page"), *(F.col(c).alias(f"__{c}") for c in columns))
+    rows = pages.join(new, F.col("page_id") == F.col("__page"), "left")
+    return rows.select(*(F.when(F.col("__page").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in pages.columns))
 
 
 def reserve(state: DataFrame, now: Column) -> DataFrame:
@@ -120,7 +142,8 @@ def reserve(state: DataFrame, now: Column) -> DataFrame:
 def migrate_cooldown(reports: DataFrame, current: DataFrame) -> DataFrame:
     """A cooldown from the reports of throttled model calls, counted from their end; a later deadline that's there stays. Safe to repeat."""
     found = reports.filter((F.col("operation") == "model") & (F.col("http_status") == 429)).select((F.col("finished_at") + F.expr(RETRY)).alias("until"), F.lit("rate_limited").alias("cause"))
-    return cooldown(found.unionByName(current.select("until", "cause")), "until", "cause").filter("until IS NOT NULL")
+    both = found.withColumn("late", F.lit(1)).unionByName(current.select("until", "cause", F.lit(0).alias("late")))
+    return cooldown(both, "until", "cause", F.col("late")).filter("until IS NOT NULL")
 
 
 def chunk_progress(state: DataFrame, inputs: DataFrame, size: int = 3000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import spellings, url_key
-from newsloom.operators.rank import dedup_by_url
+from newsloom.operators.rank import dedup_by_url, first_per
 
 
 def recent(published: Column, now: Column, days: int = 7) -> Column:
@@ -77,7 +77,8 @@ def confirm(confirmed: DataFrame, saved: DataFrame) -> DataFrame:
 
 
 def sink(path: str, key: str = "url_key") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink: appends rows whose key isn't in the table yet, each batch in a directory of its own that a replay overwrites."""
+    """A ``foreachBatch`` sink: appends rows whose key isn't in the table yet, of a key the least row, so that a replay writes the same;
+    each batch is in a directory of its own, which a replay overwrites. Of the table only the keys are read."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -86,6 +87,6 @@ def sink(path: str, key: str = "url_key") -> Callable[[DataFrame, int], None]:
         if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(table)):
             known = spark.read.parquet(table).filter(F.col("epoch") != epoch)
             batch = batch.join(known.select(key), key, "left_anti")
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+        first_per(batch, [key], *(F.col(c) for c in sorted(batch.columns))).write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
 
     return write

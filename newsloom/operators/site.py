@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,13 +86,13 @@ def source_counts(df: DataFrame) -> DataFrame:
 def search_index(df: DataFrame, today: Column, days: int = SEARCH_DAYS) -> DataFrame:
     """The searched window with its haystack; no summaries."""
     rows = df.filter(order_date(F.col("published_at"), F.col("fetched_at")) >= today - F.expr(f"interval {days} days"))
-    haystack = F.lower(F.concat_ws(" ", "title", "source", F.array_join("category", " ")))
+    haystack = X.fold(F.concat_ws(" ", "title", "source", F.array_join("category", " ")))
     return rows.select("ordinal", "title", "url", "source", F.array_join("category", ",").alias("categories"), "score", "lang", "kind", "status", "fetched_at", haystack.alias("haystack"))
 
 
 def search(index: DataFrame, query: str, ja: bool = False, primary: bool = False, starred: bool = False, k: int = RESULTS) -> DataFrame:
     """The best matches, each with the number of all."""
-    keep = X.search(F.col("haystack"), query.lower())
+    keep = X.search(F.col("haystack"), unicodedata.normalize("NFKC", query).lower())
     for on, column, value in ((ja, "lang", "ja"), (primary, "kind", "primary"), (starred, "status", "Starred")):
         keep = keep & (F.col(column) == value) if on else keep
     found = index.filter(keep)
@@ -130,7 +132,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The index read back, with the haystack made anew."""
     got = F.from_json("value", "array<string>")
     rows = spark.read.text(path).select(got.alias("v")).select(*(F.get("v", F.lit(k)).alias(n) for k, n in enumerate(INDEX)))
-    haystack = F.lower(F.concat_ws(" ", "title", "source", F.replace("categories", F.lit(","), F.lit(" "))))
+    haystack = X.fold(F.concat_ws(" ", "title", "source", F.replace("categories", F.lit(","), F.lit(" "))))
     return rows.withColumn("score", F.col("score").cast("int")).withColumn("haystack", haystack)
 
 

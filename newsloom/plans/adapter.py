@@ -28,7 +28,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles, with a page's URL and an event's value and time each; joined by keys, sides chosen by the planner."""
     docs, pages, events, labels = (table(spark, sf_dir, t) for t in ("documents", "pages", "events", "labels"))
     n = pages.count()
-    docs = docs.select(F.col("doc_id").alias("ordinal"), F.substring(F.substring_index("text", "\n", 1), 1, 200).alias("title"), F.substring("text", 1, 1000).alias("abstract"), "source", "lang", F.pmod("doc_id", F.lit(max(1, n))).alias("page_id"))
+    docs = docs.select(F.col("doc_id").alias("ordinal"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), "source", "lang", F.pmod("doc_id", F.lit(max(1, n))).alias("page_id"))
     rows = docs.join(pages.select("page_id", "url"), "page_id").join(events.select(F.col("event_id").alias("ordinal"), "value", "ts"), "ordinal")
     flags = labels.select(F.col("doc_id").alias("ordinal"), "quality", "toxic")
     status = F.when(F.col("quality") == 1, "Starred").when(F.col("toxic") == 1, "Read").otherwise("Unread")
@@ -59,7 +59,7 @@ def key_sql(url: str) -> str:
 
 ART_SQL = f"""
 art AS (
-  SELECT d.doc_id AS ordinal, substr(split_part(d.text, chr(10), 1), 1, 200) AS title, substr(d.text, 1, 1000) AS abstract, p.url, d.source, d.lang,
+  SELECT d.doc_id AS ordinal, split_part(d.text, chr(10), 1) AS title, d.text AS abstract, p.url, d.source, d.lang,
     CASE WHEN d.doc_id % 5 <> 0 THEN e.value END AS crowd_score, e.ts AS fetched_at,
     CASE WHEN d.doc_id % 17 <> 0 THEN e.ts - to_days(CAST(d.doc_id % 10 AS INTEGER)) END AS published_at,
     CASE WHEN l.quality = 1 THEN 'Starred' WHEN l.toxic = 1 THEN 'Read' ELSE 'Unread' END AS status

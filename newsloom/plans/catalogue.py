@@ -155,9 +155,9 @@ def pending_priority(spark, d):
     return queue.merge_pending(old, new, done, now()).select("ordinal", "url_key", "score", "fetched_at", "published_at", "recent")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 <> 0)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def unsaved_anti_join(spark, d):
-    return queue.unsaved(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").filter("o_orderstatus = 'F' AND o_custkey % 3 <> 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return queue.unsaved(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -206,7 +206,7 @@ def state_finished(spark, d):
 
 
 @query(r"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN text END AS body, doc_id % 7 = 0 AS throttled, doc_id % 5 = 0 AS failed, CAST(doc_id % 3 AS INTEGER) AS attempts, ts FROM documents JOIN events ON event_id = doc_id),
-t AS (SELECT *, CASE WHEN body IS NULL THEN 'body_unavailable' WHEN length(body) < 120 THEN 'insufficient_evidence' WHEN NOT regexp_matches(lower(body), '\bthe\b|\bof\b|\bque\b|\bder\b|\bai\b|release|that') THEN 'non_ai'
+t AS (SELECT *, CASE WHEN body IS NULL THEN 'body_unavailable' WHEN length(trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) < 120 THEN 'insufficient_evidence' WHEN NOT regexp_matches(lower(body), '\bthe\b|\bof\b|\bque\b|\bder\b|\bai\b|release|that') THEN 'non_ai'
   WHEN throttled THEN 'rate_limited' WHEN failed THEN 'model_failed' ELSE 'invalid_response' END AS status FROM s)
 SELECT doc_id, status, attempts + CASE WHEN status = 'rate_limited' THEN 0 ELSE 1 END AS attempts, ts + CASE WHEN status = 'rate_limited' THEN INTERVAL 10 HOUR ELSE INTERVAL 6 HOUR END AS next_at FROM t""")
 def state_transition(spark, d):
@@ -217,9 +217,9 @@ def state_transition(spark, d):
     return rows.select("doc_id", s.alias("s")).select("doc_id", "s.*")
 
 
-@query("SELECT max(ts) AS until, arg_max(event_type, (ts, event_type)) AS cause FROM events WHERE value > 100")
+@query("SELECT max(ts) AS until, arg_max(event_type, (ts, -event_id)) AS cause FROM events WHERE value > 100")
 def cooldown_fold(spark, d):
-    return enrich.cooldown(table(spark, d, "events").filter("value > 100"), "ts", "event_type")
+    return enrich.cooldown(table(spark, d, "events").filter("value > 100"), "ts", "event_type", F.col("event_id"))
 
 
 @query()
@@ -227,7 +227,7 @@ def html_paragraphs(spark, d):
     return table(spark, d, "pages").select("page_id", H.body("html").alias("b")).select("page_id", F.size("b.paragraphs").cast("long").alias("n"), F.array_join("b.paragraphs", "\n").alias("body"), "b.reason")
 
 
-@query(r"SELECT doc_id, CASE WHEN length(text) < 120 THEN 'insufficient_evidence' WHEN NOT regexp_matches(lower(text), '\bthe\b|\bof\b|\bque\b|\bder\b|\bai\b|release|that') THEN 'non_ai' ELSE 'ok' END AS gate FROM documents")
+@query(r"SELECT doc_id, CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) < 120 THEN 'insufficient_evidence' WHEN NOT regexp_matches(lower(text), '\bthe\b|\bof\b|\bque\b|\bder\b|\bai\b|release|that') THEN 'non_ai' ELSE 'ok' END AS gate FROM documents")
 def body_status(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(enrich.gate(F.col("text"), WORDS), F.lit("ok")).alias("gate"))
 
@@ -428,10 +428,12 @@ def total_before_overflow(spark, d):
 
 
 def queries() -> dict:
+    from newsloom.plans import more  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
+    from newsloom.plans import more  # noqa: F401
 
+    return dict(SQL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import html as H
 from newsloom.functions import text as X
-from newsloom.functions.urls import fetch_url
+from newsloom.functions.urls import fetch_url, host_in
 from newsloom.operators.rank import first_per
 from newsloom.sources import dims
 
@@ -30,10 +30,36 @@ def checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def rss(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """Items of an RSS file."""
-    items = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)
-    return items.select(F.lit(feed).alias("feed"), "title", "link", F.col("description").alias("contentSnippet"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("isoDate"), "pubDate", F.lit(None).cast("map<string,string>").alias("extensions"))
+def rss(spark: SparkSession, path: str, feed: str, crowd_field: str | None = None) -> DataFrame:
+    """Items of an RSS or RDF file; the extension element that the feed's configuration names is kept."""
+    extra = f", `{crowd_field}` string" if crowd_field else ""
+    items = spark.read.format("xml").option("rowTag", "item").schema(f"title string, link string, description string, pubDate string, `dc:date` string{extra}").load(path)
+    named = F.create_map(F.lit(crowd_field), F.col(f"`{crowd_field}`")) if crowd_field else F.lit(None)
+    return items.select(F.lit(feed).alias("feed"), "title", "link", F.col("description").alias("contentSnippet"), F.lit(None).cast("string").alias("content"), F.col("`dc:date`").alias("isoDate"), "pubDate", named.cast("map<string,string>").alias("extensions"))
+
+
+def atom(spark: SparkSession, path: str, feed: str) -> DataFrame:
+    """Entries of an Atom file; of several links the alternate one, else the first."""
+    schema = "title string, link array<struct<_href:string,_rel:string>>, summary string, content string, published string, updated string"
+    entries = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+    link = F.coalesce(F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0)), F.get("link", F.lit(0)))
+    nothing = F.lit(None).cast("string")
+    return entries.select(F.lit(feed).alias("feed"), "title", link["_href"].alias("link"), F.col("summary").alias("contentSnippet"), "content", F.coalesce("published", "updated").alias("isoDate"), nothing.alias("pubDate"), F.lit(None).cast("map<string,string>").alias("extensions"))
+
+
+def fetch_failure(status: Column, content_type: Column, error: Column) -> Column:
+    """Why a fetched payload is no article body, or null: the error's kind, an HTTP status that isn't 2xx, or another content type."""
+    text = F.coalesce(content_type.contains("text/html") | content_type.contains("text/plain"), F.lit(False))
+    return F.when(error.isin("TimeoutError", "AbortError"), "timeout").when(error.isNotNull(), "network_error").when(~F.coalesce(status.between(200, 299), F.lit(False)), "http_error").when(~text, "unsupported_content_type")
+
+
+def fetched_bodies(payloads: DataFrame, headless: list[str]) -> DataFrame:
+    """``page_id``, ``method`` (headless for listed domains), ``paragraphs``, ``reason`` of fetched payloads (``url``, ``status``, ``content_type``,
+    ``error``, ``html``): failures are typed, never raised, and only good payloads are parsed."""
+    why = fetch_failure(F.col("status"), F.col("content_type"), F.col("error"))
+    rows = payloads.select("page_id", F.when(host_in(F.col("url"), headless), "headless").otherwise("http").alias("method"), why.alias("why"), F.when(why.isNull(), F.col("html")).alias("html"))
+    rows = rows.withColumn("b", H.body("html"))
+    return rows.select("page_id", "method", F.when(F.col("why").isNull(), F.col("b.paragraphs")).otherwise(F.array().cast("array<string>")).alias("paragraphs"), F.coalesce("why", "b.reason").alias("reason"))
 
 
 def keyword_or_none(text: Column, keywords: Column) -> Column:
@@ -61,7 +87,7 @@ def feed_articles(items: DataFrame, config: DataFrame, now: Column) -> DataFrame
     ok = (F.col("t") != "") & (F.col("l") != "") & (F.coalesce(F.size("keywords"), F.lit(0)) < 1) | (F.col("t") != "") & (F.col("l") != "") & keyword_or_none(text, F.col("keywords"))
     popular = F.col("min_crowd").isNull() | F.coalesce(F.col("crowd") >= F.col("min_crowd"), F.lit(False))
     age = F.col("published").isNull() | F.col("max_age_days").isNull() | (now.cast("timestamp").cast("double") - F.col("published").cast("double") <= F.col("max_age_days") * 86400)
-    abstract = F.substring(F.coalesce("contentSnippet", "content", F.lit("")), 1, 500)
+    abstract = F.substring(F.coalesce("contentSnippet", "content", F.lit("")), 1, 1000)
     return rows.filter(ok & popular & age).select(F.col("t").alias("title"), fetch_url(F.col("l")).alias("url"), F.col("feed").alias("source"), F.col("published").alias("published_at"), abstract.alias("abstract"), F.col("crowd").alias("crowd_score"))
 
 
@@ -69,8 +95,10 @@ def fresh_post(likes: Column, created: Column, now: Column, least: int = 3, days
     return (likes >= least) & (created.isNull() | (created >= now - F.expr(f"interval {days} days")))
 
 
-def hacker_news(hits: DataFrame, cap: int = 30, least: int = 50) -> DataFrame:
-    rows = hits.filter(F.col("url").isNotNull() & (F.col("points") >= least) & X.matches_keyword(F.col("title"), dims.KEYWORDS))
+def hacker_news(hits: DataFrame, now: Column, cap: int = 30, least: int = 50) -> DataFrame:
+    """Stories of the last 24 hours, the first of each URL, in order of arrival."""
+    recent = X.parse_date(F.col("created_at")).cast("double") > now.cast("timestamp").cast("double") - 86400
+    rows = hits.filter(recent & F.col("url").isNotNull() & (F.col("points") >= least) & X.matches_keyword(F.col("title"), dims.KEYWORDS))
     rows = first_per(rows, ["url"], F.col("ordinal")).orderBy("ordinal").limit(cap)
     return rows.select("ordinal", "title", "url", F.lit("Hacker News").alias("source"), X.parse_date(F.col("created_at")).alias("published_at"), F.substring(F.coalesce("story_text", F.lit("")), 1, 500).alias("abstract"), F.col("points").cast("double").alias("crowd_score"))
 

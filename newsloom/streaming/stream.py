@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,30 +27,51 @@ def dedup(events: DataFrame, key: str, exact: bool = True, within: str = "7 days
     return events.dropDuplicates([key]) if exact else events.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster names in ``spark.checkpoint.dir``; in local mode without that, one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="newsloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def run_now(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that's there now, as one query into an in-memory table that the name gives."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All that's there now, written by one query with its checkpoint in the shared folder, and read back: rows never gather in the driver.
+
+    In ``complete`` mode each batch replaces the table; in ``append`` mode the file sink adds to it, each batch once."""
+    base = shared_folder(df.sparkSession, name)
+    out = df.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        q = out.format("parquet").option("path", f"{base}/rows").start()
+    else:
+        q = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/rows")).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/rows")
 
 
 def retry_states(events: DataFrame, cooldown_s: int = 6 * 3600, attempts: int = 3) -> DataFrame:
-    """Keyed retry state: ``key``, ``attempts``, ``next_at`` after each micro-batch. Events: ``key``, ``ts``, ``ok``. State of finished keys goes."""
+    """Keyed retry state: ``key``, ``attempts``, ``next_at``, ``done`` after each micro-batch. Events: ``key``, ``ts``, ``ok``, ``throttled``.
+
+    A key's events of a batch count in order of time (ties: failures first). One before ``next_at`` is passed over; a throttled one waits
+    without being charged; a success, or the last attempt, ends the key, whose state stays, so that nothing starts it anew.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, frames, state):
         import pandas as pd
 
-        n, after = state.get if state.exists else (0, 0)
-        for f in frames:
-            for ts, ok in zip(f["ts"].astype("int64") // 10**9, f["ok"], strict=True):
-                if n < attempts and ts >= after:
-                    n, after = (attempts, 0) if ok else (n + 1, int(ts) + cooldown_s)
-        if n >= attempts:
-            state.remove()
-        else:
-            state.update((n, after))
-        yield pd.DataFrame({"key": [key[0]], "attempts": [n], "next_at": [after]})
+        n, after, done = state.get if state.exists else (0, 0, False)
+        rows = pd.concat(list(frames)).sort_values(["ts", "ok", "throttled"])
+        for ts, ok, throttled in zip(rows["ts"].astype("datetime64[s]").astype("int64"), rows["ok"], rows["throttled"], strict=True):
+            if done or ts < after:
+                continue
+            n += not throttled
+            done = bool(ok) and not throttled or n >= attempts
+            after = 0 if done else int(ts) + cooldown_s
+        state.update((int(n), int(after), bool(done)))
+        yield pd.DataFrame({"key": [key[0]], "attempts": [n], "next_at": [after], "done": [done]})
 
     key = events.schema["key"].dataType.simpleString()
-    return events.groupBy("key").applyInPandasWithState(step, f"key {key}, attempts int, next_at long", "attempts int, after long", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("key").applyInPandasWithState(step, f"key {key}, attempts int, next_at long, done boolean", "attempts int, after long, done boolean", "update", GroupStateTimeout.NoTimeout)
