@@ -1,24 +1,28 @@
 """Byte-level BPE encoding and decoding, and the pre-token splitting that token counts share.
 
-Method: the distinct pre-tokens of a batch go to length buckets of padded matrices. In each round every
-row merges its leftmost pair of minimum rank; ranks come from a hashed pair table; then rows and finished
-rows are compacted. Rows over ``WIDEST`` bytes (long runs without a break) merge by a heap over a linked
-list, which yields the same merges in n log n steps rather than n rounds.
-
-Null text is the empty text: no ids. Repeated rows are encoded each; other columns pass through.
+Method: the distinct pre-tokens of a batch go to length buckets of padded matrices. In each round every row merges its leftmost
+pair of minimum rank; ranks come from a hashed pair table; then rows and finished rows are compacted. Rows over ``WIDEST`` bytes
+(long runs without a break) are merged in matrices too, and in a round of these a row also merges the further places of that
+same pair, left to right, which would be the next rounds' leftmost minima. Only if one of these merges makes a pair of a lower
+rank does the row merge the leftmost place alone. So the rounds of a long row are as many as the ranks it merges, not its bytes.
+
+Null text is the empty text: no ids. Repeated rows are encoded each; empty tables stay empty; other columns pass through. A very
+long text is one row of a slice of its own; a very long pre-token is a matrix of one row, 40 bytes a byte of it.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WIDEST = 64
+from newsloom.llm.common import in_slices, map_arrow, quoted
+
+#: Bytes of rows that merge one pair a round, and cells of a matrix.
+WIDEST, CELLS = 64, 1 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -70,7 +74,7 @@ class BPE:
     """An encoder over a rank table; ids are ranks."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
+        self.ranks = ranks
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, merged = [], [], []
         for token, i in ranks.items():
@@ -89,11 +93,16 @@ class BPE:
         while width <= WIDEST:
             low = width // 2 if width > 2 else 0
             rows = np.flatnonzero((length > low) & (length <= width))
-            for some in np.array_split(rows, max(1, len(rows) // 65_536)) if len(rows) else ():
+            for some in np.array_split(rows, -(-len(rows) * width // CELLS)) if len(rows) else ():
                 self._bucket(pieces, some, length[some], width, out)
             width *= 2
-        for i in np.flatnonzero(length > WIDEST):
-            out[i] = self._long(pieces[i])
+        long = np.flatnonzero(length > WIDEST)
+        while len(long):
+            low = int(length[long].min())
+            rows = long[length[long] <= 2 * low]
+            for some in np.array_split(rows, min(len(rows), -(-len(rows) * 2 * low // CELLS))):
+                self._long_bucket(pieces, some, length[some], out)
+            long = np.setdiff1d(long, rows, assume_unique=True)
         for i in np.flatnonzero(length == 0):
             out[i] = np.empty(0, np.int32)
         return out
@@ -131,49 +140,89 @@ class BPE:
             before = at > 0
             ranks[every[before], at[before] - 1] = self.pairs(ids[every[before], at[before] - 1], ids[every[before], at[before]])
 
-    def _long(self, piece: bytes) -> np.ndarray:
-        parts: list = [piece[i : i + 1] for i in range(len(piece))]
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        get = self.ranks.get
-        heap = [(r, i, 2) for i in range(len(parts) - 1) if (r := get(parts[i] + parts[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i] if parts[i] is not None else len(parts)
-            if j >= len(parts) or len(parts[i]) + len(parts[j]) != size:
-                continue
-            parts[i], parts[j] = parts[i] + parts[j], None
-            after[i] = after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] < len(parts) and (r := get(parts[a] + parts[after[a]])) is not None:
-                    heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[after[a]])))
-        return np.array([self.ranks[p] for p in parts if p is not None], np.int32)
+    def _long_bucket(self, pieces, rows, length, out) -> None:
+        """As ``_bucket``, with all places of a row's least pair in a round."""
+        width = int(length.max())
+        raw = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(-1, width)
+        ids = self.byte[raw]
+        ids[np.arange(width) >= length[:, None]] = -1
+        # two columns of padding, so that each place has a neighbour and one after that
+        ids = np.pad(ids, ((0, 0), (0, 2)), constant_values=-1)
+        ranks = np.full(ids.shape, NONE, np.int32)
+        ranks[:, :-1] = self.pairs(ids[:, :-1], ids[:, 1:])
+        while True:
+            least = ranks.min(axis=1)
+            done = least == NONE
+            if done.any():
+                for i, row in zip(rows[done], ids[done], strict=True):
+                    out[i] = row[row >= 0]
+                rows, ids, ranks, least = rows[~done], ids[~done], ranks[~done], least[~done]
+                if not len(rows):
+                    return
+            r, c = np.nonzero(ranks == least[:, None])
+            # of places in a row one after another (aaaa) every second, from the left
+            fresh = np.ones(len(r), bool)
+            fresh[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1)
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(r)), 0))
+            pick = (np.arange(len(r)) - run) % 2 == 0
+            follows = np.concatenate([[False, False], ~fresh[2:] & ~fresh[1:-1]])[pick] if len(r) > 2 else np.zeros(pick.sum(), bool)
+            r, c = r[pick], c[pick]
+            # pairs that are there after each merge, with what is left of it merged and what is right of it not yet
+            before = np.where(follows, least[r], ids[r, np.maximum(c - 1, 0)])
+            before[c == 0] = -1
+            early = np.minimum(self.pairs(before, least[r]), self.pairs(least[r], ids[r, c + 2])) < least[r]
+            if early.any():
+                alone = np.zeros(len(rows), bool)
+                alone[r[early]] = True
+                first = np.ones(len(r), bool)
+                first[1:] = r[1:] != r[:-1]
+                r, c = r[first | ~alone[r]], c[first | ~alone[r]]
+            ids[r, c] = least[r]
+            ids[r, c + 1] = -1
+            keep = ids >= 0
+            n = keep.sum(axis=1)
+            # where merged tokens come to stand
+            c = c - _ranks_within(r)
+            mask = np.arange(int(n.max()) + 2) < n[:, None]
+            ids, old, ranks, old_ranks = np.full(mask.shape, -1, np.int32), ids, np.full(mask.shape, NONE, np.int32), ranks
+            ids[mask], ranks[mask] = old[keep], old_ranks[keep]
+            ranks[r, c] = self.pairs(ids[r, c], ids[r, c + 1])
+            r, c = r[c > 0], c[c > 0] - 1
+            ranks[r, c] = self.pairs(ids[r, c], ids[r, c + 1])
+
+
+def _ranks_within(rows: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... within each run of equal rows."""
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    return np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
 
 
 class PieceCache:
-    """What a function gives for pre-tokens, kept for a task; it's emptied at ``limit`` entries."""
+    """What a function gives for pre-tokens, kept for a task; it's emptied at ``limit`` entries or ``most_chars`` of them."""
 
-    def __init__(self, compute, limit: int = 300_000):
-        self.compute, self.limit, self.known = compute, limit, {}
+    def __init__(self, compute, limit: int = 300_000, most_chars: int = 8_000_000):
+        self.compute, self.limit, self.most_chars, self.known, self.held = compute, limit, most_chars, {}, 0
 
     def __call__(self, pieces: set[str]) -> dict:
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.held > self.most_chars:
             self.known.clear()
+            self.held = 0
         if fresh := [p for p in pieces if p not in self.known]:
             self.known.update(zip(fresh, self.compute([p.encode() for p in fresh]), strict=True))
+            self.held += sum(map(len, fresh))
         return self.known
 
 
-def in_slices(sizes, most: int):
-    """Slices of a batch whose sizes come to about ``most``, so that what is made of long rows doesn't add up."""
-    start = total = 0
-    for i, n in enumerate(sizes):
-        total += n or 0
-        if total >= most or i + 1 == len(sizes):
-            yield start, i + 1
-            start, total = i + 1, 0
+#: Encoders of a worker by their rank table: a worker serves many tasks.
+_ENCODERS: dict[int, BPE] = {}
+
+
+def encoder_of(ranks) -> BPE:
+    """The encoder of a broadcast rank table, made once a worker."""
+    if ranks.value is not None and id(ranks.value) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[id(ranks.value)] = BPE(ranks.value)
+    return _ENCODERS[id(ranks.value)]
 
 
 #: Characters, and token ids, of a slice.
@@ -197,7 +246,7 @@ def encode(spark: SparkSession, df: DataFrame, ranks_path: str, pattern: str, te
         import regex
 
         find = regex.compile(pattern).findall
-        encoder = BPE(ranks.value)
+        encoder = encoder_of(ranks)
         cache = PieceCache(lambda pieces: [ids.tobytes() for ids in encoder.encode_pieces(pieces)])
         for batch in batches:
             texts = batch.column(kept.index(text))
@@ -209,11 +258,11 @@ def encode(spark: SparkSession, df: DataFrame, ranks_path: str, pattern: str, te
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packs), np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(kept.index(c)).slice(a, b - a) for c in given), lists], names=[*given, out])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return map_arrow(df.select(*map(quoted, kept)), run, schema)
 
 
 def decode(spark: SparkSession, df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
-    """Adds ``out``, the bytes that ``ids`` stand for (null for null); an unknown id is an error."""
+    """Adds ``out``, the bytes that ``ids`` stand for (null for null; a column of that name is replaced); an unknown id is an error."""
     tokens = spark.sparkContext.broadcast({i: t for t, i in load_ranks(ranks_path).items()})
     kept = [c for c in df.columns if c.lower() != out.lower()]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.BinaryType())])
@@ -221,14 +270,23 @@ def decode(spark: SparkSession, df: DataFrame, ranks_path: str, ids: str = "ids"
     def run(batches):
         import pyarrow as pa
 
-        get = tokens.value.__getitem__
+        table = np.full(max(tokens.value, default=-1) + 1, None, object)
+        for i, t in tokens.value.items():
+            table[i] = t
         for batch in batches:
             lists = batch.column(kept.index(ids))
             for a, b in in_slices(lists.value_lengths().to_pylist(), SLICE_IDS):
-                made = [None if x is None else b"".join(map(get, x)) for x in lists.slice(a, b - a).to_pylist()]
+                some = lists.slice(a, b - a)
+                flat = some.flatten().to_numpy(zero_copy_only=False)
+                if len(flat) and flat.min() < 0:
+                    raise ValueError("an id below zero")
+                parts = table[flat].tolist()
+                n = some.value_lengths()
+                ends = np.cumsum(n.fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+                made = [b"".join(parts[x:y]) if ok else None for x, y, ok in zip([0, *ends], ends, n.is_valid().to_pylist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(made, pa.binary())], names=[*kept, out])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return map_arrow(df.select(*map(quoted, kept)), run, schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The vocabulary is a trie; each node has a failure link and the number of tokens that are popped when the
 link is followed. One pass over a word's bytes then counts its pieces, without building them. Words for
-which some suffix has no match count as one unknown token. Null or empty text: zero.
+which some suffix has no match count as one unknown token. Null or empty text: zero. Repeated rows are counted each; empty tables
+stay empty; other columns pass through, but such as are named like the counts. A very long text is a slice of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from newsloom.llm.bpe import SLICE_CHARS, PieceCache, in_slices, load_ranks
+from newsloom.llm.bpe import SLICE_CHARS, PieceCache, load_ranks
+from newsloom.llm.common import in_slices, map_arrow, quoted
 
 
 class LongestMatch:
@@ -87,7 +89,7 @@ def count_tokens(spark: SparkSession, df: DataFrame, vocabulary, pattern: str, t
                 made = [pa.array([len(s) for s in split], pa.int64()), pa.array([sum(map(get, s)) for s in split], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *made], names=[*kept, "n_words", out])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return map_arrow(df.select(*map(quoted, kept)), run, schema)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
