@@ -8,8 +8,10 @@
    global rate, a path's to its host's, by prior weights estimated from the spread between groups (moments).
 3. Verdict. A document's evidence is combined with its path's rate in place of the global prior.
 
-Both passes score the documents; nothing but the sums by host and path shuffles. Null or empty text has neutral evidence.
-Null hosts or paths are groups of their own. Without labels, or with labels of one kind, evidence is neutral and all stay.
+Documents are scored once and written with their evidence to the shared folder; the sums and the verdicts read that. Nothing but
+the sums by host and path shuffles. Null or empty text has neutral evidence. Null hosts or paths are groups of their own. Without
+labels, or with labels of one kind, evidence is neutral and all stay. Repeated rows are judged each (and alike); a document
+exactly at the threshold goes; whole texts are scored, however long; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import Scratch, WordHasher, mix, shingle_set
+from newsloom.llm.common import Scratch, WordHasher, map_arrow, mix, quoted, shingle_set, sliced, tidy
 from newsloom.llm.decontaminate import words_of
 
 #: Measures of a text's form, in this order.
@@ -133,14 +135,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_lab
 
         hasher = WordHasher()
         seeds = mix(np.arange(1, 5, dtype=np.uint64))
-        for batch in batches:
+        for batch in sliced(batches, 0):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             packs = [np.unique(hasher([f for w in set(words_of(t.encode())) for f in features(w)])).tobytes() for t in texts]
             sets = [shingle_set(t.encode(), hasher) for t in texts]
             mins = [mix(s[:, None] ^ seeds).min(0).view(np.int64).tolist() if len(s) else [0] for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([form(t) for t in texts], pa.list_(pa.float64())), pa.array(packs, pa.binary()), pa.array(mins, pa.list_(pa.int64())), batch.column(1), batch.column(2)], names=["form", "words", "mins", "quality", "toxic"])
 
-    got = rows.mapInArrow(measure, f"form array<double>, words binary, mins array<bigint>, quality {rows.schema['quality'].dataType.simpleString()}, toxic {rows.schema['toxic'].dataType.simpleString()}")
+    got = rows.mapInArrow(tidy(measure), f"form array<double>, words binary, mins array<bigint>, quality {rows.schema['quality'].dataType.simpleString()}, toxic {rows.schema['toxic'].dataType.simpleString()}")
     # written by all executors at once; an iterator over the scan itself would run a job for each of its partitions, one by one
     scratch = Scratch(docs.sparkSession, "quality-labels")
     got = scratch.write(got, "measured")
@@ -151,21 +153,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_lab
     return Evidence(np.array(forms, float).reshape(-1, len(FORM)), words, mins, np.array(low, int), np.array(toxic, int))
 
 
-def scored(spark: SparkSession, docs: DataFrame, evidence: Evidence, text_col: str) -> DataFrame:
-    """The rows with ``__bad__``."""
+def scored(spark: SparkSession, docs: DataFrame, evidence: Evidence, text_col: str, keep_text: bool = True) -> DataFrame:
+    """The rows with ``__bad__``, without the text if it isn't kept."""
     model = spark.sparkContext.broadcast(evidence)  # a few weights and words
     names = docs.columns
-    schema = T.StructType([*docs.schema, T.StructField("__bad__", T.DoubleType(), False)])
+    kept = [i for i, c in enumerate(names) if keep_text or c != text_col]
+    schema = T.StructType([*(docs.schema[i] for i in kept), T.StructField("__bad__", T.DoubleType(), False)])
 
     def run(batches):
         import pyarrow as pa
 
-        own, hasher = model.value, WordHasher()
-        for batch in batches:
-            bad = [own.bad(t, hasher) for t in batch.column(names.index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bad, pa.float64())], names=[*names, "__bad__"])
+        own, hasher, at = model.value, WordHasher(), names.index(text_col)
+        for batch in sliced(batches, at):
+            bad = [own.bad(t, hasher) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(bad, pa.float64())], names=[*(names[i] for i in kept), "__bad__"])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def prior_weight(groups: DataFrame, rate: str, n: str, up: str) -> float:
@@ -191,18 +194,18 @@ def site_rates(sites: DataFrame) -> tuple[DataFrame, float]:
     return sites.select("__host__", "__path__", ((k * F.col("h_rate") + F.col("bad")) / (k + F.col("n"))).alias("__rate__")), rate
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: tuple[str, ...] = ("lang",), threshold: float = 0.5, most_labels: int = MOST_LABELS, most_sites: int = MOST_SITES) -> DataFrame:
-    """The rows with ``evidence``, ``site_rate``, ``p_bad`` and ``keep`` (columns of these names are replaced)."""
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: tuple[str, ...] = ("lang",), threshold: float = 0.5, most_labels: int = MOST_LABELS, most_sites: int = MOST_SITES, keep_text: bool = True) -> DataFrame:
+    """The rows with ``evidence``, ``site_rate``, ``p_bad`` and ``keep`` (columns of these names are replaced); without the text if it isn't kept."""
     spark = docs.sparkSession
-    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("evidence", "site_rate", "p_bad", "keep")))
+    docs = docs.select(*(quoted(c) for c in docs.columns if c.lower() not in ("evidence", "site_rate", "p_bad", "keep")))
     evidence = fit(docs, labels, id_col, text_col, most_labels)
-    slim = docs.select(*dict.fromkeys([text_col, host, *path]))
     scratch = Scratch(spark, "quality")
-    sites, rate = site_rates(scratch.write(site_sums(scored(spark, slim, evidence, text_col), host, list(path)), "sites"))
+    rows = scratch.write(scored(spark, docs, evidence, text_col, keep_text), "scored")
+    sites, rate = site_rates(scratch.write(site_sums(rows, host, list(path)), "sites"))
     sites = scratch.write(sites, "rates")
+    scratch.drop("sites")
     if sites.count() <= most_sites:
         sites = F.broadcast(sites)
-    rows = scored(spark, docs, evidence, text_col)
     where = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in path))
     rows = rows.join(sites, F.col(host).eqNullSafe(F.col("__host__")) & (where == F.col("__path__")), "left")
     logit = lambda p: F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9)))
@@ -210,7 +213,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     p = 1 / (1 + F.exp(-z))
     if not evidence.toxic and evidence.weights is None:
         p = F.lit(0.0)
-    return rows.select(*(rows[c] for c in docs.columns), F.col("__bad__").alias("evidence"), F.coalesce("__rate__", F.lit(rate)).alias("site_rate"), p.alias("p_bad"), (p < threshold).alias("keep"))
+    return rows.select(*(rows[quoted(c)] for c in docs.columns if keep_text or c != text_col), F.col("__bad__").alias("evidence"), F.coalesce("__rate__", F.lit(rate)).alias("site_rate"), p.alias("p_bad"), (p < threshold).alias("keep"))
 
 
 def site_sums(docs: DataFrame, host: str, path: list[str]) -> DataFrame:
@@ -221,5 +224,5 @@ def site_sums(docs: DataFrame, host: str, path: list[str]) -> DataFrame:
 def op7_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that stay, with what decided it."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    out = classify(docs.select("doc_id", "text", "source", "lang"), labels)
+    out = classify(docs.select("doc_id", "text", "source", "lang"), labels, keep_text=False)
     return out.filter("keep").select("doc_id", "source", "lang", "evidence", "site_rate", "p_bad")
