@@ -11,7 +11,8 @@ r"""Line dedup with two Bloom filters, for hashes seen once and seen twice.
 4. The lines to drop go to their documents by a shuffled join on the document's id.
 
 A document is known by its id: rows that repeat an id count as one document, and each keeps or loses its lines
-alike. Rows with a null id are neither counted nor changed. Null text is one empty line. Other columns stay.
+alike. Rows with a null id are neither counted nor changed. Null text is one empty line and stays null. Other columns stay,
+whatever their names. Empty tables stay empty. Texts are read in slices, and a very long one is a slice of its own.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import ASCII_SPACE, Scratch, as_bytes, mix
+from newsloom.llm.common import ASCII_SPACE, Scratch, as_bytes, map_arrow, mix, quoted, sliced, tidy
 
 #: A page's filters: bits of each, and positions set for a hash. About a million hashes fill half of one.
 PAGE_BITS, PROBES = 1 << 22, 3
 #: The long lines that a page should get at most: they fill a sixth of its filters.
 LINES_PER_PAGE = 1 << 18
+#: Bytes of text whose hashes a task packs at once.
+PACK_BYTES = 16_000_000
 #: Bytes of repeated keys that are broadcast; more are joined by a shuffle.
 MOST_BYTES = 32_000_000
 #: Keys that may be broadcast beyond that for being very common, the documents that such a key has at least, and its most bytes.
@@ -109,7 +112,7 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, least: int, pages: int
     def send(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, 1, PACK_BYTES):
             got = [hashes(keys) for i, t in zip(batch.column(0).is_valid().to_pylist(), as_bytes(batch.column(1)), strict=True) if i and (keys := _keys_of(t, least))]
             h = np.sort(np.concatenate(got)) if got else np.empty(0, np.uint64)
             h = h[(np.arange(len(h)) < 2) | (h != np.roll(h, 2))]  # of each at most two
@@ -130,8 +133,8 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, least: int, pages: int
                 out.append(seen.add(np.frombuffer(pack, np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64), pa.int64())], names=["hash"])
 
-    sent = docs.select(id_col, text_col).mapInArrow(send, "page bigint, pack binary")
-    return sent.repartition("page").sortWithinPartitions("page").mapInArrow(own, "hash bigint")
+    sent = docs.select(id_col, text_col).mapInArrow(tidy(send), "page bigint, pack binary")
+    return sent.repartition("page").sortWithinPartitions("page").mapInArrow(tidy(own), "hash bigint")
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_chars: int, min_docs: int, most_suspects: int) -> DataFrame:
@@ -146,7 +149,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
     def lines(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, keys, at = [], [], []
             for i, (ok, t) in enumerate(zip(batch.column(0).is_valid().to_pylist(), as_bytes(batch.column(1)), strict=True)):
                 if ok and (own := _keys_of(t, min_chars)):
@@ -162,7 +165,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
             ids = batch.column(0).take(pa.array(np.array(at, np.int64)[good]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(h[good], pa.int64()), pa.array([keys[g] for g in good], pa.binary())], names=["doc", "hash", "key"])
 
-    rows = docs.select(id_col, text_col).mapInArrow(lines, f"doc {kind}, hash bigint, key binary")
+    rows = docs.select(id_col, text_col).mapInArrow(tidy(lines), f"doc {kind}, hash bigint, key binary")
     if known is None:
         rows = rows.join(found, "hash", "left_semi")
     rows = rows.select("key", "doc")
@@ -197,17 +200,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
     kept = [c for c in docs.columns if not stats or c.lower() not in ("n_lines", "n_dropped")]
-    docs = docs.select(*kept)
+    docs = docs.select(*map(quoted, kept))
     drop = repeated_lines(docs, scratch, id_col, text_col, min_chars, min_docs, most_suspects)
-    drop = drop.groupBy("doc").agg(F.collect_list("key").alias("keys")).select(F.col("doc").alias("__doc__"), "keys")
-    rows = docs.join(drop.hint("shuffle_hash"), docs[id_col] == F.col("__doc__"), "left").select(*(docs[c] for c in kept), F.col("keys").alias("__keys__"))
+    drop = drop.groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    # columns are named by their side: the documents may have any names
+    rows = docs.join(drop.hint("shuffle_hash"), docs[quoted(id_col)] == drop["doc"], "left").select(*(docs[quoted(c)] for c in kept), drop["keys"])
     schema = T.StructType([*(docs.schema[c] for c in kept), *([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if stats else [])])
     where = kept.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, where):
             made, n_lines, n_dropped = [], [], []
             for t, keys in zip(as_bytes(batch.column(where)), batch.column(len(kept)).to_pylist(), strict=True):
                 have = (t or b"").split(b"\n") if keys or stats else ()
@@ -219,7 +223,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols[where] = pa.array(made, pa.binary()).cast(cols[where].type)
             yield pa.RecordBatch.from_arrays([*cols, *([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())] if stats else [])], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
