@@ -8,7 +8,9 @@ text reads as a marker and the texts come back exactly.
 
 The rows of a conversation are ordered by turn, ties by role and text. Null text or parts: empty. A null
 role is the empty role; a null conversation id is an id of its own. Repeated rows are turns of their own.
-One task streams over a conversation's rows in order and keeps only offsets and digests, so that memory
+A malformed part is left out and its reason recorded in ``problems``; parts that aren't a JSON list, likewise,
+give an empty turn. Empty tables give empty results; other columns aren't read, whatever their names. A very
+long text is held by itself. One task streams over a conversation's rows in order and keeps only offsets and digests, so that memory
 doesn't grow with a conversation.
 """
 
@@ -22,6 +24,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import sliced, tidy
+
 CONTROL = re.compile(r"\\|### |</turn>|<\|")
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 #: What ends a header or a turn when a backslash doesn't stand before it.
@@ -36,38 +40,76 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
+class Malformed(ValueError):
+    """What is wrong with a part."""
+
+
+def amount(part: dict, name: str, otherwise: float) -> float:
+    """A part's size: a finite number that isn't negative; ``otherwise`` where it's absent or zero."""
+    value = part.get(name)
+    if value is None:
+        return otherwise
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 <= value < 1e12:
+        raise Malformed(f"{name} is no size")
+    return value or otherwise
+
+
 class PartVisitor:
     """Flattens content parts. Each is a dict with ``type``, and ``text`` or ``ref`` and its sizes."""
 
     def __init__(self, image_patch: int = 14, image_merge: int = 2, audio_rate: float = 25.0, page_tokens: int = 256):
         self.image_patch, self.image_merge, self.audio_rate, self.page_tokens = image_patch, image_merge, audio_rate, page_tokens
-
-    def flatten(self, parts: list[dict]) -> tuple[str, list[dict]]:
-        """The escaped content with placeholders, and the attachments in order."""
-        content, found = [], []
-        for part in parts:
-            kind = part.get("type") or "text"
-            visit = getattr(self, f"visit_{kind}", None)
-            if visit is None:
-                raise ValueError(f"unknown content part: {kind}")
-            content.append(visit(part, found))
-        return "".join(content), found
+        self.visits = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+
+    def read(self, raw: str | None) -> tuple[str, list[dict], list[str]]:
+        """As ``flatten``, of parts as JSON."""
+        try:
+            parts = json.loads(raw) if raw else []
+        except (ValueError, RecursionError):
+            return "", [], ["parts are no JSON"]
+        if parts is None:
+            parts = []
+        return self.flatten(parts) if isinstance(parts, list) else ("", [], ["parts are no list"])
+
+    def flatten(self, parts: list) -> tuple[str, list[dict], list[str]]:
+        """The escaped content with placeholders, the attachments in order, and what was wrong with parts that are left out."""
+        content, found, problems = [], [], []
+        for k, part in enumerate(parts):
+            try:
+                if not isinstance(part, dict):
+                    raise Malformed("no object")
+                kind = part.get("type") or "text"
+                visit = self.visits.get(kind) if isinstance(kind, str) else None
+                if visit is None:
+                    raise Malformed("unknown type")
+                content.append(visit(part, found))
+            except Malformed as e:
+                problems.append(f"part {k}: {e}")
+        return "".join(content), found, problems
 
     def visit_text(self, part: dict, found: list[dict]) -> str:
-        return escape(part.get("text") or "")
+        text = part.get("text")
+        if text is not None and not isinstance(text, str):
+            raise Malformed("text is no text")
+        return escape((text or "").encode("utf-8", "replace").decode())  # JSON may hold half a surrogate pair
 
     def visit_image(self, part: dict, found: list[dict]) -> str:
         cell = self.image_patch * self.image_merge
-        return self._attach("image", part, found, math.ceil((part.get("width") or cell) / cell) * math.ceil((part.get("height") or cell) / cell))
+        return self._attach("image", part, found, math.ceil(amount(part, "width", cell) / cell) * math.ceil(amount(part, "height", cell) / cell))
 
     def visit_audio(self, part: dict, found: list[dict]) -> str:
-        return self._attach("audio", part, found, math.ceil((part.get("seconds") or 0) * self.audio_rate))
+        return self._attach("audio", part, found, math.ceil(amount(part, "seconds", 0) * self.audio_rate))
 
     def visit_document(self, part: dict, found: list[dict]) -> str:
-        return self._attach("document", part, found, (part.get("pages") or 1) * self.page_tokens)
+        return self._attach("document", part, found, math.ceil(amount(part, "pages", 1)) * self.page_tokens)
 
     def _attach(self, kind: str, part: dict, found: list[dict], tokens: int) -> str:
-        found.append({"kind": kind, "ref": part.get("ref"), "tokens": tokens})
+        ref = part.get("ref")
+        if ref is not None and not isinstance(ref, str):
+            raise Malformed("ref is no text")
+        if tokens >= 1 << 62:
+            raise Malformed("too large")
+        found.append({"kind": kind, "ref": ref and ref.encode("utf-8", "replace").decode(), "tokens": tokens})
         return f"<|{kind}:{len(found) - 1}|>"
 
 
@@ -91,7 +133,7 @@ def read_turn(segment: str) -> tuple[str, str, tuple[int, int]]:
 def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str | None = "text", parts: str | None = None, loss_roles: tuple[str, ...] = ("assistant",), visitor: PartVisitor | None = None) -> DataFrame:
     """One row per turn, a conversation's rows together and in order: ``conv``, ``turn``, ``segment`` (their
     concatenation is the conversation), ``start`` (the segment's offset in it, in code points), ``loss_start``
-    and ``loss_end`` (offsets under the loss mask; null outside it), ``attachments`` and ``attachment_tokens``.
+    and ``loss_end`` (offsets under the loss mask; null outside it), ``attachments``, ``attachment_tokens`` and ``problems``.
 
     ``parts``: a column with a JSON array of content parts or an array of structs; it's taken instead of ``text``.
     """
@@ -100,30 +142,30 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(body, F.lit("")).alias("body"))
     rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "body")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"conv {kinds['conv']}, turn {kinds['turn']}, segment string, start bigint, loss_start bigint, loss_end bigint, attachments array<struct<kind:string,ref:string,tokens:bigint>>, attachment_tokens bigint"
+    schema = f"conv {kinds['conv']}, turn {kinds['turn']}, segment string, start bigint, loss_start bigint, loss_end bigint, attachments array<struct<kind:string,ref:string,tokens:bigint>>, attachment_tokens bigint, problems array<string>"
     typed = bool(parts)
 
     def run(batches):
         import pyarrow as pa
 
         now, at = object(), 0
-        for batch in batches:
-            made = {k: [] for k in ("segment", "start", "loss_start", "loss_end", "attachments", "attachment_tokens")}
+        for batch in sliced(batches, 3):
+            made = {k: [] for k in ("segment", "start", "loss_start", "loss_end", "attachments", "attachment_tokens", "problems")}
             for c, who, what in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if c != now:
                     now, at = c, 0
-                content, found = visitor.flatten((json.loads(what) if what else []) if typed else [{"type": "text", "text": what}])
+                content, found, problems = visitor.read(what) if typed else visitor.flatten([{"type": "text", "text": what}])
                 head = header(who)
                 segment = f"{head}{content}</turn>\n"
                 learnt = who in loss_roles
-                for k, v in (("segment", segment), ("start", at), ("loss_start", at + len(head) if learnt else None), ("loss_end", at + len(head) + len(content) if learnt else None), ("attachments", found), ("attachment_tokens", sum(x["tokens"] for x in found))):
+                for k, v in (("segment", segment), ("start", at), ("loss_start", at + len(head) if learnt else None), ("loss_end", at + len(head) + len(content) if learnt else None), ("attachments", found), ("attachment_tokens", min((1 << 63) - 1, sum(x["tokens"] for x in found))), ("problems", problems)):
                     made[k].append(v)
                 at += len(segment)
             kind = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
-            types = {"segment": pa.string(), "attachments": kind}
+            types = {"segment": pa.string(), "attachments": kind, "problems": pa.list_(pa.string())}
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, types.get(k, pa.int64())) for k, v in made.items())], names=["conv", "turn", *made])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -139,7 +181,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         now, n = None, 0
         kind = None
-        for batch in batches:
+        for batch in sliced(batches, 2):
             out, kind = [], batch.column(0).type
             for c, segment, start, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
                 if n and c != now:
@@ -165,7 +207,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return formatted.mapInArrow(run, schema)
+    return formatted.mapInArrow(tidy(run), schema)
 
 
 #: The conversation whose texts are made of control strings.

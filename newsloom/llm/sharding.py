@@ -6,7 +6,8 @@ depends on the shards alone, never on the data, so its size is a parameter; broa
 constant time, and when a shard goes almost all keys of the others stay.
 
 A null key is a key like any other. Equal keys go to one shard; ``salt`` spreads the rows of hot keys over
-some shards, by further columns.
+some shards, by further columns. Repeated rows go where the first does; empty tables stay empty; other columns
+pass through, but one named like the output; the length of texts doesn't matter, as only keys are read.
 """
 
 from __future__ import annotations
@@ -69,8 +70,10 @@ def place(df: DataFrame, keys: list[str], shards: list[str], weights: list[float
 
 
 def write_shards(placed: DataFrame, path: str, shard: str = "shard", files: int = 8) -> None:
-    """One directory per shard, each in about ``files`` files: a shard isn't gathered in a single task."""
-    placed.withColumn("__part__", F.floor(F.rand(7) * files)).repartition(shard, "__part__").drop("__part__").write.partitionBy(shard).mode("overwrite").parquet(path)
+    """One directory per shard, each in about ``files`` files: a shard isn't gathered in a single task. A row's file is a hash of the
+    row, so that what a lost executor had is dealt alike again; maps can't be hashed and are left out of it."""
+    hashed = [F.col(f"`{f.name}`") for f in placed.schema if "map<" not in f.dataType.simpleString()]
+    placed.withColumn("__part__", F.pmod(F.xxhash64(*hashed), F.lit(files))).repartition(shard, "__part__").drop("__part__").write.partitionBy(shard).mode("overwrite").parquet(path)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
