@@ -1,15 +1,18 @@
 """Operators against plain versions, round trips, and edge cases: nulls, empty tables, ties, repeated rows, clashing names."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from newsloom.llm import bpe, chat, decontaminate, fingerprints, jaccard_join, line_dedup, quality, sharding, token_counts, url_filters
@@ -40,25 +43,60 @@ def edited(rng, words, p):
 def test_url_parts_and_stated_rules(spark):
     cases = [("https://A.Example.org/es/x?q", "a.example.org", "/es/x", "example.org/es/", "block"), ("http://example.org/en/12#f", "example.org", "/en/12", "example.org/en/1", "block"), ("http://x.org", "x.org", "", None, "allow"), ("http://b.com/fr/1", "b.com", "/fr/1", "com/fr/", "allow"), ("http://b.com/de/", "b.com", "/de/", "com/de/", "block"), ("http://y.org/?a://b", "y.org", "/", "org/", "allow"), ("no url", "", "", None, "allow"), (None, "", "", None, "allow"), ("http://notcom/fr/", "notcom", "/fr/", None, "allow")]
     pages = spark.createDataFrame([(i, c[0], "x") for i, c in enumerate(cases)], "page_id long, url string, rule string")
-    none = spark.createDataFrame([], "rule bigint, tokens array<string>, confidence double, support double")
+    none = spark.createDataFrame([], url_filters.RULE)
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages, none).collect()}
     assert got == {i: c[1:] for i, c in enumerate(cases)}
+    assert url_filters.judge(pages.limit(0), none).count() == 0
+
+
+def plain_rules(tokens, bad, least, confidence):
+    """All token combinations of the baskets that are frequent together with the bad class, without those that a part makes needless."""
+    support = Counter()
+    for t in tokens:
+        for k in range(1, len(t) + 1):
+            support.update(itertools.combinations(sorted(t), k))
+    of_bad = Counter()
+    for t, b in zip(tokens, bad, strict=True):
+        for k in range(1, len(t) + 1) if b else ():
+            of_bad.update(itertools.combinations(sorted(t), k))
+    rates = {s: n / support[s] for s, n in of_bad.items() if n >= least}
+    return {s: r for s, r in rates.items() if r >= confidence and not any(rates.get(p, 0) >= r for k in range(1, len(s)) for p in itertools.combinations(s, k))}
+
+
+@pytest.mark.parametrize("common_rows", [1000, 2])
+def test_mined_rules_like_plain_enumeration(spark, monkeypatch, common_rows):
+    monkeypatch.setattr(url_filters, "COMMON_ROWS", common_rows)
+    monkeypatch.setattr(url_filters, "MOST_COMMON", 1_000_000)
+    rng = random.Random(14)
+    urls = [f"http://{rng.choice(['pills', 'news', 'blog'])}.{rng.choice(['a', 'b'])}.net/{rng.choice(['buy', 'read', 'x/y'])}/{i % 60}" + rng.choice(["", "?q=1", "#top"]) for i in range(300)]
+    urls += urls[:40] * 2 + [None, "no url"]
+    worse = lambda u: "pills" in (u or "") and ("buy" in u or "?q" in u) or ".b." in (u or "") and "#" in u
+    flags = [int(worse(u) if rng.random() < 0.9 else rng.random() < 0.3) for u in urls]
+    pages = spark.createDataFrame([(i, u, "kept", "x") for i, u in enumerate(urls)], "page_id long, url string, token string, mined_rule string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in enumerate(flags) if i % 2 == 0 or i > 300], "doc_id long, quality int, toxic int")
+    rules = url_filters.mine(pages, labels, Scratch(spark, "t"), min_count=4)
+    tokens = {r.page_id: frozenset(r.t) for r in pages.select("page_id", url_filters.tokens_of(F.col("url")).alias("t")).collect()}
+    baskets = {(urls[i], flags[i]): tokens[i] for i in range(len(urls)) if (i % 2 == 0 or i > 300) and tokens[i]}
+    want = plain_rules(list(baskets.values()), [b for _, b in baskets], max(4, 0.001 * len(baskets)), 0.6)
+    # an item of a mined rule stands for any of its tokens
+    got = {tuple(sorted(p)): r.confidence for r in rules.collect() for p in itertools.product(*(s.tokens for s in r.slots)) if len(set(p)) == len(p)}
+    assert want and got.keys() == want.keys() and all(abs(got[s] - r) < 1e-9 for s, r in want.items())
+    judged = url_filters.judge(pages, rules, by_hand={})
+    assert judged.columns == ["page_id", "url", "token", "host", "path", "rule", "verdict", "mined_rule"]
+    assert {r.page_id for r in judged.filter("verdict = 'block'").collect()} == {i for i, t in tokens.items() if any(set(s) <= t for s in want)}
+    assert judged.count() == len(urls)
+    assert url_filters.mine(pages, labels.limit(0), Scratch(spark, "t")).count() == 0
 
 
-def test_mined_rules_block_what_they_fit(spark):
-    urls = [f"http://{'pills' if i % 4 == 0 else 'news'}.site.net/{'buy' if i % 2 == 0 else 'read'}/{i}" for i in range(200)]
+def test_mining_is_bounded(spark):
+    deep = "http://a.b.c.d.e.f.g.com/" + "/".join(f"p{k}" for k in range(25)) + "?" + "&".join(f"k{k}=1" for k in range(20))
+    urls = [deep] * 100 + [f"{deep}&x={k}#f" for k in range(30)] + [f"http://m.net/{'/'.join(f'd{j}' for j in range(1 + k % 12))}/{k}.html" for k in range(300)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i < 130)) for i in range(len(urls))], "doc_id long, quality int, toxic int")
+    began = time.time()
     rules = url_filters.mine(pages, labels, Scratch(spark, "t"))
-    kept = [(set(r.tokens), r.confidence) for r in rules.collect()]
-    assert kept and all(c == 1 for _, c in kept) and {"label:pills"} in [t for t, _ in kept]
-    assert not any(a < b for a, _ in kept for b, _ in kept)  # no longer rule beside one that's as confident
-    got = {r.page_id for r in url_filters.judge(pages, rules, by_hand={}).filter("verdict = 'block'").collect()}
-    assert got == {i for i in range(200) if i % 4 == 0}
-    # the inverted index against a plain subset test
-    tokens = {r.page_id: set(r.t) for r in pages.select("page_id", url_filters.tokens_of(F.col("url")).alias("t")).collect()}
-    assert got == {i for i, t in tokens.items() if any(a <= t for a, _ in kept)}
-    assert url_filters.mine(pages, labels.limit(0), Scratch(spark, "t")).count() == 0
+    judged = url_filters.judge(pages, rules, by_hand={})
+    assert {r.page_id for r in judged.filter("verdict = 'block'").collect()} >= set(range(130)) and time.time() - began < 60
 
 
 # decontamination
@@ -97,6 +135,40 @@ def test_proximity(spark):
     assert {(r.doc, r.start, r.end) for r in got.collect()} == {(0, 0, 5), (1, 0, 3)}
 
 
+def plain_near(texts, items, width, slop):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    out = set()
+    for d, t in enumerate(texts):
+        w = words(t)
+        for i, b in items:
+            v = words(b)
+            for k in range(max(1, len(v) - width + 1)) if v else ():
+                x = v[k : k + width]
+                for s in (s for s in range(len(w)) if w[s] == x[0]):
+                    at = s
+                    for term in x[1:]:
+                        at = next((j for j in range(at + 1, len(w)) if w[j] == term), None)
+                        if at is None:
+                            break
+                    if at is not None and at - s <= len(x) - 1 + slop:
+                        out.add((d, i, s, at + 1))
+    return out
+
+
+@pytest.mark.parametrize("segment_words", [decontaminate.SEGMENT_WORDS, 7])
+def test_searches_over_any_segments(spark, monkeypatch, segment_words):
+    monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", segment_words)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcde") for _ in range(n)) for n in (0, 1, 9, 40, 80)] + [None, "a", "b b b"]
+    items = [(i, " ".join(rng.choice("abcde") for _ in range(n))) for i, n in enumerate([1, 2, 4, 7])]
+    tests = spark.createDataFrame(items + [(None, "a b"), (9, "")], "item_id long, text string")
+    for slop in (0, 3):
+        got = decontaminate.proximity(decontaminate.build_index(docs(spark, texts)), tests, slop=slop, width=4)
+        assert {tuple(r) for r in got.collect()} == plain_near(texts, items, 4, slop)
+    found = decontaminate.search(decontaminate.build_index(docs(spark, texts)), tests, width=4).collect()
+    assert {r.doc: (r.n_words, sum(s.end - s.start for s in r.spans), list(r["items"])) for r in found} == plain_hits(enumerate(texts), items, 4)
+
+
 def test_phrases_do_not_cross_documents_and_tables_may_be_empty(spark):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert [r["items"] for r in decontaminate.flag(docs(spark, ["x a", "b y"]).coalesce(1), items).collect()] == [[], []]
@@ -107,32 +179,84 @@ def test_phrases_do_not_cross_documents_and_tables_may_be_empty(spark):
 # fingerprints
 
 
-def test_fingerprints(spark):
-    rng = random.Random(2)
-    base = prose(rng, 400)
-    texts = [" ".join(base), " ".join(edited(rng, base, 0.02)), " ".join(base), "a b", "A  b", "", None, " ".join(prose(rng, 30))]
-    got = [r.fingerprint for r in fingerprints.fingerprint(docs(spark, texts)).orderBy("doc_id").collect()]
-    assert got[0] == got[2] and got[3] == got[4] and got[5] == got[6] and len(set(got)) == 5 and all(len(g) == 512 for g in got)
+def spark_hash(values):
+    """xxHash64 as Spark chains it over columns: strings as UTF-8, numbers of 4 bytes; nulls are passed over."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64(v.encode() if isinstance(v, str) else int(v).to_bytes(4, "little"), seed=h).intdigest()
+    return h
+
 
-    def like(i, j):
-        a, b = bytes.fromhex(got[i]), bytes.fromhex(got[j])
-        return max(0, (sum(x == y for x, y in zip(a, b)) / 256 - 1 / 256) / (1 - 1 / 256))
+def plain_signature(text):
+    words = [w for w in re.split(r"[ \t\n\x0B\f\r]+", (text or "").lower()) if w]
+    least = {}
+    for k in range(max(1, len(words) - 4)):
+        h = spark_hash(words[k : k + 5])
+        at, value = ((h >> 56) + 128) % 256, h & ((1 << 56) - 1)
+        least[at] = min(value, least.get(at, value))
+    out = []
+    for i in range(256):
+        tries = [i, *(hashlib.blake2b(b"%d %d" % (i, t), digest_size=1).digest()[0] for t in range(fingerprints.PROBES))]
+        at = next((t for t in tries if t in least), None)
+        if at is None:
+            signed = lambda h: h - (1 << 64) if h >> 63 else h
+            at = min((signed(spark_hash([i, j])) & ~255 | j for j in least)) & 255
+        out.append(least[at] & 255)
+    return bytes(out)
 
-    sets = [{tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in (texts[0], texts[1], texts[7])]
-    true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-    assert abs(like(0, 1) - true) < 0.12 and like(0, 7) < 0.05 and like(0, 2) == 1
 
+def plain_likeness(a, b):
+    return max(0.0, (sum(x == y for x, y in zip(a, b)) / 256 - 1 / 256) / (1 - 1 / 256))
 
-def test_fingerprints_of_neighbours(spark, tmp_path):
-    texts = ["abcdefgh", None, "", "x y z w v u", "ééé日本"]
-    docs(spark, texts, [5, -3, 70, 1_000_000, 6]).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r for r in fingerprints.op3_fingerprints(spark, str(tmp_path)).collect()}
-    order = sorted(zip([5, -3, 70, 1_000_000, 6], texts))
+
+def test_fingerprints(spark):
+    rng = random.Random(2)
+    base = prose(rng, 400)
+    texts = [" ".join(base), " ".join(edited(rng, base, 0.02)), " ".join(base), "a b", "A  b", "", None, " ".join(prose(rng, 30)), "é\x0b x  Y\t" * 9, " ".join(f"w{i}" for i in range(5000)), " \n "]
+    df = docs(spark, texts, extra=True).withColumnRenamed("keep", "h").withColumnRenamed("ids", "bucket")
+    got = [r.fingerprint for r in fingerprints.fingerprint(df).orderBy("doc_id").collect()]
+    assert got == [plain_signature(t).hex() for t in texts]
+    assert got[0] == got[2] and got[3] == got[4] and got[5] == got[6] == got[10]
+    sets = [{tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in (texts[0], texts[1])]
+    like = plain_likeness(*(bytes.fromhex(got[i]) for i in (0, 1)))
+    assert abs(like - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.12
+    assert fingerprints.fingerprint(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bucket_docs, ids", [(512, "few"), (3, "few"), (3, "spread"), (2, "hot"), (2, "one"), (4, "none")])
+def test_fingerprints_of_neighbours(spark, tmp_path, monkeypatch, bucket_docs, ids):
+    monkeypatch.setattr(fingerprints, "BUCKET_DOCS", bucket_docs)
+    monkeypatch.setattr(fingerprints, "FAN", 3)
+    rng = random.Random(12)
+    of = {"few": [5, -3, 70, 1_000_000, 6], "spread": [-(2**63), 2**63 - 1, 0, *rng.sample(range(1000), 40)], "hot": [7] * 30 + [None] * 20 + list(range(20)), "one": [4] * 25, "none": [None] * 3}[ids]
+    pool = ["abcdefgh", None, "", "x y z w v u", "ééé日本"] + [" ".join(prose(rng, rng.randint(1, 40))) for _ in range(30)]
+    rows = [(i, pool[k] if k < 5 else rng.choice(pool)) for k, i in enumerate(of)]
+    docs(spark, [t for _, t in rows], [i for i, _ in rows], extra=True).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprints.op3_fingerprints(spark, str(tmp_path)).collect()
+    hashes = {t: r for t, r in spark.createDataFrame([(t,) for t in pool], "t string").select("t", F.xxhash64("t")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1] or ""))
+    want = []
     for k, (i, t) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
         cut = len(t) // 4
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest() and got[i].n_chars == len(t)
-    assert got[70].near_edited == 1.0 and got[70].fingerprint == got[-3].fingerprint
+        changed = t[: len(t) - cut] + after[:cut]
+        a, b, c = (plain_signature(x) for x in (t, changed, after))
+        want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), a.hex(), b.hex(), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)))
+    assert Counter((*tuple(r)[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == Counter(want)
+
+
+def test_fingerprints_of_no_documents(spark, tmp_path):
+    docs(spark, ["a"]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert fingerprints.op3_fingerprints(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("ids", [range(2000), [*range(1990), *([-(2**62)] * 5), *([2**62] * 5)], [3] * 1500 + list(range(500))])
+def test_buckets_are_even(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprints, "BUCKET_DOCS", 20)
+    rows = docs(spark, [f"text {k}" for k in range(2000)], ids).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    sizes = [r["count"] for r in rows.withColumn("b", fingerprints.buckets(rows)).groupBy("b").count().collect()]
+    assert max(sizes) <= 80 and len(sizes) > 50
 
 
 # line dedup
@@ -164,6 +288,16 @@ def test_line_dedup_like_a_plain_version(spark, monkeypatch, most, small):
     assert line_dedup.dedup_lines(df.limit(0), stats=True).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = "a line that is as long as forty characters, or more"
+    df = docs(spark, [f"{line}\n{k}" for k in range(6)])
+    names = ["keys", "key", "doc", "__doc__", "__keys__", "hash", "keep", "n", "a.b", "rows"]
+    df = df.select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    got = line_dedup.dedup_lines(df, stats=True)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.text, r["keys"], r["a.b"]) for r in got.collect()) == [(k, f"{line}\n5" if k == 5 else str(k), 0, 8) for k in range(6)]
+
+
 def test_twice_seen_misses_none():
     h = np.random.default_rng(0).integers(0, 2**63, 20_000, dtype=np.uint64)
     seen = line_dedup.TwiceSeen()
@@ -214,9 +348,39 @@ def test_chat_parts(spark):
     assert two.segment == "### Assistant: </turn>\n" and two.loss_start == two.loss_end
 
 
+@pytest.mark.parametrize(
+    "parts, segment, problems",
+    [
+        ("no json", "", ["parts are no JSON"]), ('{"type": "text"}', "", ["parts are no list"]), ("[null, 3]", "", ["part 0: no object", "part 1: no object"]), ("null", "", []), ("[]", "", []),
+        ('[{"type": "video"}, {"text": "a"}]', "a", ["part 0: unknown type"]), ('[{"type": ["x"]}]', "", ["part 0: unknown type"]), ('[{"type": "image", "width": "wide"}]', "", ["part 0: width is no size"]),
+        ('[{"type": "audio", "seconds": NaN}, {"type": "audio", "seconds": -1}]', "", ["part 0: seconds is no size", "part 1: seconds is no size"]), ('[{"text": 5}]', "", ["part 0: text is no text"]),
+        ('[{"type": "document", "ref": {}}, {"type": "document", "pages": true}]', "", ["part 0: ref is no text", "part 1: pages is no size"]), ('[{"text": "\\ud800"}]', "?", []),
+        ('[{"type": "image", "width": 1e11, "height": 1e11}]', "", ["part 0: too large"]), ("[" * 100_000, "", ["parts are no JSON"]),
+    ],
+)
+def test_chat_of_malformed_parts(parts, segment, problems):
+    content, found, wrong = chat.PartVisitor().read(parts)
+    assert (content, found, wrong) == (segment, [], problems)
+
+
+def test_chat_goes_on_after_malformed_parts(spark):
+    rows = [(1, 0, "user", "oops"), (1, 1, "user", '[{"type": "image", "ref": "a", "height": []}, {"text": "b"}]'), (1, 2, "assistant", '[{"text": "c"}]')]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, parts string").withColumn("segment", F.lit(0)).withColumn("start", F.lit(0))
+    got = chat.format_turns(df, parts="parts").orderBy("turn").collect()
+    assert [(r.segment, r.attachment_tokens, r.problems) for r in got] == [("### User: </turn>\n", 0, ["parts are no JSON"]), ("### User: b</turn>\n", 0, ["part 0: height is no size"]), ("### Assistant: c</turn>\n", 0, [])]
+
+
 # sharding
 
 
+def test_written_shards(spark, tmp_path):
+    df = sharding.place(spark.range(300).withColumn("m", F.create_map(F.lit("a"), "id")), ["id"], ["x", "y"], slots=101)
+    sharding.write_shards(df, f"{tmp_path}/s", files=3)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert sorted(tuple(r) for r in back.select("id", "shard").collect()) == sorted(tuple(r) for r in df.select("id", "shard").collect())
+    assert sharding.place(df.limit(0), ["id"], ["x"], slots=101).count() == 0
+
+
 def test_sharding_table():
     names = [f"s{i}" for i in range(7)]
     table = sharding.fill_table(names, slots=1009)
@@ -264,6 +428,20 @@ def test_bpe_like_the_library(spark):
     assert bpe.encode(spark, docs(spark, ["a"]).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_long_runs():
+    ranks = bpe.load_ranks(RANKS)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    pieces = ["".join(rng.choice(letters) for _ in range(rng.choice([65, 66, 127, 129, 400]))).encode() for letters in ("a", "ab", "the ran", "é日ñ", "=-_", "\0\1") * 20]
+    pieces += [b"a" * 9999, bytes(rng.choice(b"abcdefghij") for _ in range(9999)), bytes(rng.randrange(256) for _ in range(3000)), b"", b"x"]
+    assert [x.tolist() for x in bpe.BPE(ranks).encode_pieces(pieces)] == [own._encode_single_piece(p) if p else [] for p in pieces]
+    # a vocabulary whose ranks don't follow the order in which a pair's parts are made: only one place may merge in a round
+    odd = {bytes([b]): b for b in range(256)} | {b"aa": 300, b"aaa": 260, b"ab": 270, b"aab": 265}
+    own = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=odd, special_tokens={})
+    pieces = ["".join(rng.choice("aab") for _ in range(90)).encode() for _ in range(50)]
+    assert [x.tolist() for x in bpe.BPE(odd).encode_pieces(pieces)] == [own._encode_single_piece(p) for p in pieces]
+
+
 def test_token_counts_like_greedy_search(spark):
     rng = random.Random(6)
     for inner in (None, ["b", "bc", "ca", "aab"]):
@@ -308,7 +486,10 @@ def plain_groups(rows):
 
 
 @pytest.mark.parametrize("small", [{}, {"longest": 8, "class_nodes": 60, "page_postings": 2000}])
-def test_join_like_all_pairs(spark, small):
+def test_join_like_all_pairs(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(jaccard_join, "SLICE_PAIRS", 50)
+        monkeypatch.setattr(jaccard_join, "PACK_POSTINGS", 300)
     rng = random.Random(7)
     base, passage = prose(rng, 120), prose(rng, 50)
     words = [edited(rng, base, rng.choice([0.005, 0.02, 0.05])) for _ in range(120)] + [passage + prose(rng, rng.choice([3, 8, 200])) for _ in range(60)]
@@ -333,6 +514,38 @@ def test_join_of_settled_nodes(spark, monkeypatch, leaders, class_nodes):
     assert {r.doc: (r.n_shingles, r.component) for r in got.collect()} == want
 
 
+def test_join_of_a_template(spark):
+    """Texts that share three fifths of their shingles each with all others, but link with none: in one coarse class, and in classes too large."""
+    rng = random.Random(15)
+    template = [f"t{k}" for k in range(160)]
+    rows = [(k, " ".join(template + [f"own{k}x{j}" for j in range(36 + rng.randrange(8))])) for k in range(300)] + [(900, " ".join(template + [f"own7x{j}" for j in range(30)]))]
+    rows[7] = (7, " ".join(template + [f"own7x{j}" for j in range(36)]))
+    want = plain_groups(rows)
+    assert len({c for _, c in want.values()}) == 300 and want[900][1] == 7
+    for small in ({}, {"class_nodes": 100}):
+        got = jaccard_join.similar_groups(docs(spark, [t for _, t in rows], [i for i, _ in rows]), **small)
+        assert {r.doc: (r.n_shingles, r.component) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_resolved_classes_like_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    bases = [rng.integers(0, 2**63, rng.integers(3, 60), dtype=np.uint64) for _ in range(2)]
+    bases.append(np.concatenate(bases))
+    sets = []
+    for _ in range(80):
+        base = bases[rng.integers(3)]
+        own = np.unique(np.concatenate([base[rng.random(len(base)) < rng.choice([0.7, 0.9, 0.97])], rng.integers(0, 2**63, rng.integers(0, 8), dtype=np.uint64)]))
+        sets += [own] * (len(own) > 0)
+    nodes, root = rng.permutation(len(sets) * 7)[: len(sets)].tolist(), list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if 4 * both >= 3 * (len(a) + len(b) - both):
+                root = [root[j] if r == root[i] else r for r in root]
+    assert jaccard_join.resolve(nodes, sets, 3, 4) == [min(n for n, s in zip(nodes, root, strict=True) if s == r) for r in root]
+
+
 def test_join_edges(spark):
     got = jaccard_join.similar_groups(docs(spark, ["a b", "c d", "a b", "c d", "z"], [1, 1, 2, 3, None])).collect()
     assert {(r.doc, r.component) for r in got} == {(1, 1), (2, 1), (3, 1), (None, None)} and len(got) == 5
@@ -369,6 +582,48 @@ def test_quality_on_held_out_documents(spark):
     assert quality.classify(df.limit(0), labels).count() == 0
 
 
+def plain_posteriors(rows):
+    """Host and path rates, from (host, path, evidence) of all documents: beta priors whose weights are estimated by moments."""
+    rate = min(1 - 1e-6, max(1e-6, sum(b for *_, b in rows) / len(rows)))
+
+    def level(groups, up):
+        n = {g: len(v) for g, v in groups.items()}
+        total = sum(n.values())
+        within = sum(n[g] * up[g] * (1 - up[g]) for g in groups) / total
+        between = max(0.0, sum(n[g] * (sum(v) / n[g] - up[g]) ** 2 for g, v in groups.items()) - sum(up[g] * (1 - up[g]) for g in groups)) / total
+        k = min(1e6, max(1.0, within / between)) if between > 0 and within else 1e6
+        return {g: (k * up[g] + sum(v)) / (k + n[g]) for g, v in groups.items()}
+
+    hosts, paths = {}, {}
+    for h, p, b in rows:
+        hosts.setdefault(h, []).append(b)
+        paths.setdefault((h, p), []).append(b)
+    of_host = level(hosts, dict.fromkeys(hosts, rate))
+    return rate, level(paths, {g: of_host[g[0]] for g in paths})
+
+
+def test_verdicts_like_plain_posteriors(spark):
+    rng = random.Random(13)
+    texts, labels, rows = [], [], []
+    for i in range(500):
+        host = rng.choice(["a", "b", "c", None])
+        junk = rng.random() < {"a": 0.8, "b": 0.05, "c": 0.3, None: 0.3}[host]
+        w = prose(rng, rng.choice([1, 3, 40]))
+        texts.append(None if i % 50 == 0 else " ".join(x.upper() + rng.choice(["", "!"]) if junk and rng.random() < 0.6 else x for x in w))
+        labels.append((i, int(not junk), 0))
+        rows.append((host, rng.choice(["en", "de", None])))
+    df = spark.createDataFrame([(i, t, *r, 1) for i, (t, r) in enumerate(zip(texts, rows, strict=True))], "doc_id long, text string, source string, lang string, site_rate int")
+    known = spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(df, known).collect()}
+    rate, paths = plain_posteriors([(*rows[i], got[i].evidence) for i in range(500)])
+    odds = lambda p: np.log(max(p, 1e-9) / max(1 - p, 1e-9))
+    for i in range(500):
+        site = paths[rows[i]]
+        p = 1 / (1 + np.exp(-(odds(got[i].evidence) - odds(rate) + odds(site))))
+        assert abs(got[i].site_rate - site) < 1e-9 and abs(got[i].p_bad - p) < 1e-9 and got[i].keep == (p < 0.5)
+    assert len({got[i].keep for i in range(500)}) == 2 and len({round(x, 6) for x in paths.values()}) > 6
+
+
 def test_sparse_sites_shrink(spark):
     sums = spark.createDataFrame([("a", "p", 90.0, 100), ("a", "q", 1.0, 1), ("b", "p", 10.0, 1000), ("c", "p", 1.0, 1), (None, "p", 0.0, 1)], "__host__ string, __path__ string, bad double, n long")
     sites, rate = quality.site_rates(sums)
