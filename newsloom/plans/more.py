@@ -12,7 +12,6 @@ from newsloom.plans.catalogue import query
 from newsloom.sources import dims, readers
 
 AT = "2024-01-20 00:00:00"
-E, D = F.col("event_id"), F.col("doc_id")
 
 
 def _at():
@@ -36,6 +35,7 @@ s AS (SELECT DISTINCT CAST(b AS BIGINT) AS batch, CAST(b % 5 AS BIGINT) AS run_i
 r AS (SELECT event_id % 40 AS batch, 'r' || (event_id % 3) AS name, user_id % 5 AS run_id, max(event_id) AS r_id FROM events WHERE event_type = 'click' AND event_id % 7 <> 0 GROUP BY 1, 2, 3)
 SELECT s.batch, coalesce(CASE WHEN i_id IS NULL THEN reviewed ELSE s.run_id = i_run AND r_id > i_id END, false) AS ok FROM s LEFT JOIN i USING (batch) LEFT JOIN r ON r.batch = s.batch AND r.name = s.name AND r.run_id = s.run_id""")
 def replay_guard(spark, d):
+    E = F.col("event_id")
     kind = F.when(F.col("event_type") == "purchase", "intent").when(F.col("event_type") == "click", "result")
     artifacts = table(spark, d, "events").select((E % 40).alias("batch"), kind.alias("kind"), E.alias("id"), F.concat(F.lit("r"), (E % 3).cast("string")).alias("name"), (F.col("user_id") % 5).alias("run_id"), (E % 7 == 0).alias("expired"))
     sources = spark.range(60).select(F.col("id").alias("batch"), (F.col("id") % 5).alias("run_id"), F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("name"), (F.col("id") % 2 == 0).alias("reviewed"))
@@ -50,6 +50,7 @@ r AS (SELECT *, list_transform(range(m), lambda i: {pick_sql(STATES[:3], "e + i"
 SELECT e AS event_id, n <= 10 AND n = m AND e % 11 <> 0 AND e % 9 <> 0 AND {pick_sql(STATES, "e")} <> 'lost' AND ({pick_sql(STATES, "e")} <> 'sent' OR e % 4 <> 0)
   AND len(list_filter(range(m), lambda i: states[i + 1] = 'sent' AND tss[i + 1] = '')) = 0 AS valid FROM r""")
 def outbox_valid(spark, d):
+    E = F.col("event_id")
     m = (E % 13 + F.when(E % 7 == 0, 1).otherwise(0)).cast("int")
     empty = F.array().cast("array<struct<state:string,ts:string>>")
     replies = F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(pick(STATES[:3], E + i).alias("state"), F.when(((E + i) % 3 != 2) | (E % 5 > 1), "x").otherwise("").alias("ts")))).otherwise(empty)
@@ -65,6 +66,7 @@ SELECT m.event_id % 50 AS item, CASE event_type WHEN 'purchase' THEN 'Starred' E
 WHERE event_type IN ('purchase', 'click') AND m.event_id % 8 <> 0 AND (k > 0 OR m.event_id % 12 = 0) GROUP BY 1, 2""")
 def thread_reactions(spark, d):
     """Parents carry their own ``ts`` as thread on every second thread, none on the others."""
+    E = F.col("event_id")
     head, k = E - E % 6, E % 6
     stamp = lambda i, t: F.concat(F.unix_timestamp(t.cast("timestamp")).cast("string"), F.lit("."), F.lpad(i.cast("string"), 9, "0"))
     events = table(spark, d, "events")
@@ -81,6 +83,7 @@ def thread_reactions(spark, d):
 
 @query(f"SELECT event_id, CASE {pick_sql(STATES[:5], 'event_id')} WHEN 'sent' THEN 'skip' WHEN 'sending' THEN 'block' WHEN 'uncertain' THEN 'block' ELSE 'send' END AS step FROM events")
 def delivery_steps(spark, d):
+    E = F.col("event_id")
     return table(spark, d, "events").select("event_id", feedback.next_delivery(pick(STATES[:5], E)).alias("step"))
 
 
@@ -99,6 +102,7 @@ def foreign_entries(spark, d):
 @query("""WITH t AS (SELECT min(event_id) AS o, CAST(user_id AS VARCHAR) AS u FROM events WHERE event_type = 'purchase' GROUP BY user_id ORDER BY 1 LIMIT 10), a AS (SELECT list(u ORDER BY o) AS urls FROM t)
 SELECT sha256('["C","2024-01-20",["' || array_to_string(urls, '","') || '"]]') AS id, len(urls) AS n FROM a""")
 def outbox_batch(spark, d):
+    E = F.col("event_id")
     rows = table(spark, d, "events").filter("event_type = 'purchase'").select(E.alias("ordinal"), F.col("user_id").cast("string").alias("url"), "value")
     return feedback.prepare(rows, "C", "2024-01-20").select("id", F.size("replies").cast("long").alias("n"))
 
@@ -107,6 +111,7 @@ def outbox_batch(spark, d):
 
 
 def _hits(spark, d):
+    E, D = F.col("event_id"), F.col("doc_id")
     labels = table(spark, d, "events").select(E.alias("doc_id"), "ts", "value")
     title = F.concat(pick(["a new llm ", "said ", "agents and AI ", "rage "], D), F.substring("text", 1, 30))
     return table(spark, d, "documents").join(labels, "doc_id").select(D.alias("ordinal"), title.alias("title"), "text", "ts", "value")
@@ -143,12 +148,14 @@ def qiita_posts(spark, d):
 @query("SELECT doc_id AS ordinal, CASE WHEN doc_id % 3 = 0 THEN 'own ' || doc_id ELSE 'outer' END AS title, 'https://huggingface.co/papers/' || doc_id AS url, substr(text, 1, 1000) AS abstract FROM documents")
 def daily_papers(spark, d):
     """The reference's cut of a paper's abstract is the feature here."""
+    D = F.col("doc_id")
     paper = F.struct(D.cast("string").alias("id"), F.when(D % 3 == 0, F.concat(F.lit("own "), D.cast("string"))).alias("title"), F.col("text").alias("summary"), F.lit(None).cast("string").alias("publishedAt"))
     return readers.papers(table(spark, d, "documents").select(D.alias("ordinal"), F.lit("outer").alias("title"), F.lit(None).cast("string").alias("publishedAt"), paper.alias("paper"))).select("ordinal", "title", "url", "abstract")
 
 
 @query("SELECT CASE WHEN k = 0 THEN doc_id ELSE 1000000000000 + doc_id END AS ordinal, k FROM (SELECT doc_id, 0 AS k FROM documents UNION ALL SELECT page_id, 1 FROM pages)")
 def union_of_sources(spark, d):
+    D = F.col("doc_id")
     one = table(spark, d, "documents").select(D.alias("ordinal"), F.lit(0).alias("k"))
     return readers.union_sources([one, table(spark, d, "pages").select(F.col("page_id").alias("ordinal"), F.lit(1).alias("k"))])
 
@@ -163,6 +170,7 @@ HEX = "substr(md5(CAST(event_id AS VARCHAR)), 1, 32)"
 
 @query(f"SELECT {HEX} AS page_key FROM events WHERE event_id % 4 <> 0 AND event_id % 9 <> 0 AND {HEX} NOT IN (SELECT {HEX} FROM events WHERE event_id % 3 = 0)")
 def recoverable_pages(spark, d):
+    E = F.col("event_id")
     key = F.md5(E.cast("string").cast("binary"))
     dashed = F.concat_ws("-", F.substring(key, 1, 8), F.substring(key, 9, 32))
     snapshot = table(spark, d, "events").select(F.when(E % 9 != 0, dashed).otherwise("none").alias("id"), F.when(E % 4 == 0, "ja").when(E % 4 == 1, "en").alias("lang"))
@@ -174,6 +182,7 @@ KINDS = [None, "TimeoutError", "AbortError", "TypeError", None, None]
 
 @query(f"""SELECT event_id, CASE WHEN {pick_sql(KINDS, 'event_id')} IN ('TimeoutError', 'AbortError') THEN 'timeout' WHEN {pick_sql(KINDS, 'event_id')} IS NOT NULL THEN 'network_error' WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'http_error' WHEN event_id % 11 < 2 THEN 'unsupported_content_type' END AS reason FROM events""")
 def fetch_reasons(spark, d):
+    E = F.col("event_id")
     status = F.when(E % 5 == 0, 404).when(E % 7 != 0, 200)
     kind = F.when(E % 11 == 0, "image/png").when(E % 11 > 4, "text/html; charset=utf-8").when(E % 11 > 1, "text/plain")
     return table(spark, d, "events").select("event_id", readers.fetch_failure(status, kind, pick(KINDS, E)).alias("reason"))
@@ -202,6 +211,7 @@ def article_lines(spark, d):
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 AND event_id * 100 <= 604800 THEN event_id * 100 WHEN event_id % 4 = 1 AND event_id * 60 <= 604800 THEN event_id * 60 END AS seconds FROM events")
 def retry_after_seconds(spark, d):
+    E = F.col("event_id")
     date = F.concat(F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(AT).cast("timestamp")) + E * 60), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
     raw = F.when(E % 4 == 0, (E * 100).cast("string")).when(E % 4 == 1, date).when(E % 4 == 2, "soon")
     return table(spark, d, "events").select("event_id", X.retry_after(raw, F.lit(AT).cast("timestamp")).alias("seconds"))
@@ -212,6 +222,7 @@ FORMS = [("yyyy-MM-dd'T'HH:mm:ss'Z'", 0), ("EEE, d MMM yyyy HH:mm:ss 'GMT'", 0),
 
 @query("SELECT event_id, CASE event_id % 6 WHEN 5 THEN NULL ELSE epoch_ms(CAST(floor(epoch(ts)) AS BIGINT) * 1000) + to_hours(CAST([0, 0, 5, -9, 7, 0][CAST(event_id % 6 AS INTEGER) + 1] AS INTEGER)) END AS at FROM events")
 def parsed_dates(spark, d):
+    E = F.col("event_id")
     raw = F.lit("no date")
     for k, (form, _) in enumerate(FORMS):
         raw = F.when(E % 6 == k, F.date_format("ts", form)).otherwise(raw)
@@ -220,6 +231,7 @@ def parsed_dates(spark, d):
 
 @query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(event_id AS DOUBLE) WHEN 1 THEN event_id + 0.5 WHEN 2 THEN event_id * 1000.0 ELSE -1 END AS crowd FROM events")
 def crowd_numbers(spark, d):
+    E = F.col("event_id")
     raw = pick(["{} ", "{}.5", "{}e3", "{}d", "NaN", ""], E)
     return table(spark, d, "events").select("event_id", F.coalesce(X.crowd_number(F.replace(raw, F.lit("{}"), E.cast("string"))), F.lit(-1.0)).alias("crowd"))
 
@@ -265,12 +277,14 @@ SELECT ordinal, lang, kind, coalesce(weight, 30) AS base, {" + ".join(f"CASE WHE
   CASE WHEN value > 0 THEN least(60, CAST(round(18 * log10(value * coalesce(scale, 1) + 1)) AS INTEGER)) ELSE 0 END AS crowd,
   CASE WHEN len(cats) = 0 THEN 'Other' ELSE array_to_string(cats, ',') END AS categories FROM c""")
 def real_rules(spark, d):
+    E = F.col("event_id")
     rows = table(spark, d, "events").select(E.alias("ordinal"), pick(NAMES, E).alias("source"), pick(SEEDS, E).alias("title"), pick(SEEDS, F.floor(E / 10)).alias("abstract"), F.col("value").alias("crowd_score"))
     return rank.score(rows, dims.source_dim(spark)).select("ordinal", "lang", "kind", "base", "bonus", "crowd", F.array_join("category", ",").alias("categories"))
 
 
 @query(f"SELECT event_id, {WORD(pick_sql(SEEDS, 'event_id'), dims.KEYWORDS)} AS english, {WORD(pick_sql(SEEDS, 'event_id'), dims.KEYWORDS_JA)} AS japanese FROM events")
 def real_keywords(spark, d):
+    E = F.col("event_id")
     text = pick(SEEDS, E)
     return table(spark, d, "events").select("event_id", X.matches_keyword(text, dims.KEYWORDS).alias("english"), X.matches_keyword(text, dims.KEYWORDS_JA).alias("japanese"))
 
@@ -280,6 +294,7 @@ def real_keywords(spark, d):
 
 @query("SELECT doc_id, CASE WHEN lang = 'de' AND doc_id % 5 <> 0 THEN 'excerpt' WHEN lang = 'de' THEN 'insufficient_evidence' ELSE 'pending' END AS status FROM documents")
 def initial_states(spark, d):
+    D = F.col("doc_id")
     lang = F.when(F.col("lang") == "de", "ja").otherwise(F.col("lang"))
     return table(spark, d, "documents").select("doc_id", enrich.initial_status(lang, F.when(D % 5 != 0, F.col("text")).otherwise("")).alias("status"))
 
@@ -299,6 +314,7 @@ OVER = "(status <> 'rate_limited' AND attempts >= 3) OR status IN ('ready', 'non
 r AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY doc_id) AS rn FROM j)
 SELECT doc_id AS page_id, CASE WHEN status IS NULL OR {OVER} THEN 'drop' WHEN may AND rn <= 10 THEN 'work' WHEN may THEN 'later' ELSE 'wait' END AS step FROM r""")
 def backlog_and_states(spark, d):
+    D = F.col("doc_id")
     from newsloom.plans.catalogue import states
 
     backlog = table(spark, d, "documents").select(D.alias("ordinal"), D.alias("page_id")).distinct()
@@ -308,6 +324,7 @@ def backlog_and_states(spark, d):
 
 @query("SELECT event_id AS page_id, CASE WHEN event_id % 3 = 0 THEN 'new ' || event_id ELSE 'old' END AS summary, CASE WHEN event_id % 3 = 0 THEN 'ready' ELSE event_type END AS status FROM events")
 def two_step_update(spark, d):
+    E = F.col("event_id")
     pages = table(spark, d, "events").select(E.alias("page_id"), F.lit("old").alias("summary"), F.col("event_type").alias("status"))
     results = table(spark, d, "events").filter("event_id % 3 = 0").select(E.alias("page_id"), F.concat(F.lit("new "), E.cast("string")).alias("summary"), F.lit("ready").alias("status"))
     once = enrich.merge_results(enrich.merge_results(pages, results, "summary"), results, "status")
@@ -324,6 +341,7 @@ def reserved_states(spark, d):
 @query("""WITH c AS (SELECT doc_id, text, sha256(text) AS source_hash, CASE WHEN doc_id % 2 = 0 THEN doc_id % 3 ELSE 0 END AS next FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text))
 SELECT source_hash, CAST(next AS BIGINT) AS next, nullif(substr(text, CAST(next * 3000 + 1 AS BIGINT), 3000), '') AS chunk, next >= ceil(length(text) / 3000.0) AS complete FROM c""")
 def translation_chunks(spark, d):
+    D = F.col("doc_id")
     docs = rank.first_per(table(spark, d, "documents").select("doc_id", "text"), ["text"], D)
     state = docs.filter("doc_id % 2 = 0").select(F.sha2("text", 256).alias("source_hash"), (D % 3).alias("next"))
     got = enrich.chunk_progress(state.withColumn("next", F.col("next").cast("int")), docs)
@@ -332,6 +350,7 @@ def translation_chunks(spark, d):
 
 @query("SELECT max(ts) + INTERVAL 6 HOUR AS until, 'rate_limited' AS cause FROM events WHERE event_type = 'click' AND event_id % 3 = 0")
 def migrated_cooldown(spark, d):
+    E = F.col("event_id")
     reports = table(spark, d, "events").select(F.when(F.col("event_type") == "click", "model").otherwise("load").alias("operation"), F.when(E % 3 == 0, 429).otherwise(500).alias("http_status"), F.col("ts").alias("finished_at"))
     none = spark.createDataFrame([], "until timestamp_ntz, cause string")
     return enrich.migrate_cooldown(reports, none)
@@ -339,6 +358,7 @@ def migrated_cooldown(spark, d):
 
 @query("""SELECT event_id // 3 AS page_id, arg_min(CASE WHEN event_id % 5 = 1 THEN 'ready' ELSE 'pending' END, event_id) AS status, arg_min(CAST(event_id % 4 AS INTEGER), event_id) AS attempts FROM events WHERE event_id % 5 IN (1, 2) GROUP BY 1""")
 def stored_states(spark, d):
+    E = F.col("event_id")
     state = F.concat(F.lit('{"marker":"enrichment-state","status":"'), F.when(E % 5 == 1, "ready").otherwise("pending"), F.lit('","attempts":'), (E % 4).cast("string"), F.lit("}"))
     text = F.when((E % 5).isin(1, 2), state).when(E % 5 == 3, "garbage").when(E % 5 == 4, '{"marker":"other","attempts":1}').otherwise('{"marker":"enrichment-state"}')
     return enrich.page_states(table(spark, d, "events").select(F.floor(E / 3).alias("page_id"), E.alias("n"), text.alias("text"))).select("page_id", "status", "attempts")
@@ -346,6 +366,7 @@ def stored_states(spark, d):
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 < 2 THEN ['timeout', 'http_error'][CAST(event_id % 3 AS INTEGER) + 1] END AS reason, CASE WHEN event_id % 2 = 0 AND event_id % 3 < 2 AND event_id % 700 BETWEEN 100 AND 599 THEN CAST(event_id % 700 AS INTEGER) END AS http_status FROM events")
 def kept_failures(spark, d):
+    E = F.col("event_id")
     raw = F.concat(F.lit('{"stage":"'), F.when(E % 2 == 0, "model").otherwise("load"), F.lit('","reason":"'), pick(["timeout", "http_error", "a secret text"], E), F.lit('","httpStatus":'), (E % 700).cast("string"), F.lit(',"codeKind":"string"}'))
     got = enrich.safe_failure(raw)
     return table(spark, d, "events").select("event_id", got["reason"].alias("reason"), got["http_status"].alias("http_status"))
@@ -353,6 +374,7 @@ def kept_failures(spark, d):
 
 @query("SELECT doc_id AS page_id, i // 2 AS call, CAST(i AS INTEGER) AS n, substr(text, i * 500 + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(range((length(text) + 499) // 500)) AS i FROM documents)")
 def append_calls(spark, d):
+    D = F.col("doc_id")
     return enrich.append_batches(table(spark, d, "documents").select(D.alias("page_id"), "text"), 500, 2)
 
 
@@ -363,6 +385,7 @@ GOOD = "The page says that this is a long passage of its own."
   CASE WHEN event_id % 2 = 0 AND event_id % 3 <> 0 AND event_id % 5 <> 0 AND event_id % 7 <> 0 THEN 'ready' ELSE 'invalid_response' END AS status FROM events""")
 def grounded_answers(spark, d):
     """Answers of which some are good: others aren't relevant, quote what isn't there, name what the body doesn't, or are too short."""
+    E = F.col("event_id")
     body = F.lit(f"About ai: a summary with gpt-5 and 42 items inside. {GOOD} And some more words, so that this body is long enough to be used.")
     summary = F.when(E % 5 == 0, "A summary with GPT-6 and 42 items inside").when(E % 7 == 0, "short").otherwise("A summary with GPT-5 and 42 items inside")
     raw = F.concat(F.lit('```json\n{"relevant":'), F.when(E % 2 == 0, "true").otherwise("false"), F.lit(',"summary":" '), summary, F.lit(' ","evidence":["'), F.when(E % 3 == 0, "This passage is nowhere in the body.").otherwise(GOOD), F.lit('"]}\n```'))
@@ -375,6 +398,7 @@ def grounded_answers(spark, d):
 
 @query("SELECT event_id FROM events WHERE event_id % 3 = 0 AND event_id % 5 IN (0, 1, 2) AND event_id % 7 <> 0 AND event_id % 4 <> 0")
 def usable_runs(spark, d):
+    E = F.col("event_id")
     run = F.struct(F.when(E % 7 != 0, E).alias("id"), (E % 4).alias("attempt"))
     rows = table(spark, d, "events").select("event_id", F.when(E % 3 == 0, "completed").otherwise("queued").alias("status"), pick(["success", "failure", "cancelled", "skipped", None], E).alias("conclusion"), run.alias("run"))
     return brief.usable_run(rows).select("event_id")
@@ -385,6 +409,7 @@ SUM_SQL = "repeat('x', CAST(event_id % 40 + 25 AS INTEGER))"
 
 @query(f"""WITH s AS (SELECT event_id, event_id % 3 = 0 AND length({SUM_SQL}) BETWEEN 30 AND 500 AND event_id % 11 <> 0 AND ts <= TIMESTAMP '{AT}' + INTERVAL 1 MINUTE AND event_id % 7 BETWEEN 1 AND 5 AND event_id % 13 <> 0 AS ok FROM events) SELECT event_id FROM s WHERE ok""")
 def grounded_candidates(spark, d):
+    E = F.col("event_id")
     summary = F.repeat(F.lit("x"), (E % 40 + 25).cast("int"))
     quote = F.when(E % 13 == 0, "too short").otherwise("a quotation of twenty characters")
     rows = table(spark, d, "events").select("event_id", F.when(E % 3 == 0, "source_quoted").otherwise("excerpt").alias("summary_kind"), summary.alias("summary"), F.when(E % 11 != 0, F.sha2(summary, 256)).otherwise("other").alias("summary_hash"), F.col("ts").alias("summary_recorded_at"), F.array_repeat(quote, (E % 7).cast("int")).alias("evidence"))
@@ -395,6 +420,7 @@ def grounded_candidates(spark, d):
 g AS (SELECT * FROM p WHERE ts >= TIMESTAMP '{AT}' - INTERVAL 24 HOUR AND published BETWEEN TIMESTAMP '{AT}' - INTERVAL 168 HOUR AND TIMESTAMP '{AT}' ORDER BY published DESC, ts DESC, score DESC, event_id LIMIT 48)
 SELECT event_id, published AS published_at FROM g WHERE event_id % 2 = 0""")
 def brief_candidates(spark, d):
+    E = F.col("event_id")
     rows = table(spark, d, "events").select(E.alias("page_id"), E.alias("ordinal"), F.col("ts").alias("fetched_at"), (F.col("ts") - F.make_dt_interval(hours=(E % 200).cast("int"))).alias("published_at"), (E % 100).alias("score"), F.when(E % 5 != 0, "s").otherwise("").alias("summary"))
     states = table(spark, d, "events").select(E.alias("page_id"), F.when(E % 2 == 0, "ready").otherwise("pending").alias("status"), F.lit("article_body").alias("input"))
     return brief.candidates(rows, states, _at())[0].select(F.col("page_id").alias("event_id"), "published_at")
@@ -409,6 +435,7 @@ def brief_markdown(spark, d):
 
 @query("SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN ts - INTERVAL 5 DAY END, CASE WHEN event_id % 2 <> 0 THEN ts END) AS shown, coalesce(CASE WHEN event_id % 2 <> 0 THEN ts END, CASE WHEN event_id % 3 <> 0 THEN ts - INTERVAL 5 DAY END) AS ordered FROM events")
 def shown_dates(spark, d):
+    E = F.col("event_id")
     published, fetched = F.when(E % 3 != 0, F.col("ts") - F.expr("interval 5 days")), F.when(E % 2 != 0, F.col("ts"))
     return table(spark, d, "events").select("event_id", site.display_date(published, fetched).alias("shown"), site.order_date(published, fetched).alias("ordered"))
 
@@ -419,6 +446,7 @@ SELECT event_id, coalesce(p.source, 'Unknown') AS source, CASE WHEN p.status IN
   CASE WHEN coalesce(p.lang, dim.lang) IN ('en', 'ja') THEN coalesce(p.lang, dim.lang) ELSE 'en' END AS lang, CASE WHEN coalesce(p.kind, dim.kind) IN ('primary', 'secondary') THEN coalesce(p.kind, dim.kind) ELSE 'primary' END AS kind
 FROM p LEFT JOIN {DIMS_SQL} ON dim.source = p.source WHERE url <> '' AND title IS NOT NULL""")
 def exported_rows(spark, d):
+    E = F.col("event_id")
     rows = table(spark, d, "events").select("event_id", F.when(E % 7 != 0, F.concat(F.lit("u"), E.cast("string"))).otherwise("").alias("url"), F.when(E % 11 != 0, "t").alias("title"), pick([*NAMES, None], E).alias("source"), pick(["Unread", "Starred", None, "Odd"], E).alias("status"), pick([None, "ja", "xx"], E).alias("lang"), pick([None, "secondary", "other", None, None], E).alias("kind"))
     return site.coerce(site.export_rows(rows, dims.source_dim(spark))).select("event_id", "source", "status", "lang", "kind")
 
