@@ -170,7 +170,8 @@ def postings(docs: DataFrame, width: int, pages: int, longest: int, num: int, de
                     if total >= PACK_POSTINGS:
                         yield packed(nodes)
                         nodes, total = {}, 0
-        yield packed(nodes)
+        if nodes:  # a task may have had no rows, or no others since its last pack
+            yield packed(nodes)
 
     return docs.mapInArrow(tidy(run), "page bigint, hashes binary, at binary, nodes binary, sizes binary")
 

@@ -550,6 +550,8 @@ def test_join_edges(spark):
     got = jaccard_join.similar_groups(docs(spark, ["a b", "c d", "a b", "c d", "z"], [1, 1, 2, 3, None])).collect()
     assert {(r.doc, r.component) for r in got} == {(1, 1), (2, 1), (3, 1), (None, None)} and len(got) == 5
     assert jaccard_join.similar_groups(docs(spark, ["a"]).limit(0)).count() == 0
+    sparse = docs(spark, ["a b c", "a b c", None], [4, 2, 3]).repartition(8, "doc_id")  # tasks without rows, or without words
+    assert {(r.doc, r.component) for r in jaccard_join.similar_groups(sparse).collect()} == {(4, 2), (2, 2), (3, 3)}
 
 
 def test_divide_skip():
