@@ -5,39 +5,87 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VALID = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#\s]+[^\s]*$"
+VALID = r"(?s)^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#\s<>^|]+([/?#].*)?$"
+# What a path percent-encodes, and its segments for "here" and "up", as the URL standard has them.
+ENCODED = r'\x00-\x20"<>`{}\x7f-\x{10ffff}'
+HERE, UP = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
+
+
+def _clean(url: Column) -> Column:
+    """Without outer controls and spaces, tabs and line ends; back slashes before the query are slashes."""
+    url = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    head = F.regexp_extract(url, r"^[^?#]*", 0)
+    return F.when(head.contains("\\"), F.concat(F.translate(head, "\\", "/"), F.substr(url, F.length(head) + 1))).otherwise(url)
+
+
+def _resolved(path: Column) -> Column:
+    """The path without dot segments."""
+    parts = F.split(path, "/")
+    parts = F.transform(parts, lambda s, i: F.struct(s.alias("s"), (i == F.size(parts) - 1).alias("last")))
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, part: Column) -> Column:
+        up, end = part["s"].rlike(UP), F.when(part["last"], F.array(F.lit(""))).otherwise(none)
+        under = F.when(up, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
+        return F.concat(under, F.when(up | part["s"].rlike(HERE), end).otherwise(F.array(part["s"])))
+
+    text = F.concat(F.lit("/"), F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), none, step), "/"))
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), text).otherwise(path)
+
+
+def _encoded(path: Column) -> Column:
+    runs = F.regexp_extract_all(path, F.lit(f"[{ENCODED}]+|[^{ENCODED}]+"), 0)
+    text = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{ENCODED}]"), F.regexp_replace(F.url_encode(r), r"\+", "%20")).otherwise(r)), "")
+    return F.when(path.rlike(f"[{ENCODED}]"), text).otherwise(path)
 
 
 def _parts(url: Column) -> tuple[Column, Column, Column, Column]:
     """Scheme, host with port (default ports dropped), path, query."""
+    url = _clean(url)
     scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://", 1))
     host = F.lower(F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1), r"^[^@]*@", ""))
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     path = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    return scheme, host, path, query
+    return scheme, host, _encoded(_resolved(path)), query
 
 
 def _pairs(query: Column, drop: str) -> Column:
-    return F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).rlike(drop))
+    """``name`` (decoded), ``i``, ``p`` (``name=value``, form-encoded) of the parameters whose names don't match ``drop``."""
+
+    def decoded(text: Column) -> Column:
+        return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+    def pair(p: Column, i: Column) -> Column:
+        name = F.substring_index(p, "=", 1)
+        value = F.substr(p, F.length(name) + 2)
+        return F.struct(decoded(name).alias("name"), i.alias("i"), F.concat(F.url_encode(decoded(name)), F.lit("="), F.url_encode(decoded(value))).alias("p"))
+
+    return F.filter(F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair), lambda s: ~s["name"].rlike(drop))
+
+
+def _query(pairs: Column) -> Column:
+    return F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(F.transform(pairs, lambda s: s["p"]), "&"))).otherwise("")
 
 
 def url_key(url: Column) -> Column:
-    """The dedup key: no scheme, fragment, leading ``www.``, tracking parameters or last slash; parameters by name, stable."""
+    """The dedup key: no scheme, fragment, leading ``www.``, tracking parameters or last slash; parameters by name, stable.
+
+    Dot segments are resolved, paths percent-encoded and parameters form-encoded, so that spellings of one URL meet. What isn't
+    a URL becomes its lower-cased self. Hosts aren't turned to punycode: one that's written both ways has two keys.
+    """
     _, host, path, query = _parts(url)
-    kept = _pairs(query, r"^(utm_.*|ref|fbclid|gclid)$")
-    kept = F.transform(kept, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("name"), i.alias("i"), p.alias("p")))
-    text = F.array_join(F.transform(F.array_sort(kept), lambda s: s["p"]), "&")
-    key = F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, "/$", ""), F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
-    return F.when(url.rlike(VALID), key).otherwise(F.lower(url))
+    kept = F.array_sort(_pairs(query, r"(?s)^(utm_.*|ref|fbclid|gclid)$"))
+    key = F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, "/$", ""), _query(kept))
+    return F.when(_clean(url).rlike(VALID), key).otherwise(F.lower(url))
 
 
 def fetch_url(url: Column) -> Column:
     """The URL as fetched: no fragment and none of four tracking parameters; the scheme stays; an invalid URL is unchanged."""
     scheme, host, path, query = _parts(url)
-    text = F.array_join(_pairs(query, "^(utm_source|utm_medium|utm_campaign|ref)$"), "&")
-    out = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
-    return F.when(url.rlike(VALID), out).otherwise(url)
+    kept = _pairs(query, "^(utm_source|utm_medium|utm_campaign|ref)$")
+    out = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), _query(kept))
+    return F.when(_clean(url).rlike(VALID), out).otherwise(url)
 
 
 def spellings(url: Column) -> Column:

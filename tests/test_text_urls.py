@@ -25,6 +25,25 @@ def test_url_key(spark, a, b, same):
     assert (one(spark, U.url_key(F.col("u")), u=a) == one(spark, U.url_key(F.col("u")), u=b)) is same
 
 
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("https://e.com/a/../b/./c", "e.com/b/c"), ("https://e.com/a/b/..", "e.com/a"), ("https://e.com/../../x", "e.com/x"), ("https://e.com/a/%2E%2e/b", "e.com/b"),
+        ("https://e.com/a b/é", "e.com/a%20b/%C3%A9"), ("https://e.com/a%20b", "e.com/a%20b"), ("https://e.com\\a\\b?c=\\", "e.com/a/b?c=%5C"), ("  https://e.com/a\n ", "e.com/a"),
+        ("https://e.com/?q=a%20b&p", "e.com?p=&q=a+b"), ("https://e.com/?q=a+b&%75tm_x=1", "e.com?q=a+b"), ("https://e.com/x?a=100%&a=(1)~", "e.com/x?a=100%25&a=%281%29%7E"),
+        ("https://e.com/x?", "e.com/x"), ("https://e.com/x?&&", "e.com/x"), ("https://e.com/x?a=b=c", "e.com/x?a=b%3Dc"), ("https://a b.com/X", "https://a b.com/x"), ("https://e.com//a//", "e.com//a/"),
+    ],
+)
+def test_url_key_spellings(spark, url, want):
+    assert one(spark, U.url_key(F.col("u")), u=url) == want
+    assert spark.createDataFrame([(url,)], "u string").select(U.url_key(F.col("u"))).first()[0] == want  # not folded
+
+
+def test_url_key_of_null_and_empty(spark):
+    rows = spark.createDataFrame([(None,), ("",)], "u string").select(U.url_key(F.col("u")).alias("k"), U.fetch_url(F.col("u")).alias("f")).collect()
+    assert [tuple(r) for r in rows] == [(None, None), ("", "")]
+
+
 def test_fetch_url_keeps_scheme_and_other_parameters(spark):
     assert one(spark, U.fetch_url(F.col("u")), u="http://e.com/a?ref=1&fbclid=2&x=3#f") == "http://e.com/a?fbclid=2&x=3"
     assert one(spark, U.fetch_url(F.col("u")), u="No Url") == "No Url"
