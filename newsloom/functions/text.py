@@ -19,6 +19,11 @@ def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def trimmed_at_least(c: Column, n: int) -> Column:
+    """Whether the trimmed text has at least ``n`` (2 or more) characters. Reads no further than shows it."""
+    return c.rlike(f"(?s)^{SPACE}*+(?!{SPACE}).{{{n - 1}}}.*?(?!{SPACE}).")
+
+
 def collapse(c: Column, limit: int | None = None) -> Column:
     """White space runs as one space, trimmed, cut."""
     out = js_trim(F.regexp_replace(c, f"{SPACE}+", " "))

@@ -20,7 +20,7 @@ SUMMARY = "relevant boolean, summary string, evidence array<string>"
 
 def gate(body: Column, keywords: list[str] | None = None) -> Column:
     """``insufficient_evidence`` under 120 characters, ``non_ai`` without a keyword in the body, else null."""
-    return F.when(F.length(X.js_trim(body)) < 120, "insufficient_evidence").when(~X.matches_keyword(body, keywords or dims.KEYWORDS + dims.KEYWORDS_JA), "non_ai")
+    return F.when(~X.trimmed_at_least(body, 120), "insufficient_evidence").when(~X.matches_keyword(body, keywords or dims.KEYWORDS + dims.KEYWORDS_JA), "non_ai")
 
 
 def supported(summary: Column, body: Column) -> Column:
@@ -94,17 +94,15 @@ def append_batches(texts: DataFrame, size: int = 2000, per_call: int = 100) -> D
 def transition(attempts: Column, body: Column, raw: Column, http: Column, hint: Column, now: Column, failed: Column, keywords: list[str] | None = None) -> Column:
     """``status``, ``attempts``, ``next_at`` after one try. ``body`` null: none was found; ``http`` 429 isn't charged and waits at least as long as its hint (seconds)."""
     throttled = F.coalesce(http == 429, F.lit(False))
-    status = (
-        F.when(body.isNull(), "body_unavailable")
-        .when(gate(body, keywords).isNotNull(), gate(body, keywords))
-        .when(throttled, "rate_limited")
-        .when(F.coalesce(failed, F.lit(False)), "model_failed")
-        .when(grounded(raw, body).isNull(), "invalid_response")
-        .otherwise("ready")
-    )
-    wait = F.when(status == "rate_limited", F.greatest(F.lit(6 * 3600), F.coalesce(hint, F.lit(0)))).otherwise(F.lit(6 * 3600))
-    later = now + F.make_dt_interval(secs=wait.cast("decimal(18,6)"))
-    return F.struct(status.alias("status"), F.when(status == "rate_limited", attempts).otherwise(attempts + 1).alias("attempts"), F.when(status != "ready", later).alias("next_at"))
+    passed = F.when(throttled, "rate_limited").when(F.coalesce(failed, F.lit(False)), "model_failed").when(grounded(raw, body).isNull(), "invalid_response").otherwise("ready")
+    status = F.when(body.isNull(), "body_unavailable").otherwise(F.coalesce(gate(body, keywords), passed))
+
+    def after(status: Column) -> Column:
+        wait = F.when(status == "rate_limited", F.greatest(F.lit(6 * 3600), F.coalesce(hint, F.lit(0)))).otherwise(F.lit(6 * 3600))
+        later = now + F.make_dt_interval(secs=wait.cast("decimal(18,6)"))
+        return F.struct(status.alias("status"), F.when(status == "rate_limited", attempts).otherwise(attempts + 1).alias("attempts"), F.when(status != "ready", later).alias("next_at"))
+
+    return F.get(F.transform(F.array(status), after), F.lit(0))  # a lambda's variable: the checks of a text are made once, not for each column
 
 
 def cooldown(events: DataFrame, until: str, cause: str, ordinal: Column) -> DataFrame:

@@ -81,3 +81,9 @@ def test_small_functions(spark):
     assert one(spark, X.paragraphs(F.col("t")), t="a\n\n b \n \nc") == ["a", "b", "c"]
     assert one(spark, X.month_label(F.col("t")), t="2026-08") == "2026年8月"
     assert one(spark, X.page_id(F.col("t")), t="https://x/" + "a" * 32 + "?v=1") == "a" * 32
+
+
+@pytest.mark.parametrize(("text", "want"), [("a" * 5, True), ("a" * 4, False), (" \u3000a  b\n\ufeff", False), ("\n a   b ", True), ("é" * 4 + "😀", True), ("", False), ("   " * 9, False), ("abcd" + " " * 10_000, False), ("ab" + " " * 10_000 + "c", True)])
+def test_trimmed_at_least(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(X.trimmed_at_least(F.col("t"), 5), F.length(X.js_trim(F.col("t"))) >= 5).first()
+    assert got[0] is got[1] is want
