@@ -222,7 +222,12 @@ def cooldown_fold(spark, d):
     return enrich.cooldown(table(spark, d, "events").filter("value > 100"), "ts", "event_type", F.col("event_id"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|<footer|$)', 1) AS inner_, contains(html, '<article>') AS there FROM pages),
+b AS (SELECT page_id, generate_subscripts(s, 1) AS i, unnest(s) AS t FROM (SELECT page_id, string_split_regex(inner_, '</?(?:p|h1|h2|h3|li)>') AS s FROM a)),
+t AS (SELECT page_id, i, trim(regexp_replace(replace(regexp_replace(replace(replace(replace(replace(regexp_replace(t, '(?s)<!--.*?-->|<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp(;|$)', '&amp;', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM b),
+c AS (SELECT *, sum(length(t)) OVER (PARTITION BY page_id ORDER BY i) AS total FROM t WHERE length(t) >= 10),
+k AS (SELECT page_id, count(*) AS n, string_agg(t, chr(10) ORDER BY i) AS body FROM c WHERE total <= 12000 GROUP BY 1)
+SELECT page_id, coalesce(n, 0) AS n, coalesce(body, '') AS body, CASE WHEN NOT there THEN 'missing_article' WHEN n IS NULL THEN 'empty_article' END AS reason FROM a LEFT JOIN k USING (page_id)""")
 def html_paragraphs(spark, d):
     return table(spark, d, "pages").select("page_id", H.body("html").alias("b")).select("page_id", F.size("b.paragraphs").cast("long").alias("n"), F.array_join("b.paragraphs", "\n").alias("body"), "b.reason")
 

@@ -47,6 +47,39 @@ CATEGORY_RULES = [
 KEYWORDS = ["ai", "llm", "gpt", "claude", "gemini", "llama", "mistral", "qwen", "language model", "machine learning", "neural", "transformer", "diffusion", "open source model", "agent", "agentic", "mcp", "anthropic", "openai", "deepmind", "hugging face", "huggingface", "inference", "fine-tun", "rlhf", "embedding", "vector", "copilot", "prompt", "rag"]
 KEYWORDS_JA = ["生成ai", "大規模言語モデル", "言語モデル", "機械学習", "深層学習", "ディープラーニング", "ニューラル", "拡散モデル", "画像生成", "動画生成", "音声認識", "マルチモーダル", "強化学習", "ファインチューニング", "埋め込み", "ベクトル検索", "エージェント", "プロンプト", "推論", "llm", "rag", "mcp", "claude", "gpt", "gemini", "transformer", "copilot", "openai", "anthropic"]
 
+# Feeds by source, with the keywords that an item needs (none: any) and the days it may be old.
+FEEDS = [
+    ("OpenAI", "https://openai.com/news/rss.xml", None, None),
+    ("DeepMind", "https://deepmind.google/blog/rss.xml", None, None),
+    ("Google AI", "https://blog.google/technology/ai/rss", None, None),
+    ("Meta AI", "https://research.facebook.com/feed/", ["ai", "llm", "language model", "machine learning", "neural", "transformer"], None),
+    ("arXiv", "https://rss.arxiv.org/rss/cs.AI", None, None),
+    ("arXiv", "https://rss.arxiv.org/rss/cs.CL", None, None),
+    ("arXiv", "https://rss.arxiv.org/rss/cs.LG", None, None),
+    ("NVIDIA", "https://blogs.nvidia.com/feed/", ["ai", "llm", "gpu", "inference", "training", "cuda", "tensor"], None),
+    ("AWS ML", "https://aws.amazon.com/blogs/ai/feed/", None, None),
+    ("Mistral", "https://mistral.ai/rss.xml", None, None),
+    ("xAI", "https://raw.githubusercontent.com/Olshansk/rss-feeds/main/feeds/feed_xainews.xml", None, None),
+    ("Ollama", "https://raw.githubusercontent.com/Olshansk/rss-feeds/main/feeds/feed_ollama.xml", None, None),
+    ("Qwen", "https://github.com/QwenLM/Qwen3/releases.atom", None, None),
+    ("Claude Code", "https://raw.githubusercontent.com/Olshansk/rss-feeds/main/feeds/feed_anthropic_changelog_claude_code.xml", None, None),
+    ("Cursor", "https://raw.githubusercontent.com/Olshansk/rss-feeds/main/feeds/feed_cursor.xml", None, None),
+    ("Windsurf", "https://raw.githubusercontent.com/Olshansk/rss-feeds/main/feeds/feed_windsurf_blog.xml", None, None),
+    ("GitHub Blog", "https://github.blog/feed/", ["copilot", "ai", "code", "agent"], None),
+    ("LangChain", "https://blog.langchain.dev/rss/", None, None),
+    ("Vercel", "https://vercel.com/atom", ["ai", "v0", "sdk"], None),
+    ("Simon Willison", "https://simonwillison.net/atom/everything/", KEYWORDS, None),
+    ("Import AI", "https://importai.substack.com/feed", None, None),
+    ("Latent Space", "https://www.latent.space/feed", None, None),
+    ("Changelog", "https://changelog.com/feed", KEYWORDS, None),
+    ("smol.ai", "https://news.smol.ai/rss.xml", None, 7),
+]
+
+# Queries and topics of generated feeds, their URLs, and the bookmarks that a query's item needs.
+HATENA_QUERIES, HATENA_URL = ["生成AI", "LLM", "Claude Code", "機械学習"], "https://b.hatena.ne.jp/q/{q}?sort=recent&mode=rss"
+ZENN_TOPICS, ZENN_URL = ["llm", "生成ai", "claudecode", "ai"], "https://zenn.dev/topics/{q}/feed"
+HATENA_FIELD, HATENA_LEAST, GENERATED_DAYS = "hatena:bookmarkcount", 10.0, 7
+
 # Reaction names by action, and the rank of a status.
 STARRED = ["star", "star2", "glowing_star", "stars", "sparkles", "fire", "100", "heart", "heart_eyes", "heartpulse", "tada", "clap", "raised_hands", "bookmark", "pushpin", "bulb"]
 READ = ["white_check_mark", "heavy_check_mark", "ballot_box_with_check", "eyes", "eye", "+1", "thumbsup", "-1", "thumbsdown", "ok_hand", "ok", "pray"]

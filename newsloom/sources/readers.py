@@ -77,8 +77,8 @@ def keyword_or_none(text: Column, keywords: Column) -> Column:
 
 
 def feed_articles(items: DataFrame, config: DataFrame, now: Column) -> DataFrame:
-    """Feed items that pass their feed's predicates. The config is one row a feed of a stated list, so it's broadcast."""
-    rows = items.join(F.broadcast(config.drop("url")), "feed")
+    """Feed items that pass their feed's predicates. The config is one row a feed of a stated list, so it's broadcast; feeds of one name share their rules."""
+    rows = items.join(F.broadcast(config.drop("url").distinct()), "feed")
     title, link = X.js_trim(F.coalesce("title", F.lit(""))), X.js_trim(F.coalesce("link", F.lit("")))
     crowd = X.crowd_number(F.element_at("extensions", F.col("crowd_field")))
     published = F.coalesce(X.parse_date(F.col("isoDate")), X.parse_date(F.col("pubDate")))
@@ -166,7 +166,15 @@ def feed_list(queries: list[str], template: str) -> list[str]:
     """Generated feeds: a URL for each query, percent-encoded."""
     from urllib.parse import quote
 
-    return [template.format(q=quote(q)) for q in queries]
+    return [template.format(q=quote(q, safe="!*'()")) for q in queries]
+
+
+def feed_config(spark: SparkSession) -> DataFrame:
+    """The configuration of all feeds, the generated ones included."""
+    rows = [(name, url, keywords, days, None, None) for name, url, keywords, days in dims.FEEDS]
+    rows += [("Hatena", u, dims.KEYWORDS_JA, dims.GENERATED_DAYS, dims.HATENA_FIELD, dims.HATENA_LEAST) for u in feed_list(dims.HATENA_QUERIES, dims.HATENA_URL)]
+    rows += [("Zenn", u, None, dims.GENERATED_DAYS, None, None) for u in feed_list(dims.ZENN_TOPICS, dims.ZENN_URL)]
+    return spark.createDataFrame(rows, FEED_CONFIG)
 
 
 def ordinals(df: DataFrame, *order: Column) -> DataFrame:

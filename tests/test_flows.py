@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as X
 from newsloom.operators import pacing, queue, site
 from newsloom.plans import flows
-from newsloom.sources import readers
+from newsloom.sources import dims, readers
 from newsloom.streaming import stream
 
 NOW = dt.datetime(2026, 10, 15, 12)
@@ -164,3 +164,20 @@ def test_brief_and_site(spark):
     assert (status.status, list(status.reasons)) == ("partial", ["enrichment_incomplete"]) and got["expiry"].first().n == 3
     out = flows.export_site(pages, F.lit(NOW), spark)
     assert out["stats"].first().total == 6 and {r.lang for r in out["rows"].collect()} == {"en"} and out["index"].count() == 6 and out["sources"].count() == 6
+
+
+def test_feed_config_of_all_feeds(spark):
+    rows = readers.feed_config(spark).collect()
+    assert len(rows) == 32 and {r.feed for r in rows} < {s[0] for s in dims.SOURCES} and len({r.url for r in rows}) == 32
+    urls = {r.url: r for r in rows}
+    assert "https://zenn.dev/topics/%E7%94%9F%E6%88%90ai/feed" in urls
+    hatena = urls["https://b.hatena.ne.jp/q/Claude%20Code?sort=recent&mode=rss"]
+    assert (hatena.crowd_field, hatena.min_crowd, hatena.max_age_days) == ("hatena:bookmarkcount", 10.0, 7)
+
+
+def test_feeds_of_one_name_give_an_item_once(spark):
+    schema = "feed string, title string, link string, contentSnippet string, content string, isoDate string, pubDate string, extensions map<string,string>"
+    items = [("arXiv", "A paper", "https://e.com/1", None, None, None, None, None), ("Hatena", "LLMと機械学習", "https://e.com/2", None, None, None, None, {"hatena:bookmarkcount": "10"})]
+    items += [("Hatena", "LLMと機械学習", "https://e.com/3", None, None, None, None, {"hatena:bookmarkcount": "9"}), ("Changelog", "Bread", "https://e.com/4", None, None, None, None, None)]
+    got = readers.feed_articles(spark.createDataFrame(items, schema), readers.feed_config(spark), F.lit("2026-01-08 00:00:00").cast("timestamp")).collect()
+    assert sorted(r.url for r in got) == ["https://e.com/1", "https://e.com/2"]
