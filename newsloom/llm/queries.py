@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import bpe, chat, decontaminate, fingerprints, jaccard_join, line_dedup, quality, sharding, token_counts, url_filters
+from newsloom.llm import bpe, chat, decontaminate, fingerprints, jaccard_join, line_dedup, prefix_trie, quality, sharding, token_counts, url_filters, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.OP2_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op5_chat_format": chat.OP5_SQL}
+    return {"op2_decontaminate": decontaminate.OP2_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op5_chat_format": chat.OP5_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
