@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import bpe, chat, decontaminate, fingerprints, jaccard_join, line_dedup, prefix_trie, quality, sharding, token_counts, url_filters, whitening
+from newsloom.llm import bpe, chat, decontaminate, fingerprints, jaccard_join, line_dedup, prefix_trie, quality, sharding, token_counts, toxicity, url_filters, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_token_counts": token_counts.op10_token_counts,
         "op11_whitening": whitening.op11_whitening,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
