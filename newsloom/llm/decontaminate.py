@@ -4,7 +4,8 @@ The index is a table of segments. A segment holds the documents of about ``SEGME
 each of their terms, the sorted positions at which it stands; it's built once and serves any test set. A search reads each
 segment once: for every phrase it takes the postings of the term that is rarest in that segment as candidate starts
 (adjusted by the term's offset in the phrase), then intersects with the next rarest, until none is left. Segments are cut
-by documents, so a term of all rows is spread over all segments and nothing shuffles.
+by documents, so a term of all rows is spread over all segments and nothing shuffles. Test sets go in blocks; a scan of the index takes
+some blocks in turn for each segment. A test set of more blocks needs more scans, whose results are joined by the segment's number.
 
 Words are maximal runs of ``[0-9a-z]`` and code points from U+0080, after lower-casing A-Z. Null text has no words. Rows
 are documents of their own, also when they repeat an id; a null id stays null. Items without words or without an id are no
@@ -14,6 +15,8 @@ set finds nothing. Only the id and text columns are read: other columns, of what
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import Scratch, as_bytes, sliced, tidy
 
 SEGMENT_WORDS = 1 << 17
-#: Words of test items that are sent to the executors at once; larger test sets go in blocks of so many.
-BLOCK_WORDS = 200_000
+#: Words of a block of test items, whose phrases are intersected at once, and blocks that are sent to the executors for one scan.
+BLOCK_WORDS, SCAN_BLOCKS = 200_000, 8
 #: Every byte to itself in lower case if it's part of a word, else to a space.
 WORD_BYTES = bytes(b if b >= 0x80 or bytes([b]).isalnum() else 32 for b in bytes(range(256)).lower())
 
@@ -32,12 +35,15 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments: ``docs`` (ids), ``starts`` (first word of each document, and the end), ``terms`` (sorted, joined by
-    spaces), ``ends`` (of each term's postings), ``deltas`` (of positions, all terms' in order)."""
+    """Segments: ``number`` (each its own: the partition's, and that in it), ``docs`` (ids), ``starts`` (first word of each document, and
+    the end), ``terms`` (sorted, joined by spaces), ``ends`` (of each term's postings), ``deltas`` (of positions, all terms' in order)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        partition, made = TaskContext.get().partitionId(), 0
 
         def segment(own_type):
             starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -48,8 +54,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             order = np.argsort(seq, kind="stable").astype(np.int64)
             ends = np.cumsum(np.bincount(seq, minlength=len(terms))).astype(np.int64)
             deltas = np.diff(order, prepend=0).astype(np.int32)
-            cols = [pa.array([x], t) for x, t in ((owners, pa.list_(own_type)), (starts.tobytes(), pa.binary()), (b" ".join(terms), pa.binary()), (ends.tobytes(), pa.binary()), (deltas.tobytes(), pa.binary()))]
-            return pa.RecordBatch.from_arrays(cols, names=["docs", "starts", "terms", "ends", "deltas"])
+            cols = [pa.array([x], t) for x, t in (((partition << 32) + made, pa.int64()), (owners, pa.list_(own_type)), (starts.tobytes(), pa.binary()), (b" ".join(terms), pa.binary()), (ends.tobytes(), pa.binary()), (deltas.tobytes(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(cols, names=["number", "docs", "starts", "terms", "ends", "deltas"])
 
         owners, sizes, seqs, ids_of, total = [], [], [], {}, 0
         for batch in sliced(batches, 1):
@@ -65,18 +71,19 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 total += len(words) + 1
                 if total >= SEGMENT_WORDS:
                     yield segment(own_type)
+                    made += 1
                     owners, sizes, seqs, ids_of, total = [], [], [], {}, 0
         if owners:
             yield segment(own_type)
 
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"docs array<{kind}>, starts binary, terms binary, ends binary, deltas binary")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"number bigint, docs array<{kind}>, starts binary, terms binary, ends binary, deltas binary")
 
 
 class Segment:
     """A segment read back."""
 
-    def __init__(self, docs, starts, terms, ends, deltas):
-        self.docs, self.starts = docs, np.frombuffer(starts, np.int64)
+    def __init__(self, number, docs, starts, terms, ends, deltas):
+        self.number, self.docs, self.starts = number, docs, np.frombuffer(starts, np.int64)
         self.terms = {t: i for i, t in enumerate(bytes(terms).split(b" "))} if len(terms) else {}
         self.ends = np.concatenate([[0], np.frombuffer(ends, np.int64)])
         self.positions = np.cumsum(np.frombuffer(deltas, np.int32), dtype=np.int64)
@@ -212,7 +219,7 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, width: int, bloc
 def _segments(batches):
     for batch in batches:
         for i in range(batch.num_rows):  # one by one, without a copy of all
-            yield Segment(batch.column(0)[i].as_py(), *(c[i].as_buffer() for c in batch.columns[1:]))
+            yield Segment(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *(c[i].as_buffer() for c in batch.columns[2:]))
 
 
 def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -221,50 +228,65 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
     spark = index.sparkSession
     kind, item = index.schema["docs"].dataType.elementType.simpleString(), items.schema[item_col].dataType.simpleString()
     doc_type, item_type = _arrow(index.schema["docs"].dataType.elementType), _arrow(items.schema[item_col].dataType)
-    schema = f"segment string, doc_no int, doc {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<{item}>"
+    schema = f"number bigint, doc_no int, doc {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<{item}>"
 
-    def scan(phrases):
+    def scan(blocks):
         def run(batches):
-            import hashlib
-
             import pyarrow as pa
 
             for s in _segments(batches):
-                row, start = exact_hits(s, phrases.value)
-                end = start + phrases.value.length[row]
+                starts, ends, named = [], [], [set() for _ in s.docs]
+                for block in blocks:
+                    phrases = block.value
+                    row, start = exact_hits(s, phrases)
+                    starts.append(start), ends.append(start + phrases.length[row])
+                    number, of = phrases.items_of(row)
+                    names, doc = phrases.names, s.owner(start)
+                    pair = np.unique(doc[of] * len(names) + number) if len(row) else row
+                    for d, k in zip((pair // max(1, len(names))).tolist(), (pair % max(1, len(names))).tolist(), strict=True):
+                        named[d].add(names[k])
+                start = np.concatenate(starts) if starts else np.empty(0, np.int64)
+                order = np.argsort(start, kind="stable")
+                start, end = start[order], np.maximum.accumulate(np.concatenate(ends)[order]) if len(order) else start
                 doc = s.owner(start)
-                order = np.lexsort((row, start))
-                row, start, end, doc = row[order], start[order], np.maximum.accumulate(end[order]) if len(order) else end, doc[order]
                 # a span begins where the one before, of the same document, has ended
                 fresh = np.ones(len(start), bool)
                 fresh[1:] = (start[1:] > end[:-1]) | (doc[1:] != doc[:-1])
                 first = np.flatnonzero(fresh)
                 last = np.concatenate([first[1:], [len(start)]]) - 1 if len(first) else first
-                spans, named = [[] for _ in s.docs], [[] for _ in s.docs]
+                spans = [[] for _ in s.docs]
                 for d, a, b in zip(doc[first].tolist(), start[first].tolist(), end[last].tolist(), strict=True):
                     spans[d].append({"start": a - int(s.starts[d]), "end": b - int(s.starts[d])})
-                names = phrases.value.names
-                number, of = phrases.value.items_of(row)
-                pair = np.unique(doc[of] * len(names) + number) if len(row) else row
-                for d, k in zip((pair // max(1, len(names))).tolist(), (pair % max(1, len(names))).tolist(), strict=True):
-                    named[d].append(names[k])
-                name = hashlib.sha256(s.positions.tobytes() + repr(s.docs[:1] + s.docs[-1:]).encode()).hexdigest()
                 n = len(s.docs)
-                cols = [pa.array([name] * n), pa.array(range(n), pa.int32()), pa.array(s.docs, doc_type), pa.array(np.diff(s.starts), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in named], pa.list_(item_type))]
-                yield pa.RecordBatch.from_arrays(cols, names=["segment", "doc_no", "doc", "n_words", "spans", "items"])
+                cols = [pa.array([s.number] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s.docs, doc_type), pa.array(np.diff(s.starts), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in named], pa.list_(item_type))]
+                yield pa.RecordBatch.from_arrays(cols, names=["number", "doc_no", "doc", "n_words", "spans", "items"])
 
         return index.mapInArrow(tidy(run), schema)
 
-    found = [scan(spark.sparkContext.broadcast(p)) for p in item_blocks(items, item_col, text_col, width, block_words)] or [scan(spark.sparkContext.broadcast(Phrases([], width)))]
-    if len(found) == 1:
-        return found[0].select("doc", "n_words", "spans", "items")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    every = every.groupBy("segment", "doc_no", "doc", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    every = _scans(spark, scan, item_blocks(items, item_col, text_col, width, block_words))
+    if len(every) == 1:
+        return every[0].select("doc", "n_words", "spans", "items")
+    every = functools.reduce(DataFrame.unionByName, every)
+    every = every.groupBy("number", "doc_no", "doc", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return every.select("doc", "n_words", merged("spans").alias("spans"), "items")
 
 
+def _scans(spark: SparkSession, scan, blocks) -> list[DataFrame]:
+    """The results of all scans. A single one is lazy; of several each is written and its blocks are let go before the next."""
+    done, held, scratch = [], [], Scratch(spark, "scans")
+    for block in blocks:
+        if len(held) == SCAN_BLOCKS:
+            done.append(scratch.write(scan(held), f"scan{len(done)}"))
+            for b in held:
+                b.destroy()
+            held = []
+        held.append(spark.sparkContext.broadcast(block))
+    if held or not done:
+        last = scan(held)
+        done.append(scratch.write(last, f"scan{len(done)}") if done else last)
+    return done
+
+
 def merged(spans: str):
     """Sorted spans with those that touch or overlap made one."""
     join = lambda done, s: F.when(
@@ -280,26 +302,24 @@ def proximity(index: DataFrame, items: DataFrame, slop: int, item_col: str = "it
     doc_type, item_type = _arrow(index.schema["docs"].dataType.elementType), _arrow(items.schema[item_col].dataType)
     schema = f"doc {index.schema['docs'].dataType.elementType.simpleString()}, item {items.schema[item_col].dataType.simpleString()}, start bigint, end bigint"
 
-    def scan(phrases):
+    def scan(blocks):
         def run(batches):
             import pyarrow as pa
 
             types = [doc_type, item_type, pa.int64(), pa.int64()]
             for s in _segments(batches):
-                row, start, end = near_hits(s, phrases.value, slop)
-                doc = s.owner(start)
-                number, of = phrases.value.items_of(row)
-                places = zip(doc[of].tolist(), number.tolist(), (start - s.starts[doc])[of].tolist(), (end - s.starts[doc])[of].tolist(), strict=True)
-                out = [(s.docs[d], phrases.value.names[k], a, b) for d, k, a, b in places]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["doc", "item", "start", "end"])
+                for block in blocks:
+                    phrases = block.value
+                    row, start, end = near_hits(s, phrases, slop)
+                    doc = s.owner(start)
+                    number, of = phrases.items_of(row)
+                    places = zip(doc[of].tolist(), number.tolist(), (start - s.starts[doc])[of].tolist(), (end - s.starts[doc])[of].tolist(), strict=True)
+                    out = [(s.docs[d], phrases.names[k], a, b) for d, k, a, b in places]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["doc", "item", "start", "end"])
 
         return index.mapInArrow(tidy(run), schema)
 
-    found = [scan(spark.sparkContext.broadcast(p)) for p in item_blocks(items, item_col, text_col, width, block_words)] or [scan(spark.sparkContext.broadcast(Phrases([], width)))]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.distinct()
+    return functools.reduce(DataFrame.unionByName, _scans(spark, scan, item_blocks(items, item_col, text_col, width, block_words))).distinct()
 
 
 def _arrow(kind):

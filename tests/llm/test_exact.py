@@ -129,6 +129,21 @@ def test_decontamination_like_a_plain_scan(spark, block):
     assert got == plain_hits(enumerate(texts), items, 4)
 
 
+@pytest.mark.parametrize(("block_words", "scan_blocks"), [(1_000_000, 8), (1, 8), (1, 1), (2, 2)])
+def test_rows_in_are_rows_out_for_any_blocks(spark, monkeypatch, block_words, scan_blocks):
+    """Repeated and null ids, in segments of equal shape, stay rows of their own."""
+    monkeypatch.setattr(decontaminate, "SCAN_BLOCKS", scan_blocks)
+    rows = [(7, "a b c"), (8, None), (7, "a b c"), (8, None), (7, "x y z"), (7, "a b c"), (None, "a b x y"), (None, "a b x y"), (9, "c")]
+    items = spark.createDataFrame([(1, "a b"), (2, "x y"), (3, "b c"), (1, "x y"), (4, "q")], "item_id long, text string")
+    for parts in (1, 4, 9):
+        index = Scratch(spark, "t").write(decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)), "segments")
+        found = decontaminate.search(index, items, width=2, block_words=block_words).collect()
+        got = sorted((str(r.doc), r.n_words, tuple(tuple(s) for s in r.spans), tuple(r["items"])) for r in found)
+        abc, xyz, both = (3, ((0, 3),), (1, 3)), (3, ((0, 2),), (1, 2)), (4, ((0, 4),), (1, 2))  # spans that touch are one
+        assert got == sorted([("7", *abc)] * 3 + [("7", *xyz)] + [("8", 0, (), ())] * 2 + [("9", 1, (), ())] + [("None", *both)] * 2)
+        assert len({r.number for r in index.collect()}) == index.count()
+
+
 def test_proximity(spark):
     index = decontaminate.build_index(docs(spark, ["a x b y c", "a b c", "c b a", "a x x x b c", None]))
     got = decontaminate.proximity(index, spark.createDataFrame([(1, "a b c")], "item_id long, text string"), slop=2)
