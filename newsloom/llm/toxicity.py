@@ -35,18 +35,15 @@ FACTORS, THRESHOLD = 6, 0.3
 CLEAR = 10.0
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of letters, digits and code points from U+0080, in lower case."""
-    return (text or "").lower().encode("utf-8", "replace").translate(SPLIT).split()
-
-
+#: Every byte to itself if it's part of a word, else to a space.
 SPLIT = bytes(b if b >= 0x80 or bytes([b]).isalnum() else 32 for b in range(256))
+#: Characters of the beginnings that are terms.
+BEGINNINGS = (4, 5, 6, 7)
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    """A word, and its beginnings of 4 to 7 characters."""
-    letters = word.decode("utf-8", "replace")
-    return [word, *(letters[:k].encode() + b"*" for k in range(4, 8) if len(letters) > k)]
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, digits and code points from U+0080 but white space, in lower case."""
+    return (text or "").lower().encode("utf-8", "replace").translate(SPLIT).decode().split()
 
 
 class Terms:
@@ -56,18 +53,25 @@ class Terms:
         import xxhash
 
         self.hash, self.known, self.telling, self.most = xxhash.xxh3_64_intdigest, set(), {}, most
-        #: Places of the buckets that are kept, if not all are.
-        self.place = None if keep is None else {int(b): k for k, b in enumerate(keep)}
-
-    def _learn(self, word: bytes) -> None:
-        """The word's buckets; if only some are kept, (bucket, place, place if it stands again), places -1 if it's not kept."""
-        h = np.array([self.hash(t) for t in terms_of(word)], np.uint64)
-        pairs = zip((mix(h) & BUCKETS).tolist(), (mix(h ^ AGAIN) & BUCKETS).tolist(), strict=True)
-        if self.place is None:
-            self.telling[word] = list(pairs)
-        elif found := [(a, self.place.get(a, -1), self.place.get(b, -1)) for a, b in pairs if a in self.place or b in self.place]:
-            self.telling[word] = found
-        self.known.add(word)
+        self.place = self.kept = None
+        if keep is not None:  # places of the buckets that are kept, and whether a bucket is
+            self.place, self.kept = {int(b): k for k, b in enumerate(keep)}, np.zeros(int(BUCKETS) + 1, bool)
+            self.kept[keep] = True
+
+    def _learn(self, words: list[str]) -> None:
+        """The words' pairs of buckets; if only some are kept, (bucket, place, place if it stands again) of these, places -1 if it's not kept."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        owner, hashes = [np.arange(len(words))], [np.fromiter(map(self.hash, words), np.uint64, len(words))]
+        for k in BEGINNINGS:
+            longer = np.flatnonzero(size > k)
+            owner.append(longer)
+            hashes.append(np.fromiter((self.hash(words[i][:k], k) for i in longer.tolist()), np.uint64, len(longer)))  # seeded by length, so no word's own
+        owner, h = np.concatenate(owner), np.concatenate(hashes)
+        once, again = mix(h) & BUCKETS, mix(h ^ AGAIN) & BUCKETS
+        at = np.arange(len(owner)) if self.kept is None else np.flatnonzero(self.kept[once] | self.kept[again])
+        for k, a, b in zip(owner[at].tolist(), once[at].tolist(), again[at].tolist(), strict=True):
+            self.telling.setdefault(words[k], []).append((a, b) if self.place is None else (a, self.place.get(a, -1), self.place.get(b, -1)))
+        self.known.update(words)
 
     def count(self, text: str | None) -> dict:
         """How often each of the text's terms stands in it; of kept terms only, if not all are."""
@@ -75,8 +79,8 @@ class Terms:
         if len(self.known) > self.most:
             self.known.clear()
             self.telling.clear()
-        for w in counts.keys() - self.known:
-            self._learn(w)
+        if fresh := counts.keys() - self.known:
+            self._learn(list(fresh))
         found: dict[tuple, int] = {}
         for w in counts.keys() & self.telling.keys():
             for t in self.telling[w]:
@@ -217,7 +221,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", out: str =
         import pyarrow as pa
 
         own = model.value
-        terms = Terms(own.terms, 200_000)
+        terms = Terms(own.terms, 400_000)
         for batch in sliced(batches, at):
             values = [own.score(terms.places(t)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(values, pa.float64())], names=[*(names[i] for i in kept), out])

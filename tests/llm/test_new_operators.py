@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 from fractions import Fraction
@@ -152,14 +153,16 @@ VOCABULARY = [f"{a}{b}{c}" for a in ("ra", "mo", "ti", "su") for b in ("len", "g
 
 def plain_score(machine, text):
     """Weights and pairwise products, one by one."""
-    words = defaultdict(int)
-    for w in toxicity.words_of(text):
-        for t in toxicity.terms_of(w):
-            words[t] += 1
     import xxhash
 
-    h = {t: np.array([xxhash.xxh3_64_intdigest(t)], np.uint64) for t in words}
-    buckets = {int((toxicity.mix(h[t]) & toxicity.BUCKETS)[0]) for t in words} | {int((toxicity.mix(h[t] ^ toxicity.AGAIN) & toxicity.BUCKETS)[0]) for t, n in words.items() if n > 1}
+    terms = defaultdict(int)
+    for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F\s]+", text.lower()):
+        terms[w, 0] += 1
+        for k in (4, 5, 6, 7):
+            if len(w) > k:
+                terms[w[:k], k] += 1
+    hashed = lambda t, mark=0: int((toxicity.mix(np.array([xxhash.xxh3_64_intdigest(*t)], np.uint64) ^ np.uint64(mark)) & toxicity.BUCKETS)[0])
+    buckets = {hashed(t) for t in terms} | {hashed(t, int(toxicity.AGAIN)) for t, n in terms.items() if n > 1}
     at = [k for k, b in enumerate(machine.terms.tolist()) if b in buckets]
     z = machine.bias + sum(machine.weights[k] for k in at) + sum(float(machine.factors[a] @ machine.factors[b]) for i, a in enumerate(at) for b in at[i + 1 :])
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
