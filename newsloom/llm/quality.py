@@ -11,7 +11,7 @@
 Documents are scored once and written with their evidence to the shared folder; the sums and the verdicts read that. Nothing but
 the sums by host and path shuffles. Null or empty text has neutral evidence. Null hosts or paths are groups of their own. Without
 labels, or with labels of one kind, evidence is neutral and all stay. Repeated rows are judged each (and alike); a document
-exactly at the threshold goes; whole texts are scored, however long; empty tables give empty results.
+exactly at the threshold goes; whole texts are scored, however long; empty tables give empty results; other columns, of any name, stay.
 """
 
 from __future__ import annotations
@@ -197,11 +197,14 @@ def site_rates(sites: DataFrame) -> tuple[DataFrame, float]:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: tuple[str, ...] = ("lang",), threshold: float = 0.5, most_labels: int = MOST_LABELS, most_sites: int = MOST_SITES, keep_text: bool = True) -> DataFrame:
     """The rows with ``evidence``, ``site_rate``, ``p_bad`` and ``keep`` (columns of these names are replaced); without the text if it isn't kept."""
     spark = docs.sparkSession
-    docs = docs.select(*(quoted(c) for c in docs.columns if c.lower() not in ("evidence", "site_rate", "p_bad", "keep")))
+    names = [c for c in docs.columns if c.lower() not in ("evidence", "site_rate", "p_bad", "keep")]
+    own = {c: f"c{i}" for i, c in enumerate(names)}  # numbered, as columns may have any names
+    docs = docs.select(*map(quoted, names)).toDF(*own.values())
+    id_col, text_col, host, path = own[id_col], own[text_col], own[host], [own[c] for c in path]
     evidence = fit(docs, labels, id_col, text_col, most_labels)
     scratch = Scratch(spark, "quality")
     rows = scratch.write(scored(spark, docs, evidence, text_col, keep_text), "scored")
-    sites, rate = site_rates(scratch.write(site_sums(rows, host, list(path)), "sites"))
+    sites, rate = site_rates(scratch.write(site_sums(rows, host, path), "sites"))
     sites = scratch.write(sites, "rates")
     scratch.drop("sites")
     if sites.count() <= most_sites:
@@ -213,7 +216,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     p = 1 / (1 + F.exp(-z))
     if not evidence.toxic and evidence.weights is None:
         p = F.lit(0.0)
-    return rows.select(*(rows[quoted(c)] for c in docs.columns if keep_text or c != text_col), F.col("__bad__").alias("evidence"), F.coalesce("__rate__", F.lit(rate)).alias("site_rate"), p.alias("p_bad"), (p < threshold).alias("keep"))
+    return rows.select(*(F.col(k).alias(c) for c, k in own.items() if keep_text or k != text_col), F.col("__bad__").alias("evidence"), F.coalesce("__rate__", F.lit(rate)).alias("site_rate"), p.alias("p_bad"), (p < threshold).alias("keep"))
 
 
 def site_sums(docs: DataFrame, host: str, path: list[str]) -> DataFrame:

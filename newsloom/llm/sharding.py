@@ -7,7 +7,7 @@ constant time, and when a shard goes almost all keys of the others stay.
 
 A null key is a key like any other. Equal keys go to one shard; ``salt`` spreads the rows of hot keys over
 some shards, by further columns. Repeated rows go where the first does; empty tables stay empty; other columns
-pass through, but one named like the output; the length of texts doesn't matter, as only keys are read.
+of any name pass through, but one named like the output; the length of texts doesn't matter, as only keys are read.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import quoted
+
 #: A prime; at most this many rows are ever broadcast.
 SLOTS = 65_537
 
@@ -59,21 +61,22 @@ def key_slot(*keys: Column, slots: int = SLOTS) -> Column:
 
 def place(df: DataFrame, keys: list[str], shards: list[str], weights: list[float] | None = None, salt: list[str] | None = None, spread: int = 1, out: str = "shard", slots: int = SLOTS) -> DataFrame:
     """Adds ``out``, the name of each row's shard. With ``salt`` a key's rows go to ``spread`` places, by those columns."""
-    spark, slot = df.sparkSession, "__slot__"
     owner = fill_table(shards, weights, slots)
-    table = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(owner.tolist())], f"`{slot}` int, `{out}` string")
-    by = [F.col(k) for k in keys]
+    table = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(owner.tolist())], "slot int, shard string")
+    by = [F.col(quoted(k)) for k in keys]
     if salt:
-        by.append(F.pmod(F.xxhash64(*salt), F.lit(spread)))
+        by.append(F.pmod(F.xxhash64(*(F.col(quoted(k)) for k in salt)), F.lit(spread)))
     kept = [c for c in df.columns if c.lower() != out.lower()]
-    return df.select(*kept, key_slot(*by, slots=slots).alias(slot)).join(F.broadcast(table), slot).select(*kept, out)
+    # numbered, as columns may have any names
+    rows = df.select(*map(quoted, kept), key_slot(*by, slots=slots)).toDF(*(f"c{i}" for i in range(len(kept))), "slot")
+    return rows.join(F.broadcast(table), "slot").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), F.col("shard").alias(out))
 
 
 def write_shards(placed: DataFrame, path: str, shard: str = "shard", files: int = 8) -> None:
     """One directory per shard, each in about ``files`` files: a shard isn't gathered in a single task. A row's file is a hash of the
     row, so that what a lost executor had is dealt alike again; maps can't be hashed and are left out of it."""
-    hashed = [F.col(f"`{f.name}`") for f in placed.schema if "map<" not in f.dataType.simpleString()]
-    placed.withColumn("__part__", F.pmod(F.xxhash64(*hashed), F.lit(files))).repartition(shard, "__part__").drop("__part__").write.partitionBy(shard).mode("overwrite").parquet(path)
+    hashed = [F.col(quoted(f.name)) for f in placed.schema if "map<" not in f.dataType.simpleString()]
+    placed.repartition(F.col(quoted(shard)), F.pmod(F.xxhash64(*hashed), F.lit(files))).write.partitionBy(shard).mode("overwrite").parquet(path)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,36 @@ def test_mined_rules_like_plain_enumeration(spark, monkeypatch, common_rows):
     assert url_filters.mine(pages, labels.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_rows_of_hot_and_missing_urls_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "COMMON_ROWS", 50)
+    urls = ["http://hot.net/buy"] * 400 + ["http://cold.net/hot"] * 300 + [None] * 300 + ["no url"] * 200 + [f"http://a{i}.net/{i}" for i in range(200)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(8)
+    rules = spark.createDataFrame([(1, ["path:buy"], 0.9, 0.5, [(400, ["path:buy"])])], url_filters.RULE)
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        judged = url_filters.judge(pages, rules, by_hand={})
+        sizes = [r["count"] for r in judged.groupBy(F.spark_partition_id()).count().collect()]
+        got = {r.page_id: r.verdict for r in judged.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: "block" if u == "http://hot.net/buy" else "allow" for i, u in enumerate(urls)}
+    assert max(sizes) <= 1.5 * len(urls) / 8
+
+
+def test_tokens_of_any_depth_make_rules(spark):
+    """A part past the sixth tells, and is matched."""
+    rng = random.Random(5)
+    urls = [f"http://x{i % 7}.net/" + "/".join(f"d{j}" for j in range(9)) + ("/junk" if i % 3 == 0 else "/fine") + f"/{i}.html" for i in range(240)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(240) if rng.random() < 0.7], "doc_id long, quality int, toxic int")
+    judged = url_filters.judge(pages, url_filters.mine(pages, labels, Scratch(spark, "t")), by_hand={})
+    assert {r.page_id for r in judged.filter("verdict = 'block'").collect()} == {i for i in range(240) if i % 3 == 0}
+
+
 def test_mining_is_bounded(spark):
     deep = "http://a.b.c.d.e.f.g.com/" + "/".join(f"p{k}" for k in range(25)) + "?" + "&".join(f"k{k}=1" for k in range(20))
     urls = [deep] * 100 + [f"{deep}&x={k}#f" for k in range(30)] + [f"http://m.net/{'/'.join(f'd{j}' for j in range(1 + k % 12))}/{k}.html" for k in range(300)]
@@ -396,6 +426,15 @@ def test_written_shards(spark, tmp_path):
     assert sharding.place(df.limit(0), ["id"], ["x"], slots=101).count() == 0
 
 
+def test_sharding_keeps_columns_of_any_name(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 2, 3, None), (1, "a", 2, 3, None), (None, "b", 4, 5, 6)], "`k.1` long, `__slot__` string, slot int, `c0` int, `__part__` int")
+    got = sharding.place(df, ["k.1"], ["x", "y"], salt=["__slot__"], spread=2, out="my.shard", slots=101)
+    assert got.columns == [*df.columns, "my.shard"]
+    assert sorted((str(tuple(r)[:5]) for r in got.collect())) == sorted(str(tuple(r)) for r in df.collect())
+    sharding.write_shards(got.withColumnRenamed("my.shard", "shard"), str(tmp_path / "o"), files=2)
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 3
+
+
 def test_sharding_table():
     names = [f"s{i}" for i in range(7)]
     table = sharding.fill_table(names, slots=1009)
@@ -595,6 +634,9 @@ def test_quality_on_held_out_documents(spark):
     labels = spark.createDataFrame([(i, int(k != "junk"), int(k == "toxic")) for i, k in enumerate(kinds[:300])], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.keep for r in quality.classify(df, labels).collect()}
     assert len(got) == 600 and np.mean([got[i] == (kinds[i] == "clean") for i in range(300, 600)]) > 0.97
+    odd = df.withColumns({"__bad__": F.lit("x"), "__rate__": F.lit(1), "__host__": F.lit("y"), "`a.b`": F.lit(2), "__id__": F.lit(3), "c0": F.lit(4)})
+    named = quality.classify(odd, labels)
+    assert named.columns == [*(c for c in odd.columns if c != "keep"), "evidence", "site_rate", "p_bad", "keep"] and {r.doc_id: r.keep for r in named.collect()} == got
     assert quality.classify(df, labels.limit(0)).filter("keep").count() == 600
     assert quality.classify(df.limit(0), labels).count() == 0
 
