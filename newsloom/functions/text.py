@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,25 +49,32 @@ def matches_keyword(text: Column, keywords: list[str]) -> Column:
     return F.lower(text).rlike(pattern) if pattern else F.lit(False)
 
 
-def contains_any(text: Column, keywords: list[str]) -> Column:
-    """Plain substrings of the lower-cased text, for scores and categories."""
-    low = F.lower(text)
-    out = F.lit(False)
-    for k in keywords:
-        out = out | low.contains(k)
-    return out
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that's computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def rule_hits(text: Column, bonus_rules: list[tuple[list[str], int]], category_rules: list[tuple[str, list[str]]]) -> Column:
+    """``bonus`` and ``category`` of a text. It's lowered once, each distinct keyword of all rules is looked for once (plain substrings), and
+    the rules read the hits."""
+    words = list(dict.fromkeys(k for ks in [*(ks for ks, _ in bonus_rules), *(ks for _, ks in category_rules)] for k in ks))
+    place = {k: i for i, k in enumerate(words)}
+
+    def decide(hits: Column) -> Column:
+        met = lambda ks: functools.reduce(operator.or_, (F.get(hits, F.lit(place[k])) for k in ks), F.lit(False))
+        bonus = functools.reduce(operator.add, (F.when(met(ks), points).otherwise(0) for ks, points in bonus_rules), F.lit(0))
+        found = F.array_distinct(F.array_compact(F.array(*(F.when(met(ks), name) for name, ks in category_rules)).cast("array<string>")))
+        return F.struct(bonus.alias("bonus"), F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Other"))).alias("category"))
+
+    return bound(F.lower(text), lambda low: bound(F.array(*(low.contains(k) for k in words)).cast("array<boolean>"), decide))
 
 
 def keyword_bonus(text: Column, rules: list[tuple[list[str], int]]) -> Column:
-    out = F.lit(0)
-    for keywords, bonus in rules:
-        out = out + F.when(contains_any(text, keywords), bonus).otherwise(0)
-    return out
+    return rule_hits(text, rules, [])["bonus"]
 
 
 def categorise(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
-    found = F.array_compact(F.array(*(F.when(contains_any(text, ks), name) for name, ks in rules)))
-    return F.when(F.size(found) > 0, F.array_distinct(found)).otherwise(F.array(F.lit("Other")))
+    return rule_hits(text, [], rules)["category"]
 
 
 def crowd_bonus(raw: Column, scale: Column, weight: int = 18, most: int = 60) -> Column:
@@ -123,9 +133,13 @@ def crowd_number(c: Column) -> Column:
 
 
 def retry_after(c: Column, now: Column, most: int = 7 * 86400) -> Column:
-    """Seconds from a Retry-After header: digits, or an HTTP date; null beyond 0 to ``most`` or 128 characters."""
-    date = F.try_to_timestamp(F.regexp_replace(c, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    seconds = F.when(c.rlike(r"^\s*\d+\s*$"), F.trim(c).try_cast("long")).otherwise((date.cast("double") - now.cast("timestamp").cast("double")).cast("long"))
+    """Seconds from a Retry-After header, trimmed: digits, or an HTTP date (a past one gives 0, a part of a second counts whole); null
+    beyond 0 to ``most``, for other forms, or if the header has more than 128 characters."""
+    raw = js_trim(c)
+    date = F.try_to_timestamp(F.concat(F.substring(raw, 6, 20), F.lit(" +0000")), F.lit("dd MMM yyyy HH:mm:ss Z"))
+    ahead = F.greatest(F.lit(0), F.ceil((F.unix_micros(date) - F.unix_micros(now.cast("timestamp"))) / F.lit(1_000_000)))
+    is_date = raw.rlike(r"^[A-Za-z]{3}, \d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} GMT$")
+    seconds = F.when(raw.rlike(r"^\d+$"), raw.try_cast("long")).when(is_date & date.isNotNull(), ahead)
     return F.when((F.length(c) <= 128) & seconds.between(0, most), seconds)
 
 

@@ -49,7 +49,8 @@ def finished(status: Column, attempts: Column) -> Column:
 
 
 def initial_status(lang: Column, abstract: Column) -> Column:
-    return F.when(lang.eqNullSafe("ja") & (abstract != ""), "excerpt").when(lang.eqNullSafe("ja"), "insufficient_evidence").otherwise("pending")
+    """Japanese items start from their abstract, if it isn't blank; others wait for a summary."""
+    return F.when(lang.eqNullSafe("ja") & F.coalesce(X.js_trim(abstract) != "", F.lit(False)), "excerpt").when(lang.eqNullSafe("ja"), "insufficient_evidence").otherwise("pending")
 
 
 def parse_state(raw: Column, schema: str = "marker string, status string, attempts int, abstract string, nextAttemptAt timestamp") -> Column:
@@ -67,17 +68,33 @@ def page_states(blocks: DataFrame) -> DataFrame:
 # What may be kept of a failed call, and the mark of an excerpt that no check has seen.
 REASONS = ["http_error", "timeout", "network_error", "incomplete_response", "invalid_response"]
 CODE_KINDS = ["number", "numeric_string", "string", "null", "other"]
+CODES = [
+    "rate_limit_exceeded", "rate_limited", "too_many_requests", "insufficient_quota", "quota_exceeded", "invalid_api_key", "unauthorized",
+    "invalid_request_error", "invalid_request", "model_not_found", "unknown_model", "server_error", "overloaded", "context_length_exceeded",
+]
+PROVIDER_TYPES = ["invalid_request_error", "authentication_error", "rate_limit_error", "server_error"]
+CODE_STATUS = ["present", "missing", "no_body", "oversized", "invalid_json", "read_failed"]
+HINT_STATUS = ["valid", "missing", "invalid"]
+MOST_HINT = 7 * 86400
 UNVERIFIED, EXCERPT = "【フィード抜粋・未検証】", 300
 
 
 def safe_failure(raw: Column) -> Column:
-    """A model call's failure without free text: stage, a known reason, an HTTP status in range, a known kind of code; null for anything else."""
-    got = F.from_json(raw, "stage string, reason string, httpStatus int, codeKind string")
+    """A model call's failure without free text, null unless its stage and reason are known: an HTTP status in range, codes and provider
+    types of known names (others: ``unrecognized``), known kinds and statuses, and a hint to wait (seconds) of at most a week."""
+    field = lambda name: F.get_json_object(raw, f"$.{name}")
+    known = lambda name, names: F.when(field(name).isin(names), field(name))
+    there = lambda name: F.coalesce(F.array_contains(F.json_object_keys(raw), name), F.lit(False))
+    named = lambda name, names: F.when(there(name), F.coalesce(known(name, names), F.lit("unrecognized")))
+    whole = lambda name, low, high: F.when(field(name).rlike(r"^\d+$") & F.coalesce(field(name).try_cast("long").between(low, high), F.lit(False)), field(name).try_cast("int"))
+    # a number in quotes is none: JSON text keeps the quotes
+    number = lambda name, low, high: F.when(~raw.rlike(rf'"{name}"\s*:\s*"'), whole(name, low, high))
     kept = F.struct(
-        got["stage"].alias("stage"), got["reason"].alias("reason"),
-        F.when(got["httpStatus"].between(100, 599), got["httpStatus"]).alias("http_status"), F.when(got["codeKind"].isin(CODE_KINDS), got["codeKind"]).alias("code_kind"),
+        field("stage").alias("stage"), field("reason").alias("reason"), number("httpStatus", 100, 599).alias("http_status"), named("code", CODES).alias("code"),
+        known("codeKind", CODE_KINDS).alias("code_kind"), known("codeStatus", CODE_STATUS).alias("code_status"), named("providerType", PROVIDER_TYPES).alias("provider_type"),
+        number("retryAfterSeconds", 0, MOST_HINT).alias("retry_after"), known("retryAfterStatus", HINT_STATUS).alias("retry_after_status"),
     )
-    return F.when((got["stage"] == "model") & got["reason"].isin(REASONS), kept)
+    return F.when((field("stage") == "model") & field("reason").isin(REASONS), kept)
 
 
 def collected_summary(lang: Column, abstract: Column, summary: Column) -> Column:
@@ -137,11 +154,38 @@ def reserve(state: DataFrame, now: Column) -> DataFrame:
     return state.withColumn("next_at", now + F.expr(RETRY))
 
 
-def migrate_cooldown(reports: DataFrame, current: DataFrame) -> DataFrame:
-    """A cooldown from the reports of throttled model calls, counted from their end; a later deadline that's there stays. Safe to repeat."""
-    found = reports.filter((F.col("operation") == "model") & (F.col("http_status") == 429)).select((F.col("finished_at") + F.expr(RETRY)).alias("until"), F.lit("rate_limited").alias("cause"))
-    both = found.withColumn("late", F.lit(1)).unionByName(current.select("until", "cause", F.lit(0).alias("late")))
-    return cooldown(both, "until", "cause", F.col("late")).filter("until IS NOT NULL")
+REPORT = "schema_version int, stage string, status string, repository string, ref string, run_id string, started_at timestamp, finished_at timestamp, operation string, http_status int, hint long, explicit_at timestamp, dated boolean"
+
+
+def rejections(reports: DataFrame, run: dict, now: Column) -> DataFrame:
+    """The reports (``REPORT``) of throttled model calls, with ``until``, the deadline that each proves, or the ``problem`` that bars it.
+
+    A report counts if it's a failed enrichment of this repository and ref, that began before it ended and ended by now (a minute of skew is
+    allowed). The deadline is the one it states (``dated``: whether it states one; it may not be before the wait since the start), else the
+    wait since its end: six hours, or longer if the hint (seconds) says so. Waits that only cite an old rejection aren't model calls."""
+    wait = F.greatest(F.lit(6 * 3600), F.when(F.col("hint").between(0, MOST_HINT), F.col("hint")).otherwise(0))
+    after = lambda at: F.col(at) + F.make_dt_interval(secs=wait.cast("decimal(18,6)"))
+    valid = (
+        (F.col("schema_version") == 1) & (F.col("stage") == "enrich") & (F.col("status") == "failed") & (F.col("repository") == run["repository"]) & (F.col("ref") == run["ref"])
+        & F.col("run_id").isNotNull() & (F.col("started_at") <= F.col("finished_at")) & (F.col("finished_at") <= now + F.expr("interval 60 seconds"))
+    )
+    dated = F.coalesce(F.col("dated"), F.lit(False))
+    problem = F.when(~F.coalesce(valid, F.lit(False)), "invalid_report").when(dated & ~F.coalesce(F.col("explicit_at") >= after("started_at"), F.lit(False)), "invalid_deadline")
+    found = reports.filter((F.col("operation") == "model") & (F.col("http_status") == 429))
+    return found.select("run_id", problem.alias("problem"), F.when(problem.isNull(), F.when(dated, F.col("explicit_at")).otherwise(after("finished_at"))).alias("until"))
+
+
+def migrate_cooldown(reports: DataFrame, current: DataFrame, run: dict, now: Column) -> DataFrame:
+    """One row: ``until`` and ``cause`` of the cooldown that the reports and the current one (``until``, ``cause``; one row or none) give, ``changed``,
+    and ``status``: active or expired by now, ``missing_evidence`` if nothing shows one, ``refused`` if a report is invalid, whereupon
+    the current one stays. A later deadline that's there stays too. Safe to repeat."""
+    own = rejections(reports, run, now).agg(F.max("until").alias("found"), F.coalesce(F.bool_or(F.col("problem").isNotNull()), F.lit(False)).alias("refused"))
+    held = current.agg(F.max("until").alias("held"), F.max_by("cause", "until").alias("held_cause"))
+    both = own.join(F.broadcast(held), how="inner")  # one row each
+    changed = ~F.col("refused") & F.coalesce(F.col("held").isNull() | (F.col("found") > F.col("held")), F.lit(False)) & F.col("found").isNotNull()
+    until = F.when(changed, F.col("found")).otherwise(F.col("held"))
+    status = F.when(F.col("refused"), "refused").when(until.isNull(), "missing_evidence").when(until > now, "active").otherwise("expired")
+    return both.select(until.alias("until"), F.when(changed, "rate_limited").otherwise(F.col("held_cause")).alias("cause"), changed.alias("changed"), status.alias("status"))
 
 
 def chunk_progress(state: DataFrame, inputs: DataFrame, size: int = 3000) -> DataFrame:

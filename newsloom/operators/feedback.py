@@ -148,5 +148,14 @@ def foreign(outbox: DataFrame, bundle: DataFrame) -> DataFrame:
     return outbox.join(bundle.select("url"), "url", "left_anti")
 
 
+# The digest's header and the line below it.
+DIGEST = "🗞️ AI News Digest — "
+SHOWN_OF, ALL_SHOWN = ("本日の新着 ", " 件から上位 ", " 件（各記事はスレッドに投稿）"), ("本日の新着 ", " 件（各記事はスレッドに投稿）")
+
+
 def header(date: Column, total: Column, shown: Column) -> Column:
-    return F.when(total > shown, F.concat(date, F.lit(": "), shown.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" articles"))).otherwise(F.concat(date, F.lit(": "), total.cast("string"), F.lit(" articles")))
+    """``title`` and ``context``: how many articles are shown, and of how many if there are more."""
+    a, b, c = map(F.lit, SHOWN_OF)
+    one, rest = map(F.lit, ALL_SHOWN)
+    text = F.when(total > shown, F.concat(a, total.cast("string"), b, shown.cast("string"), c)).otherwise(F.concat(one, shown.cast("string"), rest))
+    return F.struct(F.concat(F.lit(DIGEST), date).alias("title"), text.alias("context"))

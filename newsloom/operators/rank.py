@@ -40,14 +40,14 @@ def score(articles: DataFrame, source_dim: DataFrame, bonus_rules=dims.BONUS_RUL
     dim = F.broadcast(source_dim.select("source", F.col("lang").alias("__lang"), F.col("kind").alias("__kind"), "weight", "crowd_scale"))
     kept = [c for c in articles.columns if c not in ("score", "category", "lang", "kind")]
     lang = F.coalesce("__lang", "lang") if "lang" in articles.columns else F.col("__lang")
-    out = articles.join(dim, "source", "left").select(
+    out = articles.join(dim, "source", "left").withColumn("__hits", X.rule_hits(text, bonus_rules, category_rules)).select(
         *kept,
         lang.alias("lang"),
         F.col("__kind").alias("kind"),
         F.coalesce("weight", F.lit(dims.DEFAULT_WEIGHT)).alias("base"),
-        X.keyword_bonus(text, bonus_rules).alias("bonus"),
+        F.col("__hits.bonus").alias("bonus"),
         X.crowd_bonus(F.col("crowd_score"), F.coalesce("crowd_scale", F.lit(1.0))).alias("crowd"),
-        X.categorise(text, category_rules).alias("category"),
+        F.col("__hits.category").alias("category"),
     )
     return out.withColumn("score", F.col("base") + F.col("bonus") + F.col("crowd"))
 

@@ -104,7 +104,7 @@ def export_rows(df: DataFrame, source_dim: DataFrame) -> DataFrame:
     """Rows with a URL and a title, their gaps filled from the source's dimension, else by defaults."""
     dim = F.broadcast(source_dim.select("source", F.col("lang").alias("d_lang"), F.col("kind").alias("d_kind")))
     rows = df.filter((F.coalesce("url", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != "")).join(dim, "source", "left")
-    return rows.withColumns({"source": F.coalesce("source", F.lit("Unknown")), "status": F.coalesce("status", F.lit("Unread")), "lang": F.coalesce("lang", "d_lang", F.lit("en")), "kind": F.coalesce("kind", "d_kind", F.lit("primary"))}).drop("d_lang", "d_kind")
+    return rows.withColumns({"source": F.coalesce("source", F.lit("Unknown")), "status": F.coalesce("status", F.lit("Unread")), "lang": F.coalesce("lang", "d_lang", F.lit("en")), "kind": F.coalesce("kind", "d_kind", F.lit("primary"))} | ({"score": F.coalesce("score", F.lit(0))} if "score" in df.columns else {})).drop("d_lang", "d_kind")
 
 
 def coerce(df: DataFrame) -> DataFrame:

@@ -58,9 +58,12 @@ def enrich_run(backlog: DataFrame, states: DataFrame, bodies: DataFrame, answers
 
 
 def build_brief(pages: DataFrame, states: DataFrame, reports: DataFrame, now: Column) -> dict:
-    """A brief: its articles, expiry and status. ``reports`` is the one row of flags that ``brief.status`` reads, without ``limited`` and ``n_articles``."""
+    """A brief: its articles, expiry and status. ``reports`` is the one row of flags that ``brief.report_flags`` gives, without ``n_articles``;
+    ``limited`` is the scan's own. A blocked run, or one that fetched nothing, has no articles, whatever is stored."""
     found, more = brief.candidates(pages, states, now)
-    good = found.filter(brief.grounded_candidate(now))
+    reports = reports.drop("limited")
+    may = reports.select((~brief.blocked() & (F.col("fetched") > 0)).alias("__may"))
+    good = found.filter(brief.grounded_candidate(now)).join(F.broadcast(may.filter("__may")), how="left_semi")  # one row or none
     chosen = brief.select(good, now)
     flags = reports.join(F.broadcast(more), how="inner").join(F.broadcast(chosen.agg(F.count("*").alias("n_articles"))), how="inner")  # one row each
     return {"articles": chosen, "expiry": brief.expiry(chosen, now), "status": brief.status(flags)}

@@ -87,16 +87,19 @@ def delivery_steps(spark, d):
     return table(spark, d, "events").select("event_id", feedback.next_delivery(pick(STATES[:5], E)).alias("step"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 30 > c_custkey % 20 THEN 'D: ' || (c_custkey % 20) || ' of ' || (c_custkey % 30) || ' articles' ELSE 'D: ' || (c_custkey % 30) || ' articles' END AS header FROM customer")
+@query("""WITH n AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS total FROM orders GROUP BY 1), m AS (SELECT *, least(total, 5) AS shown FROM n)
+SELECT '🗞️ AI News Digest — ' || strftime(day, '%Y-%m-%d') AS title, CASE WHEN total > shown THEN '本日の新着 ' || total || ' 件から上位 ' || shown || ' 件（各記事はスレッドに投稿）' ELSE '本日の新着 ' || shown || ' 件（各記事はスレッドに投稿）' END AS context FROM m""")
 def digest_header(spark, d):
-    k = F.col("c_custkey")
-    return table(spark, d, "customer").select("c_custkey", feedback.header(F.lit("D"), k % 30, k % 20).alias("header"))
+    """Of each day's orders five are shown."""
+    days = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("total"))
+    return days.select(feedback.header(F.col("day").cast("string"), F.col("total"), F.least("total", F.lit(5))).alias("h")).select("h.*")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def foreign_entries(spark, d):
+    """Orders of customers who owe."""
     outbox = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("url"))
-    return feedback.foreign(outbox, table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("url"))).select("o_orderkey")
+    return feedback.foreign(outbox, table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("url"))).select("o_orderkey")
 
 
 @query("""WITH t AS (SELECT min(event_id) AS o, CAST(user_id AS VARCHAR) AS u FROM events WHERE event_type = 'purchase' GROUP BY user_id ORDER BY 1 LIMIT 10), a AS (SELECT list(u ORDER BY o) AS urls FROM t)
@@ -113,11 +116,11 @@ def outbox_batch(spark, d):
 def _hits(spark, d):
     E, D = F.col("event_id"), F.col("doc_id")
     labels = table(spark, d, "events").select(E.alias("doc_id"), "ts", "value")
-    title = F.concat(pick(["a new llm ", "said ", "agents and AI ", "rage "], D), F.substring("text", 1, 30))
+    title = F.concat(pick(["a new llm ", "said ", "agents and AI ", "rage "], D), F.substring_index("text", "\n", 1))
     return table(spark, d, "documents").join(labels, "doc_id").select(D.alias("ordinal"), title.alias("title"), "text", "ts", "value")
 
 
-TITLE = "(" + pick_sql(["a new llm ", "said ", "agents and AI ", "rage "], "doc_id") + " || substr(text, 1, 30))"
+TITLE = "(" + pick_sql(["a new llm ", "said ", "agents and AI ", "rage "], "doc_id") + " || split_part(text, chr(10), 1))"
 WORD = lambda c, ks: f"regexp_matches(lower({c}), '" + "|".join(("(^|[^a-z0-9_])" if len(k) <= 3 else "") + k.replace(".", "\\.") + ("($|[^a-z0-9_])" if len(k) <= 3 else "") for k in ks) + "')"
 
 
@@ -202,19 +205,30 @@ def collapsed(spark, d):
     return table(spark, d, "documents").select("doc_id", X.js_trim(X.collapse(F.col("text"), 300)).alias("cut"))
 
 
-@query("SELECT page_id, '*<' || url || '|' || replace(replace(replace('A & <b>' || page_id, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '>*' || chr(10) || CASE page_id % 3 WHEN 0 THEN 'sum &amp; mary' WHEN 1 THEN substr(repeat('abstract', 30), 1, 160) ELSE '(no summary)' END AS line FROM pages")
+@query("""WITH t AS (SELECT doc_id, url, split_part(text, chr(10), 1) AS title, split_part(text, chr(10), 2) AS summary, text AS abstract FROM documents JOIN pages ON page_id = doc_id)
+SELECT doc_id, '*<' || url || '|' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '>*' || chr(10) ||
+  replace(replace(replace(coalesce(nullif(summary, ''), nullif(substr(abstract, 1, 160), ''), '(no summary)'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS line FROM t""")
 def article_lines(spark, d):
-    k = F.col("page_id")
-    summary, abstract = F.when(k % 3 == 0, "sum & mary").otherwise(""), F.when(k % 3 == 1, F.repeat(F.lit("abstract"), 30))
-    return table(spark, d, "pages").select("page_id", X.article_line(F.concat(F.lit("A & <b>"), k.cast("string")), F.col("url"), summary, abstract).alias("line"))
+    """Documents with a page's URL: their second line is the summary, where there is one."""
+    docs = table(spark, d, "documents").join(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
+    line = lambda n: F.coalesce(F.get(F.split("text", "\n", n + 2), F.lit(n)), F.lit(""))
+    return docs.select("doc_id", X.article_line(line(0), F.col("url"), line(1), F.col("text")).alias("line"))
+
 
+NOON = "2024-01-15 12:00:00.5"
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 AND event_id * 100 <= 604800 THEN event_id * 100 WHEN event_id % 4 = 1 AND event_id * 60 <= 604800 THEN event_id * 60 END AS seconds FROM events")
+
+@query(f"""WITH r AS (SELECT event_id, ts, value, date_trunc('second', ts) AS sec FROM events),
+s AS (SELECT event_id, CASE CAST(event_id % 6 AS INTEGER) WHEN 0 THEN CAST(floor(value * 2000) AS BIGINT) WHEN 1 THEN greatest(0, CAST(ceil(epoch(sec) - epoch(TIMESTAMP '{NOON}')) AS BIGINT))
+  WHEN 2 THEN greatest(0, CAST(ceil(epoch(sec) - epoch(TIMESTAMP '{NOON}')) AS BIGINT)) END AS seconds FROM r)
+SELECT event_id, CASE WHEN seconds <= 604800 THEN seconds END AS seconds FROM s""")
 def retry_after_seconds(spark, d):
+    """Whole numbers and dates of the events, past and future ones, plain and padded; fractions, words and dates that are none give null."""
     E = F.col("event_id")
-    date = F.concat(F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(AT).cast("timestamp")) + E * 60), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
-    raw = F.when(E % 4 == 0, (E * 100).cast("string")).when(E % 4 == 1, date).when(E % 4 == 2, "soon")
-    return table(spark, d, "events").select("event_id", X.retry_after(raw, F.lit(AT).cast("timestamp")).alias("seconds"))
+    date = F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    raw = [F.concat(F.lit(" "), F.floor(F.col("value") * 2000).cast("string")), date, F.concat(F.lit(" \t"), date, F.lit("\n")), F.concat(F.floor("value").cast("string"), F.lit(".5")), F.col("event_type"), F.regexp_replace(date, r", \d\d ", ", 99 ")]
+    rows = table(spark, d, "events").select("event_id", F.element_at(F.array(*raw), (E % 6 + 1).cast("int")).alias("raw"))
+    return rows.select("event_id", X.retry_after(F.col("raw"), F.lit(NOON).cast("timestamp")).alias("seconds"))
 
 
 FORMS = [("yyyy-MM-dd'T'HH:mm:ss'Z'", 0), ("EEE, d MMM yyyy HH:mm:ss 'GMT'", 0), ("d MMM yyyy HH:mm:ss 'EST'", 5), ("EEE, dd MMM yyyy HH:mm:ss '+0900'", -9), ("d MMM yyyy HH:mm:ss 'PDT'", 7)]
@@ -229,11 +243,13 @@ def parsed_dates(spark, d):
     return table(spark, d, "events").select("event_id", X.parse_date(raw).cast("timestamp_ntz").alias("at"))
 
 
-@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(event_id AS DOUBLE) WHEN 1 THEN event_id + 0.5 WHEN 2 THEN event_id * 1000.0 ELSE -1 END AS crowd FROM events")
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN value WHEN 1 THEN floor(value) WHEN 2 THEN floor(value) * 1000 ELSE -1 END AS crowd FROM events")
 def crowd_numbers(spark, d):
-    E = F.col("event_id")
-    raw = pick(["{} ", "{}.5", "{}e3", "{}d", "NaN", ""], E)
-    return table(spark, d, "events").select("event_id", F.coalesce(X.crowd_number(F.replace(raw, F.lit("{}"), E.cast("string"))), F.lit(-1.0)).alias("crowd"))
+    """The events' values as text: padded, whole, with an exponent; with a letter, as no number, and empty they're none."""
+    E, v = F.col("event_id"), F.col("value").cast("string")
+    raw = [F.concat(v, F.lit(" ")), F.floor("value").cast("string"), F.concat(F.floor("value").cast("string"), F.lit("e3")), F.concat(v, F.lit("d")), F.lit("NaN"), F.lit("")]
+    rows = table(spark, d, "events").select("event_id", F.element_at(F.array(*raw), (E % 6 + 1).cast("int")).alias("raw"))
+    return rows.select("event_id", F.coalesce(X.crowd_number(F.col("raw")), F.lit(-1.0)).alias("crowd"))
 
 
 @query("SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: trim(p, ' ' || chr(9) || chr(10))), lambda p: p <> '')[1] AS first, greatest(1, len(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: trim(p, ' ' || chr(9) || chr(10))), lambda p: p <> ''))) AS n FROM documents WHERE trim(text) <> ''")
@@ -292,11 +308,15 @@ def real_keywords(spark, d):
 # enrichment
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'de' AND doc_id % 5 <> 0 THEN 'excerpt' WHEN lang = 'de' THEN 'insufficient_evidence' ELSE 'pending' END AS status FROM documents")
+@query("""WITH a AS (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN ' ' || chr(9) || chr(10) WHEN doc_id % 4 = 1 THEN split_part(text, chr(10), 2) ELSE text END AS abstract FROM documents)
+SELECT doc_id, CASE WHEN lang <> 'de' OR lang IS NULL THEN 'pending' WHEN trim(coalesce(abstract, ''), ' ' || chr(9) || chr(10)) <> '' THEN 'excerpt' ELSE 'insufficient_evidence' END AS status FROM a""")
 def initial_states(spark, d):
+    """Some abstracts are blank, some a second line, which may be missing."""
     D = F.col("doc_id")
     lang = F.when(F.col("lang") == "de", "ja").otherwise(F.col("lang"))
-    return table(spark, d, "documents").select("doc_id", enrich.initial_status(lang, F.when(D % 5 != 0, F.col("text")).otherwise("")).alias("status"))
+    second = F.coalesce(F.get(F.split("text", "\n", 3), F.lit(1)), F.lit(""))
+    abstract = F.when(D % 4 == 0, " \t\n").when(D % 4 == 1, second).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", enrich.initial_status(lang, abstract).alias("status"))
 
 
 @query("SELECT doc_id, CASE WHEN lang <> 'de' THEN 'made' WHEN trim(substr(text, 1, 300), ' ' || chr(9) || chr(10)) = '' THEN '' ELSE '【フィード抜粋・未検証】' || substr(trim(text, ' ' || chr(9) || chr(10)), 1, 300) END AS summary FROM documents WHERE lang IS NOT NULL")
@@ -331,11 +351,11 @@ def two_step_update(spark, d):
     return enrich.merge_results(once, results, "summary")  # a repeated first step changes nothing
 
 
-@query(f"WITH s AS ({STATE}) SELECT event_id, status, attempts, TIMESTAMP '{AT}' + INTERVAL 6 HOUR AS next_at FROM s")
+@query(f"WITH s AS ({STATE.replace(' WHERE event_id % 3 <> 0', '')}) SELECT event_id, status, attempts, TIMESTAMP '{AT}' + INTERVAL 6 HOUR AS next_at FROM s")
 def reserved_states(spark, d):
     from newsloom.plans.catalogue import states
 
-    return enrich.reserve(states(spark, d).filter("event_id % 3 <> 0"), _at()).select("event_id", "status", "attempts", "next_at")
+    return enrich.reserve(states(spark, d), _at()).select("event_id", "status", "attempts", "next_at")
 
 
 @query("""WITH c AS (SELECT doc_id, text, sha256(text) AS source_hash, CASE WHEN doc_id % 2 = 0 THEN doc_id % 3 ELSE 0 END AS next FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text))
@@ -348,12 +368,50 @@ def translation_chunks(spark, d):
     return got.select("source_hash", F.col("next").cast("long").alias("next"), "chunk", "complete")
 
 
-@query("SELECT max(ts) + INTERVAL 6 HOUR AS until, 'rate_limited' AS cause FROM events WHERE event_type = 'click' AND event_id % 3 = 0")
+RUN = {"repository": "a/b", "ref": "main"}
+#: Reports of the events: half of the errors and purchases are throttled model calls, some with hints, deadlines or flaws.
+REPORTS = f"""SELECT event_id, CASE WHEN user_id % 9 = 0 THEN 2 ELSE 1 END AS schema_version, CASE WHEN user_id % 10 = 0 THEN 'other' ELSE 'main' END AS ref, ts AS started_at,
+  ts + to_seconds(CAST(floor(value) AS BIGINT) - CASE WHEN user_id % 11 = 0 THEN 9999 ELSE 0 END) AS finished_at, CASE WHEN value > 20 THEN CAST(floor(value * 1500) AS BIGINT) END AS hint, user_id % 4 = 0 AS dated,
+  CASE WHEN user_id % 8 = 0 THEN ts + to_seconds(CAST(floor(value * 4000) AS BIGINT)) END AS explicit_at FROM events WHERE event_type IN ('error', 'purchase') AND user_id % 2 = 0"""
+REJECTIONS = f"""r AS ({REPORTS}), w AS (SELECT *, greatest(21600, CASE WHEN hint BETWEEN 0 AND 604800 THEN hint ELSE 0 END) AS wait FROM r),
+x AS (SELECT *, CASE WHEN schema_version <> 1 OR ref <> 'main' OR started_at > finished_at OR finished_at > TIMESTAMP '{AT}' + INTERVAL 1 MINUTE THEN 'invalid_report'
+  WHEN dated AND (explicit_at IS NULL OR explicit_at < started_at + to_seconds(wait)) THEN 'invalid_deadline' END AS problem FROM w),
+y AS (SELECT event_id, problem, CASE WHEN problem IS NULL THEN CASE WHEN dated THEN explicit_at ELSE finished_at + to_seconds(wait) END END AS until FROM x)"""
+
+
+def _reports(spark, d):
+    U, V = F.col("user_id"), F.col("value")
+    ended = F.col("ts") + F.make_dt_interval(secs=(F.floor(V) - F.when(U % 11 == 0, 9999).otherwise(0)).cast("decimal(18,6)"))
+    explicit = F.when(U % 8 == 0, F.col("ts") + F.make_dt_interval(secs=F.floor(V * 4000).cast("decimal(18,6)")))
+    rows = table(spark, d, "events").select(
+        "event_id", F.when(U % 9 == 0, 2).otherwise(1).alias("schema_version"), F.lit("enrich").alias("stage"), F.lit("failed").alias("status"), F.lit("a/b").alias("repository"),
+        F.when(U % 10 == 0, "other").otherwise("main").alias("ref"), F.col("event_id").cast("string").alias("run_id"), F.col("ts").alias("started_at"), ended.alias("finished_at"),
+        F.when(F.col("event_type").isin("error", "purchase"), "model").otherwise("wait").alias("operation"), F.when(U % 2 == 0, 429).otherwise(500).alias("http_status"),
+        F.when(V > 20, F.floor(V * 1500)).alias("hint"), explicit.alias("explicit_at"), (U % 4 == 0).alias("dated"),
+    )
+    return rows
+
+
+@query(f"WITH {REJECTIONS} SELECT event_id, problem, until FROM y")
+def rejection_deadlines(spark, d):
+    return enrich.rejections(_reports(spark, d), RUN, _at()).select(F.col("run_id").cast("long").alias("event_id"), "problem", "until")
+
+
+@query(f"""WITH {REJECTIONS}, own AS (SELECT event_type, y.until, y.problem FROM events LEFT JOIN y USING (event_id)),
+k AS (SELECT 'all' AS reports, max(until) AS found, bool_or(problem IS NOT NULL) AS refused, TIMESTAMP '2024-01-19' AS held FROM own UNION ALL
+  SELECT 'valid', max(until), false, TIMESTAMP '2024-01-19' FROM own WHERE problem IS NULL UNION ALL SELECT 'none', NULL, false, NULL UNION ALL SELECT 'later', max(until), false, TIMESTAMP '2030-01-01' FROM own WHERE problem IS NULL)
+SELECT reports, CASE WHEN NOT refused AND (held IS NULL OR found > held) THEN found ELSE held END AS until, CASE WHEN refused THEN 'refused' WHEN held IS NULL THEN 'missing_evidence'
+  WHEN greatest(found, held) > TIMESTAMP '{AT}' THEN 'active' ELSE 'expired' END AS status, NOT refused AND coalesce(found > held, false) AS changed FROM k""")
 def migrated_cooldown(spark, d):
-    E = F.col("event_id")
-    reports = table(spark, d, "events").select(F.when(F.col("event_type") == "click", "model").otherwise("load").alias("operation"), F.when(E % 3 == 0, 429).otherwise(500).alias("http_status"), F.col("ts").alias("finished_at"))
-    none = spark.createDataFrame([], "until timestamp_ntz, cause string")
-    return enrich.migrate_cooldown(reports, none)
+    """With all reports, of which some are invalid; with the valid ones; without any; and with a later deadline that's there."""
+    reports = _reports(spark, d)
+    good = reports.join(enrich.rejections(reports, RUN, _at()).filter("problem IS NULL").select("run_id"), "run_id", "left_semi")
+    held = lambda until: spark.createDataFrame([(until, "x")] if until else [], "u string, cause string").select(F.col("u").cast("timestamp_ntz").alias("until"), "cause")
+    out = None
+    for name, rows, until in (("all", reports, "2024-01-19"), ("valid", good, "2024-01-19"), ("none", reports.limit(0), None), ("later", good, "2030-01-01")):
+        got = enrich.migrate_cooldown(rows, held(until), RUN, _at()).select(F.lit(name).alias("reports"), "until", "status", "changed")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("""SELECT event_id // 3 AS page_id, arg_min(CASE WHEN event_id % 5 = 1 THEN 'ready' ELSE 'pending' END, event_id) AS status, arg_min(CAST(event_id % 4 AS INTEGER), event_id) AS attempts FROM events WHERE event_id % 5 IN (1, 2) GROUP BY 1""")
@@ -364,12 +422,29 @@ def stored_states(spark, d):
     return enrich.page_states(table(spark, d, "events").select(F.floor(E / 3).alias("page_id"), E.alias("n"), text.alias("text"))).select("page_id", "status", "attempts")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 < 2 THEN ['timeout', 'http_error'][CAST(event_id % 3 AS INTEGER) + 1] END AS reason, CASE WHEN event_id % 2 = 0 AND event_id % 3 < 2 AND event_id % 700 BETWEEN 100 AND 599 THEN CAST(event_id % 700 AS INTEGER) END AS http_status FROM events")
+FAILED = ["timeout", "http_error", "a secret text"]
+CODED = ['"rate_limited"', '"secret code"', "null", "429", '"429"']
+TYPED = ['"server_error"', '"https://secret"', "7"]
+
+
+@query(f"""WITH e AS (SELECT *, event_type <> 'view' AND event_id % 3 < 2 AS kept, CAST(floor(value * 2) AS INTEGER) AS status, CAST(floor(value * 2000) AS INTEGER) AS wait FROM events)
+SELECT event_id, CASE WHEN kept THEN {pick_sql(FAILED, 'event_id')} END AS reason, CASE WHEN kept AND status BETWEEN 100 AND 599 THEN status END AS http_status,
+  CASE WHEN kept THEN ['rate_limited', 'unrecognized', 'unrecognized', 'unrecognized', 'unrecognized', NULL][CAST(event_id % 6 AS INTEGER) + 1] END AS code,
+  CASE WHEN kept THEN ['string', 'other'][CAST(event_id % 3 AS INTEGER) + 1] END AS code_kind, CASE WHEN kept AND event_id % 7 < 2 THEN ['missing', 'present'][CAST(event_id % 7 AS INTEGER) + 1] END AS code_status,
+  CASE WHEN kept THEN ['server_error', 'unrecognized', 'unrecognized', NULL][CAST(event_id % 4 AS INTEGER) + 1] END AS provider_type, CASE WHEN kept AND wait <= 604800 AND event_id % 5 <> 0 THEN wait END AS retry_after FROM e""")
 def kept_failures(spark, d):
+    """Failures with the events' values as status and hint; hints in quotes, unknown codes and free texts don't pass."""
     E = F.col("event_id")
-    raw = F.concat(F.lit('{"stage":"'), F.when(E % 2 == 0, "model").otherwise("load"), F.lit('","reason":"'), pick(["timeout", "http_error", "a secret text"], E), F.lit('","httpStatus":'), (E % 700).cast("string"), F.lit(',"codeKind":"string"}'))
-    got = enrich.safe_failure(raw)
-    return table(spark, d, "events").select("event_id", got["reason"].alias("reason"), got["http_status"].alias("http_status"))
+    wait = F.floor(F.col("value") * 2000).cast("string")
+    parts = [
+        F.concat(F.lit('"stage":"'), F.when(F.col("event_type") == "view", "load").otherwise("model"), F.lit('"')), F.concat(F.lit('"reason":"'), pick(FAILED, E), F.lit('"')),
+        F.concat(F.lit('"httpStatus":'), F.floor(F.col("value") * 2).cast("string")), F.when(E % 6 < 5, F.concat(F.lit('"code":'), pick([*CODED, "0"], E))),
+        F.concat(F.lit('"codeKind":"'), pick(["string", "other", "odd"], E), F.lit('"')), F.concat(F.lit('"codeStatus":"'), pick(["missing", "present", "a", "b", "c", "d", "e"], E), F.lit('"')),
+        F.when(E % 4 < 3, F.concat(F.lit('"providerType":'), pick([*TYPED, "0"], E))), F.concat(F.lit('"retryAfterSeconds":'), F.when(E % 5 == 0, F.concat(F.lit('"'), wait, F.lit('"'))).otherwise(wait)), F.concat(F.lit('"message":"'), "props", F.lit('"')),
+    ]
+    raw = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    rows = table(spark, d, "events").withColumn("props", F.lit("secret")).select("event_id", enrich.safe_failure(raw).alias("f"))
+    return rows.select("event_id", *(F.col(f"f.{c}").alias(c) for c in ("reason", "http_status", "code", "code_kind", "code_status", "provider_type", "retry_after")))
 
 
 @query("SELECT doc_id AS page_id, i // 2 AS call, CAST(i AS INTEGER) AS n, substr(text, i * 500 + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(range((length(text) + 499) // 500)) AS i FROM documents)")
@@ -396,24 +471,48 @@ def grounded_answers(spark, d):
 # brief and site
 
 
-@query("SELECT event_id FROM events WHERE event_id % 3 = 0 AND event_id % 5 IN (0, 1, 2) AND event_id % 7 <> 0 AND event_id % 4 <> 0")
+@query("""SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND o_orderkey % 4 <> 0 AND o_totalprice >= 50000""")
 def usable_runs(spark, d):
-    E = F.col("event_id")
-    run = F.struct(F.when(E % 7 != 0, E).alias("id"), (E % 4).alias("attempt"))
-    rows = table(spark, d, "events").select("event_id", F.when(E % 3 == 0, "completed").otherwise("queued").alias("status"), pick(["success", "failure", "cancelled", "skipped", None], E).alias("conclusion"), run.alias("run"))
-    return brief.usable_run(rows).select("event_id")
-
-
-SUM_SQL = "repeat('x', CAST(event_id % 40 + 25 AS INTEGER))"
-
-
-@query(f"""WITH s AS (SELECT event_id, event_id % 3 = 0 AND length({SUM_SQL}) BETWEEN 30 AND 500 AND event_id % 11 <> 0 AND ts <= TIMESTAMP '{AT}' + INTERVAL 1 MINUTE AND event_id % 7 BETWEEN 1 AND 5 AND event_id % 13 <> 0 AS ok FROM events) SELECT event_id FROM s WHERE ok""")
+    """Orders as runs: their priority is the conclusion, cheap ones name no commit."""
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "queued").otherwise("in_progress")
+    ends = {"1-URGENT": "success", "2-HIGH": "failure", "3-MEDIUM": "timed_out", "4-NOT SPECIFIED": "cancelled"}
+    conclusion = F.lit(None).cast("string")
+    for k, v in ends.items():
+        conclusion = F.when(F.col("o_orderpriority") == k, v).otherwise(conclusion)
+    run = F.struct(F.col("o_custkey").cast("string").alias("id"), (F.col("o_orderkey") % 4).alias("attempt"), F.when(F.col("o_totalprice") >= 50000, F.sha2("o_orderstatus", 256)).otherwise("").alias("sha"))
+    return brief.usable_run(table(spark, d, "orders").select("o_orderkey", status.alias("status"), conclusion.alias("conclusion"), run.alias("run"))).select("o_orderkey")
+
+
+@query(f"""WITH e AS (SELECT *, ts AS ended, ts - to_seconds(CAST(floor(value) AS BIGINT)) AS began, event_type <> 'view' AS same, user_id % 5 = 0 AS none FROM events),
+f AS (SELECT event_id, NOT none AND same AND began <= TIMESTAMP '{AT}' AND ended <= TIMESTAMP '{AT}' + INTERVAL 1 MINUTE AND ended > TIMESTAMP '{AT}' - INTERVAL 8 HOUR AND event_type <> 'signup' AS collection_valid,
+  user_id % 7 <> 0 AND event_type <> 'error' AS ready, abs(epoch(ts) - epoch(TIMESTAMP '{AT}')) <= 180 AS source_read, NOT none AND event_type = 'purchase' AND floor(value) % 3 = 0 AS collected,
+  event_type IN ('click', 'purchase') AND floor(value) % 3 = 0 AS enriched, CASE WHEN none THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS fetched FROM e) SELECT * FROM f""")
+def run_flags(spark, d):
+    """Events as runs with their reports: views have a report of another run, every fifth user has none."""
+    E, V = F.col("event_type"), F.floor("value")
+    run = lambda attempt: F.struct(F.lit("a/b").alias("repository"), F.lit("main").alias("ref"), F.col("event_id").cast("string").alias("runId"), attempt.alias("attempt"), F.lit("c0").alias("sha"))
+    stats = F.struct(V.alias("fetched"), (V % 3).alias("pending"))
+    state = F.when(E == "signup", "running").when(E == "purchase", "success").otherwise("failed")
+    began = F.col("ts") - F.make_dt_interval(secs=V.cast("decimal(18,6)"))
+    collection = F.struct(F.lit(1).alias("schemaVersion"), F.lit("collect").alias("stage"), run(F.when(E == "view", 2).otherwise(1)).alias("run"), state.alias("status"), began.alias("startedAt"), F.col("ts").alias("finishedAt"), stats.alias("stats"))
+    enrichment = F.struct(F.lit(1).alias("schemaVersion"), F.lit("enrich").alias("stage"), run(F.lit(1)).alias("run"), F.when(E.isin("click", "purchase"), "success").otherwise("failed").alias("status"), F.col("ts").alias("startedAt"), F.col("ts").alias("finishedAt"), stats.alias("stats"))
+    rows = table(spark, d, "events").select(
+        "event_id", run(F.lit(1)).alias("run"), F.when(F.col("user_id") % 5 != 0, collection).alias("collection"), enrichment.alias("enrichment"), F.when(E == "error", "cancelled").when(E == "purchase", "success").otherwise("failure").alias("collection_result"),
+        F.lit("success").alias("enrichment_result"), (F.col("user_id") % 7 != 0).alias("ready"), F.lit(None).cast("boolean").alias("read_failed"), F.col("ts").alias("source_read_at"), F.lit(False).alias("limited"),
+    )
+    return brief.report_flags(rows, _at()).select("event_id", "collection_valid", "ready", "source_read", "collected", "enriched", "fetched")
+
+
+@query(f"""WITH s AS (SELECT doc_id, lang, source, ts, substr(text, 1, 10 + CAST(doc_id % 500 AS INTEGER)) || repeat(' ', CAST(doc_id % 60 AS INTEGER)) AS summary, string_split(text, chr(10)) AS lines FROM documents JOIN events ON event_id = doc_id)
+SELECT doc_id FROM s WHERE lang <> 'fr' AND length(trim(summary, ' ' || chr(9) || chr(10))) >= 30 AND length(summary) <= 500 AND source <> 'src3' AND ts <= TIMESTAMP '2024-01-02 12:01:00'
+  AND len(lines) BETWEEN 1 AND 5 AND len(list_filter(lines, lambda q: length(trim(q, ' ' || chr(9) || chr(10))) < 20)) = 0""")
 def grounded_candidates(spark, d):
-    E = F.col("event_id")
-    summary = F.repeat(F.lit("x"), (E % 40 + 25).cast("int"))
-    quote = F.when(E % 13 == 0, "too short").otherwise("a quotation of twenty characters")
-    rows = table(spark, d, "events").select("event_id", F.when(E % 3 == 0, "source_quoted").otherwise("excerpt").alias("summary_kind"), summary.alias("summary"), F.when(E % 11 != 0, F.sha2(summary, 256)).otherwise("other").alias("summary_hash"), F.col("ts").alias("summary_recorded_at"), F.array_repeat(quote, (E % 7).cast("int")).alias("evidence"))
-    return rows.filter(brief.grounded_candidate(_at())).select("event_id")
+    """Documents as candidates: beginnings, padded, as summaries, their lines as quotations; one source's hashes are of another text."""
+    D = F.col("doc_id")
+    rows = table(spark, d, "documents").join(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id")
+    summary = F.concat(F.substring("text", F.lit(1), (10 + D % 500).cast("int")), F.repeat(F.lit(" "), (D % 60).cast("int")))
+    rows = rows.select("doc_id", F.when(F.col("lang") != "fr", "source_quoted").otherwise("excerpt").alias("summary_kind"), summary.alias("summary"), F.when(F.col("source") != "src3", F.sha2(summary, 256)).otherwise("other").alias("summary_hash"), F.col("ts").alias("summary_recorded_at"), F.split("text", "\n").alias("evidence"))
+    return rows.filter(brief.grounded_candidate(F.lit("2024-01-02 12:00:00").cast("timestamp_ntz"))).select("doc_id")
 
 
 @query(f"""WITH p AS (SELECT event_id, ts, ts - to_hours(CAST(event_id % 200 AS INTEGER)) AS published, event_id % 100 AS score FROM events WHERE event_id % 5 <> 0),
@@ -426,10 +525,16 @@ def brief_candidates(spark, d):
     return brief.candidates(rows, states, _at())[0].select(F.col("page_id").alias("event_id"), "published_at")
 
 
-@query("WITH t AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id DESC) AS n FROM pages ORDER BY page_id DESC LIMIT 3) SELECT string_agg(n || '. [t' || page_id || '](' || url || ') - s', chr(10) ORDER BY n) AS markdown FROM t")
+@query("""WITH t AS (SELECT doc_id, url, source, ts, split_part(text, chr(10), 1) AS title, substr(text, 1, 200) AS summary, lang, row_number() OVER (ORDER BY ts DESC, doc_id) AS n
+  FROM documents JOIN events ON event_id = doc_id JOIN pages ON page_id = doc_id ORDER BY n LIMIT 3)
+SELECT string_agg(n || '. ' || regexp_replace(title, '\\s+', ' ', 'g') || chr(10) || '   出典: ' || source || ' · 公開 ' || CASE WHEN lang = 'en' THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE '不明' END || ' · 収集 ' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+  || chr(10) || '   ' || url || chr(10) || '   自動要約: ' || coalesce(nullif(summary, ''), '本文根拠のある要約は未生成です。'), chr(10) || chr(10) ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, n) AS markdown FROM (
+  SELECT * REPLACE (row_number() OVER (ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, n) AS n) FROM t)""")
 def brief_markdown(spark, d):
-    k = F.col("page_id")
-    rows = table(spark, d, "pages").orderBy(F.desc("page_id")).limit(3).select(k.alias("ordinal"), F.concat(F.lit("t"), k.cast("string")).alias("title"), "url", F.lit("s").alias("source"), k.alias("published_at"), k.alias("fetched_at"), k.alias("score"))
+    """The three latest documents; those that aren't English have no date of publication."""
+    docs = table(spark, d, "documents").join(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id").join(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
+    rows = docs.orderBy(F.desc("ts"), "doc_id").limit(3)
+    rows = rows.select(F.col("doc_id").alias("ordinal"), F.substring_index("text", "\n", 1).alias("title"), "url", "source", F.when(F.col("lang") == "en", F.col("ts")).alias("published_at"), F.col("ts").alias("fetched_at"), F.lit(0).alias("score"), F.substring("text", 1, 200).alias("summary"), F.lit("source_quoted").alias("summary_kind"))
     return brief.markdown(rows)
 
 
@@ -440,20 +545,21 @@ def shown_dates(spark, d):
     return table(spark, d, "events").select("event_id", site.display_date(published, fetched).alias("shown"), site.order_date(published, fetched).alias("ordered"))
 
 
-@query(f"""WITH p AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN 'u' || event_id ELSE '' END AS url, CASE WHEN event_id % 11 <> 0 THEN 't' END AS title, {pick_sql([*NAMES, None], 'event_id')} AS source,
+@query(f"""WITH p AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN 'u' || event_id ELSE '' END AS url, CASE WHEN event_id % 11 <> 0 THEN 't' END AS title, {pick_sql([*NAMES, None], 'event_id')} AS source, CASE WHEN event_type <> 'view' THEN CAST(floor(value) AS BIGINT) END AS score,
   {pick_sql(['Unread', 'Starred', None, 'Odd'], 'event_id')} AS status, {pick_sql([None, 'ja', 'xx'], 'event_id')} AS lang, {pick_sql([None, 'secondary', 'other', None, None], 'event_id')} AS kind FROM events)
-SELECT event_id, coalesce(p.source, 'Unknown') AS source, CASE WHEN p.status IN ('Unread', 'Digested', 'Read', 'Starred') THEN p.status ELSE 'Unread' END AS status,
+SELECT event_id, coalesce(p.source, 'Unknown') AS source, CASE WHEN p.status IN ('Unread', 'Digested', 'Read', 'Starred') THEN p.status ELSE 'Unread' END AS status, coalesce(score, 0) AS score,
   CASE WHEN coalesce(p.lang, dim.lang) IN ('en', 'ja') THEN coalesce(p.lang, dim.lang) ELSE 'en' END AS lang, CASE WHEN coalesce(p.kind, dim.kind) IN ('primary', 'secondary') THEN coalesce(p.kind, dim.kind) ELSE 'primary' END AS kind
 FROM p LEFT JOIN {DIMS_SQL} ON dim.source = p.source WHERE url <> '' AND title IS NOT NULL""")
 def exported_rows(spark, d):
     E = F.col("event_id")
-    rows = table(spark, d, "events").select("event_id", F.when(E % 7 != 0, F.concat(F.lit("u"), E.cast("string"))).otherwise("").alias("url"), F.when(E % 11 != 0, "t").alias("title"), pick([*NAMES, None], E).alias("source"), pick(["Unread", "Starred", None, "Odd"], E).alias("status"), pick([None, "ja", "xx"], E).alias("lang"), pick([None, "secondary", "other", None, None], E).alias("kind"))
-    return site.coerce(site.export_rows(rows, dims.source_dim(spark))).select("event_id", "source", "status", "lang", "kind")
+    rows = table(spark, d, "events").select("event_id", F.when(E % 7 != 0, F.concat(F.lit("u"), E.cast("string"))).otherwise("").alias("url"), F.when(E % 11 != 0, "t").alias("title"), pick([*NAMES, None], E).alias("source"), F.when(F.col("event_type") != "view", F.floor("value")).alias("score"), pick(["Unread", "Starred", None, "Odd"], E).alias("status"), pick([None, "ja", "xx"], E).alias("lang"), pick([None, "secondary", "other", None, None], E).alias("kind"))
+    return site.coerce(site.export_rows(rows, dims.source_dim(spark))).select("event_id", "source", "status", "score", "lang", "kind")
 
 
-@query("SELECT DISTINCT c_custkey AS url_key FROM customer WHERE c_custkey % 5 = 0 UNION SELECT o_custkey FROM orders")
+@query("SELECT DISTINCT c_custkey AS url_key FROM customer WHERE c_acctbal < 0 UNION SELECT o_custkey FROM orders")
 def confirmed_keys(spark, d):
-    return queue.confirm(table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("url_key")), table(spark, d, "orders").select(F.col("o_custkey").alias("url_key")))
+    """Customers who owe are confirmed already; those of the orders come to them."""
+    return queue.confirm(table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("url_key")), table(spark, d, "orders").select(F.col("o_custkey").alias("url_key")))
 
 
 @query("SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS ordinal, c_custkey FROM customer")

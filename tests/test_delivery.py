@@ -19,7 +19,7 @@ def sha(s):
 def bundle(**over):
     text = "A summary of the article that is long enough to pass."
     article = {"id": sha("e.com/a"), "title": "A", "url": "https://e.com/a", "source": "s", "score": 1, "published_at": "2026-10-15T00:00:00", "fetched_at": "2026-10-15T11:00:00", "summary": text, "summary_kind": "source_quoted", "summary_hash": sha(text), "summary_recorded_at": "2026-10-15T11:30:00", "evidence": ["a quotation of the article"]}
-    return {"schemaVersion": 1, "run": RUN, "status": "ok", "generatedAt": "2026-10-15T11:59:00", "validUntil": "2026-10-15T19:00:00", "articles": [article | over.pop("article", {})]} | over
+    return {"schemaVersion": 1, "selection": {"policy": "grounded_recent_v1"}, "deliveryAllowed": True, "run": RUN, "status": "ok", "generatedAt": "2026-10-15T11:59:00", "validUntil": "2026-10-15T19:00:00", "articles": [article | over.pop("article", {})]} | over
 
 
 def test_bundle_files(spark, tmp_path):
@@ -33,7 +33,7 @@ def test_bundle_files(spark, tmp_path):
         brief.verify_files(spark, d, NOW, RUN)
 
 
-@pytest.mark.parametrize("bad", [{"status": "empty"}, {"articles": []}, {"validUntil": "2026-10-15T12:00:00"}, {"validUntil": "2026-10-15T20:00:00"}, {"validUntil": None}, {"generatedAt": "2026-10-15T12:02:00"}, {"article": {"id": "x"}}, {"article": {"title": " "}}, {"article": {"summary": "another summary, which has not the hash that was kept"}}, {"article": {"published_at": None}}, {"article": {"evidence": []}}])
+@pytest.mark.parametrize("bad", [{"deliveryAllowed": False}, {"deliveryAllowed": None}, {"selection": {"policy": "newest"}}, {"selection": None}, {"status": "empty"}, {"articles": []}, {"validUntil": "2026-10-15T12:00:00"}, {"validUntil": "2026-10-15T20:00:00"}, {"validUntil": None}, {"generatedAt": "2026-10-15T12:02:00"}, {"article": {"id": "x"}}, {"article": {"title": " "}}, {"article": {"summary": "another summary, which has not the hash that was kept"}}, {"article": {"published_at": None}}, {"article": {"evidence": []}}])
 def test_bundles_that_cannot_be_delivered(spark, bad):
     brief.assert_deliverable(spark, bundle(), NOW, RUN)
     with pytest.raises(ValueError):
@@ -129,7 +129,13 @@ def test_states_failures_and_summaries(spark):
     assert [(r.page_id, r.attempts) for r in enrich.page_states(blocks).collect()] == [(1, 2)]
     raw = ['{"stage": "model", "reason": "timeout", "httpStatus": 999, "codeKind": "string", "message": "secret"}', '{"stage": "model", "reason": "secret"}', "junk", None]
     got = [r[0] and tuple(r[0]) for r in spark.createDataFrame([(r,) for r in raw], "r string").select(enrich.safe_failure(F.col("r"))).collect()]
-    assert got == [("model", "timeout", None, "string"), None, None, None]
+    assert got == [("model", "timeout", None, None, "string", None, None, None, None), None, None, None]
+    raw = {"stage": "model", "reason": "http_error", "httpStatus": 429, "code": "rate_limited", "codeKind": "string", "codeStatus": "present", "providerType": "rate_limit_error", "retryAfterSeconds": 60, "retryAfterStatus": "valid"}
+    odd = {"stage": "model", "reason": "http_error", "httpStatus": "429", "code": None, "codeKind": "secret", "codeStatus": "secret", "providerType": {"a": 1}, "retryAfterSeconds": 7 * 86400 + 1, "retryAfterStatus": "x"}
+    got = [tuple(r[0]) for r in spark.createDataFrame([(json.dumps(r),) for r in (raw, odd, raw | {"retryAfterSeconds": 1.5, "code": 7, "httpStatus": 99})], "r string").select(enrich.safe_failure(F.col("r"))).collect()]
+    assert got[0] == tuple(raw.values())
+    assert got[1] == ("model", "http_error", None, "unrecognized", None, None, "unrecognized", None, None)
+    assert got[2] == ("model", "http_error", None, "unrecognized", "string", "present", "rate_limit_error", None, "valid")
     df = spark.createDataFrame([("ja", " 本文 ", "s"), ("ja", None, "s"), ("en", "a", "s")], "l string, a string, s string")
     assert [r[0] for r in df.select(enrich.collected_summary(F.col("l"), F.col("a"), F.col("s"))).collect()] == [enrich.UNVERIFIED + "本文", "", "s"]
     parts = enrich.append_batches(spark.createDataFrame([(1, "x" * 7)], "page_id long, text string"), 2, 3).collect()

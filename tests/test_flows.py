@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
-from newsloom.operators import pacing, queue, site
+from newsloom.operators import brief, pacing, queue, site
 from newsloom.plans import flows
 from newsloom.sources import dims, readers
 from newsloom.streaming import stream
@@ -162,6 +162,19 @@ def test_brief_and_site(spark):
     assert [r.page_id for r in got["articles"].collect()] == ["p0", "p2", "p3"]
     status = got["status"].first()
     assert (status.status, list(status.reasons)) == ("partial", ["enrichment_incomplete"]) and got["expiry"].first().n == 3
+    for bad, want in (({"fetched": 0}, "empty"), ({"ready": False}, "unavailable"), ({"collection_valid": False}, "unavailable")):
+        none = flows.build_brief(pages_, states, flags.withColumns({k: F.lit(v) for k, v in bad.items()}), F.lit(NOW))
+        assert none["articles"].count() == 0 and none["status"].first().status == want and none["expiry"].first().n == 0
+    run = {"repository": "a/b", "ref": "main", "runId": 5, "attempt": 1, "sha": "c0", "url": "https://e.com/run"}
+    made, text = brief.bundle(got["articles"], status.asDict(), run, NOW, got["expiry"].first().valid_until, 6, False)
+    brief.assert_deliverable(spark, json.loads(json.dumps(made)), NOW, run)
+    assert [a["title"] for a in made["articles"]] == ["title 0", "title 2", "title 3"] and made["deliveryAllowed"] and made["selection"]["scannedCandidates"] == 6
+    assert text.startswith("# AI News Brief\n\n生成: 2026-10-15T12:00:00\n") and "\n実行: https://e.com/run (attempt 1)\n" in text
+    assert f"\n1. title 0\n   出典: OpenAI · 公開 2026-10-15T12:00:00Z · 収集 2026-10-15T12:00:00Z\n   https://a.com/0\n   自動要約: {summary}\n\n2. title 2" in text
+    made, text = brief.bundle(got["articles"].limit(0), {"status": "unavailable", "reasons": ["collection_not_ready"]}, run, NOW, NOW, 0, False)
+    assert not made["deliveryAllowed"] and text.endswith("\n配信対象なし。過去の結果へフォールバックしません。\n理由: collection_not_ready\n")
+    with pytest.raises(ValueError):
+        brief.assert_deliverable(spark, made, NOW, run)
     out = flows.export_site(pages, F.lit(NOW), spark)
     assert out["stats"].first().total == 6 and {r.lang for r in out["rows"].collect()} == {"en"} and out["index"].count() == 6 and out["sources"].count() == 6
 
@@ -181,3 +194,23 @@ def test_feeds_of_one_name_give_an_item_once(spark):
     items += [("Hatena", "LLMと機械学習", "https://e.com/3", None, None, None, None, {"hatena:bookmarkcount": "9"}), ("Changelog", "Bread", "https://e.com/4", None, None, None, None, None)]
     got = readers.feed_articles(spark.createDataFrame(items, schema), readers.feed_config(spark), F.lit("2026-01-08 00:00:00").cast("timestamp")).collect()
     assert sorted(r.url for r in got) == ["https://e.com/1", "https://e.com/2"]
+
+
+def test_flags_of_reports(spark):
+    run = ("a/b", "main", "5", 1, "c0")
+    ok = dict(run=run, collection=(1, "collect", run, "success", NOW - dt.timedelta(minutes=5), NOW - dt.timedelta(seconds=1), (65, 0)), enrichment=(1, "enrich", run, "success", NOW, NOW, (65, 0)), collection_result="success", enrichment_result="success", ready=True, read_failed=False, source_read_at=NOW, limited=False)
+    schema = f"run struct<{brief.RUN_IDENTITY}>, collection {brief.STAGE_REPORT}, enrichment {brief.STAGE_REPORT}, collection_result string, enrichment_result string, ready boolean, read_failed boolean, source_read_at timestamp, limited boolean"
+    flags = ["collection_valid", "ready", "source_read", "collected", "enriched"]
+    report = lambda k, i, v: {k: ok[k][:i] + (v,) + ok[k][i + 1 :]}
+    cases = [
+        ({}, ""), ({"collection": None}, "collection_valid collected"), (report("collection", 0, 2), "collection_valid"), (report("collection", 1, "enrich"), "collection_valid"), (report("collection", 2, ("a/b", "main", "5", 2, "c0")), "collection_valid"),
+        (report("collection", 3, "running"), "collection_valid collected"), (report("collection", 3, "failed"), "collected"), (report("collection", 4, NOW + dt.timedelta(seconds=1)), "collection_valid"), (report("collection", 5, None), "collection_valid"),
+        (report("collection", 5, NOW + dt.timedelta(seconds=61)), "collection_valid"), (report("collection", 5, NOW - dt.timedelta(hours=8)), "collection_valid"), (report("collection", 6, (65, 1)), "collected"), (report("collection", 6, None), ""),
+        ({"collection_result": "failure"}, "collected"), ({"collection_result": "cancelled"}, "ready collected"), ({"ready": False}, "ready"), ({"ready": None}, "ready"), ({"read_failed": True}, "source_read"), ({"source_read_at": None}, "source_read"),
+        ({"source_read_at": NOW - dt.timedelta(seconds=181)}, "source_read"), ({"source_read_at": NOW + dt.timedelta(seconds=180)}, ""), ({"enrichment": None}, "enriched"), ({"enrichment_result": "failure"}, "enriched"),
+        (report("enrichment", 2, ("a/b", "x", "5", 1, "c0")), "enriched"), (report("enrichment", 6, (1, 1)), "enriched"), (report("enrichment", 3, "failed"), "enriched"),
+    ]
+    df = spark.createDataFrame([tuple((ok | over).values()) for over, _ in cases], schema)
+    got = [" ".join(f for f in flags if not r[f]) for r in brief.report_flags(df, F.lit(NOW)).collect()]
+    assert got == [want for _, want in cases]
+    assert [r.fetched for r in brief.report_flags(df, F.lit(NOW)).limit(2).collect()] == [65, 0]

@@ -2,8 +2,10 @@ import datetime as dt
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as X
 from newsloom.functions import html as H
 from newsloom.operators import brief, enrich, feedback, integrity, queue, rank, site
 from newsloom.sources import dims, readers
@@ -151,8 +153,81 @@ def test_checkpoints(spark, tmp_path):
     assert integrity.read_version(spark, path).count() == 5
 
 
+RUN = {"repository": "a/b", "ref": "main"}
+ENDED = dt.datetime(2026, 10, 18, 10, 57, 1, 167000)
+
+
+def report(spark, **over):
+    row = {"schema_version": 1, "stage": "enrich", "status": "failed", "repository": "a/b", "ref": "main", "run_id": "7", "started_at": dt.datetime(2026, 10, 18, 10, 50), "finished_at": ENDED, "operation": "model", "http_status": 429, "hint": None, "explicit_at": None, "dated": False} | over
+    return spark.createDataFrame([tuple(row.values())], enrich.REPORT)
+
+
+@pytest.mark.parametrize(
+    ("over", "held", "now", "status", "until", "changed"),
+    [
+        ({}, None, dt.datetime(2026, 10, 18, 13), "active", ENDED + dt.timedelta(hours=6), True),
+        ({"hint": 86400}, None, dt.datetime(2026, 10, 18, 13), "active", ENDED + dt.timedelta(hours=24), True),
+        ({"hint": 8 * 86400}, None, dt.datetime(2026, 10, 18, 13), "active", ENDED + dt.timedelta(hours=6), True),
+        ({}, None, ENDED - dt.timedelta(seconds=61), "refused", None, False),
+        ({}, None, ENDED + dt.timedelta(hours=7), "expired", ENDED + dt.timedelta(hours=6), True),
+        ({"dated": True, "explicit_at": dt.datetime(2026, 10, 18, 16, 57)}, None, dt.datetime(2026, 10, 18, 13), "active", dt.datetime(2026, 10, 18, 16, 57), True),
+        ({"dated": True, "explicit_at": dt.datetime(2026, 10, 18, 12)}, None, dt.datetime(2026, 10, 18, 13), "refused", None, False),
+        ({"dated": True}, None, dt.datetime(2026, 10, 18, 13), "refused", None, False),
+        ({}, dt.datetime(2026, 10, 18, 20), dt.datetime(2026, 10, 18, 13), "active", dt.datetime(2026, 10, 18, 20), False),
+        ({"operation": "wait"}, dt.datetime(2026, 10, 18, 12), dt.datetime(2026, 10, 18, 13), "expired", dt.datetime(2026, 10, 18, 12), False),
+        ({"operation": "wait"}, None, dt.datetime(2026, 10, 18, 13), "missing_evidence", None, False),
+        ({"ref": "other"}, dt.datetime(2026, 10, 18, 12), dt.datetime(2026, 10, 18, 11), "refused", dt.datetime(2026, 10, 18, 12), False),
+        ({"started_at": ENDED + dt.timedelta(seconds=1)}, None, dt.datetime(2026, 10, 18, 13), "refused", None, False),
+        ({"http_status": 500, "schema_version": 2}, None, dt.datetime(2026, 10, 18, 13), "missing_evidence", None, False),
+    ],
+)
+def test_migrated_cooldowns(spark, over, held, now, status, until, changed):
+    current = spark.createDataFrame([(held, "held")] if held else [], "until timestamp, cause string")
+    got = enrich.migrate_cooldown(report(spark, **over), current, RUN, F.lit(now)).first()
+    assert (got.status, got.until, got.changed) == (status, until, changed) and got.cause == ("rate_limited" if changed else "held" if held else None)
+
+
 def test_migration_is_idempotent(spark):
-    reports = spark.createDataFrame([("model", 429, NOW), ("model", 500, NOW)], "operation string, http_status int, finished_at timestamp")
+    reports, now = report(spark).unionByName(report(spark, http_status=500)), F.lit(dt.datetime(2026, 10, 18, 13))
     none = spark.createDataFrame([], "until timestamp, cause string")
-    once = enrich.migrate_cooldown(reports, none)
-    assert once.collect() == enrich.migrate_cooldown(reports, once).collect() and once.first().until == NOW + dt.timedelta(hours=6)
+    once = enrich.migrate_cooldown(reports, none, RUN, now)
+    again = enrich.migrate_cooldown(reports, once.select("until", "cause"), RUN, now)
+    assert once.first().changed and not again.first().changed and again.first().until == once.first().until == ENDED + dt.timedelta(hours=6)
+    assert enrich.migrate_cooldown(reports.limit(0), none, RUN, now).first().status == "missing_evidence"
+
+
+def test_waits_from_headers(spark):
+    now = dt.datetime(2026, 10, 15)
+    cases = {"Thu, 15 Oct 2026 00:02:00 GMT": 120, "0": 0, " 60 ": 60, "\tThu, 15 Oct 2026 00:02:00 GMT ": 120, "Wed, 14 Oct 2026 00:00:00 GMT": 0, None: None, "": None, "-1": None, "1.5": None, "9999999999999": None, "99999999999999999999": None, "private header": None, "Thu, 99 Oct 2026 00:02:00 GMT": None, "604800": 604800, "604801": None, " " * 130 + "1": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "h string")
+    assert {r.h: r.s for r in rows.select("h", X.retry_after(F.col("h"), F.lit(now)).alias("s")).collect()} == cases
+    late = rows.filter("h LIKE 'Thu, 15%'").select(X.retry_after(F.col("h"), F.lit(now + dt.timedelta(milliseconds=500))).alias("s"))
+    assert late.first().s == 120  # parts of a second count whole
+
+
+def test_usable_runs(spark):
+    rows = [("completed", c, r) for c in ("success", "failure", "timed_out", "cancelled", "skipped", None) for r in (("5", 1, "c0"),)]
+    rows += [("queued", "success", ("5", 1, "c0")), ("completed", "success", ("", 1, "c0")), ("completed", "success", ("5", 0, "c0")), ("completed", "success", ("5", 1, "")), ("completed", "success", ("5", 1, None)), ("completed", "success", (None, 1, "c0"))]
+    df = spark.createDataFrame(rows, "status string, conclusion string, run struct<id:string,attempt:int,sha:string>")
+    assert sorted(r.conclusion for r in brief.usable_run(df).collect()) == ["failure", "success", "timed_out"]
+
+
+def test_first_states(spark):
+    df = spark.createDataFrame([("ja", "本文"), ("ja", " \t\u3000"), ("ja", ""), ("ja", None), ("en", ""), (None, "x")], "l string, a string")
+    assert [r[0] for r in df.select(enrich.initial_status(F.col("l"), F.col("a"))).collect()] == ["excerpt"] + ["insufficient_evidence"] * 3 + ["pending"] * 2
+
+
+def test_rules_read_a_text_once(spark):
+    rules, cats = [(["ab", "c"], 5), (["zz"], 7), (["ab"], 1)], [("A", ["ab", "x"]), ("B", ["zz"]), ("A", ["c"])]
+    texts = ["", None, "AB", "c", "xab ZZ", "none"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [(r.b, list(r.c)) for r in df.select(X.keyword_bonus(F.col("t"), rules).alias("b"), X.categorise(F.col("t"), cats).alias("c")).collect()]
+
+    def plain(t):
+        low = (t or "").lower()
+        met = [n for n, ks in cats if any(k in low for k in ks)]
+        return sum(p for ks, p in rules if any(k in low for k in ks)), list(dict.fromkeys(met)) or ["Other"]
+
+    assert got == [plain(t) for t in texts]
+    plan = df.select(X.rule_hits(F.col("t"), rules, cats).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
