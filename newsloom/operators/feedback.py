@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
 from newsloom.operators.integrity import get, put
+from newsloom.operators.keyed import Keyed
 from newsloom.sources import dims
 
 # States of an entry, and the most articles of a ledger.
@@ -43,6 +44,13 @@ def raise_status(pages: DataFrame, reactions: DataFrame, key: str = "url") -> Da
     return rows.withColumn("status", F.when(up, F.col("action")).otherwise(F.col("status"))).drop("action")
 
 
+def save_statuses(table: Keyed, reactions: DataFrame) -> int:
+    """Raises the statuses of a stored table of pages; of keys that aren't there nothing is kept. Gives the table's version."""
+    rank = lambda c: F.coalesce(status_rank(c), F.lit(-1))
+    found = fold(reactions, table.key).withColumnRenamed("action", "status")
+    return table.merge(found, {"status": lambda old, new: F.when(rank(new) > rank(old), new).otherwise(old)})
+
+
 def replies(messages: DataFrame, now: Column, prefix: str, days: int = 3) -> DataFrame:
     """``url`` and ``action`` of the messages in the threads of digest parents of the last days, from their reactions. Parents begin with the
     prefix and have replies, and aren't themselves in another's thread; ``ts`` is text of epoch seconds."""

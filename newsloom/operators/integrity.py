@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
 import time
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +55,68 @@ def get(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-def write_version(df: DataFrame, path: str) -> str:
-    """Writes a new version beside the old ones, then moves the pointer: a reader sees all of one or of the other."""
-    name = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(f"{path}/{name}")
-    df.sparkSession.createDataFrame([(name,)], "current string").coalesce(1).write.mode("overwrite").json(f"{path}/pointer")
-    return name
+def latest(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """The number and the text of the last version committed at ``path``; -1 and None if there is none."""
+    fs, p = _file(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    found = max((int(n[:-5]) for n in names if re.fullmatch(r"\d{20}\.json", n)), default=-1)
+    return found, read_version_file(spark, path, found) if found >= 0 else None
+
+
+def read_version_file(spark: SparkSession, path: str, version: int) -> str:
+    fs, p = _file(spark, f"{path}/{version:020d}.json")
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
-def read_version(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.json(f'{path}/pointer').first()['current']}")
+def commit(spark: SparkSession, path: str, version: int, text: str) -> bool:
+    """Makes ``text`` the version of this number, unless another writer has: then False, and nothing changes. The file is written beside its
+    place and moved there whole, without overwriting (a link where the file system is local, as its move isn't atomic)."""
+    fs, p = _file(spark, f"{path}/{version:020d}.json")
+    part = p.suffix(f".{uuid.uuid4().hex}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(part.toUri().getPath(), p.toUri().getPath())
+        else:
+            jvm = spark._jvm
+            kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            never = spark.sparkContext._gateway.new_array(kind, 1)
+            never[0] = kind.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(p), never)
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if fs.exists(p) and fs.exists(part) and "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
+    finally:
+        fs.delete(part, False)
+    return True
+
+
+def write_version(df: DataFrame, path: str, tries: int = 20) -> str:
+    """Writes a new version beside the old ones, then commits its name: a reader sees all of one or of the other, and versions of writers
+    at the same time follow each other."""
+    name = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/data/{name}")
+    for _ in range(tries):
+        if commit(df.sparkSession, f"{path}/versions", latest(df.sparkSession, f"{path}/versions")[0] + 1, name):
+            return name
+    raise RuntimeError(f"{tries} other writers were first")
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The last version, or the one of this number."""
+    name = latest(spark, f"{path}/versions")[1] if version is None else read_version_file(spark, f"{path}/versions", version)
+    if name is None:
+        raise FileNotFoundError(f"no version at {path}")
+    return spark.read.parquet(f"{path}/data/{name}")
 
 
 @contextmanager

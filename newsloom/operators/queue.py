@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import spellings, url_key
-from newsloom.operators.rank import dedup_by_url, first_per
+from newsloom.operators.keyed import Keyed
+from newsloom.operators.rank import dedup_by_url
 
 
 def recent(published: Column, now: Column, days: int = 7) -> Column:
@@ -76,17 +77,11 @@ def confirm(confirmed: DataFrame, saved: DataFrame) -> DataFrame:
     return confirmed.select("url_key").union(saved.select("url_key")).distinct()
 
 
-def sink(path: str, key: str = "url_key") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink: appends rows whose key isn't in the table yet, of a key the least row, so that a replay writes the same;
-    each batch is in a directory of its own, which a replay overwrites. Of the table only the keys are read."""
+def sink(path: str, key: str = "url_key", buckets: int = 64, stream: str = "sink") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink: adds rows whose key isn't in the table yet, of a key the least row. A batch reads only parts of the table that may
+    hold one of its keys, and one that was committed before adds nothing, so a replay leaves the same bytes."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        table = f"{path}/rows"
-        fs = spark._jvm.org.apache.hadoop.fs.Path(table).getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(table)):
-            known = spark.read.parquet(table).filter(F.col("epoch") != epoch)
-            batch = batch.join(known.select(key), key, "left_anti")
-        first_per(batch, [key], *(F.col(c) for c in sorted(batch.columns))).write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+        Keyed(batch.sparkSession, path, key, buckets).insert(batch, stream, epoch)
 
     return write

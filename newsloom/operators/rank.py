@@ -10,10 +10,15 @@ from newsloom.functions.urls import url_key
 from newsloom.sources import dims
 
 
+def name(column: str) -> str:
+    """A column's name for ``col``, whatever is in it."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first by ``order``. A partial minimum per task goes before the shuffle, so hot keys don't gather."""
-    row = F.struct(*(F.col(c) for c in df.columns))
-    best = df.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.min_by(row, F.struct(*order)).alias("r"))
+    row = F.struct(*(F.col(name(c)) for c in df.columns))
+    best = df.groupBy(*(F.col(name(k)).alias(f"__{k}") for k in keys)).agg(F.min_by(row, F.struct(*order)).alias("r"))
     return best.select("r.*")
 
 

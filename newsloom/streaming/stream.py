@@ -8,11 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators.keyed import Keyed
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def source(spark: SparkSession, directory: str, name: str, schema: str = EVENTS, per_trigger: int = 1000) -> DataFrame:
-    """A table's files as a stream; event time as TIMESTAMP, which watermarks need."""
+    """A table's files as a stream; event time as TIMESTAMP, which watermarks need. A folder may still be empty."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", f"{name}*").parquet(directory)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -27,6 +34,17 @@ def dedup(events: DataFrame, key: str, exact: bool = True, within: str = "7 days
     return events.dropDuplicates([key]) if exact else events.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
 
 
+def dedup_into(events: DataFrame, key: str, path: str, within: str = "7 days", name: str = "dedup", checkpoint: str | None = None) -> Keyed:
+    """One row of each key in the keyed table at ``path``, with state that's bounded. Repeats that come within the watermark are dropped by the
+    stream's state, before anything is read; later ones by the table, of which only parts that may hold them are read."""
+    spark = events.sparkSession
+    table = Keyed(spark, path, key)
+    recent = events.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
+    q = recent.writeStream.foreachBatch(lambda batch, epoch: table.insert(batch, name, epoch) and None).option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return table
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the one that the cluster names in ``spark.checkpoint.dir``; in local mode without that, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -48,9 +66,16 @@ def run_now(df: DataFrame, name: str, mode: str) -> DataFrame:
     else:
         q = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/rows")).start()
     q.awaitTermination()
+    if not exists(df.sparkSession, f"{base}/rows"):  # a source without files has no batch
+        return df.sparkSession.createDataFrame([], df.schema)
     return df.sparkSession.read.schema(df.schema).parquet(f"{base}/rows")
 
 
+def with_rocksdb(spark: SparkSession) -> None:
+    """The state store that timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def retry_states(events: DataFrame, cooldown_s: int = 6 * 3600, attempts: int = 3) -> DataFrame:
     """Keyed retry state: ``key``, ``attempts``, ``next_at``, ``done`` after each micro-batch. Events: ``key``, ``ts``, ``ok``, ``throttled``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as X
 from newsloom.functions import html as H
 from newsloom.operators import brief, enrich, feedback, integrity, queue, rank, site
+from newsloom.operators.keyed import Keyed
 from newsloom.sources import dims, readers
 
 NOW = dt.datetime(2026, 10, 15, 12)
@@ -73,7 +74,7 @@ def test_sink_is_safe_to_repeat(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "url_key string, n int")
     write = queue.sink(str(tmp_path))
     write(df, 0), write(df, 0), write(df, 1)
-    assert sorted(r.url_key for r in spark.read.parquet(f"{tmp_path}/rows").collect()) == ["a", "b"]
+    assert sorted(r.url_key for r in Keyed(spark, str(tmp_path), "url_key").read().collect()) == ["a", "b"]
 
 
 def test_grounding(spark):
