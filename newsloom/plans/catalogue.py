@@ -433,12 +433,12 @@ def total_before_overflow(spark, d):
 
 
 def queries() -> dict:
-    from newsloom.plans import more  # noqa: F401
+    from newsloom.plans import more, stored  # noqa: F401
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from newsloom.plans import more  # noqa: F401
+    from newsloom.plans import more, stored  # noqa: F401
 
     return dict(SQL)
