@@ -1,4 +1,7 @@
-"""HTML extraction with the standard parser, as Arrow UDFs: paragraphs of an article, links, trending repositories."""
+"""HTML extraction with the standard parser, as Arrow UDFs: paragraphs of an article, links, trending repositories.
+
+Nothing recurses, and a node's text is a slice of the page's pieces of text, so pages of any nesting are read in time near their length.
+"""
 
 from __future__ import annotations
 
@@ -19,14 +22,43 @@ class Node:
     def __init__(self, tag: str, attrs: dict, up: Node | None):
         self.tag, self.attrs, self.up, self.kids = tag, attrs, up, []
 
+    def steps(self):
+        """(node or text, whether it's left) below this one, in document order."""
+        stack = [iter(self.kids)]
+        path = [self]
+        while stack:
+            k = next(stack[-1], None)
+            if k is None:
+                stack.pop()
+                n = path.pop()
+                if n is not self:
+                    yield n, True
+            elif isinstance(k, str):
+                yield k, False
+            else:
+                yield k, False
+                stack.append(iter(k.kids))
+                path.append(k)
+
     def text(self) -> str:
-        return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
+        return "".join(k for k, _ in self.steps() if isinstance(k, str))
 
     def walk(self):
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield k
-                yield from k.walk()
+        return (k for k, left in self.steps() if not left and not isinstance(k, str))
+
+    def texts(self, tags: set[str]):
+        """The texts of the nodes below of these tags, in document order of their beginnings, each made when it's asked for."""
+        pieces, found, open_at = [], [], {}
+        for k, left in self.steps():
+            if isinstance(k, str):
+                pieces.append(k)
+            elif k.tag in tags:
+                if left:
+                    found[open_at.pop(id(k))][1] = len(pieces)
+                else:
+                    open_at[id(k)] = len(found)
+                    found.append([len(pieces), 0])
+        return ("".join(pieces[a:b]) for a, b in found)
 
     def first(self, tags: set[str]) -> Node | None:
         return next((n for n in self.walk() if n.tag in tags), None)
@@ -36,6 +68,7 @@ class Tree(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: dict[str, int] = {}
         self.feed(html)
         self.close()
 
@@ -48,31 +81,44 @@ class Tree(HTMLParser):
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
+
+    def _leave(self, n: Node) -> None:
+        """Closes all nodes up to ``n``, and that."""
+        k = self.at
+        while k is not n.up:
+            self.open[k.tag] -= 1
+            k = k.up
+        self.at = n.up
 
     def _close(self, tags, until):
+        if not any(self.open.get(t) for t in tags):  # none to look for, however deep
+            return
         n = self.at
         while n.up and n.tag not in until:
             if n.tag in tags:
-                self.at = n.up
+                self._leave(n)
                 return
             n = n.up
 
     def handle_endtag(self, tag):
+        if not self.open.get(tag):
+            return
         n = self.at
-        while n.up and n.tag != tag:
+        while n.tag != tag:
             n = n.up
-        if n.up:
-            self.at = n.up
+        self._leave(n)
 
     def handle_data(self, data):
         self.at.kids.append(data)
 
 
 def _drop(node: Node) -> None:
-    node.kids = [k for k in node.kids if isinstance(k, str) or not (k.tag in SKIP or {"ad", "sidebar"} & set(k.attrs.get("class", "").split()))]
-    for k in node.kids:
-        if isinstance(k, Node):
-            _drop(k)
+    left = [node]
+    while left:
+        n = left.pop()
+        n.kids = [k for k in n.kids if isinstance(k, str) or not (k.tag in SKIP or {"ad", "sidebar"} & set(k.attrs.get("class", "").split()))]
+        left += [k for k in n.kids if isinstance(k, Node)]
 
 
 def squeeze(s: str) -> str:
@@ -87,8 +133,8 @@ def article_paragraphs(html: str | None, least: int = 10, budget: int = 12_000)
     if top is None:
         return None
     out, total = [], 0
-    for n in top.walk():
-        if n.tag in BLOCK and len(t := squeeze(n.text())) >= least:
+    for text in top.texts(BLOCK):
+        if len(t := squeeze(text)) >= least:
             if total + len(t) > budget:
                 break
             total += len(t)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import threading
 import time
 import uuid
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -119,10 +122,20 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
     return spark.read.parquet(f"{path}/data/{name}")
 
 
+def _observed(of: Observation, seconds: float = 10.0) -> dict:
+    """An observation's counts; none if no action has run over it (it would wait for one)."""
+    found: dict = {}
+    waiting = threading.Thread(target=lambda: found.update(of.get), daemon=True)
+    waiting.start()
+    waiting.join(seconds)
+    return found
+
+
 @contextmanager
 def report(stage: str, run: dict, clock=time.time):
-    """A stage's report: running, then success or failed, always closed."""
+    """A stage's report: running, then success or failed, always closed. Counts that ``counted`` takes come into its ``stats`` at the end."""
     out = {"schemaVersion": 1, "stage": stage, "run": run, "startedAt": clock(), "status": "running", "stats": {}}
+    watched = out["observations"] = []
     try:
         yield out
         out["status"] = "success"
@@ -130,4 +143,48 @@ def report(stage: str, run: dict, clock=time.time):
         out |= {"status": "failed", "failure": type(e).__name__}
         raise
     finally:
+        if out["status"] == "success":
+            for of in watched:
+                out["stats"] |= _observed(of)
+        del out["observations"]
         out["finishedAt"] = clock()
+
+
+def counted(out: dict, rows: DataFrame, **counts: Column) -> DataFrame:
+    """The rows, of which the first action also takes these counts (aggregates) into the report: no further pass over them."""
+    of = Observation()
+    out["observations"].append(of)
+    return rows.observe(of, *(c.alias(k) for k, c in counts.items()))
+
+
+class StreamReports(StreamingQueryListener):
+    """Keeps a report of each named query: counts that it observes (``df.observe(name, ...)``) are summed over its batches, and the report is closed, as a
+    file under ``path``, when the query ends. ``done`` tells of queries that have ended."""
+
+    def __init__(self, spark: SparkSession, path: str, run: dict, clock=time.time):
+        self.spark, self.path, self.run, self.clock = spark, path, run, clock
+        self.open: dict[str, dict] = {}
+        self.done: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.open[str(event.runId)] = {"schemaVersion": 1, "stage": event.name, "run": self.run, "startedAt": self.clock(), "status": "running", "stats": {"rows": 0, "batches": 0}}
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        stats = self.open[str(p.runId)]["stats"]
+        stats["batches"] += 1
+        stats["rows"] += p.numInputRows
+        for row in p.observedMetrics.values():
+            for k, v in row.asDict().items():
+                stats[k] = stats.get(k, 0) + (v or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        out = self.open.pop(str(event.runId))
+        out |= {"status": "failed" if event.exception else "success", "finishedAt": self.clock()}
+        if event.exception:
+            out["failure"] = event.errorClassOnException or "unknown"
+        put(self.spark, f"{self.path}/{out['stage']}-report.json", json.dumps(out))
+        self.done[out["stage"]] = out

@@ -16,16 +16,10 @@ def collect(spark: SparkSession, sources: list[Callable[[], DataFrame]], backlog
     """A collection: all sources that can be read, deduplicated, scored and merged with the backlog, then without what is stored.
 
     ``scored`` is what a dry run shows; ``pending`` the queue in its order; ``new`` what is to be saved, ``existing`` what is there
-    already; ``failed`` the errors of sources that gave nothing. Sources are read as they're called, so a failing one costs only its rows.
+    already; ``failures`` the sources that gave nothing, and ``failed`` the same as a list. A source that breaks, also while it's read, costs only its rows.
     """
-    frames, failed = [], []
-    for k, read in enumerate(sources):
-        try:
-            df = read()
-            df.schema  # a source whose plan can't be made fails here
-            frames.append(df)
-        except Exception as e:  # noqa: BLE001
-            failed.append((k, type(e).__name__))
+    frames, failures = readers.fetched(spark, sources)
+    failed = [(r.source, r.error) for r in failures.collect()]  # one row a source at most
     dim = dims.source_dim(spark)
     if frames:
         items = readers.union_sources(frames)
@@ -35,7 +29,7 @@ def collect(spark: SparkSession, sources: list[Callable[[], DataFrame]], backlog
         scored = backlog.limit(0)
     ranked = scored.filter(F.col("score") >= dims.MIN_SCORE)
     pending = queue.merge_pending(backlog, ranked, confirmed, now)
-    return {"scored": scored, "pending": pending, "new": queue.unsaved(pending, stored), "existing": queue.existing(pending, stored), "failed": failed}
+    return {"scored": scored, "pending": pending, "new": queue.unsaved(pending, stored), "existing": queue.existing(pending, stored), "failed": failed, "failures": failures}
 
 
 def outputs(saved: int, pending: int, bundle_status: str | None = None, n_articles: int = 0) -> dict:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions import html as H
 from newsloom.functions import text as X
 from newsloom.functions.urls import fetch_url, host_in
 from newsloom.operators.rank import first_per
 from newsloom.sources import dims
+from newsloom.streaming.stream import shared_folder
 
 ARTICLE = "ordinal long, title string, url string, source string, category array<string>, score int, summary string, published_at timestamp, fetched_at timestamp, abstract string, crowd_score double, notion_url string, lang string, kind string"
 FEED_ITEM = "feed string, title string, link string, contentSnippet string, content string, isoDate string, pubDate string, extensions map<string,string>"
@@ -30,6 +34,28 @@ def checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def json_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON rows, and the lines that are none (``line``), apart."""
+    lines = spark.read.text(path).filter(X.js_trim(F.col("value")) != "")
+    rows = lines.select(F.from_json("value", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"}).alias("r")).select("r.*")
+    return rows.filter("__bad IS NULL").drop("__bad"), rows.filter("__bad IS NOT NULL").select(F.col("__bad").alias("line"))
+
+
+def fetched(spark: SparkSession, sources: list[Callable[[], DataFrame]]) -> tuple[list[DataFrame], DataFrame]:
+    """What each source gives, and ``source`` (its number), ``error``, ``detail`` of those that fail, when they're planned or while they're read.
+
+    A source is read once, into the shared folder, so that later steps see the same rows, and one that breaks leaves nothing."""
+    frames, failed, folder = [], [], shared_folder(spark, "fetched")
+    for k, read in enumerate(sources):
+        try:
+            df = read()
+            df.write.parquet(f"{folder}/{k}")
+            frames.append(spark.read.schema(df.schema).parquet(f"{folder}/{k}"))
+        except Exception as e:  # noqa: BLE001
+            failed.append((k, type(e).__name__, str(e).split("\n")[0][:300]))
+    return frames, spark.createDataFrame(failed, "source int, error string, detail string")
+
+
 def rss(spark: SparkSession, path: str, feed: str, crowd_field: str | None = None) -> DataFrame:
     """Items of an RSS or RDF file; the extension element that the feed's configuration names is kept."""
     extra = f", `{crowd_field}` string" if crowd_field else ""
@@ -178,5 +204,15 @@ def feed_config(spark: SparkSession) -> DataFrame:
 
 
 def ordinals(df: DataFrame, *order: Column) -> DataFrame:
-    """Numbers from 0 by an order, for sources without one. One sort over all rows: for feeds, not for corpora."""
-    return df.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    """Numbers from 0 by an order, for sources without one. Sorted by ranges, written once; a row's number is its place in its range and the
+    number of rows in those before, of which there's one count for each range."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "ordinals")
+    place = F.monotonically_increasing_id()
+    df.orderBy(*order).withColumn("__place", place).write.parquet(path)
+    rows = spark.read.schema(T.StructType([*df.schema, T.StructField("__place", T.LongType())])).parquet(path)
+    part = F.shiftright("__place", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # as many rows as ranges
+    numbered = rows.join(F.broadcast(before), part == F.col("__part"))
+    return numbered.withColumn("ordinal", F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__before", "__place")

@@ -1,9 +1,14 @@
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from newsloom.functions import html as H
 from newsloom.functions import text as X
 from newsloom.functions import urls as U
 
+few = settings(max_examples=100, deadline=None, suppress_health_check=list(HealthCheck))
+
 
 def one(spark, column, **values):
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())).select(column).first()[0]
@@ -87,3 +92,32 @@ def test_small_functions(spark):
 def test_trimmed_at_least(spark, text, want):
     got = spark.createDataFrame([(text,)], "t string").select(X.trimmed_at_least(F.col("t"), 5), F.length(X.js_trim(F.col("t"))) >= 5).first()
     assert got[0] is got[1] is want
+
+
+def test_pages_of_any_nesting():
+    import time
+
+    deep = 100_000
+    began = time.time()
+    assert H.article_paragraphs("<article>" + "<b>" * deep + "<p>A paragraph of the article.</p>" + "</i>" * deep + "</article>") == ["A paragraph of the article."]
+    assert H.article_paragraphs("<article>" + "<ul><li>" * deep + "far inside") == ["far inside"] * 1200
+    assert H.article_paragraphs("<article>" + "<p><span>" * deep + "</article>") == []
+    assert H.article_paragraphs("<div>" * deep + "<article>" + "</div>" * 3 + "<p>0123456789</p>") == []
+    assert H.listing_links("<div>" * deep + '<a href="/news/a"><h3>A title of ten</h3></a>') == [{"href": "/news/a", "title": "A title of ten", "description": "", "date": None}]
+    assert time.time() - began < 30
+
+
+def test_nesting_as_before():
+    """Paragraphs end where a block begins, items where the next one does; end tags without a beginning don't matter."""
+    page = "<main><p>first one here<p>second <b>one</i> here</b><ul><li>item number one<li>item number two<ul><li>inner item one</ul></ul><div><p>in a div, third</div>tail<nav><p>not this one here</p></nav><h2>a heading, too</h2></main>"
+    assert H.article_paragraphs(page) == ["first one here", "second one here", "item number one", "item number twoinner item one", "inner item one", "in a div, third", "a heading, too"]
+    n = H.Tree(page).root
+    assert list(n.texts({"li"})) == [x.text() for x in n.walk() if x.tag == "li"]
+
+
+@few
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<li>", "</li>", "<ul>", "</ul>", "<div>", "</div>", "<b>", "</b>", "</i>", "some text ", "<br>", "<article>", "</article>"]), max_size=40))
+def test_texts_are_those_of_the_nodes(parts):
+    root = H.Tree("".join(parts)).root
+    assert list(root.texts(H.BLOCK)) == [n.text() for n in root.walk() if n.tag in H.BLOCK]
+    assert "".join(p for p in parts if not p.startswith("<")) == root.text()
