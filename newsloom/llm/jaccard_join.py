@@ -21,7 +21,8 @@ Shingles, words and sets are known by 64-bit hashes: two that differ are taken f
 
 Words are runs without ASCII white space, A-Z lower-cased. Null or empty texts, or texts without words, have empty sets
 and are linked with nothing. Rows that repeat an id are one document with the links of each; rows with a null id get a
-null component and link nothing.
+null component and link nothing. Whole texts count, however long (a task holds a few megabytes of them, or one text, and their sets);
+columns other than id and text don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ PROBE, TRIES = 8, 8
 LEADERS = 16
 #: Bytes of leaders' sets that are sent to the executors at once.
 LEADER_BYTES = 32_000_000
+#: Rows of leaders' classes, and of classes with their distances, that are broadcast; more are joined by a shuffle.
+MOST_HOMES, MOST_CLASSES = 1_000_000, 10_000
 
 
 def needed(n: int, num: int, den: int) -> int:
@@ -478,7 +481,7 @@ def settle_large(sets: DataFrame, scratch: Scratch, num: int, den: int, class_no
 
         def with_home(rows, of, name):
             found = homes.select(F.col("node").alias(of), F.col("root").alias("__root__"))
-            return rows.join(F.broadcast(found), of, "left").withColumn(name, F.coalesce("__root__", of)).drop("__root__")
+            return rows.join(_checked(found), of, "left").withColumn(name, F.coalesce("__root__", of)).drop("__root__")
 
         every = with_home(every, "first", "home")
         # for each leader the least distance of a node that isn't of its home: nodes of that home nearer than that by more than a link are done with
@@ -488,12 +491,17 @@ def settle_large(sets: DataFrame, scratch: Scratch, num: int, den: int, class_no
         far = far.groupBy("comp", "place").agg(F.first("own").alias("own"), F.coalesce(F.min(outside), F.lit(2.0)).alias("d"))
         far = scratch.write(far.groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("place", "own", "d"))).alias("closest")), f"closest{k}")
         done = F.exists(F.zip_with("distances", "closest", lambda d, c: (c["own"] == F.col("home")) & (d < c["d"] - reach)), lambda x: x)
-        now = every.join(F.broadcast(far), "comp").filter(F.col("home").isNull() | ~done).select("comp", "node", "shingles", "home")
+        now = every.join(_checked(far, MOST_CLASSES), "comp").filter(F.col("home").isNull() | ~done).select("comp", "node", "shingles", "home")
         if k:
             scratch.drop(f"distances{k - 1}")
         k += 1
 
 
+def _checked(rows: DataFrame, most: int = MOST_HOMES) -> DataFrame:
+    """A written table as a side that's broadcast, if it has at most so many rows."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def _pairs_of_parts(rows: DataFrame, class_nodes: int, class_shingles: int) -> DataFrame:
     """Classes of ``nodes`` and ``total`` shingles in parts, of which a task holds about two: each part with each other one of its
     class is a class of its own, so that all pairs of nodes meet."""
@@ -595,8 +603,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = scratch.write(ids, "roots")
     ids = scratch.write(_by_document(ids, scratch, spark), "classes")
     scratch.drop("found", "hot", "coarse", "wanted", "large", "links", "sets", "roots", "merged")
-    out = known.join(ids.withColumnRenamed("doc", "__doc__"), known["doc"] == F.col("__doc__"), "left")
-    return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
+    out = known.filter("doc IS NOT NULL").join(ids.withColumnRenamed("doc", "__doc__"), F.col("doc") == F.col("__doc__"), "left")
+    out = out.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+    none = known.filter("doc IS NULL")  # rows without an id don't move
+    return out.unionByName(none.select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component")))
 
 
 def _by_document(ids: DataFrame, scratch: Scratch, spark: SparkSession) -> DataFrame:

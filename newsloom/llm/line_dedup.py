@@ -203,8 +203,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(*map(quoted, kept))
     drop = repeated_lines(docs, scratch, id_col, text_col, min_chars, min_docs, most_suspects)
     drop = drop.groupBy("doc").agg(F.collect_list("key").alias("keys"))
-    # columns are named by their side: the documents may have any names
-    rows = docs.join(drop.hint("shuffle_hash"), docs[quoted(id_col)] == drop["doc"], "left").select(*(docs[quoted(c)] for c in kept), drop["keys"])
+    # columns are named by their side: the documents may have any names; rows without an id don't move
+    known, others = (docs.filter(F.col(quoted(id_col)).isNotNull()), docs.filter(F.col(quoted(id_col)).isNull()))
+    rows = known.join(drop.hint("shuffle_hash"), known[quoted(id_col)] == drop["doc"], "left").select(*(known[quoted(c)] for c in kept), drop["keys"])
+    rows = rows.union(others.select(*map(quoted, kept), F.lit(None).cast("array<string>").alias("keys")))
     schema = T.StructType([*(docs.schema[c] for c in kept), *([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if stats else [])])
     where = kept.index(text_col)
 

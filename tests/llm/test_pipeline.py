@@ -43,3 +43,22 @@ def test_stages(spark, tmp_path):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {i: own.encode_ordinary(t) for i, t in kept}
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_an_id_pass(spark, tmp_path):
+    rows = [(None, "same text of some words here", "en", "s", 1), (None, "same text of some words here", "en", "s", 1), (1, "same text of some words here", "en", "s", 1), (2, "same text of some words here", "en", "s", 1), (3, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(7, "text of some")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    near = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(str(r.doc_id) for r in near.collect()) == ["1", "3", "None", "None"]
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == ["3", "None", "None"]
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ["3", "None", "None"]
