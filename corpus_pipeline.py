@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages, each an operator of ``newsloom.llm`` over all that the one before kept."""
+"""A corpus pipeline of five stages, each an operator of ``newsloom.llm`` over all that the one before kept.
+
+Rows with a null id can't be told apart: they pass the stages that drop documents by id. An empty table gives empty stages, and without labels or
+benchmark items nothing is dropped by them. Columns that the tables have besides those of ``documents`` pass through to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -21,18 +25,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose id isn't in ``gone``; those without an id stay where they are."""
+    kept = docs.filter("doc_id IS NOT NULL").join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents the one with the least id stays; rows with a null id stay."""
     groups = jaccard_join.similar_groups(docs)
     others = groups.filter(F.col("doc") != F.col("component")).select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, others)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go; rows with a null id can't be told apart and stay."""
     found = decontaminate.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = found.filter(F.size("items") > 0).select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(hit.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, hit)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
