@@ -6,9 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as X
 from newsloom.operators.keyed import Keyed
 from newsloom.plans.adapter import table
 from newsloom.plans.catalogue import query
+from newsloom.sources import paged, readers
 from newsloom.streaming import stream, timers
 
 
@@ -103,3 +105,29 @@ def stream_two_tiers(spark, d):
         rows = spark.readStream.schema("user_id long, day date, ts timestamp").option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in/*.parquet")
         stored = stream.dedup_into(rows, "user_id", f"{folder}/users", "2 days", "users")
     return stored.read().select("user_id", "day")
+
+
+@query("SELECT event_id, user_id, event_type, value, ts FROM events")
+def anchored_events(spark, d):
+    """All events through a store that gives a hundred rows at a time, and ends a chain of pages after five hundred."""
+    paged.register(spark)
+    schema = "collected timestamp_ntz, event_id long, user_id long, event_type string, value double"
+    bounds = table(spark, d, "events").agg(F.date_trunc("day", F.min("ts")).alias("low"), (F.date_trunc("day", F.max("ts")) + F.expr("interval 1 day")).alias("high")).first()
+    if bounds.low is None:
+        return spark.createDataFrame([], "event_id long, user_id long, event_type string, value double, ts timestamp_ntz")
+    rows = spark.read.format("paged").schema(schema).options(client="newsloom.sources.paged:FileStore", path=f"{d}/events.parquet", columns="ts,event_id,user_id,event_type,value", chain=500, size=100, start=str(bounds.low), end=str(bounds.high), days=3).load()
+    return paged.latest(rows, "event_id", "collected").select("event_id", "user_id", "event_type", "value", F.col("collected").alias("ts"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS title, trim(regexp_replace(split_part(text, chr(10), 2), '\s+', ' ', 'g')) AS description, ts FROM documents JOIN events ON event_id = doc_id),
+u AS (SELECT *, 'https://e.com/news/' || (doc_id // 3) AS url, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) AS rn FROM t WHERE length(title) >= 10)
+SELECT doc_id * 10000 AS ordinal, title, url, substr(description, 1, 500) AS abstract, CASE WHEN doc_id % 4 > 0 THEN date_trunc('second', ts) END AS published_at FROM u WHERE rn = 1""".replace("\\\\", "\\"))
+def listing_items(spark, d):
+    """The documents' first lines as links of listing pages, their second lines as descriptions; three pages link to an article each, of which the first counts."""
+    D = F.col("doc_id")
+    docs = table(spark, d, "documents").join(table(spark, d, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id")
+    line = lambda n: X.escape_markup(F.coalesce(F.get(F.split("text", "\n", n + 2), F.lit(n)), F.lit("")))
+    date = F.when(D % 4 > 0, F.concat(F.lit('<time datetime="'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"></time>'))).otherwise("")
+    html = F.concat(F.lit('<div><a href="/news/'), F.floor(D / 3).cast("string"), F.lit('"><h3>'), line(0), F.lit('</h3></a><a href="/about">About us, a page</a><p>'), line(1), F.lit("</p>"), date, F.lit("</div>"))
+    got = readers.listing(docs.select(D.alias("ordinal"), html.alias("html")), "https://e.com", "Listing")
+    return got.select("ordinal", "title", "url", "abstract", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
