@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.hosts import ascii_host
+
 VALID = r"(?s)^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#\s<>^|]+([/?#].*)?$"
 # What a path percent-encodes, and its segments for "here" and "up", as the URL standard has them.
 ENCODED = r'\x00-\x20"<>`{}\x7f-\x{10ffff}'
@@ -44,6 +46,7 @@ def _parts(url: Column) -> tuple[Column, Column, Column, Column]:
     url = _clean(url)
     scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://", 1))
     host = F.lower(F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1), r"^[^@]*@", ""))
+    host = ascii_host(F.when(host.rlike("%[0-9a-f]{2}"), F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)).otherwise(host))
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     path = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
@@ -72,7 +75,7 @@ def url_key(url: Column) -> Column:
     """The dedup key: no scheme, fragment, leading ``www.``, tracking parameters or last slash; parameters by name, stable.
 
     Dot segments are resolved, paths percent-encoded and parameters form-encoded, so that spellings of one URL meet. What isn't
-    a URL becomes its lower-cased self. Hosts aren't turned to punycode: one that's written both ways has two keys.
+    a URL becomes its lower-cased self. Hosts are in ASCII, so that one that's written both ways has one key.
     """
     _, host, path, query = _parts(url)
     kept = F.array_sort(_pairs(query, r"(?s)^(utm_.*|ref|fbclid|gclid)$"))

@@ -121,7 +121,7 @@ def anchored_events(spark, d):
 
 @query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS title, trim(regexp_replace(split_part(text, chr(10), 2), '\s+', ' ', 'g')) AS description, ts FROM documents JOIN events ON event_id = doc_id),
 u AS (SELECT *, 'https://e.com/news/' || (doc_id // 3) AS url, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) AS rn FROM t WHERE length(title) >= 10)
-SELECT doc_id * 10000 AS ordinal, title, url, substr(description, 1, 500) AS abstract, CASE WHEN doc_id % 4 > 0 THEN date_trunc('second', ts) END AS published_at FROM u WHERE rn = 1""".replace("\\\\", "\\"))
+SELECT doc_id * 10000 AS ordinal, title, url, substr(description, 1, 500) AS abstract, CASE WHEN doc_id % 4 > 0 THEN date_trunc('second', ts) END AS published_at FROM u WHERE rn = 1""")
 def listing_items(spark, d):
     """The documents' first lines as links of listing pages, their second lines as descriptions; three pages link to an article each, of which the first counts."""
     D = F.col("doc_id")

@@ -121,3 +121,39 @@ def test_texts_are_those_of_the_nodes(parts):
     root = H.Tree("".join(parts)).root
     assert list(root.texts(H.BLOCK)) == [n.text() for n in root.walk() if n.tag in H.BLOCK]
     assert "".join(p for p in parts if not p.startswith("<")) == root.text()
+
+
+# Host names and their ASCII forms.
+HOSTS = {
+    "münchen.de": "xn--mnchen-3ya.de", "bücher.example": "xn--bcher-kva.example", "日本語.jp": "xn--wgv71a119e.jp", "пример.испытание": "xn--e1afmkfd.xn--80akhbyknj4f", "例え。テスト": "xn--r8jz45g.xn--zckzah",
+    "faß.de": "xn--fa-hia.de", "www.Ａｂｃ．com": "www.abc.com", "ü.com:8080": "xn--tda.com:8080", "a.b": "a.b", "": "", "xn--tda.com": "xn--tda.com", "ليهمابتكلموشعربي؟": "xn--egbpdaj6bu4bxfgehfvwxn",
+}
+
+
+def test_hosts_in_ascii(spark):
+    from newsloom.functions.hosts import ascii_host
+
+    df = spark.createDataFrame([(h,) for h in HOSTS] + [(None,)], "h string")
+    got = {r.h: r.a for r in df.select("h", ascii_host(F.col("h")).alias("a")).collect()}
+    assert got == HOSTS | {None: None}
+
+
+def test_labels_like_the_standard_codec(spark):
+    import random
+
+    from newsloom.functions.hosts import ascii_host
+
+    rng = random.Random(5)
+    pools = ["abcxyz019-", "äöüéñçøå", "абвгджя", "日本語例中文字", "あいうえおん", "한국어", "😀🚀𠀋"]
+    labels = sorted({"".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 24))) for _ in range(250)})
+    df = spark.createDataFrame([(x,) for x in labels], "h string")
+    got = {r.h: r.a for r in df.select("h", ascii_host(F.col("h")).alias("a")).collect()}
+    assert got == {x: x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in labels}
+
+
+def test_both_spellings_have_one_key(spark):
+    pairs = [("https://www.bücher.example/a/?utm_source=x", "http://xn--bcher-kva.example/a"), ("https://日本語.jp:443/", "https://xn--wgv71a119e.jp"), ("https://m%C3%BCnchen.de/x", "https://MÜNCHEN.de/x")]
+    for a, b in pairs:
+        assert one(spark, U.url_key(F.col("u")), u=a) == one(spark, U.url_key(F.col("u")), u=b)
+    assert one(spark, U.fetch_url(F.col("u")), u="https://日本語.jp/a") == "https://xn--wgv71a119e.jp/a"
+    assert one(spark, U.host_in(F.col("u"), ["xn--bcher-kva.example"]), u="https://news.bücher.example/") is True
