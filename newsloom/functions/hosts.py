@@ -5,78 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import bound
-
 # The parameters of punycode, and its digits.
 BASE, T_MIN, T_MAX, SKEW, DAMP, BIAS, START = 36, 1, 26, 38, 700, 72, 128
 DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
-#: Full-width forms of ASCII, and the dots that separate labels besides the plain one.
-WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+#: Full-width forms of ASCII (but the quote and the back slash, which no host has), and the dots that separate labels besides the plain one.
+NARROW = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) not in "'\\")
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in NARROW)
 DOTS = "\u3002\uff0e\uff61"
 #: Digits of a number at most, and halvings that bring any difference below the threshold.
 MOST_DIGITS, MOST_HALVINGS = 13, 8
 
 
-def _digit(d: Column) -> Column:
-    return F.substring(F.lit(DIGITS), (d + 1).cast("int"), F.lit(1))
+def _digit(d: str) -> str:
+    return f"substring('{DIGITS}', CAST({d} + 1 AS INT), 1)"
 
 
-def _number(delta: Column, bias: Column) -> Column:
+def _number(delta: str, bias: str) -> str:
     """A number as digits of a base that depends on the place."""
-
-    def step(s: Column, k: Column) -> Column:
-        t = F.greatest(F.lit(T_MIN), F.least(F.lit(T_MAX), k * BASE - bias))
-        over = s["q"] >= t
-        text = F.concat(s["text"], F.when(over, _digit(t + (s["q"] - t) % (BASE - t))).otherwise(_digit(s["q"])))
-        rest = F.when(over, F.floor((s["q"] - t) / (BASE - t))).otherwise(F.lit(-1))
-        return F.when(s["q"] < 0, s).otherwise(F.struct(rest.cast("long").alias("q"), text.alias("text")))
-
-    places = F.sequence(F.lit(1), F.lit(MOST_DIGITS))
-    return F.aggregate(places, F.struct(delta.cast("long").alias("q"), F.lit("").alias("text")), step)["text"]
+    t = f"greatest({T_MIN}, least({T_MAX}, k * {BASE} - {bias}))"
+    more = f"named_struct('q', (w.q - {t}) div ({BASE} - {t}), 'text', concat(w.text, {_digit(f'{t} + (w.q - {t}) % ({BASE} - {t})')}))"
+    last = f"named_struct('q', -1L, 'text', concat(w.text, {_digit('w.q')}))"
+    return f"aggregate(sequence(1, {MOST_DIGITS}), named_struct('q', {delta}, 'text', ''), (w, k) -> CASE WHEN w.q < 0 THEN w WHEN w.q >= {t} THEN {more} ELSE {last} END, w -> w.text)"
 
 
-def _adapted(delta: Column, points: Column, first: Column) -> Column:
-    d = F.floor(F.when(first, delta / DAMP).otherwise(delta / 2))
-    begin = F.struct((d + F.floor(d / points)).cast("long").alias("d"), F.lit(0).alias("k"))
+def _adapted(delta: str, points: str, first: str) -> str:
+    d = f"CASE WHEN {first} THEN {delta} div {DAMP} ELSE {delta} div 2 END"
+    step = f"(a, i) -> IF(a.d > {(BASE - T_MIN) * T_MAX // 2}, named_struct('d', a.d div {BASE - T_MIN}, 'k', a.k + {BASE}), a)"
+    return f"aggregate(sequence(1, {MOST_HALVINGS}), named_struct('d', {d} + ({d}) div {points}, 'k', 0), {step}, a -> a.k + CAST(({BASE} * a.d) div (a.d + {SKEW}) AS INT))"
 
-    def step(s: Column, _: Column) -> Column:
-        above = s["d"] > (BASE - T_MIN) * T_MAX // 2
-        return F.when(above, F.struct(F.floor(s["d"] / (BASE - T_MIN)).cast("long").alias("d"), (s["k"] + BASE).alias("k"))).otherwise(s)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_HALVINGS)), begin, step)
-    return bound(end, lambda s: (s["k"] + F.floor(BASE * s["d"] / (s["d"] + SKEW))).cast("int"))
+def _let(name: str, value: str, use: str) -> str:
+    """What ``use`` makes of a value that's computed once."""
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
 
 
-def _encoded(label: Column) -> Column:
+def _encoded(label: str) -> str:
     """A label with characters beyond ASCII: its plain ones, then where the others go in, by code point and place."""
-    points = F.transform(F.split(label, ""), lambda c, i: F.struct(F.ascii(c).alias("cp"), i.alias("at"), c.alias("c")))
-
-    def from_points(ps: Column) -> Column:
-        plain = F.filter(ps, lambda p: p["cp"] < START)
-        others = F.array_sort(F.filter(ps, lambda p: p["cp"] >= START))
-        lower = lambda cp, test: F.size(F.filter(ps, lambda p: (p["cp"] < cp) & test(p["at"])))
-        b = F.size(plain)
-        begin = F.struct(F.lit(START).alias("n"), F.lit(-1).alias("at"), b.alias("h"), F.lit(BIAS).alias("bias"), F.lit("").alias("text"))
-
-        def step(s: Column, p: Column) -> Column:
-            same, first = (p["cp"] == s["n"]) & (s["at"] >= 0), s["at"] < 0
-            between = lower(p["cp"], lambda at: (at > s["at"]) & (at < p["at"]))
-            jump = (p["cp"] - s["n"]).cast("long") * (s["h"] + 1)
-            before = lower(p["cp"], lambda at: at < p["at"])
-            rest = lower(s["n"], lambda at: at > s["at"])
-            delta = F.when(first, jump + before).when(same, between.cast("long")).otherwise(rest + 1 + jump - (s["h"] + 1) + before)
-            return bound(delta, lambda d: F.struct(p["cp"].alias("n"), p["at"].alias("at"), (s["h"] + 1).alias("h"), _adapted(d, s["h"] + 1, s["h"] == b).alias("bias"), F.concat(s["text"], _number(d, s["bias"])).alias("text")))
+    lower = lambda cp, test: f"size(filter(ps, x -> x.cp < {cp} AND {test}))"
+    plain = f"filter(ps, x -> x.cp < {START})"
+    jump, before = "CAST(p.cp - s.n AS BIGINT) * (s.h + 1)", lower("p.cp", "x.pos < p.pos")
+    delta = f"CASE WHEN s.pos < 0 THEN {jump} + {before} WHEN p.cp = s.n THEN CAST({lower('p.cp', 'x.pos > s.pos AND x.pos < p.pos')} AS BIGINT) ELSE {lower('s.n', 'x.pos > s.pos')} + 1 + {jump} - (s.h + 1) + {before} END"
+    step = _let("d", delta, f"named_struct('n', p.cp, 'pos', p.pos, 'h', s.h + 1, 'b', s.b, 'bias', {_adapted('d', '(s.h + 1)', 's.h = s.b')}, 'text', concat(s.text, {_number('d', 's.bias')}))")
+    begin = f"named_struct('n', {START}, 'pos', -1, 'h', size({plain}), 'b', size({plain}), 'bias', {BIAS}, 'text', '')"
+    others = f"aggregate(array_sort(filter(ps, x -> x.cp >= {START})), {begin}, (s, p) -> {step}, s -> s.text)"
+    text = f"concat('xn--', array_join(transform({plain}, x -> x.c), ''), IF(exists(ps, x -> x.cp < {START}), '-', ''), {others})"
+    return _let("ps", f"transform(split({label}, ''), (c, i) -> named_struct('cp', ascii(c), 'pos', i, 'c', c))", text)
 
-        text = F.aggregate(others, begin, step)["text"]
-        return F.concat(F.lit("xn--"), F.array_join(F.transform(plain, lambda p: p["c"]), ""), F.when(b > 0, "-").otherwise(""), text)
 
-    return bound(points, from_points)
+BEYOND = r"[^\\x00-\\x7f]"
+PLAIN = f"lower(translate(translate(h, '{WIDE}', '{NARROW}'), '{DOTS}', '...'))"
+LABELS = f"transform(split({PLAIN}, '[.]'), g -> IF(g RLIKE '{BEYOND}', {_encoded('g')}, g))"
+SPELLED = f"h -> IF(h RLIKE '{BEYOND}', array_join({LABELS}, '.'), h)"
 
 
 def ascii_host(host: Column) -> Column:
     """A lower-case host in ASCII: full-width forms are narrow, all label dots plain, other labels punycode. Composed letters are taken as they're
-    written: a decomposed spelling is another host."""
-    plain = F.lower(F.translate(F.translate(host, WIDE, NARROW), DOTS, "..."))
-    labels = F.transform(F.split(plain, r"\."), lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), _encoded(x)).otherwise(x))
-    return F.when(host.rlike(r"[^\x00-\x7f]"), F.array_join(labels, ".")).otherwise(host)
+    written: a decomposed spelling is another host. The expression is long, and given as text, which is parsed at once."""
+    return F.element_at(F.call_function("transform", F.array(host), F.expr(SPELLED)), 1)

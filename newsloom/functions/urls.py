@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions.hosts import ascii_host
+from newsloom.functions.text import bound
 
 VALID = r"(?s)^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#\s<>^|]+([/?#].*)?$"
 # What a path percent-encodes, and its segments for "here" and "up", as the URL standard has them.
@@ -46,8 +47,9 @@ def _parts(url: Column) -> tuple[Column, Column, Column, Column]:
     url = _clean(url)
     scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://", 1))
     host = F.lower(F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1), r"^[^@]*@", ""))
-    host = ascii_host(F.when(host.rlike("%[0-9a-f]{2}"), F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)).otherwise(host))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    host = bound(host, lambda h: F.when(h.rlike("%[0-9a-f]{2}"), F.coalesce(F.try_url_decode(F.replace(h, F.lit("+"), F.lit("%2B"))), h)).otherwise(h))
+    port = F.when(scheme == "http", ":80$").when(scheme == "https", ":443$").otherwise(":$")
+    host = F.regexp_replace(ascii_host(host), port, F.lit(""))
     path = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     return scheme, host, _encoded(_resolved(path)), query
@@ -93,15 +95,19 @@ def fetch_url(url: Column) -> Column:
 
 def spellings(url: Column) -> Column:
     """The URL and the eight spellings of its key: two schemes, with and without ``www.`` and a last slash."""
-    key = url_key(url)
-    base, query = F.substring_index(key, "?", 1), F.when(key.contains("?"), F.concat(F.lit("?"), F.substring_index(key, "?", -1))).otherwise("")
-    has_path = base.contains("/")
-    out = [url]
-    for scheme in ("https://", "http://"):
-        for www in ("", "www."):
-            head = F.concat(F.lit(scheme + www), base)
-            out += [F.concat(head, F.when(has_path, "").otherwise("/"), query), F.concat(head, F.when(has_path, "/").otherwise(""), query)]
-    return F.array_distinct(F.array(*out))
+
+
+    def spelled(key: Column) -> Column:
+        base, query = F.substring_index(key, "?", 1), F.when(key.contains("?"), F.concat(F.lit("?"), F.substring_index(key, "?", -1))).otherwise("")
+        has_path = base.contains("/")
+        out = [url]
+        for scheme in ("https://", "http://"):
+            for www in ("", "www."):
+                head = F.concat(F.lit(scheme + www), base)
+                out += [F.concat(head, F.when(has_path, "").otherwise("/"), query), F.concat(head, F.when(has_path, "/").otherwise(""), query)]
+        return F.array_distinct(F.array(*out))
+
+    return bound(url_key(url), spelled)
 
 
 def article_id(url: Column) -> Column:
