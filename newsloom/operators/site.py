@@ -100,6 +100,45 @@ def search(index: DataFrame, query: str, ja: bool = False, primary: bool = False
     return found.orderBy(F.desc("score"), "ordinal").limit(k).join(F.broadcast(total))  # one row
 
 
+#: Characters of a gram, and of a query's grams the rarest, whose lists are read.
+GRAM, LISTS = 3, 3
+
+
+def grams(text: Column) -> Column:
+    """The distinct runs of ``GRAM`` characters."""
+    n = F.length(text) - GRAM
+    return F.when(n >= 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.substring(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def write_postings(index: DataFrame, path: str, parts: int = 64) -> None:
+    """The index's rows by ordinal, the places (``ordinal``) of each gram of their haystacks, and how many each has. Places are sorted by gram in ranges, which a
+    very common gram may fill several of, so a search reads only row groups that hold its grams."""
+    index.repartitionByRange(parts, "ordinal").sortWithinPartitions("ordinal").write.parquet(f"{path}/rows")
+    places = index.select("ordinal", F.explode(grams(F.col("haystack"))).alias("gram"))
+    places.repartitionByRange(parts, "gram", "ordinal").sortWithinPartitions("gram", "ordinal").write.parquet(f"{path}/places")
+    places.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange(parts, "gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
+
+
+def candidates(spark: SparkSession, path: str, query: str) -> DataFrame | None:
+    """``ordinal`` of the rows that have the query's rarest grams; None if its terms are all too short to tell, so that every row is one."""
+    terms = unicodedata.normalize("NFKC", query).lower().split()
+    own = sorted({t[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})
+    if not own:
+        return None
+    counts = {r.gram: r.n for r in spark.read.parquet(f"{path}/counts").filter(F.col("gram").isin(own)).collect()}  # as many as the query's grams
+    rarest = sorted(own, key=lambda g: (counts.get(g, 0), g))[:LISTS]
+    found = spark.read.parquet(f"{path}/places").filter(F.col("gram").isin(rarest))
+    return found.groupBy("ordinal").agg(F.count("*").alias("n")).filter(F.col("n") == len(rarest)).select("ordinal")
+
+
+def search_postings(spark: SparkSession, path: str, query: str, ja: bool = False, primary: bool = False, starred: bool = False, k: int = RESULTS) -> DataFrame:
+    """As ``search``, from written postings: rows are read by their candidates' places and tested whole. Also ``candidates``, how many these were."""
+    rows, near = spark.read.parquet(f"{path}/rows"), candidates(spark, path, query)
+    read = rows if near is None else rows.join(near, "ordinal", "left_semi")
+    n = (rows if near is None else near).agg(F.count("*").alias("candidates"))
+    return search(read, query, ja, primary, starred, k).join(F.broadcast(n))  # one row
+
+
 def export_rows(df: DataFrame, source_dim: DataFrame) -> DataFrame:
     """Rows with a URL and a title, their gaps filled from the source's dimension, else by defaults."""
     dim = F.broadcast(source_dim.select("source", F.col("lang").alias("d_lang"), F.col("kind").alias("d_kind")))

@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
+from newsloom.operators import site
 from newsloom.operators.keyed import Keyed
 from newsloom.plans.adapter import table
-from newsloom.plans.catalogue import query
+from newsloom.plans.catalogue import INDEX, _index, query
 from newsloom.sources import paged, readers
 from newsloom.streaming import stream, timers
 
@@ -131,3 +132,12 @@ def listing_items(spark, d):
     html = F.concat(F.lit('<div><a href="/news/'), F.floor(D / 3).cast("string"), F.lit('"><h3>'), line(0), F.lit('</h3></a><a href="/about">About us, a page</a><p>'), line(1), F.lit("</p>"), date, F.lit("</div>"))
     got = readers.listing(docs.select(D.alias("ordinal"), html.alias("html")), "https://e.com", "Listing")
     return got.select("ordinal", "title", "url", "abstract", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+@query(INDEX + """, f AS (SELECT * FROM x WHERE contains(haystack, 'the') AND contains(haystack, 'src1') AND status = 'Starred')
+SELECT ordinal, score, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM x WHERE contains(haystack, 'the') AND contains(haystack, 'src') AND contains(haystack, 'rc1')) AS candidates FROM f ORDER BY score DESC, ordinal LIMIT 200""")
+def search_by_postings(spark, d):
+    """The search index as written postings, and a search that reads its candidates only."""
+    path = stream.shared_folder(spark, "search")
+    site.write_postings(_index(spark, d), path, 16)
+    return site.search_postings(spark, path, "The src1", starred=True).select("ordinal", "score", "total", "candidates")

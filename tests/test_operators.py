@@ -232,3 +232,15 @@ def test_rules_read_a_text_once(spark):
     assert got == [plain(t) for t in texts]
     plan = df.select(X.rule_hits(F.col("t"), rules, cats).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1
+
+
+def test_search_by_postings(spark, tmp_path):
+    titles = ["GPT-5 released", "ＧＰＴ－５ モデル", "an agent for code", "agents", "ai", "", "the gp of t-5", "日本語のモデル"]
+    df = spark.createDataFrame([(i, t, "src", i) for i, t in enumerate(titles * 5)], "ordinal long, title string, source string, score int")
+    df = df.withColumns({"url": F.lit("u"), "category": F.array(F.lit("LLM")), "lang": F.lit("en"), "kind": F.lit("primary"), "status": F.lit("Unread"), "fetched_at": F.lit(NOW), "published_at": F.lit(NOW)})
+    index = site.search_index(df, F.lit(NOW))
+    site.write_postings(index, f"{tmp_path}/p", 3)
+    for query, most in (("gpt-5", 10), ("agent", 10), ("ai", 40), ("モデル", 10), ("ＡＧＥＮＴ llm", 10), ("nowhere", 0), ("code agent src", 5), ("a", 40), ("", 40)):
+        got = site.search_postings(spark, f"{tmp_path}/p", query, k=7).collect()
+        assert [(r.ordinal, r.total) for r in got] == [(r.ordinal, r.total) for r in site.search(index, query, k=7).collect()], query
+        assert all(r.candidates == most for r in got), query
