@@ -40,7 +40,7 @@ def outputs(saved: int, pending: int, bundle_status: str | None = None, n_articl
 def enrich_run(backlog: DataFrame, states: DataFrame, bodies: DataFrame, answers: DataFrame, now: Column, blocked_until: Column | None = None, keywords: list[str] | None = None) -> dict:
     """An enrichment: the backlog's steps, the new states of the pages worked on, their summaries, and the backlog that is left.
 
-    ``bodies`` (``page_id``, ``body``) and ``answers`` (``page_id``, ``raw``, ``http``, ``hint``, ``failed``) are what was fetched and generated.
+    ``bodies`` (``page_id``, ``body``, as ``readers.page_bodies`` gives them) and ``answers`` (``page_id``, ``raw``, ``http``, ``hint``, ``failed``) are what was fetched and generated.
     """
     steps = enrich.backlog_steps(backlog, states, now, blocked_until=blocked_until)
     work = steps.filter("step = 'work'").join(bodies, "page_id", "left").join(answers, "page_id", "left")

@@ -88,6 +88,12 @@ def fetched_bodies(payloads: DataFrame, headless: list[str]) -> DataFrame:
     return rows.select("page_id", "method", F.when(F.col("why").isNull(), F.col("b.paragraphs")).otherwise(F.array().cast("array<string>")).alias("paragraphs"), F.coalesce("why", "b.reason").alias("reason"))
 
 
+def page_bodies(fetched: DataFrame, most: int = 6000) -> DataFrame:
+    """``page_id``, ``body`` and ``reason`` of ``fetched_bodies``: paragraphs joined by blank lines, the first ``most`` characters; null where there are none."""
+    body = F.substring(F.array_join("paragraphs", "\n\n"), 1, most)
+    return fetched.select("page_id", F.when(F.size("paragraphs") > 0, body).alias("body"), "reason")
+
+
 def keyword_or_none(text: Column, keywords: Column) -> Column:
     """For keywords in a column: those over three characters as substrings, others with an ASCII word boundary."""
     low = F.lower(text)

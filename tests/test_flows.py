@@ -215,3 +215,69 @@ def test_flags_of_reports(spark):
     got = [" ".join(f for f in flags if not r[f]) for r in brief.report_flags(df, F.lit(NOW)).collect()]
     assert got == [want for _, want in cases]
     assert [r.fetched for r in brief.report_flags(df, F.lit(NOW)).limit(2).collect()] == [65, 0]
+
+
+def test_fetched_pages_are_enriched(spark):
+    text = "About ai: a page that is long enough to be used, with some words to quote from it and a number 42. " * 2
+    pages = [("p0", "https://x.com", 200, "text/html", None, f"<article><p>{text}</p><p>{text}</p></article>"), ("p1", "https://x.com", 200, "text/html", None, "<article><p>short</p></article>"), ("p2", "https://x.com", 500, "text/html", None, text), ("p3", "https://x.com", 200, "text/html", None, "<article><p>about bread only, and nothing else</p></article>")]
+    fetched = readers.fetched_bodies(spark.createDataFrame(pages, "page_id string, url string, status int, content_type string, error string, html string"), [])
+    bodies = readers.page_bodies(fetched)
+    assert {r.page_id: (r.body and r.body.count("\n\n"), r.reason) for r in bodies.collect()} == {"p0": (1, None), "p1": (None, "empty_article"), "p2": (None, "http_error"), "p3": (0, None)}
+    assert max(len(r.body or "") for r in readers.page_bodies(fetched, 50).collect()) == 50
+    backlog = spark.createDataFrame([(i, f"p{i}") for i in range(4)], "ordinal long, page_id string")
+    states = spark.createDataFrame([(f"p{i}", "pending", 0, None) for i in range(4)], "page_id string, status string, attempts int, next_at timestamp")
+    answers = spark.createDataFrame([], "page_id string, raw string, http int, hint int, failed boolean")
+    got = flows.enrich_run(backlog, states, bodies, answers, F.lit(NOW))
+    assert {r.page_id: r.status for r in got["states"].collect()} == {"p0": "invalid_response", "p1": "body_unavailable", "p2": "body_unavailable", "p3": "insufficient_evidence"}
+
+
+def test_lanes_keep_the_rate(spark):
+    class Clock:
+        def __init__(self):
+            self.now, self.late = 0.0, 0.0
+
+        def sleep(self, s):
+            self.now += s + self.late
+
+    clock = Clock()
+    lanes = [pacing.Lane(k, 3, lambda: clock.now, clock.sleep) for k in range(3)]
+    at = []
+    for _ in range(4):
+        for lane in lanes:
+            assert lane.request(lambda: at.append(clock.now)).reason is None
+    assert all(b - a >= pacing.SPACING - 1e-9 for a, b in zip(at, at[1:], strict=False))
+    lane = pacing.Lane(0, 1, lambda: clock.now, clock.sleep)
+    lane.request(lambda: None)
+    clock.late = 25.0  # a sleep that takes longer leaves too little
+    assert lane.request(lambda: None) == pacing.Outcome(None, "budget_exhausted", 0, None)
+
+    def send(body):
+        if body == "busy":
+            raise pacing.Throttled(100)
+        if body == "bad":
+            raise ValueError
+        return body.upper()
+
+    rows = spark.createDataFrame([(1, "a"), (2, "busy"), (3, "bad"), (4, "d")], "id long, body string")
+    got = {r.id: (r.response, r.reason, r.attempts, r.waits_s) for r in pacing.paced(rows, send, "id", "body", 4).collect()}
+    assert got[1] == ("A", None, 1, None) and got[3] == (None, "request_failed", 1, None) and got[2] == (None, "budget_exhausted", 1, 100.0)
+
+
+def test_bounded_dedup_forgets(spark, tmp_path):
+    day = lambda d: dt.datetime(2026, 1, 1) + dt.timedelta(days=d)
+    for n, rows in enumerate(([("a", day(0)), ("a", day(1))], [("a", day(2)), ("b", day(30))], [("a", day(31)), ("b", day(31))], [("a", day(32))])):
+        spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{n}.parquet")
+    source = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*.parquet")
+    got = stream.run_now(stream.dedup(source, "key", exact=False), "bounded", "append")
+    assert sorted(r.key for r in got.collect()) == ["a", "a", "b"]  # once its time has passed, and a batch has seen that, a key is new
+
+
+def test_site_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"s{i % 2}", i, dt.datetime(2026, 1 + i % 3, 1)) for i in range(9)], "ordinal long, source string, score int, fetched_at timestamp")
+    site.write_pages(site.paginate(rows, "source", size=2), f"{tmp_path}/pages", "source")
+    back = spark.read.json(f"{tmp_path}/pages")
+    assert back.count() == 9 and back.filter("source = 's0'").agg(F.max("page_no")).first()[0] == 3
+    months = site.month_archive(rows)
+    site.write_months(months, f"{tmp_path}/months")
+    site.write_months(months.filter("month = '2026-02'").limit(1), f"{tmp_path}/months")  # the other months stay
+    assert {r.month: r["count"] for r in spark.read.parquet(f"{tmp_path}/months").groupBy("month").count().collect()} == {"2026-01": 3, "2026-02": 1, "2026-03": 3}
