@@ -40,7 +40,8 @@ def facet_top(df: DataFrame, facet: str, k: int = FACET) -> DataFrame:
 
 
 def by_category(df: DataFrame) -> DataFrame:
-    return df.withColumn("category", F.explode("category"))
+    """A row for each category that's given. (An inner explode would infer a filter on the list, which is then made again at the scan.)"""
+    return df.withColumn("category", F.explode_outer("category")).filter(F.col("category").isNotNull())
 
 
 def paginate(df: DataFrame, facet: str, size: int = PAGE, k: int = FACET) -> DataFrame:

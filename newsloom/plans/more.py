@@ -265,13 +265,13 @@ def rich_texts(spark, d):
     return rows.select("conv_id", X.rich_text(F.transform("p", lambda x: F.struct(x["text"].alias("plain_text")))).alias("joined"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN md5(CAST(page_id AS VARCHAR)) END AS id, page_id * 1000 + 7 AS stars, '{\"a\":' || page_id || '}' AS body FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN md5(url) END AS id, length(html) AS stars, html AS body FROM pages WHERE html IS NOT NULL")
 def extracted_values(spark, d):
-    k = F.col("page_id")
-    key = F.md5(k.cast("string").cast("binary"))
-    link = F.when(k % 3 == 0, F.concat(F.lit("https://store/Title-"), F.substring(key, 1, 8), F.lit("-"), F.substring(key, 9, 32), F.lit("?v=1"))).otherwise("https://store/none")
-    stars = F.concat(F.lit("★ "), F.format_number(k * 1000 + 7, 0), F.lit(" stars today"))
-    return table(spark, d, "pages").select("page_id", X.page_id(link).alias("id"), X.star_count(stars).cast("long").alias("stars"), X.strip_fence(F.concat(F.lit("```json\n{\"a\":"), k.cast("string"), F.lit("}\n```"))).alias("body"))
+    """Page ids made of the URLs, the pages' lengths as counts of stars, the pages as fenced answers."""
+    key = F.md5(F.col("url").cast("binary"))
+    link = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://store/Title-"), F.substring(key, 1, 8), F.lit("-"), F.substring(key, 9, 32), F.lit("?v=1"))).otherwise("https://store/none")
+    stars = F.concat(F.lit("★ "), F.format_number(F.length("html"), 0), F.lit(" stars today"))
+    return table(spark, d, "pages").filter("html IS NOT NULL").select("page_id", X.page_id(link).alias("id"), X.star_count(stars).cast("long").alias("stars"), X.strip_fence(F.concat(F.lit("```json\n"), "html", F.lit("\n```"))).alias("body"))
 
 
 @query(r"SELECT page_id, regexp_matches(lower(regexp_extract(url, '://([^/?#]*)', 1)), '(^|\.)(example\.org|example\.com)$') AS inside FROM pages")
@@ -298,11 +298,12 @@ def real_rules(spark, d):
     return rank.score(rows, dims.source_dim(spark)).select("ordinal", "lang", "kind", "base", "bonus", "crowd", F.array_join("category", ",").alias("categories"))
 
 
-@query(f"SELECT event_id, {WORD(pick_sql(SEEDS, 'event_id'), dims.KEYWORDS)} AS english, {WORD(pick_sql(SEEDS, 'event_id'), dims.KEYWORDS_JA)} AS japanese FROM events")
+@query(f"""WITH t AS (SELECT doc_id, {pick_sql(SEEDS, 'doc_id')} || ' ' || text AS t FROM documents)
+SELECT doc_id, {WORD('t', dims.KEYWORDS)} AS english, {WORD('t', dims.KEYWORDS_JA)} AS japanese FROM t""")
 def real_keywords(spark, d):
-    E = F.col("event_id")
-    text = pick(SEEDS, E)
-    return table(spark, d, "events").select("event_id", X.matches_keyword(text, dims.KEYWORDS).alias("english"), X.matches_keyword(text, dims.KEYWORDS_JA).alias("japanese"))
+    """Whole documents, each after a line that may hold keywords."""
+    rows = table(spark, d, "documents").select("doc_id", F.concat(pick(SEEDS, F.col("doc_id")), F.lit(" "), "text").alias("t"))
+    return rows.select("doc_id", X.matches_keyword(F.col("t"), dims.KEYWORDS).alias("english"), X.matches_keyword(F.col("t"), dims.KEYWORDS_JA).alias("japanese"))
 
 
 # enrichment
@@ -342,11 +343,12 @@ def backlog_and_states(spark, d):
     return enrich.backlog_steps(backlog, own, _at()).select("page_id", "step")
 
 
-@query("SELECT event_id AS page_id, CASE WHEN event_id % 3 = 0 THEN 'new ' || event_id ELSE 'old' END AS summary, CASE WHEN event_id % 3 = 0 THEN 'ready' ELSE event_type END AS status FROM events")
+@query("SELECT event_id AS page_id, CASE WHEN event_type = 'purchase' THEN 'new ' || value ELSE props END AS summary, CASE WHEN event_type = 'purchase' THEN 'ready' ELSE event_type END AS status FROM events")
 def two_step_update(spark, d):
+    """Purchases have results."""
     E = F.col("event_id")
-    pages = table(spark, d, "events").select(E.alias("page_id"), F.lit("old").alias("summary"), F.col("event_type").alias("status"))
-    results = table(spark, d, "events").filter("event_id % 3 = 0").select(E.alias("page_id"), F.concat(F.lit("new "), E.cast("string")).alias("summary"), F.lit("ready").alias("status"))
+    pages = table(spark, d, "events").select(E.alias("page_id"), F.col("props").alias("summary"), F.col("event_type").alias("status"))
+    results = table(spark, d, "events").filter("event_type = 'purchase'").select(E.alias("page_id"), F.concat(F.lit("new "), F.col("value").cast("string")).alias("summary"), F.lit("ready").alias("status"))
     once = enrich.merge_results(enrich.merge_results(pages, results, "summary"), results, "status")
     return enrich.merge_results(once, results, "summary")  # a repeated first step changes nothing
 
