@@ -108,15 +108,24 @@ def stream_two_tiers(spark, d):
     return stored.read().select("user_id", "day")
 
 
+#: Rows of a window of the paged store, on average at most; bytes of its files' row groups, which a window reads whole.
+WINDOW_ROWS, STORE_BLOCK = 200_000, 4_000_000
+
+
 @query("SELECT event_id, user_id, event_type, value, ts FROM events")
 def anchored_events(spark, d):
-    """All events through a store that gives a hundred rows at a time, and ends a chain of pages after five hundred."""
+    """All events through a store that gives a hundred rows at a time, and ends a chain of pages after five hundred. The store is laid out by time, so that a
+    window reads its own part of it; windows are of three days, or of fewer as they'd have more than ``WINDOW_ROWS`` rows on average."""
     paged.register(spark)
-    schema = "collected timestamp_ntz, event_id long, user_id long, event_type string, value double"
-    bounds = table(spark, d, "events").agg(F.date_trunc("day", F.min("ts")).alias("low"), (F.date_trunc("day", F.max("ts")) + F.expr("interval 1 day")).alias("high")).first()
+    schema, columns = "collected timestamp_ntz, event_id long, user_id long, event_type string, value double", ["ts", "event_id", "user_id", "event_type", "value"]
+    events = table(spark, d, "events").select(*columns)
+    bounds = events.agg(F.date_trunc("day", F.min("ts")).alias("low"), (F.date_trunc("day", F.max("ts")) + F.expr("interval 1 day")).alias("high"), F.count("ts").alias("n")).first()
     if bounds.low is None:
         return spark.createDataFrame([], "event_id long, user_id long, event_type string, value double, ts timestamp_ntz")
-    rows = spark.read.format("paged").schema(schema).options(client="newsloom.sources.paged:FileStore", path=f"{d}/events.parquet", columns="ts,event_id,user_id,event_type,value", chain=500, size=100, start=str(bounds.low), end=str(bounds.high), days=3).load()
+    path = stream.shared_folder(spark, "paged")
+    events.repartitionByRange("ts").sortWithinPartitions("ts").write.option("parquet.block.size", STORE_BLOCK).parquet(path)
+    days = min(3, (bounds.high - bounds.low) / dt.timedelta(days=1) * WINDOW_ROWS / bounds.n)
+    rows = spark.read.format("paged").schema(schema).options(client="newsloom.sources.paged:FileStore", path=path, columns=",".join(columns), chain=500, size=100, start=str(bounds.low), end=str(bounds.high), days=days).load()
     return paged.latest(rows, "event_id", "collected").select("event_id", "user_id", "event_type", "value", F.col("collected").alias("ts"))
 
 

@@ -21,6 +21,7 @@ import importlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,23 +113,30 @@ def latest(rows: DataFrame, key: str = "id", version: str = "edited") -> DataFra
 
 class FileStore:
     """A client over a Parquet folder or file (option ``path``, any file system that Arrow knows), with the limit ``chain`` of rows; ``columns`` are the
-    file's names of the schema's fields, in order, the time's first."""
+    file's names of the schema's fields, in order, the time's first. A window is read and sorted once, and later chains take what is left of it."""
 
     def __init__(self, options: dict):
         import pyarrow.dataset as ds
 
         self.columns, self.chain = options["columns"].split(","), int(options["chain"])
-        self.data, self.held, self.bounds = ds.dataset(options["path"], format="parquet"), [], None
+        self.data, self.bounds = ds.dataset(options["path"], format="parquet"), None
 
     def page(self, low, high, cursor, size):
-        import pyarrow.dataset as ds
-
-        if self.bounds != (low, high):
-            time = ds.field(self.columns[0])
-            rows = self.data.to_table(columns=self.columns, filter=(time >= low) & (time < high)).sort_by([(c, "descending") for c in self.columns])
-            self.held, self.bounds = [tuple(r.values()) for r in rows.to_pylist()], (low, high)
-        at = cursor or 0
+        if self.bounds is None or low != self.bounds[0] or high > self.bounds[1]:
+            self._hold(low, high)
+        first = len(self.times) - int(self.times[::-1].searchsorted(np.datetime64(high, "us")))  # rows at ``high`` and newer come first
+        at, left = cursor or 0, len(self.times) - first
         if at >= self.chain:
             raise TooMany
-        rows = self.held[at : min(at + size, self.chain)]
-        return rows, at + len(rows) if at + len(rows) < len(self.held) else None
+        held = self.held.slice(first + at, min(size, self.chain - at))
+        rows = list(zip(*(c.to_pylist() for c in held.columns), strict=True))
+        return rows, at + len(rows) if at + len(rows) < left else None
+
+    def _hold(self, low, high):
+        import pyarrow.dataset as ds
+
+        time = ds.field(self.columns[0])
+        rows = self.data.to_table(columns=self.columns, filter=(time >= low) & (time < high), use_threads=False)
+        self.held = rows.sort_by([(c, "descending") for c in self.columns]).combine_chunks()
+        self.times = self.held.column(0).to_numpy().astype("datetime64[us]")
+        self.bounds = (low, high)

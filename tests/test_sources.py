@@ -67,6 +67,31 @@ def test_paged_source_is_the_whole_table(spark, tmp_path):
     assert set(map(tuple, narrow.collect())) == {r for r in rows if T0 + dt.timedelta(days=1.5) <= r[0] < T0 + dt.timedelta(days=2)}
 
 
+def test_a_window_is_read_once(spark, tmp_path):
+    """However many chains it has; a client that goes on to another window reads that one."""
+    rng = random.Random(3)
+    rows = [(T0 + dt.timedelta(minutes=rng.randrange(2 * 1440)), i) for i in range(2000)]
+    spark.createDataFrame(rows, "collected timestamp_ntz, id long").coalesce(1).write.parquet(f"{tmp_path}/p")
+    store = paged.FileStore({"path": f"{tmp_path}/p", "columns": "collected,id", "chain": 40})
+    data, reads = store.data, []
+
+    class Counted:
+        def to_table(self, **kw):
+            reads.append(kw)
+            return data.to_table(**kw)
+
+    store.data = Counted()
+    for k in range(2):
+        low, high = T0 + dt.timedelta(days=k), T0 + dt.timedelta(days=k + 1)
+        got = list(paged.chained(store, low, high, 0, 15))
+        assert set(got) == {r for r in rows if low <= r[0] < high} and len(got) < 2 * len(rows)
+        assert len(reads) == k + 1
+    # a narrower end within the same window is what's left of it; a wider one is read
+    low, mid = T0 + dt.timedelta(days=1), T0 + dt.timedelta(days=1.5)
+    assert set(paged.chained(store, low, mid, 0)) == {r for r in rows if low <= r[0] < mid} and len(reads) == 2
+    assert set(paged.chained(store, T0, mid, 0)) == {r for r in rows if r[0] < mid} and len(reads) == 3
+
+
 def test_pushed_bounds_narrow_the_windows():
     from pyspark.sql import types as T
     from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
