@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,18 +106,29 @@ def search(index: DataFrame, query: str, ja: bool = False, primary: bool = False
 GRAM, LISTS = 3, 3
 
 
+#: Characters of haystacks whose grams a task sorts at once.
+PART_CHARS = 8_000_000
+
+
 def grams(text: Column) -> Column:
-    """The distinct runs of ``GRAM`` characters."""
-    n = F.length(text) - GRAM
-    return F.when(n >= 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.substring(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of ``GRAM`` characters, in time that grows with the text."""
+    n = F.length(text) - GRAM + 1
+    shifted = [F.slice(F.split(text, ""), k + 1, n) for k in range(GRAM)]
+    runs = reduce(lambda x, y: F.zip_with(x, y, lambda a, b: F.concat(a, b)), shifted)
+    return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
 def write_postings(index: DataFrame, path: str, parts: int = 64) -> None:
-    """The index's rows by ordinal, the places (``ordinal``) of each gram of their haystacks, and how many each has. Places are sorted by gram in ranges, which a
-    very common gram may fill several of, so a search reads only row groups that hold its grams."""
+    """The index's rows by ordinal, the places (``ordinal``) of each gram of their haystacks, and how many each has. The index is made once; places come from its
+    written rows. They don't move: a part has those of a range of ordinals, sorted by gram, so a search reads only pages of its files that hold its grams.
+    Parts are ``parts``, or as many more as the haystacks need, so that a part's places fit a task's memory."""
+    spark = index.sparkSession
     index.repartitionByRange(parts, "ordinal").sortWithinPartitions("ordinal").write.parquet(f"{path}/rows")
-    places = index.select("ordinal", F.explode(grams(F.col("haystack"))).alias("gram"))
-    places.repartitionByRange(parts, "gram", "ordinal").sortWithinPartitions("gram", "ordinal").write.parquet(f"{path}/places")
+    rows = spark.read.parquet(f"{path}/rows").select("ordinal", "haystack")
+    chars = rows.agg(F.sum(F.length("haystack"))).first()[0] or 0
+    ranges = rows.repartitionByRange(max(parts, -(-chars // PART_CHARS)), "ordinal")
+    ranges.select("ordinal", F.explode(grams(F.col("haystack"))).alias("gram")).sortWithinPartitions("gram", "ordinal").write.parquet(f"{path}/places")
+    places = spark.read.parquet(f"{path}/places")
     places.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange(parts, "gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
 
 

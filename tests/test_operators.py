@@ -244,3 +244,30 @@ def test_search_by_postings(spark, tmp_path):
         got = site.search_postings(spark, f"{tmp_path}/p", query, k=7).collect()
         assert [(r.ordinal, r.total) for r in got] == [(r.ordinal, r.total) for r in site.search(index, query, k=7).collect()], query
         assert all(r.candidates == most for r in got), query
+
+
+def test_grams_of_any_text(spark):
+    texts = ["", "ab", "abc", "aaaa", "日本語のモデル", "a😀b😀c", "x" * 5 + "yz" * 3, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.g for r in df.select(site.grams(F.col("t")).alias("g")).collect()]
+    assert got == [list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))) if t else [] for t in texts]
+
+
+def test_postings_make_the_index_once(spark, tmp_path, monkeypatch):
+    """And places stay in parts by ordinal, of more files where there's more text."""
+    monkeypatch.setattr(site, "PART_CHARS", 400)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def title(i):
+        made.add(1)
+        return f"title {i} of an agent"
+
+    df = spark.range(200).select(F.col("id").alias("ordinal"), title("id").alias("haystack"), F.lit(1).alias("score"), F.lit("x").alias("status"))
+    site.write_postings(df, f"{tmp_path}/p", 2)
+    assert made.value <= 400  # once for the rows, once for the bounds of their ranges
+    files = spark.read.parquet(f"{tmp_path}/p/places").select("ordinal", "gram", F.input_file_name().alias("f"))
+    spans = sorted((r.low, r.high) for r in files.groupBy("f").agg(F.min("ordinal").alias("low"), F.max("ordinal").alias("high")).collect())
+    assert len(spans) >= 8 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    got = site.search_postings(spark, f"{tmp_path}/p", "title 17", k=500).collect()
+    assert {r.ordinal for r in got} == {i for i in range(200) if "17" in str(i)}
