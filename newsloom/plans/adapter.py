@@ -25,11 +25,14 @@ def source_dim(spark: SparkSession) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles, with a page's URL and an event's value and time each; joined by keys, sides chosen by the planner."""
+    """Documents as articles, with a page's URL and an event's value and time each; joined by keys, sides chosen by the planner. The other tables are
+    joined first, for the documents' ids only, so that texts move once at most."""
     docs, pages, events, labels = (table(spark, sf_dir, t) for t in ("documents", "pages", "events", "labels"))
     n = pages.count()
-    docs = docs.select(F.col("doc_id").alias("ordinal"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), "source", "lang", F.pmod("doc_id", F.lit(max(1, n))).alias("page_id"))
-    rows = docs.join(pages.select("page_id", "url"), "page_id").join(events.select(F.col("event_id").alias("ordinal"), "value", "ts"), "ordinal")
+    near = events.select(F.col("event_id").alias("ordinal"), "value", "ts").join(docs.select(F.col("doc_id").alias("ordinal")), "ordinal", "left_semi")
+    near = near.withColumn("page_id", F.pmod("ordinal", F.lit(max(1, n)))).join(pages.select("page_id", "url"), "page_id").drop("page_id")
+    docs = docs.select(F.col("doc_id").alias("ordinal"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), "source", "lang")
+    rows = docs.join(near, "ordinal")
     flags = labels.select(F.col("doc_id").alias("ordinal"), "quality", "toxic")
     status = F.when(F.col("quality") == 1, "Starred").when(F.col("toxic") == 1, "Read").otherwise("Unread")
     rows = rows.join(flags, "ordinal", "left")
